@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, token_counts, token_store
+from tickloom.llm import bpe, simhash, substring, token_counts, token_store
 from tickloom.llm.common import read, scratch
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -32,13 +32,22 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = simhash.near_duplicates(read(spark, sf_dir, "documents"), words=3)
+    return linked.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_passages(read(spark, sf_dir, "documents"), window=50).drop("kept_text")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.prefix_counts(read(spark, sf_dir, "documents"), WORD_BPE)
     return counted.select("doc_id", "n_bytes", token_counts.n_tokens().alias("n_tokens")).withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_token_store, op2_byte_bpe, op7_token_counts]
+    own = [op1_token_store, op2_byte_bpe, op3_simhash, op4_substring, op7_token_counts]
     return {f.__name__: f for f in own}
 
 
