@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 #: Bytes of text that a task turns into arrays at a time; a longer text is a slice of its own.
 SLICE_BYTES = 2 << 20
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_WORD = (np.arange(256) >= 128) | np.isin(np.arange(256), [*range(48, 58), *range(65, 91), *range(97, 123)])
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 
 
@@ -113,6 +116,13 @@ def spaced(texts: pa.Array) -> Chunks:
     return runs(raw, ~_SPACE[raw], begin)
 
 
+def lowered_words(texts: pa.Array) -> tuple[np.ndarray, Chunks]:
+    """Lower-cased (A-Z) bytes of each text and its runs of letters, digits and non-ASCII bytes."""
+    raw, begin = joined(texts)
+    raw = _LOWER[raw]
+    return raw, runs(raw, _WORD[raw], begin)
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

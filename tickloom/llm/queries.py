@@ -8,13 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, simhash, substring, token_counts, token_store
+from tickloom.llm import bpe, decontam, simhash, substring, token_counts, token_store, toxicity
 from tickloom.llm.common import read, scratch
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Tokens above which a document is over the limit of op7.
 TOKEN_LIMIT = 2048
+#: Score from which a document counts as toxic.
+TOXIC = 0.7
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,8 +48,17 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", token_counts.n_tokens().alias("n_tokens")).withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), window=13, one_in=20).withColumn("n_items", F.size("items").cast("long")).drop("items")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_token_store, op2_byte_bpe, op3_simhash, op4_substring, op7_token_counts]
+    own = [op1_token_store, op2_byte_bpe, op3_simhash, op4_substring, op7_token_counts, op9_decontamination, op10_toxicity]
     return {f.__name__: f for f in own}
 
 

@@ -24,41 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import as_bytes, documents, mix64, slices, spaced, written
+from tickloom.llm.common import as_bytes, documents, joined, slices, spaced, written
+from tickloom.llm.rolling import BASES, between, rolling, word_hashes
 
 #: Difference covers by period: every difference occurs between two members (fixed values).
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 31: (0, 1, 3, 8, 12, 18)}
-#: Bases of the two rolling hashes (odd numbers, fixed values).
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse, modulo 2**64."""
-    if base not in _powers or len(_powers[base][0]) < n:
-        size = max(n, 1 << 16)
-        _powers[base] = tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, x, np.uint64)])) for x in (base, pow(base, -1, 1 << 64)))
-    return _powers[base]
-
-
-def _rolling(values: np.ndarray, base: int) -> np.ndarray:
-    """Prefix sums of values times powers of the base."""
-    up, _ = _power(base, len(values))
-    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * up[: len(values)])])
-
-
-def _between(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
-    """Hashes of the values between positions."""
-    _, down = _power(base, len(prefix))
-    return mix64((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64))
-
-
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """A hash of the bytes of each word."""
-    return _between(_rolling(raw.astype(np.uint64) + np.uint64(1), base), starts, ends, base)
-
-
 def period(window: int) -> int:
     """The longest period whose anchors still have about two fifths of a window's words."""
     return max(p for p in COVERS if p == 1 or 5 * (window - p + 1) >= 2 * window)
@@ -68,15 +38,13 @@ class Words:
     """The words of a slice of texts with rolling hashes over them."""
 
     def __init__(self, texts: pa.Array) -> None:
-        from tickloom.llm.common import joined
-
         raw, _ = joined(texts)
         chunks = spaced(texts)
         self.offsets = chunks.offsets
-        self.prefix = [_rolling(word_hashes(raw, chunks.starts, chunks.ends, b), b) for b in BASES]
+        self.prefix = [rolling(word_hashes(raw, chunks.starts, chunks.ends, b), b) for b in BASES]
 
     def hashes(self, start: np.ndarray, length: int | np.ndarray, which: int = 0) -> np.ndarray:
-        return _between(self.prefix[which], start, start + length, BASES[which]).view(np.int64)
+        return between(self.prefix[which], start, start + length, BASES[which]).view(np.int64)
 
     def anchors(self, window: int) -> tuple[np.ndarray, np.ndarray]:
         """Documents and word positions (in the slice) where anchors start."""
