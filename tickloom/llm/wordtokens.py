@@ -15,8 +15,8 @@ import pyarrow as pa
 
 from tickloom.llm.common import spaced
 
-#: Chunks whose ids a Python worker remembers; it then starts anew.
-REMEMBERED = 200_000
+#: Chunks after which a Python worker forgets those it has not met since as many before.
+REMEMBERED = 400_000
 
 _loaded: dict[str, "WordTokens"] = {}
 
@@ -43,19 +43,33 @@ class WordTokens:
         self.library = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def chunks(self, chunks: list[str]) -> list[bytes]:
         """Ids of each chunk as little-endian bytes."""
         if len(self.known) > REMEMBERED:
-            self.known = {}
-        known = self.known
-        new = [c for c in chunks if c not in known]
-        for begin in range(0, len(new), 20_000):
-            part = new[begin : begin + 20_000]
-            for c, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                known[c] = np.array(e.ids, self.dtype).tobytes()
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
+        new = {c: self._parts(c) for c in chunks if c not in known and not (c in before and known.setdefault(c, before[c]))}
+        words = [w for w in dict.fromkeys(w for parts in new.values() for w in parts) if w not in known]
+        known |= {w: before[w] for w in words if w in before}
+        self._add([w for w in words if w not in before])
+        known |= {c: b"".join([known[w] for w in parts]) for c, parts in new.items()}
         return [known[c] for c in chunks]
 
+    def _parts(self, chunk: str) -> tuple[str, ...]:
+        """Strings with the same ids as a chunk: lower case changes no id of an ASCII
+        chunk, and a mark after letters only starts a token of its own."""
+        if chunk[-1:] in (",", ".") and chunk[:-1].isalpha():
+            return (chunk[:-1].lower() if chunk.isascii() else chunk[:-1], chunk[-1])
+        return (chunk.lower() if chunk.isascii() and chunk.isalpha() else chunk,)
+
+    def _add(self, words: list[str]) -> None:
+        for begin in range(0, len(words), 20_000):
+            part = words[begin : begin + 20_000]
+            for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
+                self.known[w] = np.array(e.ids, self.dtype).tobytes()
+
     def prefix_counts(self, chunk: str) -> list[int]:
         """Tokens of each prefix of a chunk, by characters."""
         return [len(i) // self.dtype.itemsize for i in self.chunks([chunk[: k + 1] for k in range(len(chunk))])]
