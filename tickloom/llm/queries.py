@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, decontam, pii, simhash, substring, token_counts, token_store, toxicity
+from tickloom.llm import ann, bpe, decontam, pii, simhash, substring, token_counts, token_store, toxicity
 from tickloom.llm.common import read, scratch
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -49,6 +49,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.listed(list(pii.BASE)), 256).alias("base_sha256"), pii.listed(pii.KINDS).alias("spans"))
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, n=10)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.prefix_counts(read(spark, sf_dir, "documents"), WORD_BPE)
     return counted.select("doc_id", "n_bytes", token_counts.n_tokens().alias("n_tokens")).withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
@@ -64,7 +68,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_token_store, op2_byte_bpe, op3_simhash, op4_substring, op5_pii, op7_token_counts, op9_decontamination, op10_toxicity]
+    own = [op1_token_store, op2_byte_bpe, op3_simhash, op4_substring, op5_pii, op6_ann, op7_token_counts, op9_decontamination, op10_toxicity]
     return {f.__name__: f for f in own}
 
 
