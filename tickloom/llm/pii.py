@@ -128,10 +128,11 @@ def _each(kind: str, make: Callable[[str, Column], Column]) -> Column:
     return F.transform(kind, lambda x: make(kind, x))
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id and, by kind, an array of judged spans."""
-    found = docs.select("doc_id", *[spans(F.col("text"), p).alias(k) for k, p in (BASE | ADDED).items()])
-    return found.select("doc_id", *[_each(k, _judged).alias(k) for k in KINDS])
+def candidates(docs: DataFrame, *others: str) -> DataFrame:
+    """Per row: the named columns (doc_id if none) and, by kind, an array of judged spans."""
+    others = others or ("doc_id",)
+    found = docs.select(*others, *[spans(F.col("text"), p).alias(k) for k, p in (BASE | ADDED).items()])
+    return found.select(*others, *[_each(k, _judged).alias(k) for k in KINDS])
 
 
 _VOTES = ("p", "g", "c")
@@ -200,15 +201,22 @@ def _kept(kind: str, w: list[float]) -> Column:
     return F.filter(kind, lambda x: x["fits"] & accepted(kind, x, w))
 
 
-def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Spans of personal data: doc_id and, by kind, an array of structs of s and e (code points, end exclusive)."""
-    judged = written(candidates(documents(docs, key, text)), "candidates")
+def learn(judged: DataFrame) -> list[float]:
+    """The span classifier that the votes of all candidates give."""
     patterns = vote_patterns(judged)
-    _, soft = reliabilities(patterns)
-    w = train(patterns, soft)
+    return train(patterns, reliabilities(patterns)[1])
+
+
+def _decided(judged: DataFrame, w: list[float], *others: str) -> DataFrame:
     place = lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))
     keep = {k: F.filter(k, lambda x: x["fits"]) for k in BASE} | {k: _kept(k, w) for k in ADDED}
-    return judged.select("doc_id", *[F.transform(v, place).alias(k) for k, v in keep.items()])
+    return judged.select(*others, *[F.transform(v, place).alias(k) for k, v in keep.items()])
+
+
+def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Spans of personal data: doc_id and, by kind, an array of structs of s and e (code points, end exclusive)."""
+    judged = written(candidates(documents(docs, key, text)), "candidates")
+    return _decided(judged, learn(judged), "doc_id")
 
 
 def listed(kinds: list[str]) -> Column:
@@ -216,23 +224,24 @@ def listed(kinds: list[str]) -> Column:
     return F.array_join(F.concat(*[_each(k, lambda k, x: F.concat_ws(":", F.lit(k), x["s"], x["e"])) for k in kinds]), ",")
 
 
-def redact(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with every found span of ``text`` replaced by its kind in angle brackets.
+def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with every span found in ``text`` replaced by its kind in angle brackets.
 
-    Of overlapping spans the one that starts first is replaced (at one start, the longer).
-    Rows are matched by ``key``, which must not repeat; null keys match no spans.
+    All columns stay as they are but ``text``. Of overlapping spans the one that starts
+    first is replaced (at one start, the longer).
     """
-    every = F.concat(*[_each(k, lambda k, x: F.struct(x["s"].alias("s"), (-x["e"]).alias("minus_e"), F.lit(k).alias("kind"))) for k in KINDS])
-    marks = found.select(F.col("doc_id").alias("_pii_key"), F.sort_array(every).alias("_pii_marks")).where(F.size("_pii_marks") > 0)
+    w = learn(written(candidates(documents(docs, key, text)), "candidates"))
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    marked = _decided(candidates(whole, "doc", "text"), w, "doc", "text")
+    every = F.sort_array(F.concat(*[_each(k, lambda k, x: F.struct(x["s"].alias("s"), (-x["e"]).alias("minus_e"), F.lit(k).alias("kind"))) for k in KINDS]))
 
     def step(acc: Column, x: Column) -> Column:
-        piece = F.concat(acc["out"], F.col(text).substr(acc["at"] + 1, x["s"] - acc["at"]), F.lit("<"), x["kind"], F.lit(">"))
+        piece = F.concat(acc["out"], F.col("text").substr(acc["at"] + 1, x["s"] - acc["at"]), F.lit("<"), x["kind"], F.lit(">"))
         return F.when(x["s"] < acc["at"], acc).otherwise(F.struct((-x["minus_e"]).alias("at"), piece.alias("out")))
 
     def end(acc: Column) -> Column:
-        return F.concat(acc["out"], F.col(text).substr(acc["at"] + 1, F.length(text)))
+        return F.concat(acc["out"], F.col("text").substr(acc["at"] + 1, F.length("text")))
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    joined = docs.join(marks, docs[key] == marks["_pii_key"], "left")
-    replaced = F.when(F.col("_pii_marks").isNull(), F.col(text)).otherwise(F.aggregate("_pii_marks", start, step, end))
-    return joined.withColumn(text, replaced).select(docs.columns)
+    clean = F.when(F.size("marks") == 0, F.col(f"doc.{text}")).otherwise(F.aggregate("marks", start, step, end))
+    return marked.select("doc", "text", every.alias("marks")).select(*[clean.alias(c) if c == text else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import ann, bpe, decontam, pii, simhash, substring, token_counts, token_store, toxicity
+from tickloom.llm import ann, bpe, decontam, pii, secrets, simhash, substring, token_counts, token_store, toxicity
 from tickloom.llm.common import read, scratch
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -58,6 +59,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", token_counts.n_tokens().alias("n_tokens")).withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(read(spark, sf_dir, "documents"))
+    listed = F.array_join(F.transform("secrets", lambda x: F.concat_ws(":", x["s"], x["e"])), ",")
+    return found.select("doc_id", "n_candidates", F.size("secrets").cast("long").alias("n_secrets"), listed.alias("spans"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), window=13, one_in=20).withColumn("n_items", F.size("items").cast("long")).drop("items")
 
@@ -68,8 +75,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_token_store, op2_byte_bpe, op3_simhash, op4_substring, op5_pii, op6_ann, op7_token_counts, op9_decontamination, op10_toxicity]
-    return {f.__name__: f for f in own}
+    own = [op1_token_store, op2_byte_bpe, op3_simhash, op4_substring, op5_pii, op6_ann, op7_token_counts, op8_secrets, op9_decontamination, op10_toxicity]
+    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
