@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-#: All windows share this partitioning and order, so a plan sorts once.
-BY_BAR = Window.partitionBy("symbol").orderBy("bar_id")
+def by_bar():
+    """All windows share this partitioning and order, so a plan sorts once."""
+    return Window.partitionBy("symbol").orderBy("bar_id")
+
+
 EPS = 1e-9
 
 
@@ -18,7 +21,7 @@ def col(x: str | Column) -> Column:
 
 def frame(n: int):
     """The last n bars."""
-    return BY_BAR.rowsBetween(-(n - 1), 0)
+    return by_bar().rowsBetween(-(n - 1), 0)
 
 
 def rolling(agg: Callable[[Column], Column], x: str | Column, n: int, min_periods: int | None = None) -> Column:
@@ -29,18 +32,18 @@ def rolling(agg: Callable[[Column], Column], x: str | Column, n: int, min_period
 
 def ahead(agg: Callable[[Column], Column], x: str | Column, n: int) -> Column:
     """An aggregate of the next n bars; null with fewer."""
-    x, w = col(x), BY_BAR.rowsBetween(1, n)
+    x, w = col(x), by_bar().rowsBetween(1, n)
     return F.when(F.count(x).over(w) == n, agg(x).over(w))
 
 
 def behind(agg: Callable[[Column], Column], x: str | Column, n: int) -> Column:
     """An aggregate of the n bars before this one; null with fewer."""
-    x, w = col(x), BY_BAR.rowsBetween(-n, -1)
+    x, w = col(x), by_bar().rowsBetween(-n, -1)
     return F.when(F.count(x).over(w) == n, agg(x).over(w))
 
 
 def lag(x: str | Column, k: int = 1) -> Column:
-    return F.lag(col(x), k).over(BY_BAR)
+    return F.lag(col(x), k).over(by_bar())
 
 
 def change(x: str | Column) -> Column:
@@ -52,7 +55,7 @@ def pct_change(x: str | Column) -> Column:
 
 
 def running(agg: Callable[[Column], Column], x: str | Column) -> Column:
-    return agg(col(x)).over(BY_BAR.rowsBetween(Window.unboundedPreceding, 0))
+    return agg(col(x)).over(by_bar().rowsBetween(Window.unboundedPreceding, 0))
 
 
 def whole(agg: Callable[[Column], Column], x: str | Column) -> Column:
