@@ -208,7 +208,8 @@ def near_components(fps: DataFrame) -> DataFrame:
     edges = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(verify, "a long, b long")
     found = components(edges)
     classes = classes.join(found, classes.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
+    # written, so that the join can split a fingerprint that many copies share
+    return fps.join(written(classes, "classes"), "fp").select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -160,13 +160,14 @@ def repeated_passages(docs: DataFrame, window: int = 50, key: str = "doc_id", te
     copies = named.join(firsts, ["c1", "c2"]).where(F.col("doc_id") > F.col("first")).select(*row, "n_words").distinct()
 
     anchors = named.select(F.explode("anchors").alias("anchor"), *row)
-    several = anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
+    # written, so that a join with few but hot keys can be split
+    several = written(anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor"), "several")
     shared = anchors.join(several, "anchor").groupBy(*row).agg(F.collect_set("anchor").alias("shared"))
     # copies lose every word and have no window that their first document lacks
     shared = shared.join(copies, row, "left_anti")
     candidates = written(own.join(shared, row), "candidates")
     windows = _windows(candidates, window)
-    earliest = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("w1", "w2", "low")
+    earliest = written(windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("w1", "w2", "low"), "earliest")
     later = windows.join(earliest, ["w1", "w2"]).where(F.col("doc_id") > F.col("low"))
     places = later.groupBy(*row).agg(F.collect_set("place").alias("places"))
     stripped = _strip(candidates.select(*row, "text").join(places, row), window)
