@@ -15,6 +15,10 @@ def _quantile(x: str, p: float) -> Column:
     return whole(lambda c: F.percentile(c, F.lit(p)), x)
 
 
+def _middle(x: Column) -> Column:
+    return F.percentile(x, F.lit(0.5))
+
+
 def _ln(a: str, b: str) -> Column:
     return F.log(F.col(a) / F.col(b))
 
@@ -39,8 +43,8 @@ def volatility(bars: DataFrame, method: str = "bar_ewm", n: int = 20, span: int
     if method == "ewm_std":
         return ewm_std(out, "ret", "sigma", n)
     if method == "mad":
-        out = out.withColumn("dist", F.abs(F.col("ret") - rolling(F.median, "ret", n)))
-        return out.withColumn("sigma", 1.4826 * rolling(F.median, "dist", n)).drop("dist")
+        out = out.withColumn("dist", F.abs(F.col("ret") - rolling(_middle, "ret", n)))
+        return out.withColumn("sigma", 1.4826 * rolling(_middle, "dist", n)).drop("dist")
     if method == "winsor_std":
         out = out.withColumns({"lo": _quantile("ret", 0.01), "hi": _quantile("ret", 0.99)}).withColumn("cut", clip(F.col("ret"), F.col("lo"), F.col("hi")))
         return out.withColumn("sigma", rolling(F.stddev_samp, "cut", n)).drop("lo", "hi", "cut")
@@ -49,11 +53,11 @@ def volatility(bars: DataFrame, method: str = "bar_ewm", n: int = 20, span: int
         out = out.withColumn("med", F.when(F.size("held") == n, _median("held", n)))
         out = out.withColumn("mad", F.when(F.col("med").isNotNull(), _median(F.transform("held", lambda x: F.abs(x - F.col("med"))), n)))
         total = lambda f: F.aggregate(F.transform("held", f), F.lit(0.0), lambda a, b: a + b)
-        u = lambda x: (x - F.col("med")) / (9 * F.col("mad") + 1e-12)
-        inside = lambda x, v: F.when(F.abs(u(x)) < 1, v).otherwise(0.0)
-        num = total(lambda x: inside(x, F.pow(x - F.col("med"), F.lit(2.0)) * F.pow(1 - F.pow(u(x), F.lit(2.0)), F.lit(4.0))))
-        den = F.abs(total(lambda x: inside(x, (1 - F.pow(u(x), F.lit(2.0))) * (1 - 5 * F.pow(u(x), F.lit(2.0))))))
-        return out.withColumn("sigma", F.when(F.col("mad").isNotNull(), F.sqrt(n * num) / F.greatest(den, F.lit(1e-12)))).drop("held", "med", "mad")
+        u2 = lambda x: F.pow((x - F.col("med")) / (9 * (1.4826 * F.col("mad") + 1e-12)), F.lit(2.0))
+        weight = lambda x: F.when(u2(x) < 1, F.pow(1 - u2(x), F.lit(2.0))).otherwise(0.0)
+        num = total(lambda x: F.pow(x - F.col("med"), F.lit(2.0)) * weight(x))
+        den = F.greatest(total(weight) - 1e-12, F.lit(1e-12))
+        return out.withColumn("sigma", F.when(F.col("mad").isNotNull(), F.sqrt(num / den))).drop("held", "med", "mad")
     hl, co = _ln("high", "low"), _ln("close", "open")
     if method == "parkinson":
         term = F.pow(hl, F.lit(2.0)) / (4 * math.log(2))
@@ -62,10 +66,11 @@ def volatility(bars: DataFrame, method: str = "bar_ewm", n: int = 20, span: int
     elif method == "rogers_satchell":
         term = _ln("high", "close") * _ln("high", "open") + _ln("low", "close") * _ln("low", "open")
     elif method == "yang_zhang":
-        out = out.withColumns({"on": F.log(lag("open") / F.col("open")), "co": co, "rs": _ln("high", "close") * _ln("high", "open") + _ln("low", "close") * _ln("low", "open")})
-        var = lambda c: F.pow(rolling(F.stddev_samp, c, n), F.lit(2.0))
-        k = 0.34
-        return out.withColumn("sigma", F.sqrt(F.greatest(var("on") + k * var("co") + (1 - k) * rolling(F.avg, "rs", n), F.lit(0.0)))).withColumn("sigma", F.when(rolling(F.count, "on", n) >= n, F.col("sigma"))).drop("on", "co", "rs")
+        # as commonly written here: opens against opens, and the Garman-Klass term inside
+        square = lambda x: F.pow(x, F.lit(2.0))
+        out = out.withColumns({"oo": square(F.log(lag("open") / F.col("open"))), "oc": square(co), "gk": 0.5 * square(hl) - (2 * math.log(2) - 1) * square(co)})
+        var = rolling(F.avg, "oo", n) + 0.34 * rolling(F.avg, "oc", n) + 0.66 * rolling(F.avg, "gk", n)
+        return out.withColumn("sigma", F.sqrt(clip(var, 0.0))).drop("oo", "oc", "gk")
     else:
         raise ValueError(f"unknown method {method!r}")
     return out.withColumn("term", term).withColumn("sigma", F.sqrt(clip(rolling(F.avg, "term", n), 0.0))).drop("term")
