@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 
 from tickloom.llm.common import documents, slices
 
-#: Chunks that a Python worker remembers; it then starts anew.
-REMEMBERED = 150_000
+#: Chunks, and pieces, after which a Python worker forgets those not met since as many before.
+REMEMBERED = 200_000
 #: New pieces that one recursive query takes on.
 PIECES = 30_000
 
@@ -77,6 +77,9 @@ class RecursiveBpe:
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM held")
             self.db.unregister("held")
         self.chunks: dict[str, tuple[int, str, bytes]] = {}
+        self.pieces: dict[str, tuple[int, str, bytes]] = {}
+        self.old_chunks: dict[str, tuple[int, str, bytes]] = {}
+        self.old_pieces: dict[str, tuple[int, str, bytes]] = {}
 
     def merge(self, pieces: list[bytes]) -> list[list[int]]:
         """Ids of pieces; a piece that is itself a token is that token."""
@@ -108,27 +111,41 @@ class RecursiveBpe:
         self.db.unregister("coded")
         return out
 
-    def encode(self, chunks: list[str]) -> list[tuple[int, str, bytes]]:
-        """Number of ids, decimal ids joined by commas, and decoded bytes of each chunk."""
-        if len(self.chunks) > REMEMBERED:
-            self.chunks = {}
-        new = [c for c in chunks if c not in self.chunks]
-        split = [self.find(c) for c in new]
-        pieces = list({p for s in split for p in s})
-        known: dict[str, list[int]] = {}
+    def _pieces(self, pieces: list[str]) -> None:
+        """Remember number of ids, decimal ids joined by commas, and decoded bytes of new pieces."""
         begin = 0
         while begin < len(pieces):
             end, held = begin, 0
             while end < len(pieces) and end - begin < PIECES and (end == begin or held < 16 * PIECES):
                 held += len(pieces[end])
                 end += 1
-            known |= zip(pieces[begin:end], self.merge([p.encode() for p in pieces[begin:end]]))
+            part = pieces[begin:end]
+            ids = self.merge([p.encode() for p in part])
+            for p, i, b in zip(part, ids, self.decode(ids)):
+                self.pieces[p] = (len(i), ",".join(map(str, i)), b)
             begin = end
-        for begin in range(0, len(new), PIECES):
-            ids = [[i for p in s for i in known[p]] for s in split[begin : begin + PIECES]]
-            for c, i, b in zip(new[begin : begin + PIECES], ids, self.decode(ids)):
-                self.chunks[c] = (len(i), ",".join(map(str, i)), b)
-        return [self.chunks[c] for c in chunks]
+
+    def encode(self, chunks: list[str]) -> list[tuple[int, str, bytes]]:
+        """Number of ids, decimal ids joined by commas, and decoded bytes of each chunk."""
+        for name in ("chunks", "pieces"):
+            if len(getattr(self, name)) > REMEMBERED:
+                setattr(self, f"old_{name}", getattr(self, name))
+                setattr(self, name, {})
+        known, old = self.chunks, self.old_chunks
+        new = [c for c in chunks if c not in known]
+        known |= {c: old[c] for c in new if c in old}
+        split = {c: self.find(c) for c in new if c not in old}
+        pieces, before = self.pieces, self.old_pieces
+        wanted = [p for p in {p for s in split.values() for p in s} if p not in pieces]
+        pieces |= {p: before[p] for p in wanted if p in before}
+        self._pieces([p for p in wanted if p not in before])
+        for c, s in split.items():
+            if len(s) == 1:
+                known[c] = pieces[s[0]]
+            else:
+                parts = [pieces[p] for p in s]
+                known[c] = (sum(p[0] for p in parts), ",".join([p[1] for p in parts]), b"".join([p[2] for p in parts]))
+        return [known[c] for c in chunks]
 
 
 def load(ranks: str, pattern: str) -> RecursiveBpe:
