@@ -24,10 +24,12 @@ from pyspark.sql import DataFrame
 
 from tickloom.llm.common import documents, slices
 
+#: Bytes of text encoded at a time.
+SLICE_BYTES = 2 << 20
 #: Chunks, and pieces, after which a Python worker forgets those not met since as many before.
-REMEMBERED = 200_000
+REMEMBERED = 120_000
 #: New pieces that one recursive query takes on.
-PIECES = 30_000
+PIECES = 15_000
 
 _loaded: dict[tuple[str, str], "RecursiveBpe"] = {}
 
@@ -68,7 +70,7 @@ class RecursiveBpe:
         lines = [line.split() for line in Path(ranks).read_bytes().splitlines() if line.strip()]
         self.vocab = {base64.b64decode(token): int(rank) for token, rank in lines}
         self.single = np.array([self.vocab.get(bytes([b]), -1) for b in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": False})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "preserve_insertion_order": False})
         merges = [(self.vocab[t[:k]], self.vocab[t[k:]], i) for t, i in self.vocab.items() for k in range(1, len(t)) if t[:k] in self.vocab and t[k:] in self.vocab]
         for name, cols in (("merges", ("a", "b", "id")), ("tokens", ("id", "bytes"))):
             rows = merges if name == "merges" else [(i, t) for t, i in self.vocab.items()]
@@ -189,7 +191,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = load(ranks, pattern)
-        for part in slices(batches):
+        for part in slices(batches, limit=SLICE_BYTES):
             cut = _cut(part.column("text"), own)
             coded = cut.values.dictionary_encode()
             known = own.encode(coded.dictionary.to_pylist())

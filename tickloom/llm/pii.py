@@ -36,7 +36,7 @@ BASE = {
 }
 #: Patterns of the kinds that the classifier decides about.
 ADDED = {
-    "name": r"(?<![\p{L}])\p{Lu}\p{Ll}++ \p{Lu}\p{Ll}++(?![\p{L}])",
+    "name": r"(?<![\p{L}])(?!(?:Mr|Mrs|Ms|Dr|Herr|Frau|Madame) )\p{Lu}\p{Ll}++ \p{Lu}\p{Ll}++(?![\p{L}])",
     "id": r"(?<![0-9A-Za-z-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30})(?![0-9A-Za-z-])",
 }
 KINDS = [*BASE, *ADDED]

@@ -57,7 +57,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 1, ke
                 schema=pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("width", pa.int32()), ("n_ids", pa.int64()), ("keys", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("payload", pa.binary())]),
             )
 
-        for part in slices(batches):
+        for part in slices(batches, limit=wordtokens.SLICE_BYTES):
             got = own.encode(part.column("text"))
             ids, sizes = got.ids, np.diff(got.offsets)
             if end_id is not None:

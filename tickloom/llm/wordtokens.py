@@ -15,6 +15,8 @@ import pyarrow as pa
 
 from tickloom.llm.common import spaced
 
+#: Bytes of text encoded at a time: the more, the fewer repeated look-ups of chunks.
+SLICE_BYTES = 4 << 20
 #: Chunks after which a Python worker forgets those it has not met since as many before.
 REMEMBERED = 400_000
 
