@@ -19,6 +19,7 @@ SLICE_BYTES = 1 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _WORD = (np.arange(256) >= 128) | np.isin(np.arange(256), [*range(48, 58), *range(65, 91), *range(97, 123)])
+_LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 
 
@@ -99,10 +100,12 @@ def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def runs(raw: np.ndarray, keep: np.ndarray, begin: np.ndarray) -> Chunks:
-    """The longest runs of kept bytes that stay inside a document."""
+def runs(raw: np.ndarray, keep: np.ndarray, begin: np.ndarray, cuts: np.ndarray | None = None) -> Chunks:
+    """The longest runs of kept bytes that stay inside a document and between ``cuts``."""
     edge = np.zeros(len(raw) + 1, bool)
     edge[begin] = True
+    if cuts is not None:
+        edge[cuts] = True
     starts = np.flatnonzero(keep & (edge[:-1] | ~np.concatenate([[False], keep[:-1]])))
     ends = np.flatnonzero(keep & (edge[1:] | ~np.concatenate([keep[1:], [False]]))) + 1
     at = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
@@ -116,6 +119,26 @@ def spaced(texts: pa.Array) -> Chunks:
     return runs(raw, ~_SPACE[raw], begin)
 
 
+def tokenizer_chunks(texts: pa.Array) -> Chunks:
+    """Chunks between white space, A-Z in lower case, with a comma or full stop that ends a
+    chunk after an ASCII letter on its own.
+
+    For a tokenizer that lower-cases and starts a token at such a mark, their ids are
+    those of the text. Slices with "<|" keep their case, since that may begin a special token.
+    """
+    raw, begin = joined(texts)
+    keep = ~_SPACE[raw]
+    marks = np.flatnonzero((raw == 44) | (raw == 46))
+    last = np.zeros(len(raw) + 1, bool)
+    last[begin] = True
+    last[:-1] |= ~keep
+    marks = marks[(marks > 0) & last[marks + 1]]
+    marks = marks[_LETTER[raw[marks - 1]] & ~last[marks]]
+    if not ((raw[:-1] == 60) & (raw[1:] == 124)).any():
+        raw = _LOWER[raw]
+    return runs(raw, keep, begin, marks)
+
+
 def lowered_words(texts: pa.Array) -> tuple[np.ndarray, Chunks]:
     """Lower-cased (A-Z) bytes of each text and its runs of letters, digits and non-ASCII bytes."""
     raw, begin = joined(texts)

@@ -8,12 +8,13 @@ Each batch therefore hands the library its distinct chunks only.
 from __future__ import annotations
 
 import os
+import struct
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 
-from tickloom.llm.common import spaced
+from tickloom.llm.common import tokenizer_chunks
 
 #: Bytes of text encoded at a time: the more, the fewer repeated look-ups of chunks.
 SLICE_BYTES = 4 << 20
@@ -44,6 +45,7 @@ class WordTokens:
 
         self.library = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
@@ -70,7 +72,7 @@ class WordTokens:
         for begin in range(0, len(words), 20_000):
             part = words[begin : begin + 20_000]
             for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, self.dtype).tobytes()
+                self.known[w] = struct.pack(f"<{len(e.ids)}{self.code}", *e.ids)
 
     def prefix_counts(self, chunk: str) -> list[int]:
         """Tokens of each prefix of a chunk, by characters."""
@@ -78,7 +80,7 @@ class WordTokens:
 
     def encode(self, texts: pa.Array, with_ids: bool = True) -> Encoded:
         """Encode whole texts (no nulls)."""
-        chunks = spaced(texts)
+        chunks = tokenizer_chunks(texts)
         offsets = chunks.offsets
         coded = chunks.values.dictionary_encode()
         codes = coded.indices.to_numpy()
@@ -91,9 +93,8 @@ class WordTokens:
         chunk_tokens = total[1:] - np.repeat(total[offsets[:-1]], per_doc)
         ids = np.zeros(0, self.dtype)
         if with_ids and total[-1]:
-            every = np.frombuffer(b"".join(known), self.dtype)
-            begin = (np.cumsum(width) - width)[codes]
-            ids = every[np.arange(total[-1]) + np.repeat(begin - total[:-1], lens)]
+            # taking whole chunks copies their ids one after another
+            ids = np.frombuffer(pa.array(known, pa.binary()).take(coded.indices).buffers()[2], self.dtype, int(total[-1]))
         return Encoded(ids, total[offsets], chunk_ends, chunk_tokens, offsets)
 
 
