@@ -59,8 +59,7 @@ def spans(text: Column, pattern: str) -> Column:
     """All leftmost non-overlapping matches, as structs of s, e (code points), v and the text before (b)."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     kind = "array<struct<s:int,e:int,v:string,b:string>>"
-    # what lies between matches gives their places
-    steps = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("hit"))
+    gaps = F.split(text, pattern, -1)  # what lies between matches gives their places
 
     def step(acc: Column, x: Column) -> Column:
         s = acc["at"] + F.length(x["gap"])
@@ -69,7 +68,13 @@ def spans(text: Column, pattern: str) -> Column:
         return F.when(x["hit"].isNull(), acc).otherwise(F.struct(e.alias("at"), F.concat(acc["out"], F.array(own)).cast(kind).alias("out")))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-    return F.when(F.size(found) > 0, F.aggregate(steps, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(kind))
+
+    def placed(hits: Column) -> Column:
+        steps = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"))
+        return F.when(F.size(hits) > 0, F.aggregate(steps, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(kind))
+
+    # a lambda's argument is computed once, however often it is used
+    return F.get(F.transform(F.array(found), placed), F.lit(0))
 
 
 def _digits(v: Column) -> Column:
@@ -243,5 +248,6 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         return F.concat(acc["out"], F.col("text").substr(acc["at"] + 1, F.length("text")))
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.when(F.size("marks") == 0, F.col(f"doc.{text}")).otherwise(F.aggregate("marks", start, step, end))
+    # marks are named once here, so that a plan that inlines them searches each text once
+    clean = F.when(F.col(f"doc.`{text}`").isNotNull(), F.aggregate("marks", start, step, end))
     return marked.select("doc", "text", every.alias("marks")).select(*[clean.alias(c) if c == text else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
