@@ -81,6 +81,8 @@ def test_byte_bpe(spark):
     for i, t in enumerate(texts):
         ids = own.encode_ordinary(t or "")
         assert (got[i].n_tokens, got[i].ids, bytes(got[i].decoded)) == (len(ids), ",".join(map(str, ids)), (t or "").encode())
+    back = bpe.decode(spark.createDataFrame([(r.doc_id, r.ids) for r in got.values()], "doc_id long, ids string"), BYTE_BPE, P.PATTERN)
+    assert {r.doc_id: bytes(r.decoded) for r in back.collect()} == {i: (t or "").encode() for i, t in enumerate(texts)}
 
 
 def test_token_counts(spark, library):

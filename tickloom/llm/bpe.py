@@ -21,13 +21,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tickloom.llm.common import documents, slices
 
 #: Bytes of text encoded at a time.
 SLICE_BYTES = 2 << 20
 #: Chunks, and pieces, after which a Python worker forgets those not met since as many before.
-REMEMBERED = 120_000
+REMEMBERED = 80_000
 #: New pieces that one recursive query takes on.
 PIECES = 15_000
 
@@ -53,10 +54,11 @@ WITH RECURSIVE step(word, round, pos, tok, next_pos, next_tok) AS (
     ) b ON b.word = s.word
     WHERE s.pos <> b.next_pos
 )
-SELECT word, list(tok ORDER BY pos) AS ids
-FROM step JOIN (SELECT word, max(round) AS round FROM step GROUP BY word) USING (word, round)
+SELECT word, count(*), string_agg(CAST(tok AS VARCHAR), ',' ORDER BY pos), unhex(string_agg(t.hex, '' ORDER BY pos))
+FROM step JOIN (SELECT word, max(round) AS round FROM step GROUP BY word) USING (word, round) JOIN tokens t ON t.id = tok
 GROUP BY word
 """
+_DECODE = "SELECT word, unhex(string_agg(t.hex, '' ORDER BY pos)) FROM coded JOIN tokens t USING (id) GROUP BY word"
 
 
 class RecursiveBpe:
@@ -70,10 +72,10 @@ class RecursiveBpe:
         lines = [line.split() for line in Path(ranks).read_bytes().splitlines() if line.strip()]
         self.vocab = {base64.b64decode(token): int(rank) for token, rank in lines}
         self.single = np.array([self.vocab.get(bytes([b]), -1) for b in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "preserve_insertion_order": False})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "150MB", "preserve_insertion_order": False})
         merges = [(self.vocab[t[:k]], self.vocab[t[k:]], i) for t, i in self.vocab.items() for k in range(1, len(t)) if t[:k] in self.vocab and t[k:] in self.vocab]
-        for name, cols in (("merges", ("a", "b", "id")), ("tokens", ("id", "bytes"))):
-            rows = merges if name == "merges" else [(i, t) for t, i in self.vocab.items()]
+        for name, cols in (("merges", ("a", "b", "id")), ("tokens", ("id", "hex"))):
+            rows = merges if name == "merges" else [(i, t.hex()) for t, i in self.vocab.items()]
             held = pa.table({c: [r[k] for r in rows] for k, c in enumerate(cols)})
             self.db.register("held", held)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM held")
@@ -83,10 +85,13 @@ class RecursiveBpe:
         self.old_chunks: dict[str, tuple[int, str, bytes]] = {}
         self.old_pieces: dict[str, tuple[int, str, bytes]] = {}
 
-    def merge(self, pieces: list[bytes]) -> list[list[int]]:
-        """Ids of pieces; a piece that is itself a token is that token."""
-        ids = [[self.vocab[p]] if p in self.vocab else None for p in pieces]
-        todo = [k for k, i in enumerate(ids) if i is None]
+    def merge(self, pieces: list[bytes]) -> list[tuple[int, str, bytes]]:
+        """Number of ids, decimal ids joined by commas, and decoded bytes of each piece.
+
+        A piece that is itself a token is that token.
+        """
+        out = [(1, str(self.vocab[p]), p) if p in self.vocab else None for p in pieces]
+        todo = [k for k, i in enumerate(out) if i is None]
         if todo:
             words, sizes = [pieces[k] for k in todo], np.array([len(pieces[k]) for k in todo])
             ends = np.cumsum(sizes)
@@ -97,24 +102,24 @@ class RecursiveBpe:
             after = np.append(tokens[1:], 0)
             start = pa.table({"word": np.repeat(np.arange(len(todo), dtype=np.int32), sizes), "pos": pos, "tok": tokens.astype(np.int64), "next_pos": pa.array(pos + 1, mask=last), "next_tok": pa.array(after.astype(np.int64), mask=last)})
             self.db.register("start", start)
-            for word, got in self.db.execute(_MERGE).fetchall():
-                ids[todo[word]] = got
+            for word, n, ids, decoded in self.db.execute(_MERGE).fetchall():
+                out[todo[word]] = (n, ids, decoded)
             self.db.unregister("start")
-        return ids
+        return out
 
     def decode(self, ids: list[list[int]]) -> list[bytes]:
         """Bytes of each list of ids, by ordered aggregation."""
-        sizes = np.array([len(i) for i in ids])
+        sizes = np.array([len(i) for i in ids], np.int64)
         rows = pa.table({"word": np.repeat(np.arange(len(ids), dtype=np.int32), sizes), "pos": np.arange(sizes.sum(), dtype=np.int32), "id": np.array([t for i in ids for t in i], np.int32)})
         self.db.register("coded", rows)
         out = [b""] * len(ids)
-        for word, parts in self.db.execute("SELECT word, list(bytes ORDER BY pos) FROM coded JOIN tokens USING (id) GROUP BY word").fetchall():
-            out[word] = b"".join(parts)
+        for word, decoded in self.db.execute(_DECODE).fetchall():
+            out[word] = decoded
         self.db.unregister("coded")
         return out
 
     def _pieces(self, pieces: list[str]) -> None:
-        """Remember number of ids, decimal ids joined by commas, and decoded bytes of new pieces."""
+        """Merge and remember new pieces."""
         begin = 0
         while begin < len(pieces):
             end, held = begin, 0
@@ -122,9 +127,7 @@ class RecursiveBpe:
                 held += len(pieces[end])
                 end += 1
             part = pieces[begin:end]
-            ids = self.merge([p.encode() for p in part])
-            for p, i, b in zip(part, ids, self.decode(ids)):
-                self.pieces[p] = (len(i), ",".join(map(str, i)), b)
+            self.pieces |= zip(part, self.merge([p.encode() for p in part]))
             begin = end
 
     def encode(self, chunks: list[str]) -> list[tuple[int, str, bytes]]:
@@ -204,3 +207,16 @@ def encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts[offsets[1:]] - counts[offsets[:-1]]), ids, some(2, pa.binary(), pa.scalar(b"", pa.binary()))], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     return documents(docs, key, text).mapInArrow(run, _SCHEMA)
+
+
+def decode(coded: DataFrame, ranks: str, pattern: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
+    """Bytes of ids (decimal, joined by commas; null: none): doc_id, decoded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = load(ranks, pattern)
+        for part in slices(batches, column="ids"):
+            lists = [[int(i) for i in line.split(",") if i] for line in part.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(own.decode(lists), pa.binary())], names=["doc_id", "decoded"])
+
+    rows = coded.select(F.col(key).alias("doc_id"), F.coalesce(F.col(ids), F.lit("")).alias("ids"))
+    return rows.mapInArrow(run, "doc_id long, decoded binary")

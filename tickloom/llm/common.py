@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -77,6 +78,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             end = max(begin + 1, int(np.searchsorted(size, before + limit, side="right")))
             yield batch.slice(begin, end - begin)
             begin = end
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task, since Python workers live on."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 class Chunks(NamedTuple):
