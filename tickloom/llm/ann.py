@@ -32,7 +32,7 @@ GROUP = 64
 #: Rounds of joins at most, and the share of edges under which a change is no longer worth one.
 ROUNDS, LITTLE = 10, 0.01
 #: Nodes that a search keeps, and rounds of it at most.
-BEAM, STEPS = 96, 8
+BEAM, STEPS = 192, 8
 
 _EDGE = "u long, w long, d double"
 
