@@ -232,22 +232,31 @@ def listed(kinds: list[str]) -> Column:
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with every span found in ``text`` replaced by its kind in angle brackets.
 
-    All columns stay as they are but ``text``. Of overlapping spans the one that starts
-    first is replaced (at one start, the longer).
+    All columns stay as they are but ``text``. Spans that overlap are replaced as one, from
+    the first start to the last end, named by the one that starts first (at one start, the
+    longer) of the base kinds, or of all if none is of a base kind.
     """
     w = learn(written(candidates(documents(docs, key, text)), "candidates"))
     whole = docs.select(F.struct(*docs.columns).alias("doc"), F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     marked = _decided(candidates(whole, "doc", "text"), w, "doc", "text")
     every = F.sort_array(F.concat(*[_each(k, lambda k, x: F.struct(x["s"].alias("s"), (-x["e"]).alias("minus_e"), F.lit(k).alias("kind"))) for k in KINDS]))
 
+    def flushed(acc: Column) -> Column:
+        """The text up to the end of the union of spans that ``acc`` holds back."""
+        piece = F.concat(acc["out"], F.col("text").substr(acc["at"] + 1, acc["s"] - acc["at"]), F.lit("<"), acc["kind"], F.lit(">"))
+        return F.when(acc["kind"] == "", acc["out"]).otherwise(piece)
+
     def step(acc: Column, x: Column) -> Column:
-        piece = F.concat(acc["out"], F.col("text").substr(acc["at"] + 1, x["s"] - acc["at"]), F.lit("<"), x["kind"], F.lit(">"))
-        return F.when(x["s"] < acc["at"], acc).otherwise(F.struct((-x["minus_e"]).alias("at"), piece.alias("out")))
+        own, base = -x["minus_e"], lambda c: c["kind"].isin(*BASE)
+        kind = F.when(base(acc) | ~base(x), acc["kind"]).otherwise(x["kind"])
+        wider = F.struct(acc["at"].alias("at"), acc["out"].alias("out"), acc["s"].alias("s"), F.greatest(acc["e"], own).alias("e"), kind.alias("kind"))
+        next_ = F.struct(acc["e"].alias("at"), flushed(acc).alias("out"), x["s"].alias("s"), own.alias("e"), x["kind"].alias("kind"))
+        return F.when(x["s"] < acc["e"], wider).otherwise(next_)
 
     def end(acc: Column) -> Column:
-        return F.concat(acc["out"], F.col("text").substr(acc["at"] + 1, F.length("text")))
+        return F.concat(flushed(acc), F.col("text").substr(acc["e"] + 1, F.length("text")))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), F.lit(0).alias("s"), F.lit(0).alias("e"), F.lit("").alias("kind"))
     # marks are named once here, so that a plan that inlines them searches each text once
     clean = F.when(F.col(f"doc.`{text}`").isNotNull(), F.aggregate("marks", start, step, end))
     return marked.select("doc", "text", every.alias("marks")).select(*[clean.alias(c) if c == text else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
