@@ -311,6 +311,27 @@ def test_ann(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 10 == 0).count() == 0
 
 
+def test_ann_large_neighbourhood(spark):
+    x = np.random.default_rng(4).normal(size=(300, 4)).astype(np.float32)
+    points = spark.createDataFrame([(i, [float(v) for v in r], float("inf")) for i, r in enumerate(x)], "node long, v array<float>, far double")
+    members = points.select(F.lit(9).cast("long").alias("g"), "node", (F.col("node") == 5).alias("new"))
+    pairs = [(r.u, r.w) for r in ann._local_join(ann._dealt(members).join(points, "node"), 4, 300).collect()]
+    assert sorted(pairs) == sorted([(5, i) for i in range(300) if i != 5] + [(i, 5) for i in range(300) if i != 5])
+
+
+def test_ann_beam_grows(spark):
+    x = np.random.default_rng(5).normal(size=(600, 24)).astype(np.float32)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    got = {}
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 10 == 0, k=4, beam=11).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q in range(0, 600, 10):
+        d = ((x.astype(float) - x[q]) ** 2).sum(1)
+        hit += len(set(np.argsort(d)[1:11].tolist()) & got[q])
+    assert hit / 600 >= 0.9
+
+
 def test_empty_tables(spark):
     none = frame(spark, ["x"]).where("doc_id < 0")
     items = spark.createDataFrame([(1, "a b c")], "item_id long, text string")

@@ -3,9 +3,13 @@
 Rows with equal vectors are one node (the smallest id stands for them). A graph
 of K near nodes per node starts from groups dealt at random. Each round joins
 nodes that share a neighbour - two nodes in the neighbourhood of a third are
-likely near - and keeps the K nearest, until few edges change. A search starts
+likely near - and keeps the K nearest, until no edge changes. A large neighbourhood
+is dealt into blocks, and all pairs of blocks are compared. A search starts
 at a query's own neighbours and keeps joining the nearest nodes not yet looked
 at with their graph neighbours, in both directions, until the nearest do not change.
+It keeps a beam of nodes. Some queries are also answered by comparing them with
+every node; while the search finds too few of their neighbours, it goes on with
+twice the beam, as long as that finds more.
 
 Vectors that are null, empty, zero, hold a null or non-finite component, have
 another length than most, or have a null id take no part. Equal distances order
@@ -27,12 +31,12 @@ from tickloom.llm.common import forget, written
 
 #: Neighbours that a node keeps.
 K = 24
-#: Nodes that are compared with each other at a time.
+#: Nodes of a block, on average; up to two blocks are compared at a time.
 GROUP = 64
-#: Rounds of joins at most, and the share of edges under which a change is no longer worth one.
-ROUNDS, LITTLE = 10, 0.01
-#: Nodes that a search keeps, and rounds of it at most.
-BEAM, STEPS = 192, 8
+#: Nodes that a search keeps at first.
+BEAM = 192
+#: Query nodes that are also answered by comparing all nodes, and the share of their neighbours to find.
+HELD, RECALL = 64, 0.95
 
 _EDGE = "u long, w long, d double"
 
@@ -47,28 +51,39 @@ def nodes(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") ->
 
 
 def _runs(batches: Iterator[pa.RecordBatch], names: list[str], dim: int) -> Iterator[dict]:
-    """Runs of at most GROUP rows of one group, from batches sorted by group (column ``g``)."""
-    held: dict | None = None
+    """The rows of each group, from batches sorted by group (column ``g``)."""
+    held: list[dict] = []
     for batch in batches:
         if not batch.num_rows:
             continue
         got = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names if c != "v"}
         v = batch.column("v")
         got["v"] = v.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-        if held is not None:
-            got = {c: np.concatenate([held[c], got[c]]) for c in names}
-        g = got["g"]
-        bound = np.concatenate([[0], np.flatnonzero(np.diff(g)) + 1, [len(g)]])
-        for a, b in zip(bound[:-2].tolist(), bound[1:-1].tolist()):
-            for k in range(a, b, GROUP):
-                yield {c: x[k : min(b, k + GROUP)] for c, x in got.items()}
-        a = int(bound[-2])
-        while len(g) - a >= GROUP:
-            yield {c: x[a : a + GROUP] for c, x in got.items()}
-            a += GROUP
-        held = {c: x[a:] for c, x in got.items()}
-    if held is not None and len(held["g"]):
-        yield held
+        if held and got["g"][-1] == held[0]["g"][0]:
+            held.append(got)
+            continue
+        got = {c: np.concatenate([*[h[c] for h in held], got[c]]) for c in names}
+        bound = np.concatenate([[0], np.flatnonzero(np.diff(got["g"])) + 1])
+        for a, b in zip(bound[:-1].tolist(), bound[1:].tolist()):
+            yield {c: x[a:b] for c, x in got.items()}
+        held = [{c: x[int(bound[-1]) :] for c, x in got.items()}]
+    if held:
+        yield {c: np.concatenate([h[c] for h in held]) for c in names}
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    """Groups with a new member, those of over two blocks as all pairs of their blocks.
+
+    Columns g, node, new and side: rows of one side (0 or 1) of a pair need not be
+    compared with each other; the pair of a block with itself has side 2.
+    """
+    sizes = members.groupBy("g").agg(F.count("*").alias("n"), F.max("new").alias("any")).where("any")
+    blocks = F.when(F.col("n") > 2 * GROUP, F.ceil(F.col("n") / GROUP)).otherwise(1)
+    placed = members.join(sizes, "g").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node", "g"), F.col("blocks")))
+    each = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    g = F.when(F.col("blocks") == 1, F.xxhash64("g")).otherwise(F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other")))
+    return each.select(g.alias("g"), "node", "new", side.cast("long").alias("side"))
 
 
 def _nearest(u: np.ndarray, w: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,7 +99,7 @@ def _nearest(u: np.ndarray, w: np.ndarray, d: np.ndarray, k: int) -> tuple[np.nd
 
 
 def _local_join(members: DataFrame, dim: int, k: int) -> DataFrame:
-    """Edges between members (g, node, v, new, far) of a group with a new one among
+    """Edges between members (g, node, v, new, side, far) of a group with a new one among
     them, where an end's farthest neighbour is farther."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,13 +110,13 @@ def _local_join(members: DataFrame, dim: int, k: int) -> DataFrame:
             u, w, d = (np.concatenate(c) for c in zip(*found))
             return _nearest(u, w, d, k)
 
-        for run_ in _runs(batches, ["g", "node", "v", "new", "far"], dim):
-            node, x, new, far = run_["node"], run_["v"].astype(np.float64), run_["new"], run_["far"]
-            if len(node) < 2:
+        for run_ in _runs(batches, ["g", "node", "v", "new", "side", "far"], dim):
+            node, x, new, side, far = run_["node"], run_["v"].astype(np.float64), run_["new"], run_["side"], run_["far"]
+            if len(node) < 2 or not new.any():
                 continue
             square = (x**2).sum(1)
             d = np.sqrt(np.maximum(square[:, None] + square[None] - 2 * x @ x.T, 0))
-            i, j = np.nonzero((d < far[:, None]) & (new[:, None] | new[None]) & (node[:, None] != node[None]))
+            i, j = np.nonzero((d < far[:, None]) & (new[:, None] | new[None]) & (node[:, None] != node[None]) & ((side[:, None] != side[None]) | (side[:, None] == 2)))
             found.append((node[i], node[j], d[i, j]))
             held += len(i)
             if held > 1_000_000:
@@ -113,7 +128,7 @@ def _local_join(members: DataFrame, dim: int, k: int) -> DataFrame:
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in best()], names=["u", "w", "d"])
 
-    return members.repartition("g").sortWithinPartitions("g", "h").mapInArrow(run, _EDGE)
+    return members.repartition("g").sortWithinPartitions("g").mapInArrow(run, _EDGE)
 
 
 def _keep(edges: DataFrame, k: int) -> DataFrame:
@@ -129,23 +144,21 @@ def graph(points: DataFrame, k: int = K) -> DataFrame:
     row = points.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
     n, dim = row["n"], row["dim"] or 1
     far = F.lit(float("inf"))
-    deals = [points.select(F.pmod(F.xxhash64("node", F.lit(r)), F.lit(max(1, n // (k // 2)))).alias("g"), "node", "v", F.lit(True).alias("new"), far.alias("far"), F.xxhash64("node", F.lit(-r)).alias("h")) for r in range(1, 4)]
+    deals = [points.select(F.pmod(F.xxhash64("node", F.lit(r)), F.lit(max(1, n // (k // 2)))).alias("g"), "node", "v", F.lit(True).alias("new"), F.lit(2).cast("long").alias("side"), far.alias("far")) for r in range(1, 4)]
     members = deals[0]
     for r, deal in enumerate(deals[1:], 1):
         members = members.union(deal.withColumn("g", F.col("g") + r * n))
     edges = written(_keep(_local_join(members, dim, k).withColumn("new", F.lit(True)), k), "knn")
-    for r in range(ROUNDS):
+    while edges.where("new").count():
         both = edges.select(F.col("u").alias("g"), F.col("w").alias("node"), "new").union(edges.select(F.col("w").alias("g"), F.col("u").alias("node"), "new"))
         both = both.groupBy("g", "node").agg(F.max("new").alias("new"))
         # a node with k neighbours only wants nearer ones
         reach = edges.groupBy("u").agg(F.when(F.count("*") >= k, F.max("d")).otherwise(far).alias("far"))
         about = points.join(reach, points.node == reach.u, "left").select("node", "v", F.coalesce("far", far).alias("far"))
-        members = both.join(about, "node").withColumn("h", F.xxhash64("node", F.lit(r)))
+        members = _dealt(both).join(about, "node")
         then = written(_keep(_local_join(members, dim, k).withColumn("new", F.lit(True)).union(edges.select("u", "w", "d", F.lit(False).alias("new"))), k), "knn")
         forget(spark, edges)
         edges = then
-        if edges.where("new").count() <= LITTLE * n * k:
-            break
     return edges.select("u", "w", "d")
 
 
@@ -165,30 +178,73 @@ def _top(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
 
 
-def greedy(points: DataFrame, edges: DataFrame, queries: DataFrame, beam: int = BEAM) -> DataFrame:
-    """The nearest ``beam`` nodes found for each query node (column q): q, w, d (its own node aside)."""
+def _links(edges: DataFrame) -> DataFrame:
+    """Graph edges in both directions, written."""
+    return written(edges.select("u", "w").union(edges.select("w", "u")).distinct(), "links")
+
+
+def greedy(points: DataFrame, links: DataFrame, asked: DataFrame, start: DataFrame, beam: int, dim: int) -> DataFrame:
+    """The nearest ``beam`` nodes found for each query node: q, w, d (its own node aside).
+
+    ``asked``: q and its vector qv; ``start``: q, w, d of nodes to begin with.
+    """
     spark = points.sparkSession
-    dim = points.agg(F.max(F.size("v"))).first()[0] or 1
-    links = written(edges.select("u", "w").union(edges.select("w", "u")).distinct(), "links")
-    asked = points.join(queries.distinct(), points.node == F.col("q"), "left_semi").select(F.col("node").alias("q"), F.col("v").alias("qv"))
-    start = edges.join(asked, edges.u == asked.q).select("q", "w", "d", F.lit(False).alias("done"))
-    state = written(start, "beam")
-    sign = None
-    for _ in range(STEPS):
-        ahead = _top(state, beam).where(~F.col("done"))
+    state = written(start.select("q", "w", "d", F.lit(False).alias("done")), "beam")
+    while not state.where(~F.col("done")).isEmpty():
+        top = _top(state, beam)
+        ahead = top.where(~F.col("done"))
         near = ahead.join(links, ahead.w == links.u).select("q", links.w.alias("w")).where("q <> w").distinct()
         near = near.join(state.select("q", "w"), ["q", "w"], "left_anti")
         pairs = near.join(asked, "q").join(points.select(F.col("node").alias("w"), "v"), "w")
-        kept = _top(state, beam).select("q", "w", "d", F.lit(True).alias("done"))
+        kept = top.select("q", "w", "d", F.lit(True).alias("done"))
         then = written(_top(kept.union(_distances(pairs, dim).withColumn("done", F.lit(False))), beam), "beam")
         forget(spark, state)
         state = then
-        now = state.agg(F.sum((~F.col("done")).cast("long")), F.sum("d")).first()
-        if not now[0] or now == sign:
+    return state.select("q", "w", "d")
+
+
+def exact(points: DataFrame, asked: DataFrame, n: int, dim: int) -> set[tuple[int, int]]:
+    """The n nearest other nodes of a few query nodes (q, qv), by comparing all: pairs of q and w."""
+    rows = [(r["q"], r["qv"]) for r in asked.collect()]
+    q, x = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64).reshape(-1, dim)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows or not len(q):
+                continue
+            node = batch.column("node").to_numpy()
+            v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
+            for one, vector in zip(q, x):
+                d = np.sqrt(((v - vector) ** 2).sum(1))
+                d[node == one] = np.inf
+                best = np.lexsort((node, d))[:n]
+                best = best[d[best] < np.inf]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), one)), pa.array(node[best]), pa.array(d[best])], names=["q", "w", "d"])
+
+    # at most HELD * n pairs
+    return {(r["q"], r["w"]) for r in _top(points.select("node", "v").mapInArrow(run, "q long, w long, d double"), n).collect()}
+
+
+def _found(points: DataFrame, edges: DataFrame, queries: DataFrame, n: int, beam: int) -> DataFrame:
+    """The nearest nodes of each query node (q), with a beam that finds enough of them: q, w, d."""
+    spark = points.sparkSession
+    dim = points.agg(F.max(F.size("v"))).first()[0] or 1
+    links = _links(edges)
+    asked = written(points.join(queries, points.node == F.col("q"), "left_semi").select(F.col("node").alias("q"), F.col("v").alias("qv")), "asked")
+    held = asked.orderBy(F.xxhash64("q"), "q").limit(HELD)
+    want = exact(points, held, n, dim)
+    some = held.select("q")
+    state = edges.join(asked, edges.u == asked.q).select("q", "w", "d")
+    before = -1.0
+    while True:
+        state = greedy(points, links, asked, state, beam, dim)
+        got = {(r["q"], r["w"]) for r in _top(state, n).join(some, "q", "left_semi").collect()}
+        recall = len(want & got) / max(1, len(want))
+        if not want or recall >= RECALL or recall <= before:
             break
-        sign = now
+        before, beam = recall, 2 * beam
     forget(spark, links)
-    return state.select("q", "w", "d")
+    return state
 
 
 def search(vectors: DataFrame, queries: Column, n: int = 10, key: str = "vec_id", vector: str = "embedding", k: int = K, beam: int = BEAM) -> DataFrame:
@@ -202,7 +258,7 @@ def search(vectors: DataFrame, queries: Column, n: int = 10, key: str = "vec_id"
     members = written(rows.join(points, "v").select("node", "vec_id"), "members")
     edges = written(graph(points, k), "graph")
     asked = members.where(queries).select(F.col("vec_id").alias("query_id"), F.col("node").alias("q"))
-    found = greedy(points, edges, asked.select("q"), max(beam, n + 1))
+    found = _found(points, edges, asked.select("q").distinct(), n, max(beam, n + 1))
     # of equal vectors the smallest ids come first: no result has more than n + 1 of them
     first = members.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("vec_id"))).where(F.col("rank") <= n + 1).drop("rank")
     own = asked.select("q").distinct().select("q", F.col("q").alias("w"), F.lit(0.0).alias("d"))
