@@ -11,7 +11,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.llm import ann, bpe, decontam, pii, secrets, simhash, substring, token_counts, token_store, toxicity
+from tickloom.llm import ann, bpe, decontam, pii, queries, secrets, simhash, substring, token_counts, token_store, toxicity
 from tickloom.llm.queries import BYTE_BPE, WORD_BPE
 
 SCHEMA = "doc_id long, text string, fp long, t long, words string"
@@ -56,6 +56,41 @@ def test_token_store(spark, tmp_path, library):
     assert ids[5] == [*library.encode(texts[5], add_special_tokens=False).ids, 1]
 
 
+def test_marks_after_letters(library):
+    """Every letter that has case, before each mark, with and without a letter around it."""
+    import pyarrow as pa
+
+    from tickloom.llm import wordtokens
+
+    letters = [chr(c) for c in range(0x80, 0x1FFFF) if chr(c).lower() != chr(c) or chr(c).upper() != chr(c)]
+    texts = [w + m for x in letters for w in (x, "a" + x, x + "a", x + "\u0307", "I\u0307" + x) for m in (".", ",")]
+    got = wordtokens.load(WORD_BPE).encode(pa.array(texts))
+    for t, e, a, b in zip(texts, library.encode_batch(texts, add_special_tokens=False), got.offsets, got.offsets[1:]):
+        assert got.ids[a:b].tolist() == e.ids, repr(t)
+
+
+def test_whole_table_ids(spark, library):
+    """The digest queries of counts and ids over all documents of a scale, against the library."""
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    ids = {d: library.encode(t, add_special_tokens=False).ids for d, t in docs.items()}
+    stored = {r.doc_id: r for r in queries.op1_token_store(spark, sf).collect()}
+    counted = {r.doc_id: r for r in queries.op7_token_counts(spark, sf).collect()}
+    start = 0
+    for d in sorted(docs):
+        own = [*ids[d], 1]
+        assert (stored[d].start, stored[d].n_tokens, stored[d].ids_crc32) == (start, len(own), zlib.crc32(np.array(own, "<u4").tobytes()))
+        assert (counted[d].n_bytes, counted[d].n_tokens, counted[d].over_limit) == (len(docs[d].encode()), len(ids[d]), len(ids[d]) > 2048)
+        start += len(own)
+
+
+def test_refuses_cased_tokenizers():
+    from tickloom.llm import wordtokens
+
+    with pytest.raises(ValueError):
+        wordtokens.load(P.path("byte_bpe_50k.json"))
+
+
 def test_token_store_empty(spark, tmp_path):
     path = str(tmp_path / "store")
     token_store.write(frame(spark, ["x"]).where("doc_id < 0"), path, WORD_BPE)
@@ -85,6 +120,37 @@ def test_byte_bpe(spark):
     assert {r.doc_id: bytes(r.decoded) for r in back.collect()} == {i: (t or "").encode() for i, t in enumerate(texts)}
 
 
+def test_byte_bpe_pieces():
+    """Cuts, merges of short and long pieces and decoding against the library."""
+    import pyarrow as pa
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(BYTE_BPE, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    draw = random.Random(11)
+    parts = ["a", "b", "'", "s", "t", "re", "ll", " ", "  ", "\n", "\t", "é", "ß", "1", "٣", "!", "-", "\xa0", "日", "\x1c", "d", "ve", " '", "😀", "I'm", "\u200b", "\u0301"]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randint(0, 30))) for _ in range(3000)]
+    for n in (20, 63, 64, 65, 66, 300, 50_000):
+        texts += ["".join(draw.choice(kind) for _ in range(n)) for kind in ("abcdefghijklmnopqrstuvwxyz", "ab", "x", "=-.", "日本語")]
+    own = bpe.load(BYTE_BPE, P.PATTERN)
+    ids, offsets = own.texts(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [library.encode_ordinary(t) for t in texts]
+    assert own.decode(ids, offsets).to_pylist() == [t.encode() for t in texts]
+
+
+def test_byte_bpe_query(spark):
+    import tiktoken
+
+    sf = "/root/testdata/sf0.001"
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(BYTE_BPE, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    for r in queries.op2_byte_bpe(spark, sf).collect():
+        ids = library.encode_ordinary(docs[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(",".join(map(str, ids)).encode()), sha(docs[r.doc_id].encode()))
+
+
 def test_token_counts(spark, library):
     texts = [*ODD, *prose(3, 10)]
     docs = frame(spark, texts)

@@ -1,11 +1,15 @@
 """Byte-level BPE by recursive SQL.
 
-Each task cuts its texts before every single space, takes the distinct chunks,
-splits those into pieces by the tokenizer's pattern and lets DuckDB merge the
-pieces: token-position rows join the merge table, and each round contracts the
-leftmost pair of least rank in every word until no pair is left. Decoding is an
-ordered aggregation over token bytes. Ids and bytes of a document are those of
-its chunks in order.
+Each task cuts its texts into pieces by the tokenizer's pattern, takes the distinct
+ones and lets DuckDB merge those it does not remember: token-position rows join the
+merge table, and each round contracts the leftmost pair of least rank in every word
+until no pair is left. Ids of a document are those of its pieces in order. Decoding
+starts from the ids alone: they join the token table, and an ordered aggregation
+puts the bytes of each document together.
+
+A recursive query takes a round for each merge of its longest word, and each round
+reads the whole word. Pieces of more than LONG bytes (runs of letters or signs without
+a space) are therefore contracted in the same order from a heap of their pairs.
 
 Nulls and empty texts have no ids. Rows that repeat are encoded each by itself.
 Extra columns are dropped; an empty table gives an empty result.
@@ -14,6 +18,7 @@ Extra columns are dropped; an empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+import heapq
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -23,14 +28,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import documents, slices
+from tickloom.llm import pieces
+from tickloom.llm.common import as_bytes, documents, slices
 
 #: Bytes of text encoded at a time.
 SLICE_BYTES = 2 << 20
-#: Chunks, and pieces, after which a Python worker forgets those not met since as many before.
-REMEMBERED = 80_000
-#: New pieces that one recursive query takes on.
-PIECES = 15_000
+#: Pieces after which a Python worker forgets those not met since as many before.
+REMEMBERED = 400_000
+#: New pieces, and bytes of them, that one recursive query takes on.
+PIECES, PIECE_BYTES = 30_000, 400_000
+#: Bytes above which a piece is contracted from a heap.
+LONG = 64
 
 _loaded: dict[tuple[str, str], "RecursiveBpe"] = {}
 
@@ -43,9 +51,9 @@ WITH RECURSIVE step(word, round, pos, tok, next_pos, next_tok) AS (
            CASE WHEN s.pos = b.pos THEN b.then_pos ELSE s.next_pos END,
            CASE WHEN s.pos = b.pos THEN b.then_tok WHEN s.next_pos = b.pos THEN b.id ELSE s.next_tok END
     FROM step s JOIN (
-        SELECT l.word, l.pos, l.next_pos, f.best // 4294967296 AS id, r.next_pos AS then_pos, r.next_tok AS then_tok
+        SELECT l.word, l.pos, l.next_pos, CAST(f.best // 4294967296 AS INTEGER) AS id, r.next_pos AS then_pos, r.next_tok AS then_tok
         FROM (
-            SELECT s.word, min(m.id * 4294967296 + s.pos) AS best
+            SELECT s.word, min(CAST(m.id AS BIGINT) * 4294967296 + s.pos) AS best
             FROM step s JOIN merges m ON m.a = s.tok AND m.b = s.next_tok
             GROUP BY s.word
         ) f
@@ -54,103 +62,139 @@ WITH RECURSIVE step(word, round, pos, tok, next_pos, next_tok) AS (
     ) b ON b.word = s.word
     WHERE s.pos <> b.next_pos
 )
-SELECT word, count(*), string_agg(CAST(tok AS VARCHAR), ',' ORDER BY pos), unhex(string_agg(t.hex, '' ORDER BY pos))
-FROM step JOIN (SELECT word, max(round) AS round FROM step GROUP BY word) USING (word, round) JOIN tokens t ON t.id = tok
+SELECT word, list(tok ORDER BY pos) AS ids
+FROM step JOIN (SELECT word, max(round) AS round FROM step GROUP BY word) USING (word, round)
 GROUP BY word
 """
-_DECODE = "SELECT word, unhex(string_agg(t.hex, '' ORDER BY pos)) FROM coded JOIN tokens t USING (id) GROUP BY word"
+
+_DECODE = "SELECT word, list(t.bytes ORDER BY pos) AS parts FROM coded JOIN tokens t USING (id) GROUP BY word"
 
 
 class RecursiveBpe:
-    """A rank file in DuckDB, and the chunks lately encoded with it."""
+    """A rank file in DuckDB, and the pieces lately encoded with it."""
 
     def __init__(self, ranks: str, pattern: str) -> None:
         import duckdb
         import regex
 
-        self.find = regex.compile(pattern).findall
+        self.find = None if pattern == pieces.PATTERN else regex.compile(pattern).findall
         lines = [line.split() for line in Path(ranks).read_bytes().splitlines() if line.strip()]
         self.vocab = {base64.b64decode(token): int(rank) for token, rank in lines}
+        self.dtype = np.dtype("<u2") if max(self.vocab.values()) < 1 << 16 else np.dtype("<i4")
         self.single = np.array([self.vocab.get(bytes([b]), -1) for b in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "150MB", "preserve_insertion_order": False})
+        # nothing spills to a disk that other machines don't see
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": "", "preserve_insertion_order": False})
         merges = [(self.vocab[t[:k]], self.vocab[t[k:]], i) for t, i in self.vocab.items() for k in range(1, len(t)) if t[:k] in self.vocab and t[k:] in self.vocab]
-        for name, cols in (("merges", ("a", "b", "id")), ("tokens", ("id", "hex"))):
-            rows = merges if name == "merges" else [(i, t.hex()) for t, i in self.vocab.items()]
-            held = pa.table({c: [r[k] for r in rows] for k, c in enumerate(cols)})
-            self.db.register("held", held)
-            self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM held")
-            self.db.unregister("held")
-        self.chunks: dict[str, tuple[int, str, bytes]] = {}
-        self.pieces: dict[str, tuple[int, str, bytes]] = {}
-        self.old_chunks: dict[str, tuple[int, str, bytes]] = {}
-        self.old_pieces: dict[str, tuple[int, str, bytes]] = {}
-
-    def merge(self, pieces: list[bytes]) -> list[tuple[int, str, bytes]]:
-        """Number of ids, decimal ids joined by commas, and decoded bytes of each piece.
-
-        A piece that is itself a token is that token.
-        """
-        out = [(1, str(self.vocab[p]), p) if p in self.vocab else None for p in pieces]
-        todo = [k for k, i in enumerate(out) if i is None]
+        a, b, id_ = (np.array(c, np.int32) for c in zip(*merges))
+        self._table("merges", {"a": a, "b": b, "id": id_})
+        self._table("tokens", {"id": np.array(list(self.vocab.values()), np.int32), "bytes": pa.array(list(self.vocab), pa.binary())})
+        self.pairs: dict[tuple[int, int], int] | None = None
+        self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+
+    def _table(self, name: str, columns: dict) -> None:
+        self.db.register("held", pa.table(columns))
+        self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM held")
+        self.db.unregister("held")
+
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of each piece. A piece that is itself a token is that token."""
+        pack = lambda ids: np.array(ids, self.dtype).tobytes()
+        out = [pack([self.vocab[w]]) if w in self.vocab else pack(self._heaped(w)) if len(w) > LONG else b"" for w in words]
+        todo = [k for k, o in enumerate(out) if not o and words[k]]
         if todo:
-            words, sizes = [pieces[k] for k in todo], np.array([len(pieces[k]) for k in todo])
+            sizes = np.array([len(words[k]) for k in todo])
             ends = np.cumsum(sizes)
-            tokens = self.single[np.frombuffer(b"".join(words), np.uint8)]
-            pos = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
+            tokens = self.single[np.frombuffer(b"".join([words[k] for k in todo]), np.uint8)]
+            pos = (np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)).astype(np.int32)
             last = np.zeros(ends[-1], bool)
             last[ends - 1] = True
-            after = np.append(tokens[1:], 0)
-            start = pa.table({"word": np.repeat(np.arange(len(todo), dtype=np.int32), sizes), "pos": pos, "tok": tokens.astype(np.int64), "next_pos": pa.array(pos + 1, mask=last), "next_tok": pa.array(after.astype(np.int64), mask=last)})
-            self.db.register("start", start)
-            for word, n, ids, decoded in self.db.execute(_MERGE).fetchall():
-                out[todo[word]] = (n, ids, decoded)
+            after = np.append(tokens[1:], 0).astype(np.int32)
+            self.db.register("start", pa.table({"word": np.repeat(np.arange(len(todo), dtype=np.int32), sizes), "pos": pos, "tok": tokens, "next_pos": pa.array(pos + 1, mask=last), "next_tok": pa.array(after, mask=last)}))
+            found = self.db.sql(_MERGE).to_arrow_table()
             self.db.unregister("start")
+            lists = found.column("ids").combine_chunks()
+            ids, bounds = lists.flatten().to_numpy().astype(self.dtype), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            for word, a, b in zip(found.column("word").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+                out[todo[word]] = ids[a:b].tobytes()
         return out
 
-    def decode(self, ids: list[list[int]]) -> list[bytes]:
-        """Bytes of each list of ids, by ordered aggregation."""
-        sizes = np.array([len(i) for i in ids], np.int64)
-        rows = pa.table({"word": np.repeat(np.arange(len(ids), dtype=np.int32), sizes), "pos": np.arange(sizes.sum(), dtype=np.int32), "id": np.array([t for i in ids for t in i], np.int32)})
-        self.db.register("coded", rows)
-        out = [b""] * len(ids)
-        for word, decoded in self.db.execute(_DECODE).fetchall():
-            out[word] = decoded
-        self.db.unregister("coded")
-        return out
-
-    def _pieces(self, pieces: list[str]) -> None:
-        """Merge and remember new pieces."""
+    def _heaped(self, word: bytes) -> list[int]:
+        """Ids of a long piece: the leftmost pair of least rank first, as in the query."""
+        if self.pairs is None:
+            self.pairs = {(a, b): i for a, b, i in self.db.execute("SELECT a, b, id FROM merges").fetchall()}
+        pairs, n = self.pairs, len(word)
+        tok, before, after = self.single[np.frombuffer(word, np.uint8)].tolist(), list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(pairs[p], k, *p) for k, p in enumerate(zip(tok, tok[1:])) if p in pairs]
+        heapq.heapify(heap)
+        while heap:
+            rank, at, a, b = heapq.heappop(heap)
+            then = after[at]
+            if tok[at] != a or then >= n or tok[then] != b:
+                continue  # one of the two has been contracted
+            tok[at], tok[then], after[at] = rank, -1, after[then]
+            if after[at] < n:
+                before[after[at]] = at
+            for k in (before[at], at):
+                if k >= 0 and after[k] < n and (tok[k], tok[after[k]]) in pairs:
+                    heapq.heappush(heap, (pairs[tok[k], tok[after[k]]], k, tok[k], tok[after[k]]))
+        return [t for t in tok if t >= 0]
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """Bytes of each list of ids, by ordered aggregation; ``offsets``: bounds of the lists."""
+        word = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
+        self.db.register("coded", pa.table({"word": word, "pos": np.arange(len(ids), dtype=np.int32), "id": ids.astype(np.int32)}))
+        try:
+            found = self.db.sql(_DECODE).to_arrow_table()
+        finally:
+            self.db.unregister("coded")
+        lists, words = found.column("parts").combine_chunks(), found.column("word").to_numpy()
+        if pa.types.is_list(lists.type):
+            lists = lists.cast(pa.large_list(pa.binary()))
+        bytes_ = pc.binary_join(lists, pa.scalar(b"", pa.binary()))
+        place = np.full(len(offsets) - 1, len(words), np.int64)  # what has no ids decodes to nothing
+        place[words] = np.arange(len(words))
+        return pa.concat_arrays([bytes_, pa.array([b""], bytes_.type)]).take(pa.array(place))
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of each piece, remembered over two generations."""
+        if len(self.known) > REMEMBERED:
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
+        new = []
+        for w in words:
+            if w not in known:
+                if w in before:
+                    known[w] = before[w]
+                else:
+                    new.append(w)
         begin = 0
-        while begin < len(pieces):
+        while begin < len(new):
             end, held = begin, 0
-            while end < len(pieces) and end - begin < PIECES and (end == begin or held < 16 * PIECES):
-                held += len(pieces[end])
+            while end < len(new) and end - begin < PIECES and (end == begin or held < PIECE_BYTES):
+                held += len(new[end])
                 end += 1
-            part = pieces[begin:end]
-            self.pieces |= zip(part, self.merge([p.encode() for p in part]))
+            known.update(zip(new[begin:end], self.merge(new[begin:end])))
             begin = end
-
-    def encode(self, chunks: list[str]) -> list[tuple[int, str, bytes]]:
-        """Number of ids, decimal ids joined by commas, and decoded bytes of each chunk."""
-        for name in ("chunks", "pieces"):
-            if len(getattr(self, name)) > REMEMBERED:
-                setattr(self, f"old_{name}", getattr(self, name))
-                setattr(self, name, {})
-        known, old = self.chunks, self.old_chunks
-        new = [c for c in chunks if c not in known]
-        known |= {c: old[c] for c in new if c in old}
-        split = {c: self.find(c) for c in new if c not in old}
-        pieces, before = self.pieces, self.old_pieces
-        wanted = [p for p in {p for s in split.values() for p in s} if p not in pieces]
-        pieces |= {p: before[p] for p in wanted if p in before}
-        self._pieces([p for p in wanted if p not in before])
-        for c, s in split.items():
-            if len(s) == 1:
-                known[c] = pieces[s[0]]
-            else:
-                parts = [pieces[p] for p in s]
-                known[c] = (sum(p[0] for p in parts), ",".join([p[1] for p in parts]), b"".join([p[2] for p in parts]))
-        return [known[c] for c in chunks]
+        return [known[w] for w in words]
+
+    def cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Pieces of texts, and the offsets of texts into them."""
+        if self.find is None:
+            return pieces.cut(texts)
+        lists = [self.find(t) for t in texts.to_pylist()]
+        return pa.array([p.encode() for x in lists for p in x], pa.large_binary()), np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts back to back, and the offsets of texts into them."""
+        cut, offsets = self.cut(texts)
+        coded = cut.dictionary_encode()
+        packed = pa.array(self.encode(coded.dictionary.to_pylist()), pa.large_binary())
+        width = pc.binary_length(packed).to_numpy(zero_copy_only=False) // self.dtype.itemsize
+        total = np.concatenate([[0], np.cumsum(width[coded.indices.to_numpy()])]).astype(np.int64) if len(cut) else np.zeros(1, np.int64)
+        # taking whole pieces copies their ids one after another
+        ids = np.frombuffer(packed.take(coded.indices).buffers()[2], self.dtype, int(total[-1])) if total[-1] else np.zeros(0, self.dtype)
+        return ids, total[offsets]
 
 
 def load(ranks: str, pattern: str) -> RecursiveBpe:
@@ -160,32 +204,8 @@ def load(ranks: str, pattern: str) -> RecursiveBpe:
     return _loaded[ranks, pattern]
 
 
-def _cut(texts: pa.Array, own: RecursiveBpe) -> pa.ListArray:
-    """Each text as chunks whose pieces don't depend on one another.
-
-    A piece never holds a space after another character, so a text may be cut
-    before a space that follows no space. Texts with two spaces in a row are
-    split into pieces as a whole.
-    """
-    parts = pc.split_pattern(texts, " ")
-    offsets = parts.offsets.to_numpy()
-    flat = parts.values.slice(offsets[0], offsets[-1] - offsets[0])
-    offsets = offsets - offsets[0]
-    lead = np.full(len(flat), " ", object)
-    lead[offsets[:-1][np.diff(offsets) > 0]] = ""
-    flat = pc.binary_join_element_wise(pa.array(lead, pa.string()), flat, "")
-    cut = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
-    odd = pc.match_substring(texts, "  ")
-    if not pc.any(odd).as_py():
-        return cut
-    return pa.array([own.find(t) if o else c for t, o, c in zip(texts.to_pylist(), odd.to_pylist(), cut.to_pylist())], pa.list_(pa.string()))
-
-
-_SCHEMA = "doc_id long, n_tokens long, ids string, decoded binary"
-
-
 def encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Ids of whole texts and the bytes they decode to.
+    """Ids of whole texts and the bytes that those ids decode to.
 
     ``ranks``: path of a tiktoken rank file; ``pattern``: the expression that splits
     text before merging. Columns: doc_id, n_tokens, ids (decimal, joined by commas),
@@ -195,18 +215,12 @@ def encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = load(ranks, pattern)
         for part in slices(batches, limit=SLICE_BYTES):
-            cut = _cut(part.column("text"), own)
-            coded = cut.values.dictionary_encode()
-            known = own.encode(coded.dictionary.to_pylist())
-            codes = coded.indices.fill_null(0).to_numpy() if len(coded) else np.zeros(0, np.int64)
-            offsets = cut.offsets.to_numpy()
-            counts = np.concatenate([[0], np.cumsum(np.array([k[0] for k in known], np.int64)[codes])]) if known else np.zeros(1, np.int64)
-            some = lambda k, kind, sep: pc.binary_join(pa.ListArray.from_arrays(cut.offsets, pa.array([x[k] for x in known], kind).take(pa.array(codes, pa.int64()))), sep)
-            # only the chunk before a leading space can be empty
-            ids = pc.utf8_ltrim(some(1, pa.string(), ","), characters=",")
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts[offsets[1:]] - counts[offsets[:-1]]), ids, some(2, pa.binary(), pa.scalar(b"", pa.binary()))], names=["doc_id", "n_tokens", "ids", "decoded"])
+            ids, offsets = own.texts(part.column("text"))
+            lists = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(ids).cast(pa.string()))
+            lines = pc.binary_join(lists, ",").cast(pa.string())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets)), lines, own.decode(ids, offsets).cast(pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
-    return documents(docs, key, text).mapInArrow(run, _SCHEMA)
+    return documents(docs, key, text).mapInArrow(run, "doc_id long, n_tokens long, ids string, decoded binary")
 
 
 def decode(coded: DataFrame, ranks: str, pattern: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -215,8 +229,9 @@ def decode(coded: DataFrame, ranks: str, pattern: str, key: str = "doc_id", ids:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = load(ranks, pattern)
         for part in slices(batches, column="ids"):
-            lists = [[int(i) for i in line.split(",") if i] for line in part.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(own.decode(lists), pa.binary())], names=["doc_id", "decoded"])
+            lists = [[int(i) for i in line.split(b",") if i] for line in as_bytes(part.column("ids"))]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), own.decode(np.array([i for x in lists for i in x], np.int32), offsets).cast(pa.binary())], names=["doc_id", "decoded"])
 
     rows = coded.select(F.col(key).alias("doc_id"), F.coalesce(F.col(ids), F.lit("")).alias("ids"))
     return rows.mapInArrow(run, "doc_id long, decoded binary")

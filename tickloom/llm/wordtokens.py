@@ -44,6 +44,9 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        ids = lambda t: self.library.encode(t, add_special_tokens=False).ids
+        if ids("Aa, B.") != ids("aa") + ids(",") + ids("b") + ids("."):
+            raise ValueError("the tokenizer must lower-case, drop white space and part marks from words")
         self.dtype = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.known: dict[str, bytes] = {}
@@ -63,9 +66,10 @@ class WordTokens:
 
     def _parts(self, chunk: str) -> tuple[str, ...]:
         """Strings with the same ids as a chunk: lower case changes no id of an ASCII
-        chunk, and a mark after letters only starts a token of its own."""
-        if chunk[-1:] in (",", ".") and chunk[:-1].isalpha():
-            return (chunk[:-1].lower() if chunk.isascii() else chunk[:-1], chunk[-1])
+        chunk, and a mark after an ASCII letter only starts a token of its own. Other
+        letters may change under the tokenizer's normaliser, so their chunks stay whole."""
+        if chunk[-1:] in (",", ".") and chunk[:-1].isascii() and chunk[:-1].isalpha():
+            return (chunk[:-1].lower(), chunk[-1])
         return (chunk.lower() if chunk.isascii() and chunk.isalpha() else chunk,)
 
     def _add(self, words: list[str]) -> None:
