@@ -377,6 +377,29 @@ def test_ann(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 10 == 0).count() == 0
 
 
+def test_ann_scores(spark):
+    """Scores and ties are those of the vectors themselves, in clusters far from the origin, in double precision."""
+    rng = np.random.default_rng(8)
+    centres = 1000 + 50 * rng.normal(size=(6, 12))
+    x = np.round(centres[rng.integers(0, 6, 500)] + 1e-3 * rng.integers(-2, 3, (500, 12)), 6)
+    table = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    hit = 0
+    for q, rows in {q: sorted(r[1:] for r in g) for q, g in _by_query(ann.search(table, F.col("vec_id") % 20 == 0)).items()}.items():
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        assert all(s == d[i] for _, i, s in rows)
+        assert [(s, i) for _, i, s in rows] == sorted((s, i) for _, i, s in rows)
+        want = [i for i in np.lexsort((np.arange(500), d)) if i != q][:10]
+        hit += len({i for _, i, _ in rows} & set(want))
+    assert hit / 250 >= 0.9
+
+
+def _by_query(found):
+    out = {}
+    for r in found.collect():
+        out.setdefault(r.query_id, []).append((r.query_id, r["rank"], r.vec_id, r.score))
+    return out
+
+
 def test_ann_large_neighbourhood(spark):
     x = np.random.default_rng(4).normal(size=(300, 4)).astype(np.float32)
     points = spark.createDataFrame([(i, [float(v) for v in r], float("inf")) for i, r in enumerate(x)], "node long, v array<float>, far double")

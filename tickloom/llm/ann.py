@@ -42,8 +42,10 @@ _EDGE = "u long, w long, d double"
 
 
 def nodes(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Usable rows: vec_id, v (array of float)."""
-    good = vectors.select(F.col(key).alias("vec_id"), F.col(vector).cast("array<float>").alias("v")).where("vec_id IS NOT NULL AND size(v) > 0")
+    """Usable rows: vec_id, v (the vector as it is; array of float or double)."""
+    kind = vectors.schema[vector].dataType.simpleString()
+    v = F.col(vector) if kind in ("array<float>", "array<double>") else F.col(vector).cast("array<double>")
+    good = vectors.select(F.col(key).alias("vec_id"), v.alias("v")).where("vec_id IS NOT NULL AND size(v) > 0")
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     good = good.where(F.forall("v", finite)).where(F.exists("v", lambda x: x != 0))
     most = good.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "n").first()
@@ -168,6 +170,7 @@ def _distances(pairs: DataFrame, dim: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64) for c in ("qv", "v"))
+            # each from the vectors, not from a product of many, so that equal distances are equal
             yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("w"), pa.array(np.sqrt(((a - b) ** 2).sum(1)))], names=["q", "w", "d"])
 
     return pairs.select("q", "w", "qv", "v").mapInArrow(run, "q long, w long, d double")
@@ -234,7 +237,9 @@ def _found(points: DataFrame, edges: DataFrame, queries: DataFrame, n: int, beam
     held = asked.orderBy(F.xxhash64("q"), "q").limit(HELD)
     want = exact(points, held, n, dim)
     some = held.select("q")
-    state = edges.join(asked, edges.u == asked.q).select("q", "w", "d")
+    # the graph's distances come from matrix products; results have those of the vectors themselves
+    near = edges.join(asked, edges.u == asked.q).select("q", "w", "qv").join(points.select(F.col("node").alias("w"), "v"), "w")
+    state = written(_distances(near, dim), "start")
     before = -1.0
     while True:
         state = greedy(points, links, asked, state, beam, dim)
