@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 
-def along_bars(df: DataFrame, outputs: dict[str, str], compute: Callable[[pd.DataFrame], dict[str, np.ndarray]], order: tuple[str, ...] = ("bar_id",)) -> DataFrame:
-    """Add columns that ``compute`` makes from the ordered rows of each symbol.
+def along_bars(df: DataFrame, outputs: dict[str, str], compute: Callable[[pd.DataFrame], dict[str, np.ndarray]], order: tuple[str, ...] = ("bar_id",), by: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """Add columns that ``compute`` makes from the ordered rows of each symbol (or other group).
 
     ``outputs``: column name to "double" or "long".
     """
@@ -29,7 +29,7 @@ def along_bars(df: DataFrame, outputs: dict[str, str], compute: Callable[[pd.Dat
             group[name] = value.where(~np.isnan(value.astype(float)), None) if outputs[name] == "double" else value
         return group
 
-    return df.groupBy("symbol").applyInPandas(run, schema)
+    return df.groupBy(*by).applyInPandas(run, schema)
 
 
 def ewm(x: np.ndarray, alpha: float) -> np.ndarray:

@@ -9,13 +9,23 @@ from tickloom.operators.asof import interval_join
 from tickloom.operators.volatility import volatility
 
 
+def prepared(bars: DataFrame, method: str = "bar_ewm", n: int = 20) -> DataFrame:
+    """Bars with sigma and the last bar of their symbol, which the events found in them carry
+    on: barriers then need no join."""
+    from tickloom.functions.windows import whole
+
+    return volatility(bars, method, n).withColumn("last_bar", whole(F.max, "bar_id"))
+
+
 def horizontal(events: DataFrame, bars: DataFrame, method: str = "bar_ewm", n: int = 20, take: float = 2.0, stop: float = 2.0, min_return: float = 0.001) -> DataFrame:
     """Events with ``pt`` and ``sl``: entry times 1 +/- max(multiple of sigma, min_return).
 
-    A missing sigma is filled from the next event of the symbol that has one.
+    A missing sigma is filled from the next event of the symbol that has one. Events that
+    carry sigma (see ``prepared``) keep theirs.
     """
-    sigma = volatility(bars, method, n).select("symbol", "bar_id", "sigma")
-    out = events.join(sigma, ["symbol", "bar_id"], "left")
+    out = events
+    if "sigma" not in events.columns:
+        out = events.join(volatility(bars, method, n).select("symbol", "bar_id", "sigma"), ["symbol", "bar_id"], "left")
     later = Window.partitionBy("symbol").orderBy("bar_id").rowsBetween(0, Window.unboundedFollowing)
     out = out.withColumn("sigma", F.first("sigma", True).over(later))
     target = lambda m: F.when(F.col("sigma").isNotNull(), F.greatest(m * F.col("sigma"), F.lit(min_return)))
@@ -29,8 +39,10 @@ def horizontal(events: DataFrame, bars: DataFrame, method: str = "bar_ewm", n: i
 
 def vertical(events: DataFrame, bars: DataFrame, hold: int = 60) -> DataFrame:
     """Events with ``t1``: the bar ``hold`` bars on, at most the last of the symbol."""
-    last = bars.groupBy("symbol").agg(F.max("bar_id").alias("last_bar"))
-    return events.join(last, "symbol").withColumn("t1", F.least(F.col("bar_id") + hold, F.col("last_bar"))).drop("last_bar")
+    out = events
+    if "last_bar" not in events.columns:
+        out = events.join(bars.groupBy("symbol").agg(F.max("bar_id").alias("last_bar")), "symbol")
+    return out.withColumn("t1", F.least(F.col("bar_id") + hold, F.col("last_bar"))).drop("last_bar")
 
 
 def fill_entry(events: DataFrame, bars: DataFrame, price: str = "close") -> DataFrame:
@@ -49,15 +61,14 @@ def first_touch(events: DataFrame, bars: DataFrame, hold: int, use_high_low: boo
     long = F.col("direction") == 1
     ev = events.withColumns({"upper": F.when(long, F.col("pt")).otherwise(F.col("sl")), "lower": F.when(long, F.col("sl")).otherwise(F.col("pt"))})
     high, low = ("high", "low") if use_high_low else ("close", "close")
-    own = bars.select("symbol", "bar_id", F.col(high).alias("top"), F.col(low).alias("bottom"))
-    touch = (F.col("top") >= F.col("upper")) | (F.col("bottom") <= F.col("lower"))
+    own = bars.select("symbol", "bar_id", F.col(high).alias("top"), F.col(low).alias("bottom"), F.col("close").alias("last_close"))
     both = F.col("upper").isNotNull() & F.col("lower").isNotNull()
-    met = interval_join(ev, own, "bar_id", "t1", max(1, hold), both & touch)
-    keys = [c for c in ev.columns]
+    touch = both & ((F.col("top") >= F.col("upper")) | (F.col("bottom") <= F.col("lower")))
+    at_end = F.col("bar_bar_id") == F.col("t1")
+    # one join meets the bars that touch and the one at t1
+    met = interval_join(ev, own, "bar_id", "t1", max(1, hold), touch | at_end)
     hit = F.struct(F.col("bar_bar_id").alias("bar"), F.when(F.col("top") >= F.col("upper"), 1).otherwise(-1).alias("side"))
-    first = met.groupBy(*keys).agg(F.min(F.when(F.col("bar_bar_id").isNotNull(), hit)).alias("hit"))
-    at_end = bars.select("symbol", F.col("bar_id").alias("t1"), F.col("close").alias("end_close"))
-    out = first.join(at_end, ["symbol", "t1"], "left")
+    out = met.groupBy(*ev.columns).agg(F.min(F.when(touch, hit)).alias("hit"), F.max(F.when(at_end, F.col("last_close"))).alias("end_close"))
     side = F.col("hit.side")
     out = out.withColumns({
         "bin": F.coalesce(side * F.col("direction"), F.lit(0)).cast("int"),
@@ -93,5 +104,5 @@ def sr_trades(bars: DataFrame, span: int = 5, hold: int = 20, method: str = "std
     """Support and resistance breaks, barriers from volatility, labels by first touch."""
     from tickloom.operators.events import level_break
 
-    events = vertical(horizontal(level_break(bars, span), bars, method, n), bars, hold)
+    events = vertical(horizontal(level_break(prepared(bars, method, n), span), bars, method, n), bars, hold)
     return first_touch(events, bars, hold)

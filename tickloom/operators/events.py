@@ -13,8 +13,12 @@ from tickloom.operators import indicators as ind
 EVENT = ["symbol", "bar_id", "open_time", "direction", "entry_price"]
 
 
+#: Columns of bars that events carry on, so that barriers need not look them up again.
+CARRIED = ["sigma", "last_bar"]
+
+
 def _events(df: DataFrame) -> DataFrame:
-    return df.where(F.col("direction") != 0).select(*EVENT)
+    return df.where(F.col("direction") != 0).select(*EVENT, *[c for c in CARRIED if c in df.columns])
 
 
 def zscore(bars: DataFrame, n: int = 20, threshold: float = 2.0) -> DataFrame:
@@ -71,6 +75,18 @@ def cusum_filter(bars: DataFrame, threshold: float | None = None, multiplier: fl
     return _events(along_bars(out, {"direction": "long"}, run).withColumn("entry_price", F.col("close")))
 
 
+def cusum_by_table(bars: DataFrame, thresholds: DataFrame, time: str = "open_time") -> DataFrame:
+    """Symmetric CUSUM whose threshold at a bar is the last one given up to its time.
+
+    ``thresholds``: symbol, time and threshold. Bars before the first one never fire.
+    """
+    from tickloom.operators.asof import asof
+
+    out = asof(bars, thresholds.select("symbol", time, "threshold"), time, "threshold")
+    run = lambda g: {"direction": cusum(g["close"].to_numpy(float), g["threshold"].to_numpy(float))}
+    return _events(along_bars(out, {"direction": "long"}, run).withColumn("entry_price", F.col("close")))
+
+
 def delayed(events: DataFrame, bars: DataFrame, k: int) -> DataFrame:
     """Events moved ``k`` bars on and priced at the close there; those beyond the end go."""
     later = bars.select("symbol", "bar_id", F.lead("bar_id", k).over(by_bar()).alias("at"), F.lead("open_time", k).over(by_bar()).alias("time"), F.lead("close", k).over(by_bar()).alias("price"))

@@ -55,13 +55,34 @@ def hodrick_prescott(df: DataFrame, column: str = "close", lamb: float = 1600.0)
     return _one(df, column, "trend", lambda x: hp_trend(x, lamb)).withColumn("cycle", F.col(column) - F.col("trend"))
 
 
-def butter_low(order: int, cutoff: float) -> tuple[np.ndarray, np.ndarray]:
-    """Numerator and denominator of a digital Butterworth low pass (cutoff as a share of half the rate)."""
-    warped = 4 * math.tan(math.pi * cutoff / 2)
-    poles = warped * np.exp(1j * math.pi * (2 * np.arange(1, order + 1) + order - 1) / (2 * order))
-    z = (4 + poles) / (4 - poles)
-    a, b = np.real(np.poly(z)), np.real(np.poly(-np.ones(order)))
-    return b * (a.sum() / b.sum()), a
+def butter(order: int, cutoff: float | tuple[float, float], kind: str = "low") -> tuple[np.ndarray, np.ndarray]:
+    """Numerator and denominator of a digital Butterworth filter.
+
+    ``cutoff``: a share of half the rate, or two for kinds band and stop. The analog
+    prototype is moved to the band and mapped by the bilinear transform.
+    """
+    if kind not in ("low", "high", "band", "stop"):
+        raise ValueError(f"unknown kind {kind!r}; low, high, band or stop")
+    if (kind in ("band", "stop")) != isinstance(cutoff, (tuple, list)):
+        raise ValueError("band and stop take two cutoffs, low and high one")
+    edges = [4 * math.tan(math.pi * c / 2) for c in (cutoff if isinstance(cutoff, (tuple, list)) else [cutoff])]
+    pole = np.exp(1j * math.pi * (2 * np.arange(1, order + 1) + order - 1) / (2 * order))
+    if kind == "low":
+        poles, zeros = edges[0] * pole, np.zeros(0)
+    elif kind == "high":
+        poles, zeros = edges[0] / pole, np.zeros(order)
+    else:
+        width, middle = edges[1] - edges[0], edges[0] * edges[1]
+        half = (width * pole if kind == "band" else width / pole) / 2
+        root = np.sqrt(half**2 - middle + 0j)
+        poles = np.concatenate([half + root, half - root])
+        zeros = np.zeros(order) if kind == "band" else np.concatenate([1j * np.full(order, math.sqrt(middle)), -1j * np.full(order, math.sqrt(middle))])
+    z, p = (4 + zeros) / (4 - zeros), (4 + poles) / (4 - poles)
+    z = np.concatenate([z, -np.ones(len(p) - len(z))])
+    b, a = np.real(np.poly(z)), np.real(np.poly(p))
+    # gain one where the band passes: at rest, at half the rate, or in the middle of the band
+    at = {"low": 1.0, "stop": 1.0, "high": -1.0}.get(kind) or np.exp(2j * math.atan(math.sqrt(edges[0] * edges[-1]) / 4))
+    return b * abs(np.polyval(a, at) / np.polyval(b, at)), a
 
 
 def iir(b: np.ndarray, a: np.ndarray, x: np.ndarray, start: float) -> np.ndarray:
@@ -77,58 +98,191 @@ def iir(b: np.ndarray, a: np.ndarray, x: np.ndarray, start: float) -> np.ndarray
     return out
 
 
-def butterworth(df: DataFrame, column: str = "close", order: int = 3, cutoff: float = 0.1, kind: str = "low") -> DataFrame:
-    """Zero-phase low or high pass: forward and backward over the series with odd extension at both ends."""
-    b, a = butter_low(order, cutoff)
+def butterworth(df: DataFrame, column: str = "close", order: int = 3, cutoff: float | tuple[float, float] = 0.1, kind: str = "low") -> DataFrame:
+    """Zero-phase low, high, band or stop filter: forward and backward over the series with
+    odd extension at both ends."""
+    b, a = butter(order, cutoff, kind)
 
     def run(x: np.ndarray) -> np.ndarray:
-        pad = min(3 * (order + 1), len(x) - 1)
+        pad = min(3 * len(a), len(x) - 1)
         if pad < 1:
             return x
         long = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
         forth = iir(b, a, long, long[0])
-        back = iir(b, a, forth[::-1], forth[-1])[::-1]
-        low = back[pad : pad + len(x)]
-        return low if kind == "low" else x - low
+        return iir(b, a, forth[::-1], forth[-1])[::-1][pad : pad + len(x)]
 
     return _one(df, column, "butter", run)
 
 
-def savgol_weights(window: int, degree: int) -> list[float]:
-    """Weights of the middle value of a polynomial least-squares fit."""
+def savgol_weights(window: int, degree: int, at: int = 0) -> list[float]:
+    """Weights of the value ``at`` steps from the middle of a polynomial least-squares fit."""
     half = window // 2
     basis = np.vander(np.arange(-half, half + 1), degree + 1, increasing=True)
-    return [float(w) for w in np.linalg.pinv(basis)[0]]
+    return [float(w) for w in np.array([float(at) ** k for k in range(degree + 1)]) @ np.linalg.pinv(basis)]
 
 
 def savitzky_golay(df: DataFrame, column: str = "close", window: int = 11, degree: int = 2) -> DataFrame:
-    """Smoothed values by fixed weights of neighbours (native); null within half a window of the ends."""
-    half, out = window // 2, F.lit(0.0)
-    for k, w in zip(range(-half, half + 1), savgol_weights(window, degree)):
-        out = out + F.lead(column, k).over(by_bar()) * w
-    return df.withColumn("savgol", out)
-
-
-def haar_denoise(x: np.ndarray, levels: int = 3) -> np.ndarray:
-    """Haar wavelet shrinkage by the universal threshold (soft)."""
-    n = 1 << max(levels, (max(1, len(x)) - 1).bit_length())
-    y = np.concatenate([x, np.full(n - len(x), x[-1] if len(x) else 0.0)])
-    details = []
+    """Smoothed values by fixed weights of neighbours (native).
+
+    Within half a window of an end the fit of the first (last) window is read off; a
+    series shorter than a window has no values.
+    """
+    half, w = window // 2, by_bar()
+    out = df.withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count("*").over(Window.partitionBy("symbol"))})
+
+    def fit(at: int):
+        # the middle of the window lies ``at`` bars before the row
+        return sum((F.lead(column, k - at).over(w) * x for k, x in zip(range(-half, half + 1), savgol_weights(window, degree, at))), F.lit(0.0))
+
+    value = F.when(F.col("_n") < window, F.lit(None).cast("double"))
+    for at in range(1, half + 1):
+        value = value.when(F.col("_i") == half - at, fit(-at)).when(F.col("_i") == F.col("_n") - 1 - half + at, fit(at))
+    return out.withColumn("savgol", value.otherwise(fit(0))).drop("_i", "_n")
+
+
+def daubechies(n: int) -> np.ndarray:
+    """The scaling filter of the Daubechies wavelet with n vanishing moments (1: Haar)."""
+    # the polynomial in y = (2 - z - 1/z) / 4, whose roots inside the circle give the filter
+    y = np.roots([math.comb(n - 1 + k, k) for k in range(n - 1, -1, -1)]) if n > 1 else np.zeros(0)
+    inside = []
+    for r in y:
+        pair = np.roots([1, -(2 - 4 * r), 1])
+        inside.append(pair[np.argmin(np.abs(pair))])
+    h = np.real(np.poly(np.concatenate([-np.ones(n), inside])))
+    return h * math.sqrt(2) / h.sum()
+
+
+def _mirrored(x: np.ndarray, k: int) -> np.ndarray:
+    """k more values at both ends, mirrored (again and again for short series)."""
+    n = len(x)
+    at = np.arange(-k, n + k) % (2 * n)
+    return x[np.where(at < n, at, 2 * n - 1 - at)]
+
+
+def wavelet_steps(x: np.ndarray, h: np.ndarray, levels: int) -> list[np.ndarray]:
+    """Details of each level, finest first, and the approximation left, with mirrored ends."""
+    g = h[::-1] * (-1.0) ** np.arange(len(h))
+    out = []
     for _ in range(levels):
-        details.append((y[0::2] - y[1::2]) / math.sqrt(2))
-        y = (y[0::2] + y[1::2]) / math.sqrt(2)
-    sigma = np.median(np.abs(details[0])) / 0.6745
-    limit = sigma * math.sqrt(2 * math.log(max(2, len(x))))
-    for d in details[::-1]:
-        d = np.sign(d) * np.maximum(np.abs(d) - limit, 0)
-        up = np.empty(2 * len(y))
-        up[0::2], up[1::2] = (y + d) / math.sqrt(2), (y - d) / math.sqrt(2)
-        y = up
-    return y[: len(x)]
-
-
-def wavelet(df: DataFrame, column: str = "close", levels: int = 3) -> DataFrame:
-    return _one(df, column, "wavelet", lambda x: haar_denoise(x, levels))
+        long = _mirrored(x, len(h) - 1)
+        out.append(np.correlate(long, g, "valid")[1::2] if len(h) > 2 else np.correlate(_mirrored(x, 1), g, "valid")[1::2])
+        x = np.correlate(long, h, "valid")[1::2] if len(h) > 2 else np.correlate(_mirrored(x, 1), h, "valid")[1::2]
+    return [*out, x]
+
+
+def wavelet_join(steps: list[np.ndarray], h: np.ndarray, n: int) -> np.ndarray:
+    """The series (n values) of what ``wavelet_steps`` made."""
+    g = h[::-1] * (-1.0) ** np.arange(len(h))
+    sizes = [n]
+    for _ in steps[:-1]:
+        sizes.append((sizes[-1] + len(h) - 1) // 2)
+    x = steps[-1]
+    for d, size in zip(steps[-2::-1], sizes[-2::-1]):
+        wide = np.zeros((2, 2 * len(d)))
+        wide[0, ::2], wide[1, ::2] = x[: len(d)], d
+        full = np.convolve(wide[0], h) + np.convolve(wide[1], g)
+        x = full[len(h) - 2 : len(h) - 2 + size]
+    return x
+
+
+def wavelet_denoise(x: np.ndarray, family: int = 1, levels: int = 3, mode: str = "soft") -> np.ndarray:
+    """Wavelet shrinkage of details by the universal threshold, soft or hard."""
+    if mode not in ("soft", "hard"):
+        raise ValueError("mode is 'soft' or 'hard'")
+    if len(x) < 2:
+        return x
+    h = daubechies(family)
+    steps = wavelet_steps(x, h, levels)
+    limit = np.median(np.abs(steps[0])) / 0.6745 * math.sqrt(2 * math.log(len(x)))
+    for k in range(levels):
+        d = steps[k]
+        steps[k] = np.sign(d) * np.maximum(np.abs(d) - limit, 0) if mode == "soft" else np.where(np.abs(d) > limit, d, 0)
+    return wavelet_join(steps, h, len(x))
+
+
+def wavelet(df: DataFrame, column: str = "close", levels: int = 3, family: int = 1, mode: str = "soft") -> DataFrame:
+    """Denoised values; ``family``: vanishing moments (1: Haar, 8: db8)."""
+    return _one(df, column, "wavelet", lambda x: wavelet_denoise(x, family, levels, mode))
+
+
+def wavelet_levels(df: DataFrame, keep: list[int], column: str = "close", levels: int = 3, family: int = 1) -> DataFrame:
+    """The part of a series in some levels: 1 (finest) to ``levels``, 0 the approximation."""
+
+    def run(x: np.ndarray) -> np.ndarray:
+        if len(x) < 2:
+            return x
+        h = daubechies(family)
+        steps = wavelet_steps(x, h, levels)
+        kept = [s if (k + 1 if k < levels else 0) in keep else np.zeros(len(s)) for k, s in enumerate(steps)]
+        return wavelet_join(kept, h, len(x))
+
+    return _one(df, column, "wavelet_part", run)
+
+
+def _spline(at: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """A natural cubic spline through (at, y) at 0..n-1; a line through two points."""
+    grid = np.arange(n, dtype=float)
+    if len(at) < 3:
+        return np.interp(grid, at, y)
+    h = np.diff(at)
+    slope = np.diff(y) / h
+    m = np.zeros(len(at))
+    d, r = 2 * (h[:-1] + h[1:]), 6 * np.diff(slope)
+    for i in range(1, len(d)):
+        w = h[i] / d[i - 1]
+        d[i] -= w * h[i]
+        r[i] -= w * r[i - 1]
+    for i in range(len(d) - 1, -1, -1):
+        m[i + 1] = (r[i] - (h[i + 1] * m[i + 2] if i + 1 < len(d) else 0)) / d[i]
+    k = np.clip(np.searchsorted(at, grid, "right") - 1, 0, len(h) - 1)
+    t, u = grid - at[k], at[k + 1] - grid
+    return (m[k] * u**3 + m[k + 1] * t**3) / (6 * h[k]) + (y[k] / h[k] - m[k] * h[k] / 6) * u + (y[k + 1] / h[k] - m[k + 1] * h[k] / 6) * t
+
+
+def modes(x: np.ndarray, most: int = 8, sifts: int = 10) -> list[np.ndarray]:
+    """Intrinsic modes of a series, fastest first, and the trend left; they sum to the series.
+
+    Each mode takes off the mean of spline envelopes ``sifts`` times; the ends belong to
+    both envelopes. It ends where fewer than two peaks or troughs are left.
+    """
+    out, rest = [], x.astype(float)
+    for _ in range(most):
+        mode, swings = rest.copy(), True
+        for _ in range(sifts):
+            inner = np.arange(1, len(mode) - 1)
+            top = inner[(mode[1:-1] > mode[:-2]) & (mode[1:-1] >= mode[2:])]
+            low = inner[(mode[1:-1] < mode[:-2]) & (mode[1:-1] <= mode[2:])]
+            if len(top) < 2 or len(low) < 2:
+                swings = False
+                break
+            ends = lambda k: np.concatenate([[0], k, [len(mode) - 1]])  # noqa: B023,E731
+            mode = mode - (_spline(ends(top), mode[ends(top)], len(mode)) + _spline(ends(low), mode[ends(low)], len(mode))) / 2
+        if not swings and mode is not rest and np.array_equal(mode, rest):
+            break
+        out.append(mode)
+        rest = rest - mode
+        if not swings:
+            break
+    return [*out, rest]
+
+
+def empirical_modes(df: DataFrame, column: str = "close", most: int = 4) -> DataFrame:
+    """Columns imf_1 .. imf_most (zero where a series has fewer) and ``emd_trend``, which sum to the column."""
+
+    def run(g) -> dict[str, np.ndarray]:
+        x = g[column].to_numpy(float)
+        found = modes(x, most)
+        parts = [*found[:-1], *[np.zeros(len(x))] * (most + 1 - len(found))]
+        return {f"imf_{k + 1}": p for k, p in enumerate(parts)} | {"emd_trend": found[-1]}
+
+    return along_bars(df, {f"imf_{k + 1}": "double" for k in range(most)} | {"emd_trend": "double"}, run)
+
+
+def empirical_filter(df: DataFrame, drop: list[int], column: str = "close", most: int = 4) -> DataFrame:
+    """The series without some of its modes (1 is the fastest): column ``emd``."""
+    out = empirical_modes(df, column, most)
+    kept = sum((F.col(f"imf_{k + 1}") for k in range(most) if k + 1 not in drop), F.col("emd_trend"))
+    return out.withColumn("emd", kept).drop("emd_trend", *[f"imf_{k + 1}" for k in range(most)])
 
 
 def ensemble(df: DataFrame, weights: dict[str, float], output: str = "ensemble") -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.kernels import along_bars, wilder
+from tickloom.functions.kernels import along_bars
 from tickloom.sources.bars import resample
 
 
@@ -55,37 +57,67 @@ def islands(points: DataFrame, by: list[str], price: str, share: float = 0.005,
     return out.withColumn("_n", F.count("*").over(Window.partitionBy(*by, "cluster"))).where(F.col("_n") >= least).drop("_n")
 
 
-def timeframe_pivots(bars: DataFrame, buckets: dict[str, tuple[Column, float]], factor: float = 1.0, atr: int = 14, most: int = 20) -> DataFrame:
+def average_range(tr: np.ndarray, n: int) -> np.ndarray:
+    """Wilder's mean of true ranges; the first n values are all the mean of those n."""
+    out = np.zeros(len(tr))
+    out[:n] = tr[:n].mean() if len(tr) else 0.0
+    for i in range(n, len(tr)):
+        out[i] = (out[i - 1] * (n - 1) + tr[i]) / n
+    return out
+
+
+def _unbeaten(x: np.ndarray) -> np.ndarray:
+    """How many values right before each one are all smaller than it."""
+    out, stack = np.zeros(len(x), np.int64), []
+    for i, v in enumerate(x):
+        while stack and x[stack[-1]] < v:
+            stack.pop()
+        out[i] = i - (stack[-1] + 1 if stack else 0)
+        stack.append(i)
+    return out
+
+
+def timeframe_pivots(bars: DataFrame, buckets: dict[str, tuple[Column, float]], factor: float = 1.0, atr: int = 14) -> DataFrame:
     """Highs and lows that strictly exceed the bars around them, in each timeframe.
 
-    The reach on both sides follows the average range: max(2, int(range*factor/(close*0.001))),
-    at most ``most`` bars.
+    The reach on both sides follows the average range: max(2, int(range*factor/(close*0.001)))
+    bars, fewer where the series ends; the two bars at each end are no pivots.
+    Columns: symbol, open_time, side, timeframe, weight, price, volume.
     """
-    out = None
+
+    def run(g: pd.DataFrame) -> dict[str, np.ndarray]:
+        high, low, close = (g[c].to_numpy(float) for c in ("high", "low", "close"))
+        n, k = len(g), np.arange(len(g))
+        before = np.concatenate([g["open"].to_numpy(float)[:1], close[:-1]])
+        tr = np.maximum(high - low, np.maximum(np.abs(high - before), np.abs(low - before)))
+        reach = np.maximum(2, (average_range(tr, atr) * factor / (close * 0.001)).astype(np.int64))
+        inside = (k >= 2) & (k < n - 2)
+        out = {}
+        for name, x in (("top", high), ("bottom", -low)):
+            out[name] = (inside & (_unbeaten(x) >= np.minimum(reach, k)) & (_unbeaten(x[::-1])[::-1] >= np.minimum(reach, n - 1 - k))).astype(np.int64)
+        return out
+
+    coarse = None
     for name, (bucket, weight) in buckets.items():
-        coarse = resample(bars, bucket).withColumn("tr", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.lag("close").over(Window.partitionBy("symbol").orderBy("bar_id"))), F.abs(F.col("low") - F.lag("close").over(Window.partitionBy("symbol").orderBy("bar_id")))))
-        one = along_bars(coarse, {"atr": "double"}, lambda g: {"atr": wilder(g["tr"].to_numpy(float), atr)})
-        w = Window.partitionBy("symbol").orderBy("bar_id")
-        reach = F.least(F.greatest(F.lit(2), (F.col("atr") * factor / (F.col("close") * 0.001)).cast("int")), F.lit(most))
-        one = one.where("atr IS NOT NULL").withColumns({"reach": reach, "n_before": F.row_number().over(w) - 1, "n_after": F.count("*").over(Window.partitionBy("symbol")) - F.row_number().over(w)})
-        for side, price, sign in (("resistance", "high", 1), ("support", "low", -1)):
-            before = F.reverse(F.collect_list(price).over(w.rowsBetween(-most, -1)))
-            after = F.collect_list(price).over(w.rowsBetween(1, most))
-            pts = one.withColumns({"before": before, "after": after})
-            beats = lambda arr: F.forall(F.slice(arr, F.lit(1), F.col("reach")), lambda v: (F.col(price) - v) * sign > 0)  # noqa: B023,E731
-            pts = pts.where((F.col("n_before") >= F.col("reach")) & (F.col("n_after") >= F.col("reach")) & beats("before") & beats("after"))
-            part = pts.select("symbol", "open_time", F.lit(side).alias("side"), F.lit(name).alias("timeframe"), F.lit(weight).alias("weight"), F.col(price).alias("price"), "volume", (F.col("volume") / F.avg("volume").over(Window.partitionBy("symbol"))).alias("rel_volume"))
-            out = part if out is None else out.union(part)
-    return out
+        one = resample(bars, bucket).withColumns({"timeframe": F.lit(name), "weight": F.lit(weight)})
+        coarse = one if coarse is None else coarse.union(one)
+    marked = along_bars(coarse, {"top": "long", "bottom": "long"}, run, by=("symbol", "timeframe"))
+    sides = F.array(F.struct(F.lit("resistance").alias("side"), F.col("high").alias("price"), F.col("top").alias("on")), F.struct(F.lit("support").alias("side"), F.col("low").alias("price"), F.col("bottom").alias("on")))
+    return marked.withColumn("s", F.explode(sides)).where("s.on = 1").select("symbol", "open_time", "s.side", "timeframe", "weight", "s.price", "volume")
 
 
-def multi_timeframe_levels(bars: DataFrame, buckets: dict[str, tuple[Column, float]], share: float = 0.005, least: int = 2, major: float = 5.0) -> DataFrame:
-    """Clusters of pivots over timeframes: symbol, side, price (volume weighted), touches, score, major."""
-    now = bars.groupBy("symbol").agg(F.max("open_time").alias("now"))
-    clustered = islands(timeframe_pivots(bars, buckets), ["symbol", "side"], "price", share, least).join(now, "symbol")
-    age = F.timestamp_diff("DAY", "open_time", "now") if hasattr(F, "timestamp_diff") else F.datediff("now", "open_time")
+def multi_timeframe_levels(bars: DataFrame, buckets: dict[str, tuple[Column, float]], share: float = 0.005, least: int = 2, volume_weight: float = 1.0, major: float = 5.0) -> DataFrame:
+    """Clusters of pivots over timeframes: symbol, side, cluster, price (volume weighted), touches, score, major.
+
+    Score: touches, timeframe weights and volumes relative to the cluster's mean, summed,
+    times the mean of exp(-days/30) before the cluster's last touch.
+    """
+    clustered = islands(timeframe_pivots(bars, buckets), ["symbol", "side"], "price", share, least)
+    clustered = clustered.withColumn("last", F.max("open_time").over(Window.partitionBy("symbol", "side", "cluster")))
+    days = F.floor((F.unix_seconds(F.col("last").cast("timestamp")) - F.unix_seconds(F.col("open_time").cast("timestamp"))) / 86400)
+    # volumes over their mean sum to the number of touches
+    relative = F.when(F.sum("volume") > 0, F.count("*")).otherwise(0) * volume_weight
     out = clustered.groupBy("symbol", "side", "cluster").agg(
-        F.coalesce(F.try_divide(F.sum(F.col("price") * F.col("volume")), F.sum("volume")), F.avg("price")).alias("price"), F.count("*").alias("touches"),
-        ((F.count("*") + F.sum("weight") + F.sum("rel_volume")) * F.avg(F.exp(-age / 30))).alias("score"),
+        F.coalesce(F.try_divide(F.sum(F.col("price") * F.col("volume")), F.sum("volume")), F.avg("price")).alias("price"), F.count("*").alias("touches"), ((F.count("*") + F.sum("weight") + relative) * F.avg(F.exp(-days / 30))).alias("score"),
     )
     return out.withColumn("major", F.col("score") >= major)

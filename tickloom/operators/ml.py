@@ -50,19 +50,21 @@ def stability_scores(summary: DataFrame) -> DataFrame:
     return summary.select("metric", cv.alias("cv"), (1 / (1 + cv)).alias("stability"))
 
 
-def purged_folds(events: DataFrame, folds: int = 5, embargo: float = 0.01, by: str = "symbol", order: str = "bar_id") -> DataFrame:
+def purged_folds(events: DataFrame, folds: int = 5, embargo: float = 0.01, by: str = "symbol", order: str = "bar_id", tie: list[str] = ()) -> DataFrame:
     """One row per event and fold: role train, test or null (purged).
 
     Test blocks are consecutive, the last takes the remainder; training rows are farther
-    than the embargo (a share of all rows) from the block on both sides.
+    than the embargo (a share of all rows) from the block on both sides. ``tie``: columns
+    that order rows of equal ``order``; they are kept.
     """
     w = Window.partitionBy(by)
-    rows = events.select(by, order).withColumn("i", F.row_number().over(w.orderBy(order)) - 1).withColumn("n", F.count("*").over(w))
+    kept = [by, order, *[t for t in tie if t != by]]
+    rows = events.select(*kept).withColumn("i", F.row_number().over(w.orderBy(order, *tie)) - 1).withColumn("n", F.count("*").over(w))
     size, gap = F.floor(F.col("n") / folds), F.floor(F.col("n") * embargo)
     each = rows.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).withColumns({"start": F.col("fold") * size, "stop": F.when(F.col("fold") == folds - 1, F.col("n")).otherwise((F.col("fold") + 1) * size)})
     test = (F.col("i") >= F.col("start")) & (F.col("i") < F.col("stop"))
     train = (F.col("i") < F.col("start") - gap) | (F.col("i") >= F.col("stop") + gap)
-    return each.select(by, order, "fold", F.when(test, "test").when(train, "train").alias("role"))
+    return each.select(*kept, "fold", F.when(test, "test").when(train, "train").alias("role"))
 
 
 def split_samples(samples: DataFrame, method: str = "time", train: float = 0.6, val: float = 0.2, seed: int = 42) -> DataFrame:
@@ -103,17 +105,3 @@ def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
 def importances(model: PipelineModel) -> dict[str, float]:
     """Mean decrease of impurity by feature."""
     return dict(zip(model.stages[0].getInputCols(), map(float, model.stages[-1].featureImportances.toArray())))
-
-
-def permutation_importance(model: PipelineModel, rows: DataFrame, features: list[str], label: str = "bin", seed: int = 7) -> DataFrame:
-    """Loss of accuracy when one feature is shuffled among the rows (by a join on row numbers)."""
-    numbered = rows.select(*features, label).withColumn("i", F.row_number().over(Window.orderBy(F.xxhash64(*features, label))))
-    hit = lambda d: predict(model, d).agg(F.avg((F.col("predicted") == F.col(label).cast("string")).cast("double")).alias("x"))
-    base = hit(numbered).withColumnRenamed("x", "base")
-    out = None
-    for f in features:
-        other = numbered.select(F.col(f).alias("moved"), F.row_number().over(Window.orderBy(F.xxhash64("i", F.lit(seed)))).alias("i"))
-        mixed = numbered.drop(f).join(other, "i").withColumnRenamed("moved", f)
-        one = hit(mixed).crossJoin(base).select(F.lit(f).alias("feature"), (F.col("base") - F.col("x")).alias("importance"))  # one row each
-        out = one if out is None else out.union(one)
-    return out

@@ -27,10 +27,13 @@ def _path(by: str, order: str):
 
 
 def equity(returns: DataFrame, by: str = "symbol", order: str = "bar_id", ret: str = "ret") -> DataFrame:
-    """Compounded returns, their running maximum and the fall from it."""
+    """Compounded returns, their running maximum and the fall from it.
+
+    A return of -1 or less takes equity to zero or below, where it stays in the product;
+    a null return changes nothing.
+    """
     w = _path(by, order)
-    # the sum of logarithms stays in range where a product may not
-    grown = returns.withColumn("equity", F.exp(F.sum(F.log(1 + F.col(ret))).over(w)))
+    grown = returns.withColumn("equity", F.product(1 + F.coalesce(F.col(ret), F.lit(0.0))).over(w))
     return grown.withColumn("peak", F.max("equity").over(w)).withColumn("drawdown", F.col("equity") / F.col("peak") - 1)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -44,6 +47,31 @@ def metrics(rows: DataFrame, by: str, value: str = "ret") -> DataFrame:
     return rows.groupBy(by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("std"), *[m(x).alias(k) for k, m in METRICS.items()])
 
 
+#: Ranges of the first order column that a group's rows are numbered in.
+CHUNKS = 64
+
+
+def even_bins(rows: DataFrame, by: list[str], order: list[str], bins: int) -> DataFrame:
+    """Rows with ``bin``: consecutive bins of equal counts, the first ones larger by the remainder.
+
+    The same as a tile window, but numbered in ranges of the first order column, so that
+    one large group is many tasks; only counts of ranges are added up.
+    """
+    first = order[0]
+    cuts = rows.agg(F.percentile_approx(F.col(first).cast("double"), F.array(*[F.lit((i + 1) / CHUNKS) for i in range(CHUNKS - 1)])).alias("q")).first()["q"]
+    chunk = F.size(F.filter(F.array(*[F.lit(float(x)) for x in sorted(set(cuts or []))]).cast("array<double>"), lambda x: x < F.col(first).cast("double")))
+    own = rows.withColumn("_chunk", chunk)
+    counts = own.groupBy(*by, "_chunk").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*by, "_chunk", before.alias("_before"), F.sum("_n").over(Window.partitionBy(*by)).alias("_all"))
+    row = F.row_number().over(Window.partitionBy(*by, "_chunk").orderBy(*order)) + F.col("_before") - 1
+    size, rest = F.floor(F.col("_all") / bins), F.col("_all") % bins
+    large = rest * (size + 1)
+    numbered = own.join(counts, [*by, "_chunk"]).withColumn("_row", row)
+    bin_ = F.when(F.col("_row") < large, F.floor(F.col("_row") / (size + 1))).otherwise(rest + F.floor((F.col("_row") - large) / F.greatest(size, F.lit(1)))) + 1
+    return numbered.withColumn("bin", bin_.cast("int")).drop("_chunk", "_before", "_all", "_row")
+
+
 def stability(rows: DataFrame, by: list[str], order: list[str], value: str = "ret", bins: int = 5, least: int = 3, gamma: float = 1.0, tau: float = 0.5, eps: float = 1e-9) -> DataFrame:
     """How evenly losses spread over consecutive bins of equal counts, times how many bins are filled.
 
@@ -51,7 +79,7 @@ def stability(rows: DataFrame, by: list[str], order: list[str], value: str = "re
     weighted mean share of losses of the bins, V its weighted variance, weights are bin
     sizes, and a bin is filled with at least ``least`` rows.
     """
-    dealt = rows.select(*by, value, F.ntile(bins).over(Window.partitionBy(*by).orderBy(*order)).alias("_bin"))
+    dealt = even_bins(rows.select(*by, *[c for c in order if c not in by], value), by, order, bins).withColumnRenamed("bin", "_bin")
     each = dealt.groupBy(*by, "_bin").agg(F.count("*").alias("size"), F.avg((F.col(value) < 0).cast("double")).alias("f"))
     sums = each.groupBy(*by).agg(
         F.sum("size").alias("n"), F.sum(F.col("size") * F.col("f")).alias("sf"), F.sum(F.col("size") * F.col("f") * F.col("f")).alias("sff"), F.count_if(F.col("size") >= least).alias("filled")
@@ -68,68 +96,145 @@ def thresholds(rows: DataFrame, feature: str, most: int = 19) -> list[float]:
     return [float(x) for x in found["q"] or []]
 
 
+#: A feature with a threshold, or with the categories that go left.
+Split = tuple[str, "float | tuple[str, ...]"]
+#: A feature, a side ("<=" and ">", or "in" and "not in") and what it is compared with.
+Clause = tuple[str, str, "float | tuple[str, ...]"]
+
+
+def goes_left(split: Split) -> Column:
+    """Whether a row goes left; a missing value goes right."""
+    feature, at = split
+    return F.coalesce(F.col(feature).isin(*at) if isinstance(at, tuple) else F.col(feature) <= at, F.lit(False))
+
+
+def clauses(split: Split) -> tuple[Clause, Clause]:
+    """The clauses of both sides of a split."""
+    feature, at = split
+    left, right = ("in", "not in") if isinstance(at, tuple) else ("<=", ">")
+    return (feature, left, at), (feature, right, at)
+
+
 @dataclass
 class Node:
     """A node of a regime tree; leaves have no split."""
 
     node_id: int
     depth: int
-    rule: list[tuple[str, str, float]] = field(default_factory=list)
-    split: tuple[str, float] | None = None
+    rule: list[Clause] = field(default_factory=list)
+    split: Split | None = None
     gain: float = 0.0
     left: "Node | None" = None
     right: "Node | None" = None
 
 
-def condition(rule: list[tuple[str, str, float]]) -> Column:
+def condition(rule: list[Clause]) -> Column:
     """A rule as a column; a missing value goes right."""
     out = F.lit(True)
     for feature, side, at in rule:
-        low = F.coalesce(F.col(feature) <= at, F.lit(False))
-        out = out & (low if side == "<=" else ~low)
+        left = goes_left((feature, at))
+        out = out & (left if side in ("<=", "in") else ~left)
     return out
 
 
-def score_splits(rows: DataFrame, candidates: list[tuple[str, float]], order: list[str], value: str = "ret", metric: str = "sharpe", bins: int = 5, least: int = 3) -> DataFrame:
+Metric = "str | Callable[[Column], Column]"
+
+
+def performance(metric: Metric) -> Callable[[Column], Column]:
+    """A metric by its name, or one given as an aggregate expression of a column."""
+    return METRICS[metric] if isinstance(metric, str) else metric
+
+
+def score_splits(rows: DataFrame, candidates: list[Split], order: list[str], value: str = "ret", metric: Metric = "sharpe", bins: int = 5, least: int = 3) -> DataFrame:
     """Score (metric times stability) and size of both sides of every candidate split.
 
     One job for all candidates: rows meet each candidate (a bounded list made from
-    quantiles) and are aggregated by candidate and side.
+    quantiles or categories) and are aggregated by candidate and side.
     """
-    each = F.array(*[F.struct(F.lit(i).alias("cand"), F.coalesce(F.col(f) <= at, F.lit(False)).alias("left")) for i, (f, at) in enumerate(candidates)])
+    each = F.array(*[F.struct(F.lit(i).alias("cand"), goes_left(c).alias("left")) for i, c in enumerate(candidates)])
     sides = rows.select(*order, value, F.explode(each).alias("c")).select(*order, value, "c.cand", "c.left")
-    perf = sides.groupBy("cand", "left").agg(METRICS[metric](F.col(value)).alias("perf"))
+    perf = sides.groupBy("cand", "left").agg(performance(metric)(F.col(value)).alias("perf"))
     even = stability(sides, ["cand", "left"], order, value, bins, least)
     return perf.join(even, ["cand", "left"]).select("cand", "left", "n", (F.col("perf") * F.col("stability")).alias("score"))
 
 
-def best_split(rows: DataFrame, features: list[str], order: list[str], value: str = "ret", metric: str = "sharpe", mode: str = "good", min_leaf: int = 20, bins: int = 5) -> tuple[tuple[str, float], float] | None:
+@dataclass(frozen=True)
+class Search:
+    """How splits are searched. Gain: parent's score less the smaller child's (mode bad), or
+    the larger child's less the parent's (good); that child is the target."""
+
+    metric: Metric = "sharpe"
+    mode: str = "good"
+    min_leaf: int = 20
+    bins: int = 5
+    most: int = 19
+    delta_min: float = 0.0
+    w_target_min: float = 0.0
+
+
+def _gains(rows: DataFrame, candidates: list[Split], order: list[str], value: str, how: Search, parent: float) -> dict[int, float]:
+    """Gain of each candidate that the limits allow."""
+    scored: dict[int, list[tuple[float, int]]] = {}
+    for r in score_splits(rows, candidates, order, value, how.metric, how.bins).collect():  # two rows per candidate
+        scored.setdefault(r["cand"], []).append((r["score"], r["n"]))
+    out = {}
+    for cand, sides in scored.items():
+        if len(sides) < 2 or min(n for _, n in sides) < how.min_leaf:
+            continue
+        score, n = min(sides) if how.mode == "bad" else max(sides)
+        gain = parent - score if how.mode == "bad" else score - parent
+        if gain >= how.delta_min and n / sum(k for _, k in sides) >= how.w_target_min or (how.delta_min <= 0 and how.w_target_min <= 0):
+            out[cand] = gain
+    return out
+
+
+def _grown(rows: DataFrame, feature: str, order: list[str], value: str, how: Search, parent: float) -> tuple[Split, float] | None:
+    """The subset of categories that grows by the best one while the gain grows: one job per step."""
+    left = [r[0] for r in rows.where(F.col(feature).isNotNull()).select(F.col(feature).cast("string")).distinct().orderBy(feature).collect()]
+    if len(left) < 2:
+        return None
+    subset: tuple[str, ...] = ()
+    best: tuple[Split, float] | None = None
+    while left:
+        trials = [(feature, (*subset, c)) for c in left]
+        gains = _gains(rows, trials, order, value, how, parent)
+        step = None
+        for i in sorted(gains):
+            if gains[i] > (best[1] if best else -float("inf")) + 1e-12:
+                best, step = (trials[i], gains[i]), i
+        if step is None:
+            break
+        subset = trials[step][1]
+        left.pop(step)
+    return ((feature, tuple(sorted(best[0][1]))), best[1]) if best else None
+
+
+def best_split(rows: DataFrame, features: list[str], order: list[str], value: str = "ret", metric: Metric = "sharpe", mode: str = "good", min_leaf: int = 20, bins: int = 5, categories: list[str] = (), delta_min: float = 0.0, w_target_min: float = 0.0, most: int = 19) -> tuple[Split, float] | None:
     """The split of the largest gain over the parent; of equal ones the first. None without gain.
 
-    Gain: parent's score less the smaller child's (bad), or the larger child's less the parent's (good).
+    ``categories``: features whose values are grouped; thresholds are made for the others.
+    ``delta_min``: least gain; ``w_target_min``: least share of rows in the target child.
     """
-    candidates = [(f, at) for f in features for at in thresholds(rows, f)]
-    if not candidates:
-        return None
+    how = Search(metric, mode, min_leaf, bins, most, delta_min, w_target_min)
     whole = rows.select(*order, value).withColumn("all", F.lit(1))
-    perf = whole.groupBy("all").agg(METRICS[metric](F.col(value)).alias("perf")).join(stability(whole, ["all"], order, value, bins), "all").first()
-    parent = perf["perf"] * perf["stability"]
-    scored: dict[int, dict[bool, tuple[float, int]]] = {}
-    for r in score_splits(rows, candidates, order, value, metric, bins).collect():  # two rows per candidate
-        scored.setdefault(r["cand"], {})[r["left"]] = (r["score"], r["n"])
+    score = whole.groupBy("all").agg(performance(metric)(F.col(value)).alias("perf")).join(stability(whole, ["all"], order, value, bins), "all").first()
+    parent = score["perf"] * score["stability"]
+    numeric = [(f, at) for f in features if f not in categories for at in thresholds(rows, f, most)]
+    gains = _gains(rows, numeric, order, value, how, parent) if numeric else {}
+    found: dict[str, tuple[Split, float]] = {}
+    for i in sorted(gains):
+        f = numeric[i][0]
+        if f not in found or gains[i] > found[f][1]:
+            found[f] = (numeric[i], gains[i])
+    found |= {f: got for f in features if f in categories for got in [_grown(rows, f, order, value, how, parent)] if got}
     best = None
-    for cand in sorted(scored):
-        sides = scored[cand]
-        if len(sides) < 2 or min(n for _, n in sides.values()) < min_leaf:
-            continue
-        scores = [s for s, _ in sides.values()]
-        gain = parent - min(scores) if mode == "bad" else max(scores) - parent
-        if gain > 0 and (best is None or gain > best[1]):
-            best = (candidates[cand], gain)
+    for f in features:
+        if f in found and found[f][1] > (best[1] if best else 0.0):
+            best = found[f]
     return best
 
 
-def fit_tree(rows: DataFrame, features: list[str], order: list[str], value: str = "ret", metric: str = "sharpe", mode: str = "good", max_depth: int = 2, min_leaf: int = 20) -> Node:
+def fit_tree(rows: DataFrame, features: list[str], order: list[str], value: str = "ret", metric: Metric = "sharpe", mode: str = "good", max_depth: int = 2, min_leaf: int = 20, bins: int = 5, categories: list[str] = (), delta_min: float = 0.0, w_target_min: float = 0.0, most: int = 19) -> Node:
     """A tree of splits, numbered in pre-order. The driver holds rules, never rows."""
     count = 0
 
@@ -139,12 +244,12 @@ def fit_tree(rows: DataFrame, features: list[str], order: list[str], value: str
         own = rows.where(condition(node.rule))
         if node.depth >= max_depth or own.count() < 2 * min_leaf:
             return node
-        found = best_split(own, features, order, value, metric, mode, min_leaf)
+        found = best_split(own, features, order, value, metric, mode, min_leaf, bins, categories, delta_min, w_target_min, most)
         if found:
             node.split, node.gain = found
-            f, at = node.split
-            node.left = grow(Node(count, node.depth + 1, [*node.rule, (f, "<=", at)]))
-            node.right = grow(Node(count, node.depth + 1, [*node.rule, (f, ">", at)]))
+            left, right = clauses(node.split)
+            node.left = grow(Node(count, node.depth + 1, [*node.rule, left]))
+            node.right = grow(Node(count, node.depth + 1, [*node.rule, right]))
         return node
 
     return grow(Node(0, 0))
@@ -163,23 +268,61 @@ def assign(rows: DataFrame, tree: Node) -> DataFrame:
     return rows.withColumn("leaf_id", out)
 
 
-def leaf_report(rows: DataFrame, tree: Node, value: str = "ret") -> DataFrame:
-    """Metrics of each leaf with its rule as text."""
-    text = {n.node_id: " AND ".join(f"{f} {s} {at:g}" for f, s, at in n.rule) or "all" for n in leaves(tree)}
-    rule = F.create_map(*[F.lit(x) for pair in text.items() for x in pair])
-    return metrics(assign(rows, tree), "leaf_id", value).withColumn("rule", rule[F.col("leaf_id")])
+def rule_text(rule: list[Clause]) -> str:
+    show = lambda at: "{" + ", ".join(at) + "}" if isinstance(at, tuple) else f"{at:g}"
+    return " AND ".join(f"{f} {side} {show(at)}" for f, side, at in rule) or "all"
 
 
-def feature_importances(tree: Node) -> dict[str, float]:
-    """Gains by feature, weighted by 1/(1 + depth), that sum to 1."""
-    total: dict[str, float] = {}
+def leaf_report(rows: DataFrame, tree: Node, value: str = "ret", order: list[str] | None = None, metric: Metric = "sharpe", mode: str = "good", bins: int = 5) -> DataFrame:
+    """Metrics of each leaf with its depth, rule, score and stability (if ``order`` is given).
+
+    Sorted by score, falling (good) or rising (bad), larger leaves first among equals.
+    """
+    found = {n.node_id: n for n in leaves(tree)}
+    named = lambda f: F.create_map(*[F.lit(x) for i, n in found.items() for x in (i, f(n))])[F.col("leaf_id")]
+    own = assign(rows, tree)
+    out = metrics(own, "leaf_id", value).withColumns({"rule": named(lambda n: rule_text(n.rule)), "depth": named(lambda n: n.depth)})
+    if order is None:
+        return out
+    perf = own.groupBy("leaf_id").agg(performance(metric)(F.col(value)).alias("perf_value"))
+    even = stability(own, ["leaf_id"], order, value, bins).select("leaf_id", "stability")
+    out = out.join(perf, "leaf_id").join(even, "leaf_id").withColumn("leaf_score", F.col("perf_value") * F.col("stability"))
+    return out.orderBy(F.asc("leaf_score") if mode == "bad" else F.desc("leaf_score"), F.desc("n"))
+
+
+def rules_json(report: DataFrame, tree: Node) -> DataFrame:
+    """Each leaf of a report as a JSON document with the clauses of its rule: leaf_id, json."""
+    found = {n.node_id: [{"feature": f, "op": side, "value": list(at) if isinstance(at, tuple) else at} for f, side, at in n.rule] for n in leaves(tree)}
+    text = F.create_map(*[F.lit(x) for i, r in found.items() for x in (i, json.dumps(r))])[F.col("leaf_id")]
+    rest = [c for c in report.columns if c not in ("rule", "leaf_id")]
+    return report.select("leaf_id", F.to_json(F.struct("leaf_id", *rest, F.col("rule").alias("rule_text"), text.alias("rule_clauses"))).alias("json"))
 
-    def walk(n: Node | None) -> None:
-        if n and n.split:
-            total[n.split[0]] = total.get(n.split[0], 0.0) + n.gain / (1 + n.depth)
-            walk(n.left)
-            walk(n.right)
 
-    walk(tree)
+def rules_text(report: DataFrame) -> DataFrame:
+    """One line per leaf of a report with scores: leaf_id, line."""
+    return report.select("leaf_id", F.format_string("[leaf %d | depth %d | n=%d] score=%.4g | perf=%.4g | stability=%.4g :: %s", "leaf_id", "depth", "n", "leaf_score", "perf_value", "stability", "rule").alias("line"))
+
+
+def members(rows: DataFrame, tree: Node, ids: list[str]) -> DataFrame:
+    """Leaf of each row by its id columns."""
+    return assign(rows, tree).select(*ids, "leaf_id")
+
+
+def walk(tree: Node) -> list[Node]:
+    """All nodes in pre-order."""
+    return [tree] if tree.split is None else [tree, *walk(tree.left), *walk(tree.right)]
+
+
+def feature_importances(tree: Node, depth_weighted: bool = True, normalize: bool = True) -> dict[str, float]:
+    """Gains by feature, falling; weighted by 1/(1 + depth), and scaled to sum to 1."""
+    total: dict[str, float] = {}
+    for n in walk(tree):
+        if n.split:
+            total[n.split[0]] = total.get(n.split[0], 0.0) + n.gain / (1 + n.depth if depth_weighted else 1)
     s = sum(total.values())
-    return {k: v / s for k, v in total.items()} if s else {}
+    return {k: v / s if normalize and s > 0 else v for k, v in sorted(total.items(), key=lambda x: -x[1])}
+
+
+def split_counts(tree: Node) -> dict[str, int]:
+    """How many splits use each feature, most first."""
+    return dict(Counter(n.split[0] for n in walk(tree) if n.split).most_common())

@@ -19,32 +19,55 @@ def co_events(events: DataFrame, bars: DataFrame) -> DataFrame:
     return out.withColumn("n_events", F.sum(F.coalesce("step", F.lit(0))).over(_cum())).drop("step")
 
 
-def uniqueness(events: DataFrame, bars: DataFrame) -> DataFrame:
-    """Events with ``uniqueness``: the mean of 1/(number of events) over their bars.
+def _covered(events: DataFrame, bars: DataFrame) -> DataFrame:
+    """Events with ``inverse`` and ``shared``: over their bars, the sums of 1/(number of
+    events) and of absolute log returns over the number of events.
 
-    A difference of running sums, looked up at both ends; no product of events and bars.
+    Bars, starts and ends of events go through the windows of one shuffle by symbol; both
+    ends of an event then meet in one aggregation. No product of events and bars.
     """
-    covered = co_events(events, bars)
-    total = covered.select("symbol", "bar_id", F.sum(1 / F.greatest("n_events", F.lit(1))).over(_cum()).alias("total"))
-    return _between(events, total).withColumn("uniqueness", F.coalesce(F.col("part") / (F.col("t1") - F.col("bar_id") + 1), F.lit(0.0))).drop("part")
+    w = Window.partitionBy("symbol").orderBy("bar_id")
+    move = F.abs(F.log("close") - F.log(F.lag("close").over(w)))
+    kept = F.struct(*events.columns)
+    none, step = F.lit(None).cast(events.schema.simpleString()), lambda n: F.lit(n).cast("int")
+    good = F.col("t1").isNotNull() & (F.col("t1") >= F.col("bar_id"))
+    # place: what comes first at a bar - its own row, then what looks the sums up after it
+    bar = bars.select("symbol", F.col("bar_id").alias("at"), step(0).alias("place"), step(0).alias("step"), move.alias("move"), none.alias("event"), step(0).alias("sign"))
+    marks = F.array(
+        F.struct(F.col("bar_id").alias("at"), step(-1).alias("place"), F.when(good, 1).otherwise(0).alias("step"), none.alias("event"), step(0).alias("sign")),
+        F.struct((F.col("t1") + 1).alias("at"), step(-1).alias("place"), F.when(good, -1).otherwise(0).alias("step"), none.alias("event"), step(0).alias("sign")),
+        F.struct((F.col("bar_id") - 1).alias("at"), step(1).alias("place"), step(0).alias("step"), kept.alias("event"), step(-1).alias("sign")),
+        F.struct(F.coalesce(F.col("t1"), F.col("bar_id") - 1).alias("at"), step(1).alias("place"), step(0).alias("step"), kept.alias("event"), step(1).alias("sign")),
+    )
+    ends = events.select("symbol", F.explode(marks).alias("m")).select("symbol", "m.at", "m.place", "m.step", F.lit(None).cast("double").alias("move"), "m.event", "m.sign").where("at IS NOT NULL")
+    order = Window.partitionBy("symbol").orderBy("at", "place").rowsBetween(Window.unboundedPreceding, 0)
+    run = bar.union(ends).withColumn("n", F.sum("step").over(order))
+    is_bar = (F.col("place") == 0)
+    run = run.withColumns({"inverse": F.when(is_bar, 1 / F.greatest("n", F.lit(1))), "shared": F.when(is_bar & (F.col("n") > 0), F.col("move") / F.col("n"))})
+    run = run.withColumns({c: F.coalesce(F.sum(c).over(order), F.lit(0.0)) for c in ("inverse", "shared")})
+    copies = F.count("*") / 2  # rows that repeat meet in one group, and go apart again
+    met = run.where("event IS NOT NULL").groupBy("event").agg(copies.cast("int").alias("copies"), *[(F.sum(F.col(c) * F.col("sign")) / copies).alias(c) for c in ("inverse", "shared")])
+    return met.select("event.*", "inverse", "shared", F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("_copy")).drop("_copy")
 
 
-def _between(events: DataFrame, total: DataFrame) -> DataFrame:
-    """``part``: the growth of a running sum over each event's bars."""
-    end = total.select("symbol", F.col("bar_id").alias("t1"), F.col("total").alias("at_end"))
-    before = total.select("symbol", (F.col("bar_id") + 1).alias("bar_id"), F.col("total").alias("at_start"))
-    joined = events.join(end, ["symbol", "t1"], "left").join(before, ["symbol", "bar_id"], "left")
-    return joined.withColumn("part", F.col("at_end") - F.coalesce("at_start", F.lit(0.0))).drop("at_end", "at_start")
+def uniqueness(events: DataFrame, bars: DataFrame) -> DataFrame:
+    """Events with ``uniqueness``: the mean of 1/(number of events) over their bars; 0 without any."""
+    return _with_uniqueness(_covered(events, bars)).drop("inverse", "shared")
+
+
+def _with_uniqueness(covered: DataFrame) -> DataFrame:
+    length = F.col("t1") - F.col("bar_id") + 1
+    return covered.withColumn("uniqueness", F.when(length > 0, F.col("inverse") / length).otherwise(0.0))
 
 
 def return_weights(events: DataFrame, bars: DataFrame, normalize: bool = True) -> DataFrame:
     """Events with ``w_return``: absolute log returns over their bars, shared among the
     events of each bar; scaled so that the weights of a symbol sum to its events."""
-    covered = co_events(events, bars)
-    move = F.abs(F.log("close") - F.log(F.lag("close").over(Window.partitionBy("symbol").orderBy("bar_id"))))
-    share = covered.withColumn("x", F.coalesce(F.try_divide(move, F.col("n_events")), F.lit(0.0)))
-    total = share.select("symbol", "bar_id", F.sum("x").over(_cum()).alias("total"))
-    out = _between(events, total).withColumn("w_return", F.coalesce("part", F.lit(0.0))).drop("part")
+    return _with_returns(_covered(events, bars), normalize).drop("inverse", "shared")
+
+
+def _with_returns(covered: DataFrame, normalize: bool) -> DataFrame:
+    out = covered.withColumn("w_return", F.when(F.col("t1") >= F.col("bar_id"), F.col("shared")).otherwise(0.0))
     if not normalize:
         return out
     own = Window.partitionBy("symbol")
@@ -64,8 +87,8 @@ def time_decay(events: DataFrame, last: float = 0.5) -> DataFrame:
 
 def event_weights(events: DataFrame, bars: DataFrame, last: float = 0.5) -> DataFrame:
     """All three weights and their product ``w_event``."""
-    out = time_decay(return_weights(uniqueness(events, bars), bars), last)
-    return out.withColumn("w_event", F.col("uniqueness") * F.col("w_return") * F.col("w_time"))
+    covered = _with_returns(_with_uniqueness(_covered(events, bars)), True).drop("inverse", "shared")
+    return time_decay(covered, last).withColumn("w_event", F.col("uniqueness") * F.col("w_return") * F.col("w_time"))
 
 
 def close_from_trades(trades: DataFrame) -> DataFrame:

@@ -47,7 +47,21 @@ register(
   FROM (SELECT b.symbol, b.bar_id, b.close, greatest(0, c.up + b.close - c.close) AS u, least(0, c.dn + b.close - c.close) AS d, least(0, c.dn + b.close - c.close) < -100000 AS fall FROM c JOIN bars b ON b.symbol = c.symbol AND b.bar_id = c.bar_id + 1))
 SELECT symbol, bar_id, direction FROM c WHERE direction <> 0""",
 )
-register("ev_cusum_dynamic", lambda s, d: ev.cusum_filter(daily(s, d), None, 100_000.0).select("symbol", "bar_id", F.col("direction").cast("int").alias("direction")))
+# exponential sums of weights, values and squares give the deviation of weights that fade
+_EWM = f"""rt AS (SELECT *, close / nullif(lag(close) OVER ({q.BY}), 0) - 1 AS ret FROM bars), ew AS (
+  SELECT symbol, bar_id, ret, CAST(0 AS DOUBLE) AS sw, CAST(0 AS DOUBLE) AS sww, CAST(0 AS DOUBLE) AS sx, CAST(0 AS DOUBLE) AS sxx FROM rt WHERE bar_id = 1
+  UNION ALL
+  SELECT r.symbol, r.bar_id, r.ret, e.sw * {{fade}} + 1, e.sww * {{fade}} * {{fade}} + 1, e.sx * {{fade}} + r.ret, e.sxx * {{fade}} + r.ret * r.ret FROM ew e JOIN rt r ON r.symbol = e.symbol AND r.bar_id = e.bar_id + 1),
+sd AS (SELECT symbol, bar_id, CASE WHEN bar_id > 2 THEN sqrt(greatest(sxx / sw - pow(sx / sw, 2), 0) * sw * sw / nullif(sw * sw - sww, 0)) END AS dev FROM ew)"""
+register(
+    "ev_cusum_dynamic", lambda s, d: ev.cusum_filter(daily(s, d), None, 100_000.0).select("symbol", "bar_id", F.col("direction").cast("int").alias("direction")),
+    f"""WITH RECURSIVE {q.BARS}, {_EWM.format(fade='(99.0::DOUBLE / 101.0::DOUBLE)')}, th AS (SELECT b.*, sd.dev * 100000 AS lim FROM bars b LEFT JOIN sd USING (symbol, bar_id)), c AS (
+  SELECT symbol, bar_id, close, CAST(0 AS DOUBLE) AS up, CAST(0 AS DOUBLE) AS dn, 0 AS direction FROM th WHERE bar_id = 1
+  UNION ALL
+  SELECT symbol, bar_id, close, CASE WHEN NOT fall AND rise THEN 0 ELSE u END, CASE WHEN fall THEN 0 ELSE d END, CASE WHEN fall THEN -1 WHEN rise THEN 1 ELSE 0 END
+  FROM (SELECT *, coalesce(d < -lim, false) AS fall, coalesce(u > lim, false) AS rise FROM (SELECT b.symbol, b.bar_id, b.close, b.lim, greatest(0, c.up + b.close - c.close) AS u, least(0, c.dn + b.close - c.close) AS d FROM c JOIN th b ON b.symbol = c.symbol AND b.bar_id = c.bar_id + 1)))
+SELECT symbol, bar_id, direction FROM c WHERE direction <> 0""",
+)
 
 # volatility
 RET = f"rt AS (SELECT *, close / nullif(lag(close) OVER ({q.BY}), 0) - 1 AS ret FROM bars)"
@@ -87,7 +101,7 @@ VB = f"{HB}, lb AS (SELECT symbol, max(bar_id) AS last_bar FROM bars GROUP BY 1)
 
 def _sr_events(s, d):
     b = daily(s, d)
-    return b, bar.vertical(bar.horizontal(ev.level_break(b, SPAN), b, "std", 20), b, HOLD)
+    return b, bar.vertical(bar.horizontal(ev.level_break(bar.prepared(b, "std", 20), SPAN), b, "std", 20), b, HOLD)
 
 
 register("barriers_horizontal", lambda s, d: _sr_events(s, d)[1].select("symbol", "bar_id", "direction", r("entry_price"), r("sigma", 6), r("pt"), r("sl")), f"WITH {q.BARS}, {HB} SELECT symbol, bar_id, direction, round(entry_price, 4) + 0.0 AS entry_price, round(sigma, 6) + 0.0 AS sigma, round(pt, 4) + 0.0 AS pt, round(sl, 4) + 0.0 AS sl FROM hz")
@@ -160,11 +174,9 @@ T = f"WITH {q.BARS}, {touched('close', 'close')}, rr AS (SELECT *, (exit_price -
 _rets = lambda s, d: perf.trade_returns(_close_trades(s, d))
 PY = perf.periods_per_year("1D")
 register("perf_returns", lambda s, d: _rets(s, d).select("symbol", "bar_id", r("ret", 6)), f"{T} SELECT symbol, bar_id, round(ret, 6) + 0.0 AS ret FROM rr")
-EQ = f"{T}, eq AS (SELECT *, exp(sum(ln(1 + ret)) {q.RUNNING}) AS equity FROM rr), dd AS (SELECT *, max(equity) {q.RUNNING} AS peak FROM eq), de AS (SELECT *, equity / peak - 1 AS drawdown FROM dd)"
-_tame = lambda s, d: _rets(s, d).where("ret > -0.9")
-EQ = EQ.replace("FROM rr), dd", "FROM rr WHERE ret > -0.9), dd")
-register("perf_equity", lambda s, d: perf.equity(_tame(s, d)).select("symbol", "bar_id", F.round(F.log("equity"), 6).alias("log_equity"), r("drawdown", 6)), f"{EQ} SELECT symbol, bar_id, round(ln(equity), 6) AS log_equity, round(drawdown, 6) + 0.0 AS drawdown FROM de")
-register("perf_drawdown", lambda s, d: perf.max_drawdown(_tame(s, d)).select("symbol", r("max_drawdown", 6), "peak_at", "trough"), f"{EQ}, lo AS (SELECT symbol, min(drawdown) AS max_drawdown, min_by(bar_id, (drawdown, bar_id)) AS trough, min_by(peak, (drawdown, bar_id)) AS pk FROM de GROUP BY 1) SELECT lo.symbol, round(max_drawdown, 6) + 0.0 AS max_drawdown, min(de.bar_id) AS peak_at, trough FROM lo JOIN de ON de.symbol = lo.symbol AND de.equity = pk AND de.bar_id <= trough GROUP BY ALL")
+EQ = f"{T}, eq AS (SELECT *, product(1 + coalesce(ret, 0)) {q.RUNNING} AS equity FROM rr), dd AS (SELECT *, max(equity) {q.RUNNING} AS peak FROM eq), de AS (SELECT *, equity / peak - 1 AS drawdown FROM dd)"
+register("perf_equity", lambda s, d: perf.equity(_rets(s, d)).select("symbol", "bar_id", F.signum("equity").alias("sign"), F.round(F.log(F.abs("equity")), 6).alias("log_equity"), r("drawdown", 6)), f"{EQ} SELECT symbol, bar_id, sign(equity)::DOUBLE AS sign, CASE WHEN equity <> 0 THEN round(ln(abs(equity)), 6) END AS log_equity, round(drawdown, 6) + 0.0 AS drawdown FROM de")
+register("perf_drawdown", lambda s, d: perf.max_drawdown(_rets(s, d)).select("symbol", r("max_drawdown", 6), "peak_at", "trough"), f"{EQ}, lo AS (SELECT symbol, min(drawdown) AS max_drawdown, min_by(bar_id, (drawdown, bar_id)) AS trough, min_by(peak, (drawdown, bar_id)) AS pk FROM de GROUP BY 1) SELECT lo.symbol, round(max_drawdown, 6) + 0.0 AS max_drawdown, min(de.bar_id) AS peak_at, trough FROM lo JOIN de ON de.symbol = lo.symbol AND de.equity = pk AND de.bar_id <= trough GROUP BY ALL")
 _BASIC = "count(ret) AS n_trades, round(100 * avg((ret > 0)::INT), 6) AS win_rate, CASE WHEN coalesce(sum(-ret) FILTER (ret < 0), 0) > 0 THEN round(coalesce(sum(ret) FILTER (ret > 0), 0) / sum(-ret) FILTER (ret < 0), 6) WHEN sum(ret) FILTER (ret > 0) > 0 THEN CAST('inf' AS DOUBLE) END AS profit_factor, round(avg(ret) * 365 / (stddev_samp(ret) * sqrt(365)), 6) + 0.0 AS sharpe"
 register("perf_basic", lambda s, d: perf.basic(_rets(s, d), PY).select("symbol", "n_trades", r("win_rate", 6), r("profit_factor", 6), r("sharpe", 6)), f"{T} SELECT symbol, {_BASIC} FROM rr GROUP BY 1")
 register("perf_sharpe", lambda s, d: _rets(s, d).groupBy("direction").agg(F.round(perf.sharpe(F.col("ret"), PY, 0.02), 6).alias("sharpe")), f"{T} SELECT direction, round((avg(ret) * 365 - 0.02) / (stddev_samp(ret) * sqrt(365)), 6) + 0.0 AS sharpe FROM rr GROUP BY 1")

@@ -70,7 +70,7 @@ register("bars_resample_4h", lambda s, d: src.resample(hourly(s, d), src.hours_b
 register("bars_resample_week", lambda s, d: src.resample(hourly(s, d), F.date_trunc("week", "open_time")), _resampled("CAST(date_trunc('week', open_time) AS TIMESTAMP)"))
 register("source_date_filter", lambda s, d: daily(s, d).where(F.col("open_time").between(F.lit("1995-01-01").cast("timestamp_ntz"), F.lit("1996-06-30").cast("timestamp_ntz"))), f"WITH {q.BARS} SELECT * FROM bars WHERE open_time BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1996-06-30'")
 register("source_symbol_catalog", lambda s, d: src.available_symbols(daily(s, d)), f"WITH {q.BARS} SELECT DISTINCT symbol FROM bars")
-register("data_info", lambda s, d: src.data_info(daily(s, d)), f"WITH {q.BARS} SELECT symbol, min(open_time) AS start_time, max(open_time) AS end_time, count(*) AS n_bars FROM bars GROUP BY 1")
+register("data_info", lambda s, d: src.data_info(daily(s, d)).drop("n_columns"), f"WITH {q.BARS} SELECT symbol, min(open_time) AS start_time, max(open_time) AS end_time, count(*) AS n_bars FROM bars GROUP BY 1")
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:

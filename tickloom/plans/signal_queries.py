@@ -7,22 +7,47 @@ from pyspark.sql import functions as F
 from tickloom.operators import filters as flt
 from tickloom.operators import levels as lev
 from tickloom.plans import sql as q
-from tickloom.plans.queries import daily, hourly, on_bars, r, register
+from tickloom.plans.queries import ORACLES, daily, hourly, on_bars, r, register
 from tickloom.sources import bars as src
 
 on_bars(
     "flt_kalman", {"kalman": 4}, flt.kalman_filter,
     f"k AS (SELECT symbol, bar_id, close AS v, 1.0::DOUBLE - 1.0::DOUBLE / (1.0::DOUBLE + 0.1::DOUBLE) AS p FROM bars WHERE bar_id = 1 UNION ALL SELECT b.symbol, b.bar_id, k.v + (k.p + 0.01::DOUBLE) / (k.p + 0.01::DOUBLE + 0.1::DOUBLE) * (b.close - k.v), (k.p + 0.01::DOUBLE) * (1 - (k.p + 0.01::DOUBLE) / (k.p + 0.01::DOUBLE + 0.1::DOUBLE)) FROM k JOIN bars b ON b.symbol = k.symbol AND b.bar_id = k.bar_id + 1), o AS (SELECT symbol, bar_id, v AS kalman FROM k)",
 )
-_W = flt.savgol_weights(11, 2)
-_SG = " + ".join(f"lead(close, {k}) OVER ({q.BY}) * ({w!r})" if k else f"close * ({w!r})" for k, w in zip(range(-5, 6), _W))
-on_bars("flt_savgol", {"savgol": 3}, flt.savitzky_golay, f"o AS (SELECT *, {_SG} AS savgol FROM bars)")
+# a quadratic fit over 11 points, by polynomials orthogonal over -5..5: 1, t and t*t - 10
+_SG = "sum(w.close * (1 / 11.0::DOUBLE + s * t / 110.0::DOUBLE + (s * s - 10) * (t * t - 10) / 858.0::DOUBLE))"
+on_bars(
+    "flt_savgol", {"savgol": 3}, flt.savitzky_golay,
+    f"""sz AS (SELECT *, count(*) OVER (PARTITION BY symbol) AS n FROM bars), ce AS (SELECT *, least(greatest(bar_id, 6), n - 5) AS middle FROM sz),
+    sg AS (SELECT symbol, bar_id, {_SG} AS savgol FROM (SELECT c.symbol, c.bar_id, w.close, c.bar_id - c.middle AS s, w.bar_id - c.middle AS t FROM ce c JOIN bars w ON w.symbol = c.symbol AND w.bar_id BETWEEN c.middle - 5 AND c.middle + 5 WHERE c.n >= 11) w GROUP BY 1, 2),
+    o AS (SELECT symbol, bar_id, savgol FROM ce LEFT JOIN sg USING (symbol, bar_id))""",
+)
 on_bars("flt_hp", {"trend": 3, "cycle": 3}, flt.hodrick_prescott, None)
 on_bars("flt_butter", {"butter": 3}, flt.butterworth, None)
 on_bars("flt_wavelet", {"wavelet": 3}, flt.wavelet, None)
 on_bars("flt_ensemble", {"ensemble": 3}, lambda b: flt.ensemble(flt.wavelet(flt.kalman_filter(b)), {"kalman": 2.0, "wavelet": 1.0}), None)
-register("sadf", lambda s, d: flt.sadf(hourly(s, d).withColumn("close", F.log("close"))).select("symbol", "bar_id", r("sadf", 4)))
-register("sadf_signals", lambda s, d: flt.sadf_signals(flt.sadf(hourly(s, d))).select("symbol", "bar_id", "signal", r("log_equity", 6)))
+
+
+def _sadf(value: str) -> str:
+    """Oracle tables up to ``sd``: the statistic from sums over every span of 30 moves or more."""
+    sums = ", ".join(f"sum({x}) OVER w AS {n}" for n, x in {"cy": "y", "cd": "d", "cyy": "y * y", "cyd": "y * d", "cdd": "d * d"}.items())
+    parts = ", ".join(f"b.{n} - coalesce(a.{n}, 0) AS {n}" for n in ("cy", "cd", "cyy", "cyd", "cdd"))
+    return f"""{q.HOURLY}, va AS (SELECT *, {value} AS v FROM hourly), mv AS (SELECT symbol, bar_id, close, lag(v) OVER ({q.BY}) - first_value(v) OVER ({q.BY}) AS y, v - lag(v) OVER ({q.BY}) AS d FROM va),
+    cu AS (SELECT symbol, bar_id, close, {sums} FROM mv WINDOW w AS ({q.BY} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    sp AS (SELECT b.symbol, b.bar_id, b.bar_id - a.bar_id AS n, {parts} FROM cu b JOIN cu a ON a.symbol = b.symbol AND b.bar_id - a.bar_id >= 30),
+    st AS (SELECT symbol, bar_id, n, cyy - cy * cy / n AS vy, cyd - cy * cd / n AS cv, cdd - cd * cd / n AS vd FROM sp),
+    tt AS (SELECT symbol, bar_id, max(t) AS sadf FROM (SELECT *, cv / vy / nullif(sqrt(greatest(vd - cv / vy * cv, 0) / (n - 2) / vy), 0) AS t FROM st WHERE vy > 0) WHERE isfinite(t) GROUP BY 1, 2),
+    sd AS (SELECT symbol, bar_id, close, sadf FROM cu LEFT JOIN tt USING (symbol, bar_id))"""
+
+
+register("sadf", lambda s, d: flt.sadf(hourly(s, d).withColumn("close", F.log("close"))).select("symbol", "bar_id", r("sadf", 4)), f"WITH {_sadf('ln(close)')} SELECT symbol, bar_id, round(sadf, 4) + 0.0 AS sadf FROM sd")
+register(
+    "sadf_signals", lambda s, d: flt.sadf_signals(flt.sadf(hourly(s, d))).select("symbol", "bar_id", "signal", r("log_equity", 6)),
+    f"""WITH RECURSIVE {_sadf('close')}, hy AS (SELECT symbol, bar_id, CASE WHEN coalesce(sadf > 1.0, false) THEN 1 ELSE 0 END AS signal FROM sd WHERE bar_id = 1
+      UNION ALL SELECT s.symbol, s.bar_id, CASE WHEN h.signal = 0 AND coalesce(s.sadf > 1.0, false) THEN 1 WHEN h.signal = 1 AND coalesce(s.sadf < 1.5, true) THEN 0 ELSE h.signal END FROM hy h JOIN sd s ON s.symbol = h.symbol AND s.bar_id = h.bar_id + 1),
+    rt AS (SELECT symbol, bar_id, signal, ln(close / lag(close) OVER ({q.BY})) * lag(signal) OVER ({q.BY}) AS x FROM hy JOIN sd USING (symbol, bar_id))
+    SELECT symbol, bar_id, CAST(signal AS BIGINT) AS signal, round(sum(coalesce(x, 0)) {q.RUNNING}, 6) + 0.0 AS log_equity FROM rt""",
+)
 
 register(
     "volume_profile", lambda s, d: lev.volume_profile(hourly(s, d)).select("symbol", "bin", r("price", 8), r("volume", 6), "poc", "high_volume", "value_area"),
@@ -32,7 +57,8 @@ register(
     ra AS (SELECT *, row_number() OVER w AS rn, sum(volume) OVER (PARTITION BY symbol ORDER BY volume DESC, bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, sum(volume) OVER (PARTITION BY symbol) AS total, quantile_cont(volume, 0.7) OVER (PARTITION BY symbol) AS p70 FROM pr WINDOW w AS (PARTITION BY symbol ORDER BY volume DESC, bin))
     SELECT symbol, bin, round(price, 8) + 0.0 AS price, round(volume, 6) + 0.0 AS volume, rn = 1 AS poc, volume >= p70 AS high_volume, before IS NULL OR before < 0.7 * total AS value_area FROM ra""",
 )
-register("volume_profile_levels", lambda s, d: lev.profile_levels(lev.volume_profile(hourly(s, d))).select("symbol", "side", "rank", r("price", 6), r("volume", 6)))
+register("volume_profile_levels", lambda s, d: lev.profile_levels(lev.volume_profile(hourly(s, d))).select("symbol", "side", "rank", r("price", 6), r("volume", 6)), ORACLES["volume_profile"].split("SELECT symbol, bin, round(price, 8)")[0] + """, lc AS (SELECT symbol, max_by(close, bar_id) AS last_close FROM lb GROUP BY 1), sd AS (SELECT ra.*, CASE WHEN price < last_close THEN 'support' ELSE 'resistance' END AS side FROM ra JOIN lc USING (symbol) WHERE volume >= p70),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY symbol, side ORDER BY volume DESC, bin) AS rank FROM sd) SELECT symbol, side, CAST(rank AS INT) AS rank, round(price, 6) + 0.0 AS price, round(volume, 6) + 0.0 AS volume FROM rk WHERE rank <= 3""")
 
 
 def _mtf(s, d):
@@ -40,4 +66,21 @@ def _mtf(s, d):
     return lev.multi_timeframe_levels(hourly(s, d), frames).select("symbol", "side", "cluster", r("price", 6), "touches", r("score", 6), "major")
 
 
-register("mtf_levels", _mtf)
+_FRAMES = {"1h": ("open_time", 1.0), "4h": ("CAST(time_bucket(INTERVAL 4 HOUR, open_time, TIMESTAMP '2000-01-01') AS TIMESTAMP)", 2.0), "1d": ("CAST(date_trunc('day', open_time) AS TIMESTAMP)", 3.0)}
+_RES = " UNION ALL ".join(f"SELECT symbol, '{n}' AS timeframe, {w}::DOUBLE AS weight, {b} AS open_time, min_by(open, bar_id) AS open, max(high) AS high, min(low) AS low, max_by(close, bar_id) AS close, sum(volume) AS volume FROM hourly GROUP BY ALL" for n, (b, w) in _FRAMES.items())
+register(
+    "mtf_levels", _mtf,
+    f"""WITH RECURSIVE {q.HOURLY}, rs AS ({_RES}), nm AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY symbol, timeframe) AS n, coalesce(lag(close) OVER w, open) AS pc FROM rs WINDOW w AS (PARTITION BY symbol, timeframe ORDER BY open_time)),
+    tr AS (SELECT *, greatest(high - low, abs(high - pc), abs(low - pc)) AS tr FROM nm), wr AS (
+      SELECT symbol, timeframe, i, avg(tr) FILTER (i <= 14) OVER (PARTITION BY symbol, timeframe) AS v FROM tr QUALIFY i <= 14
+      UNION ALL SELECT a.symbol, a.timeframe, t.i, (a.v * 13 + t.tr) / 14 FROM wr a JOIN tr t ON t.symbol = a.symbol AND t.timeframe = a.timeframe AND t.i = a.i + 1 WHERE t.i > 14 AND a.i >= 14),
+    rc AS (SELECT tr.*, greatest(2, trunc(v / (close * 0.001))::BIGINT) AS reach FROM tr JOIN wr USING (symbol, timeframe, i)),
+    bt AS (SELECT a.symbol, a.timeframe, a.i, bool_or(b.high >= a.high) AS over_, bool_or(b.low <= a.low) AS under_ FROM rc a JOIN rc b ON b.symbol = a.symbol AND b.timeframe = a.timeframe AND b.i <> a.i AND b.i BETWEEN a.i - a.reach AND a.i + a.reach GROUP BY ALL),
+    pt AS (SELECT rc.*, NOT over_ AS top, NOT under_ AS bottom FROM rc JOIN bt USING (symbol, timeframe, i) WHERE i > 2 AND i <= n - 2),
+    pv AS (SELECT symbol, 'resistance' AS side, open_time, weight, high AS price, volume FROM pt WHERE top UNION ALL SELECT symbol, 'support', open_time, weight, low, volume FROM pt WHERE bottom),
+    gp AS (SELECT *, coalesce((price - lag(price) OVER w > 0.005::DOUBLE * avg(price) OVER (PARTITION BY symbol, side))::INT, 0) AS gap FROM pv WINDOW w AS (PARTITION BY symbol, side ORDER BY price, open_time)),
+    cl AS (SELECT *, CAST(sum(gap) OVER (PARTITION BY symbol, side ORDER BY price, open_time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cluster FROM gp),
+    la AS (SELECT *, max(open_time) OVER (PARTITION BY symbol, side, cluster) AS last_time FROM cl),
+    sc AS (SELECT symbol, side, cluster, coalesce(sum(price * volume) / nullif(sum(volume), 0), avg(price)) AS price, count(*) AS touches, (count(*) + sum(weight) + CASE WHEN sum(volume) > 0 THEN count(*) ELSE 0 END) * avg(exp(-floor(epoch(last_time - open_time) / 86400) / 30.0::DOUBLE)) AS score FROM la GROUP BY ALL HAVING count(*) >= 2)
+    SELECT symbol, side, cluster, round(price, 6) + 0.0 AS price, touches, round(score, 6) + 0.0 AS score, score >= 5 AS major FROM sc""",
+)

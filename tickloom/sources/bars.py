@@ -10,7 +10,7 @@ ALIASES = {"open": "open", "high": "high", "low": "low", "close": "close", "volu
 #: Names under which files may hold the time of a bar (fixed values).
 TIME_COLUMNS = ["date", "datetime", "timestamp", "time", "opentime", "open_time"]
 #: Formats that times are tried in after the default (fixed values).
-TIME_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "yyyy/MM/dd"]
+TIME_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "dd-MM-yyyy", "dd/MM/yyyy", "MM/dd/yyyy", "yyyy/MM/dd"]
 #: Folder of each timeframe below a root (fixed values).
 TIMEFRAME_MINUTES = {"m": 1, "h": 60, "d": 1440, "w": 10080}
 
@@ -85,7 +85,9 @@ def _time_column(df: DataFrame, named: str | None) -> str:
 
 
 def _parsed(column: Column) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(column, F.lit(f)) for f in TIME_FORMATS], F.try_to_timestamp(column)).cast("timestamp_ntz")
+    """The time of a text in any known format; a text in none of them is an error, never a null."""
+    found = F.coalesce(*[F.try_to_timestamp(column, F.lit(f)) for f in TIME_FORMATS], F.try_to_timestamp(column)).cast("timestamp_ntz")
+    return F.when(column.isNull() | found.isNotNull(), found).otherwise(F.raise_error(F.concat(F.lit("not a time: "), column)).cast("timestamp_ntz"))
 
 
 def _finish(df: DataFrame, time: str, normalize: bool) -> DataFrame:
@@ -97,12 +99,14 @@ def _finish(df: DataFrame, time: str, normalize: bool) -> DataFrame:
     return out.select("symbol", stamp.alias("open_time"), *prices)
 
 
-def read_ohlcv(spark: SparkSession, paths: list[str] | str, file_format: str = "parquet", date_column: str | None = None, normalize: bool = True, start: str | None = None, end: str | None = None) -> DataFrame:
+def read_ohlcv(spark: SparkSession, paths: list[str] | str, file_format: str = "parquet", date_column: str | None = None, normalize: bool = True, start: str | None = None, end: str | None = None, skip_bad: bool = False) -> DataFrame:
     """Numbered bars from files; the symbol is the file's name before its suffix.
 
-    ``start`` and ``end`` bound open_time, both included.
+    ``start`` and ``end`` bound open_time, both included. ``skip_bad``: leave out files
+    that are gone or can't be read, instead of failing.
     """
     reader = spark.read.option("header", True) if file_format == "csv" else spark.read
+    reader = reader.options(ignoreCorruptFiles=skip_bad, ignoreMissingFiles=skip_bad)
     raw = reader.format(file_format).load(paths)
     time = _time_column(raw, date_column)
     stem = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.[^/.]+)?$", 1)
@@ -146,8 +150,14 @@ def available_symbols(bars: DataFrame) -> DataFrame:
 
 
 def data_info(bars: DataFrame) -> DataFrame:
-    """First and last time and number of bars by symbol."""
-    return bars.groupBy("symbol").agg(F.min("open_time").alias("start_time"), F.max("open_time").alias("end_time"), F.count("*").alias("n_bars"))
+    """First and last time, number of bars and of columns by symbol."""
+    return bars.groupBy("symbol").agg(F.min("open_time").alias("start_time"), F.max("open_time").alias("end_time"), F.count("*").alias("n_bars")).withColumn("n_columns", F.lit(len(bars.columns)))
+
+
+def stored_size(spark: SparkSession, path: str) -> DataFrame:
+    """Bytes and number of the files below a path, by their folder."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    return files.groupBy(F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("folder")).agg(F.sum("length").alias("n_bytes"), F.count("*").alias("n_files"))
 
 
 def timeframe_minutes(timeframe: str) -> int:
@@ -168,6 +178,16 @@ def estimate_download_seconds(symbols: int, days: int, timeframe: str, workers:
 QUOTES = ["USDT", "BTC", "ETH", "BNB", "BUSD", "USDC"]
 
 
+def trading(symbols: DataFrame, status: str = "TRADING", column: str = "status") -> DataFrame:
+    """Symbols of a status, in upper case."""
+    return symbols.where(F.upper(column) == status).withColumn("symbol", F.upper("symbol"))
+
+
+def keep_listed(wanted: DataFrame, listed: DataFrame) -> DataFrame:
+    """The wanted symbols that a catalog lists, in the order asked for (columns symbol, place)."""
+    return wanted.join(listed.select("symbol"), "symbol", "left_semi").orderBy("place")
+
+
 def categorize(symbols: DataFrame, quote: str = "quote_asset") -> DataFrame:
     """Category of each market symbol by its quote asset."""
     return symbols.withColumn("category", F.when(F.col(quote).isin(QUOTES), F.concat(F.col(quote), F.lit("_PAIR"))).otherwise("OTHER"))
