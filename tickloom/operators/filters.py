@@ -85,6 +85,11 @@ def butter(order: int, cutoff: float | tuple[float, float], kind: str = "low") -
     return b * abs(np.polyval(a, at) / np.polyval(b, at)), a
 
 
+def butter_low(order: int, cutoff: float) -> tuple[np.ndarray, np.ndarray]:
+    """The low pass of ``butter``."""
+    return butter(order, cutoff)
+
+
 def iir(b: np.ndarray, a: np.ndarray, x: np.ndarray, start: float) -> np.ndarray:
     """Direct-form filter that begins at rest in a constant ``start``."""
     n = len(b) - 1
@@ -200,6 +205,11 @@ def wavelet_denoise(x: np.ndarray, family: int = 1, levels: int = 3, mode: str =
     return wavelet_join(steps, h, len(x))
 
 
+def haar_denoise(x: np.ndarray, levels: int = 3) -> np.ndarray:
+    """Haar wavelet shrinkage (soft)."""
+    return wavelet_denoise(x, 1, levels)
+
+
 def wavelet(df: DataFrame, column: str = "close", levels: int = 3, family: int = 1, mode: str = "soft") -> DataFrame:
     """Denoised values; ``family``: vanishing moments (1: Haar, 8: db8)."""
     return _one(df, column, "wavelet", lambda x: wavelet_denoise(x, family, levels, mode))
