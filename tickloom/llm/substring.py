@@ -156,7 +156,8 @@ def repeated_passages(docs: DataFrame, window: int = 50, key: str = "doc_id", te
     row = ["doc_id", "t"]
     seen = written(summary(own, window), "summary")
     named = seen.where("doc_id IS NOT NULL")
-    firsts = named.groupBy("c1", "c2").agg(F.min("doc_id").alias("first"))
+    # written, so that the join can split a text that many documents share
+    firsts = written(named.groupBy("c1", "c2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"), "firsts")
     copies = named.join(firsts, ["c1", "c2"]).where(F.col("doc_id") > F.col("first")).select(*row, "n_words").distinct()
 
     anchors = named.select(F.explode("anchors").alias("anchor"), *row)
