@@ -171,6 +171,13 @@ def test_token_counts(spark, library):
     assert count(t[: asked[12].fits]) <= 5 < count(t[: asked[12].fits + 1])
 
 
+def test_fits_in_takes_the_longest_prefix(spark):
+    """A longer prefix may have fewer tokens than one before it."""
+    table = spark.createDataFrame([(1, [1, 2, 3, 5], [1, 2, 1, 3]), (2, [], [])], "doc_id long, prefix_end array<int>, prefix_tokens array<int>")
+    got = {r.doc_id: (r.one, r.two, r.none) for r in table.select("doc_id", *[token_counts.fits_in(F.lit(n)).alias(c) for n, c in ((1, "one"), (2, "two"), (0, "none"))]).collect()}
+    assert got == {1: (3, 3, 0), 2: (0, 0, 0)}
+
+
 def hamming_components(fps):
     label = list(range(len(fps)))
     for i in range(len(fps)):
@@ -355,6 +362,68 @@ def test_toxicity(spark):
     assert {r.score >= 0.7 for r in none.collect()} == {False}
 
 
+def test_kneser_ney_by_hand():
+    """The ratio table against sums written out sequence by sequence."""
+    rng = np.random.default_rng(6)
+    s, order = toxicity.SYMBOLS, toxicity.ORDER
+    counts = [np.zeros(s**order, np.int64) for _ in range(2)]
+    for c in counts:
+        np.add.at(c, (s**order * rng.random(3000) ** 6).astype(np.int64), 1)
+    split = lambda code: tuple(code // s**k % s for k in range(order - 1, -1, -1))
+    held = [{split(int(k)): int(c[k]) for k in np.flatnonzero(c)} for c in counts]
+    both = set(held[0]) | set(held[1])
+
+    def discount(values):
+        one, two = sum(v == 1 for v in values), sum(v == 2 for v in values)
+        return one / (one + 2 * two) if one and two else 0.5
+
+    # how many contexts a sequence follows, in either class, by the length of the sequence
+    tails, known = {}, {g[1:] for g in both}
+    for n in range(1, order):
+        tails[n] = {}
+        for g in {(g[0], *g[1:]) for g in both}:
+            if n == order - 1:
+                tails[n].setdefault(g[1:], set()).add(g[0])
+    full = {t: len(x) for t, x in tails[order - 1].items()}
+    assert set(full) == known
+    for n in range(order - 2, 0, -1):
+        tails[n] = {}
+        for t, k in full.items():
+            tails[n][t[-n:]] = tails[n].get(t[-n:], 0) + k
+    tails[order - 1] = full
+
+    def below(gram):
+        if not gram:
+            return 1 / s
+        table = tails[len(gram)]
+        d = discount(table.values())
+        own = {t: k for t, k in table.items() if t[:-1] == gram[:-1]}
+        rest = below(gram[1:])
+        return (max(own.get(gram, 0) - d, 0) + d * len(own) * rest) / sum(own.values()) if own else rest
+
+    def chance(k, gram):
+        d = discount(held[k].values())
+        own = {g: n for g, n in held[k].items() if g[:-1] == gram[:-1]}
+        rest = below(gram[1:])
+        return (max(own.get(gram, 0) - d, 0) + d * len(own) * rest) / sum(own.values()) if own else rest
+
+    got = toxicity.ratio_table(*counts)
+    some = [*np.flatnonzero(counts[0])[:40], *np.flatnonzero(counts[1])[:40], *rng.integers(0, s**order, 40)]
+    for code in some:
+        want = np.log(chance(1, split(int(code)))) - np.log(chance(0, split(int(code))))
+        assert abs(got[code] - want) < 1e-4, split(int(code))
+
+
+def test_shared_folder_is_named_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tickloom.llm.common import shared_dir
+
+    session = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(session)
+
+
 def test_ann(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 16)).astype(np.float32)
