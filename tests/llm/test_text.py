@@ -171,6 +171,21 @@ def test_token_counts(spark, library):
     assert count(t[: asked[12].fits]) <= 5 < count(t[: asked[12].fits + 1])
 
 
+def test_prefixes_of_words(library):
+    """Counts of every prefix against the library: random letters, affixes and a long run."""
+    from tickloom.llm import wordtokens
+
+    own = wordtokens.load(WORD_BPE)
+    draw = random.Random(12)
+    words = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(draw.randint(1, 25))) for _ in range(300)]
+    words += ["".join(draw.choice(["the", "ation", "ing", "er", "s", "un", "heit", "schaft", "ment", "ly"]) for _ in range(draw.randint(1, 7))) for _ in range(300)]
+    words += ["Internationalization", "x" * 300, "AbC"]
+    prefixes = [w[: k + 1] for w in words for k in range(len(w))]
+    want = [len(e.ids) for e in library.encode_batch(prefixes, add_special_tokens=False)]
+    got = [n for w in words for n in own.prefix_counts(w)]
+    assert got == want
+
+
 def test_fits_in_takes_the_longest_prefix(spark):
     """A longer prefix may have fewer tokens than one before it."""
     table = spark.createDataFrame([(1, [1, 2, 3, 5], [1, 2, 1, 3]), (2, [], [])], "doc_id long, prefix_end array<int>, prefix_tokens array<int>")

@@ -7,6 +7,7 @@ Each batch therefore hands the library its distinct chunks only.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 from typing import NamedTuple
@@ -49,6 +50,7 @@ class WordTokens:
             raise ValueError("the tokenizer must lower-case, drop white space and part marks from words")
         self.dtype = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.prefixes: Prefixes | None = None
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
@@ -79,7 +81,16 @@ class WordTokens:
                 self.known[w] = struct.pack(f"<{len(e.ids)}{self.code}", *e.ids)
 
     def prefix_counts(self, chunk: str) -> list[int]:
-        """Tokens of each prefix of a chunk, by characters."""
+        """Tokens of each prefix of a chunk, by characters.
+
+        A run of ASCII letters is one word of the tokenizer, so a dynamic program gives
+        the counts of all of its prefixes at once; in other chunks a cut may change how
+        the text parts into words, so each prefix is encoded.
+        """
+        if chunk.isascii() and chunk.isalpha():
+            if self.prefixes is None:
+                self.prefixes = Prefixes(json.loads(self.library.to_str())["model"])
+            return self.prefixes.counts(chunk.lower())
         return [len(i) // self.dtype.itemsize for i in self.chunks([chunk[: k + 1] for k in range(len(chunk))])]
 
     def encode(self, texts: pa.Array, with_ids: bool = True) -> Encoded:
@@ -102,6 +113,55 @@ class WordTokens:
         return Encoded(ids, total[offsets], chunk_ends, chunk_tokens, offsets)
 
 
+class Prefixes:
+    """Counts of tokens at every prefix of a word, from the merges of a tokenizers model.
+
+    Tokens follow each other in an encoding exactly if each two neighbours, taken alone,
+    encode to themselves. So the last token of a prefix is the one that fits the encoding
+    of what is before it, and a prefix has one token more than that. The token that ends
+    a prefix carries the mark of a word's end; the ones inside do not.
+    """
+
+    def __init__(self, model: dict) -> None:
+        self.end = model.get("end_of_word_suffix") or ""
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.rank = {p: i for i, p in enumerate(pairs)}
+        self.vocab = model["vocab"]
+        self.longest = max(len(t.removesuffix(self.end)) for t in self.vocab)
+        self.fits: dict[tuple[str, str, str], bool] = {}
+
+    def _fit(self, a: str, b: str, end: str) -> bool:
+        """Whether a (may be empty) and b, alone, encode to themselves; ``end`` closes b."""
+        key = (a, b, end)
+        if key not in self.fits:
+            if len(self.fits) > REMEMBERED:
+                self.fits = {}
+            parts = [*a, *b[:-1], b[-1] + end]
+            while len(parts) > 1:
+                at = min(range(len(parts) - 1), key=lambda i: self.rank.get((parts[i], parts[i + 1]), len(self.rank)))
+                if (parts[at], parts[at + 1]) not in self.rank:
+                    break
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            self.fits[key] = parts == [x for x in (a, b + end) if x]
+        return self.fits[key]
+
+    def counts(self, word: str) -> list[int]:
+        """Tokens of each prefix of a word of ASCII letters in lower case."""
+        last, inner, out = [""], [0], []
+        for k in range(1, len(word) + 1):
+            for end, kept in ((self.end, out), ("", inner)):
+                for j in range(max(0, k - self.longest), k):
+                    token = word[j:k]
+                    if token + end in self.vocab and self._fit(last[j], token, end):
+                        kept.append(inner[j] + 1)
+                        if not end:
+                            last.append(token)
+                        break
+                else:
+                    raise ValueError(f"no encoding of {word[:k]!r}")
+        return out
+
+
 def load(path: str) -> WordTokens:
     """The tokenizer of a path, read once for each Python worker."""
     if path not in _loaded:
