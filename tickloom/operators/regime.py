@@ -7,6 +7,7 @@ from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -252,7 +253,12 @@ def fit_tree(rows: DataFrame, features: list[str], order: list[str], value: str
             node.right = grow(Node(count, node.depth + 1, [*node.rule, right]))
         return node
 
-    return grow(Node(0, 0))
+    # every split reads the rows again; what does not fit in memory goes to disk
+    rows = rows.select(*dict.fromkeys([*features, *order, value])).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return grow(Node(0, 0))
+    finally:
+        rows.unpersist()
 
 
 def leaves(node: Node) -> list[Node]:

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,10 +37,12 @@ def train_bagging(rows: DataFrame, features: list[str], n_models: int = 5, seed:
 
 def train_ensemble(rows: DataFrame, features: list[str], samples: list[str], method: str = "voting", **kwargs) -> dict[str, PipelineModel]:
     """Models of an ensemble: voting (one per sample) or bagging."""
-    if method == "voting":
-        return train_single(rows, features, samples, **kwargs)
-    if method == "bagging":
-        return train_bagging(rows.where(F.col("sample_id").isin(samples)), features, **kwargs)
+    if method in ("voting", "bagging"):
+        held = rows.where(F.col("sample_id").isin(samples)).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return train_single(held, features, samples, **kwargs) if method == "voting" else train_bagging(held, features, **kwargs)
+        finally:
+            held.unpersist()
     raise ValueError(f"unknown ensemble {method!r}; voting or bagging")
 
 
@@ -157,7 +160,8 @@ def feature_importance(rows: DataFrame, features: list[str], label: str = "bin",
     roles = ml.purged_folds(good, folds, embargo, by, order, tie=[k for k in key if k != order])
     for fold in range(folds):
         role = roles.where((F.col("fold") == fold) & F.col("role").isNotNull()).select(*key, "role")
-        both = good.join(role, list(key)).drop("all_rows")
+        # each fit reads the fold several times; what does not fit in memory goes to disk
+        both = good.select(*key, *features, label).join(role, list(key)).persist(StorageLevel.MEMORY_AND_DISK)
         train, test = both.where("role = 'train'").drop("role"), both.where("role = 'test'").drop("role")
         model = fit(features).fit(train) if {"mdi", "mda"} & set(methods) else None
         if "mdi" in methods:
@@ -172,6 +176,7 @@ def feature_importance(rows: DataFrame, features: list[str], label: str = "bin",
             a, b = (basis.standardized(train), basis.standardized(test)) if basis else (train, test)
             for f in features:
                 found.setdefault((f, method), []).append(_accuracy(fit([f]).fit(a), b, label))
+        both.unpersist()
     return rows.sparkSession.createDataFrame([(f, m, float(np.mean(x))) for (f, m), x in sorted(found.items())], "feature string, method string, importance double")
 
 
