@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -377,56 +378,81 @@ def test_toxicity(spark):
     assert {r.score >= 0.7 for r in none.collect()} == {False}
 
 
-def test_kneser_ney_by_hand():
-    """The ratio table against sums written out sequence by sequence."""
-    rng = np.random.default_rng(6)
-    s, order = toxicity.SYMBOLS, toxicity.ORDER
-    counts = [np.zeros(s**order, np.int64) for _ in range(2)]
-    for c in counts:
-        np.add.at(c, (s**order * rng.random(3000) ** 6).astype(np.int64), 1)
-    split = lambda code: tuple(code // s**k % s for k in range(order - 1, -1, -1))
-    held = [{split(int(k)): int(c[k]) for k in np.flatnonzero(c)} for c in counts]
-    both = set(held[0]) | set(held[1])
+def test_kneser_ney_by_hand(spark):
+    """Ratios of sequences seen and never seen against sums written out, for each fold and both."""
+    draw = random.Random(6)
+    stems = ["ab", "aba", "bab", "caca", "dé", "7b", "abcabcabc"]
+    rows = [(" ".join("".join(draw.choices(stems, k=draw.randint(1, 3))) for _ in range(draw.randint(0, 9))), int(draw.random() < 0.3), draw.randint(0, 1)) for _ in range(60)]
+    model = toxicity.fit(spark.createDataFrame(rows, "text string, toxic int, fold int"))
+    size = toxicity.ORDER
 
     def discount(values):
         one, two = sum(v == 1 for v in values), sum(v == 2 for v in values)
         return one / (one + 2 * two) if one and two else 0.5
 
-    # how many contexts a sequence follows, in either class, by the length of the sequence
-    tails, known = {}, {g[1:] for g in both}
-    for n in range(1, order):
-        tails[n] = {}
-        for g in {(g[0], *g[1:]) for g in both}:
-            if n == order - 1:
-                tails[n].setdefault(g[1:], set()).add(g[0])
-    full = {t: len(x) for t, x in tails[order - 1].items()}
-    assert set(full) == known
-    for n in range(order - 2, 0, -1):
-        tails[n] = {}
-        for t, k in full.items():
-            tails[n][t[-n:]] = tails[n].get(t[-n:], 0) + k
-    tails[order - 1] = full
-
-    def below(gram):
-        if not gram:
-            return 1 / s
-        table = tails[len(gram)]
-        d = discount(table.values())
-        own = {t: k for t, k in table.items() if t[:-1] == gram[:-1]}
-        rest = below(gram[1:])
-        return (max(own.get(gram, 0) - d, 0) + d * len(own) * rest) / sum(own.values()) if own else rest
-
-    def chance(k, gram):
-        d = discount(held[k].values())
-        own = {g: n for g, n in held[k].items() if g[:-1] == gram[:-1]}
-        rest = below(gram[1:])
-        return (max(own.get(gram, 0) - d, 0) + d * len(own) * rest) / sum(own.values()) if own else rest
-
-    got = toxicity.ratio_table(*counts)
-    some = [*np.flatnonzero(counts[0])[:40], *np.flatnonzero(counts[1])[:40], *rng.integers(0, s**order, 40)]
-    for code in some:
-        want = np.log(chance(1, split(int(code)))) - np.log(chance(0, split(int(code))))
-        assert abs(got[code] - want) < 1e-4, split(int(code))
+    def kind(b):
+        if not 48 <= b <= 122:
+            return (28 if b >= 192 else 30) + b % 2 if b else 0
+        return b - 96 if b >= 97 else 27
+
+    def learn(folds):
+        held = [Counter(), Counter()]
+        for text, toxic, fold in rows:
+            for w in set(text.split()) if fold in folds else ():
+                line = bytes(size - 1) + w.encode() + b"\0"
+                held[toxic].update(line[i : i + size] for i in range(len(line) - size + 1))
+        tails = {3: Counter(t[1:] for t in {tuple(map(kind, g[-4:])) for g in (*held[0], *held[1])})}
+        for n in (2, 1):
+            tails[n] = Counter()
+            for g, k in tails[3].items():
+                tails[n][g[-n:]] += k
+
+        def below(gram):
+            if not gram:
+                return 1 / 32
+            table = tails[len(gram)]
+            own = {g: k for g, k in table.items() if g[:-1] == gram[:-1]}
+            d, rest = discount(table.values()), below(gram[1:])
+            return (max(own.get(gram, 0) - d, 0) + d * len(own) * rest) / sum(own.values()) if own else rest
+
+        def chance(k, gram):
+            own = {g: n for g, n in held[k].items() if g[:-1] == gram[:-1]}
+            last = kind(gram[-1])
+            d, rest = discount(held[k].values()), below(tuple(map(kind, gram[-3:]))) / (32 if last > 27 else 10 if last == 27 else 1)
+            return (max(own.get(gram, 0) - d, 0) + d * len(own) * rest) / sum(own.values()) if own else rest
+
+        return held, lambda gram: np.log(chance(1, gram)) - np.log(chance(0, gram))
+
+    codes = {(r.code % (1 << 64)).to_bytes(8, "big"): r for r in model.codes.collect()}
+    exits = {r.context.to_bytes(7, "big"): r for r in model.exits.collect()}
+    assert model.total == sum(r.n for r in codes.values())
+    for k, folds in enumerate(((0,), (1,), (0, 1))):
+        held, ratio = learn(folds)
+        if k == 2:
+            assert {g: r.n for g, r in codes.items()} == held[0] + held[1]
+        for g, r in codes.items():
+            assert abs(r[f"r{k}"] - ratio(g)) < 2**-16, (k, g)
+        for c, r in exits.items():
+            assert abs(r[f"e{k}"] - ratio(c + b"z")) < 2**-16, (k, c)
+
+
+def test_toxicity_by_joins_and_by_broadcast(spark, monkeypatch):
+    """Scores don't depend on which sequences and words are frequent; rows that repeat and null ids stay."""
+    draw = random.Random(3)
+    words = ["".join(draw.choices("abcdé", k=draw.randint(1, 9))) for _ in range(80)]
+    rows = [(i, " ".join(draw.choices(words, k=draw.randint(0, 40)))) for i in range(80)]
+    rows += [rows[5], (None, rows[6][1]), (900, "unseen " * 50), (901, "x" * 30_000), (902, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("extra"))
+    labels = spark.createDataFrame([(i, i % 3 // 2) for i in range(60)], "doc_id long, toxic int")
+    key = lambda r: (r.doc_id is None, r.doc_id or 0)
+    seen = []
+    for head, hot in ((1 << 20, 1 << 17), (1, 1 << 17), (50, 1), (50, 10**9)):
+        monkeypatch.setattr(toxicity, "HEAD", head)
+        monkeypatch.setattr(toxicity, "HOT", hot)
+        seen.append(sorted(toxicity.score(docs, labels).collect(), key=key))
+        assert [r.doc_id for r in seen[-1]] == sorted((d for d, _ in rows if d is not None)) + [None]
+        assert seen[-1] == seen[0]
+    assert any(r.peak > 0 for r in seen[0])
 
 
 def test_shared_folder_is_named_on_a_cluster():
