@@ -423,13 +423,13 @@ def test_kneser_ney_by_hand(spark):
 
         return held, lambda gram: np.log(chance(1, gram)) - np.log(chance(0, gram))
 
-    codes = {(r.code % (1 << 64)).to_bytes(8, "big"): r for r in model.codes.collect()}
-    exits = {r.context.to_bytes(7, "big"): r for r in model.exits.collect()}
-    assert model.total == sum(r.n for r in codes.values())
+    exits = {r.context.to_bytes(7, "big"): r for r in model.contexts.collect()}
+    codes = {(x.code % (1 << 64)).to_bytes(8, "big"): x for r in exits.values() for x in r.seen}
     for k, folds in enumerate(((0,), (1,), (0, 1))):
         held, ratio = learn(folds)
         if k == 2:
-            assert {g: r.n for g, r in codes.items()} == held[0] + held[1]
+            assert set(codes) == set(held[0] + held[1])
+            assert {c: r.level for c, r in exits.items()} == {c: sum(n for h in held for g, n in h.items() if g[:7] == c).bit_length() for c in exits}
         for g, r in codes.items():
             assert abs(r[f"r{k}"] - ratio(g)) < 2**-16, (k, g)
         for c, r in exits.items():
