@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import ann, bpe, decontam, pii, secrets, simhash, substring, token_counts, token_store, toxicity
+from tickloom.llm import ann, bpe, decontam, infill, periodic, pii, prefix_hash, secrets, simhash, substring, token_counts, token_store, toxicity
 from tickloom.llm.common import read, scratch
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -74,8 +74,50 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.transform(read(spark, sf_dir, "documents"), seed="1")
+    return made.select("doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"), F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """In every tenth document by a hash of its id, words from one place on repeat the first ones there."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    a = (F.col("g") % F.col("n")).cast("int")
+    p = 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)).cast("int")
+    chosen = docs.where(h % 10 == 0).select("doc_id", words.alias("words"), F.floor(h / 10).alias("g")).withColumn("n", F.size("words"))
+    made = chosen.withColumn("a", F.when(F.col("n") > 0, a)).withColumn("p", p)
+    at = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    line = F.array_join(F.transform("words", lambda w, i: F.get("words", at(i))), " ")
+    return docs.where(h.isNull() | (h % 10 != 0)).select("doc_id", "text").unionByName(made.select("doc_id", line.alias("text")))
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.collapse(_with_planted_runs(read(spark, sf_dir, "documents")), power=4, least=6)
+    # the run of most periods, told by whole numbers; runs are in order of start, then period
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda a, b: F.when(b["length"] * a["period"] > a["length"] * b["period"], b).otherwise(a))
+    line = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    lines = F.when(F.size("runs") > 0, F.concat(line, F.lit("\n"))).otherwise("")
+    return (
+        found.withColumn("best", best)
+        .select("doc_id", F.size("runs").cast("long").alias("n_runs"), *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")], F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+        .withColumn("exponent_milli", F.expr("1000 * length div period"))
+    )
+
+
+def _last_third(own: str, after: str) -> str:
+    """A text whose last third gives way to the beginning of the one that follows."""
+    cut = len(own) // 3
+    return own[: len(own) - cut] + after[:cut]
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = prefix_hash.compared(read(spark, sf_dir, "documents"), _last_third)
+    return made.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next", "common_bytes")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_token_store, op2_byte_bpe, op3_simhash, op4_substring, op5_pii, op6_ann, op7_token_counts, op8_secrets, op9_decontamination, op10_toxicity]
+    own = [op1_token_store, op2_byte_bpe, op3_simhash, op4_substring, op5_pii, op6_ann, op7_token_counts, op8_secrets, op9_decontamination, op10_toxicity, op11_infill, op12_periodic, op13_fingerprints]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -106,6 +148,17 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+_OP11 = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest FROM documents),
+h AS (SELECT *, CAST('0x' || substr(digest, 1, 8) AS BIGINT) % (n + 1) AS x, CAST('0x' || substr(digest, 9, 8) AS BIGINT) % (n + 1) AS y, CAST('0x' || substr(digest, 17, 8) AS BIGINT) % 100 AS z, CAST('0x' || substr(digest, 25, 8) AS BIGINT) % 100 AS u FROM d),
+f AS (SELECT *, least(x, y) AS c1, greatest(x, y) AS c2, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR z >= 90 THEN 'plain' WHEN u < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, substr(text, 1, c1) AS pre, substr(text, c1 + 1, c2 - c1) AS mid, substr(text, c2 + 1) AS suf FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN c1 END AS prefix_chars, CASE WHEN form <> 'plain' THEN c2 - c1 END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express a query; the other queries have brute-force tests."""
-    return {"op4_substring": _OP4, "op9_decontamination": _OP9} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op4_substring": _OP4, "op9_decontamination": _OP9, "op11_infill": _OP11} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
