@@ -280,3 +280,21 @@ def test_fingerprints(spark):
     assert got[0].fingerprint == got[1].fingerprint and got[0].n_chars == 0
     assert all(got[i].n_chars == len(t or "") for i, t in enumerate(ODD))
     assert F.col is not None
+
+
+# --- repeated passages whose rolling hashes agree
+
+
+def test_words_with_one_rolling_hash_are_told_apart(spark):
+    """Words by the parity of set bits and their complements agree under every odd base modulo 2**64."""
+    from tickloom.llm import rolling, substring
+
+    one = bytes(97 + bin(i).count("1") % 2 for i in range(2048))
+    two = bytes(195 - x for x in one)
+    raw = np.frombuffer(one + two, np.uint8)
+    a, b = rolling.word_hashes(raw, np.array([0, 2048]), np.array([2048, 4096]), rolling.BASES[0])
+    assert a == b and one != two
+    rest = " ".join(f"w{i}" for i in range(49))
+    rows = [(1, f"{one.decode()} {rest}"), (2, f"{two.decode()} {rest}"), (3, f"x {one.decode()} {rest}")]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), 50).collect()}
+    assert got == {1: (50, 0), 2: (50, 0), 3: (51, 50)}

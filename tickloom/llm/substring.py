@@ -7,7 +7,9 @@ Anchors are short word sequences that start at cover positions: those whose
 number modulo a period lies in a difference cover. For any two positions some
 shift below the period moves both onto cover positions, so two equal windows
 share an anchor that lies inside them. Only windows around an anchor that
-several documents have are hashed as a whole and compared.
+several documents have are compared. Rolling hashes only propose windows: what they wrongly take for
+equal is found to differ, since windows and whole texts are compared by cryptographic digests of their
+words (BLAKE2b of 128 bits, SHA-256).
 
 A null text has no words. Rows with a null id lose nothing and make nothing go.
 Rows that repeat an id are judged each by itself, and never against each other.
@@ -35,16 +37,16 @@ def period(window: int) -> int:
 
 
 class Words:
-    """The words of a slice of texts with rolling hashes over them."""
+    """The words of a slice of texts with a rolling hash over them."""
 
     def __init__(self, texts: pa.Array) -> None:
         raw, _ = joined(texts)
         chunks = spaced(texts)
         self.offsets = chunks.offsets
-        self.prefix = [rolling(word_hashes(raw, chunks.starts, chunks.ends, b), b) for b in BASES]
+        self.prefix = rolling(word_hashes(raw, chunks.starts, chunks.ends, BASES[0]), BASES[0])
 
-    def hashes(self, start: np.ndarray, length: int | np.ndarray, which: int = 0) -> np.ndarray:
-        return between(self.prefix[which], start, start + length, BASES[which]).view(np.int64)
+    def hashes(self, start: np.ndarray, length: int | np.ndarray) -> np.ndarray:
+        return between(self.prefix, start, start + length, BASES[0]).view(np.int64)
 
     def anchors(self, window: int) -> tuple[np.ndarray, np.ndarray]:
         """Documents and word positions (in the slice) where anchors start."""
@@ -66,15 +68,14 @@ def _lists(doc: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
 
 
 def summary(docs: DataFrame, window: int) -> DataFrame:
-    """Per row: doc_id, t (a hash of its text), a hash of its words (c1, c2), n_words,
-    kept_sha256 of all words, distinct anchor hashes."""
+    """Per row: doc_id, t (a hash of its text), n_words, kept_sha256 of all words, distinct anchor hashes."""
     length = window - period(window) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             texts = part.column("text")
             words, n = Words(texts), part.num_rows
-            begin, size = words.offsets[:-1], np.diff(words.offsets)
+            size = np.diff(words.offsets)
             doc, place = words.anchors(window)
             found = words.hashes(place, length)
             order = np.lexsort((found, doc))
@@ -82,15 +83,23 @@ def summary(docs: DataFrame, window: int) -> DataFrame:
             first = np.ones(len(doc), bool)
             first[1:] = (doc[1:] != doc[:-1]) | (found[1:] != found[:-1])
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("t"), pa.array(words.hashes(begin, size)), pa.array(words.hashes(begin, size, 1)), pa.array(size.astype(np.int64)), pa.array([digest(t.split()) for t in as_bytes(texts)]), _lists(doc[first], found[first], n)],
-                names=["doc_id", "t", "c1", "c2", "n_words", "kept_sha256", "anchors"],
+                [part.column("doc_id"), part.column("t"), pa.array(size.astype(np.int64)), pa.array([digest(t.split()) for t in as_bytes(texts)]), _lists(doc[first], found[first], n)],
+                names=["doc_id", "t", "n_words", "kept_sha256", "anchors"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, t long, c1 long, c2 long, n_words long, kept_sha256 string, anchors array<long>")
+    return docs.mapInArrow(run, "doc_id long, t long, n_words long, kept_sha256 string, anchors array<long>")
+
+
+def window_digests(text: bytes, places: np.ndarray, window: int) -> list[bytes]:
+    """Digests of the words, joined by one space, of the windows that start at the given words."""
+    words = text.split()
+    line = b" ".join(words)
+    at = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])]).tolist()
+    return [hashlib.blake2b(line[at[p] : at[p + window] - 1], digest_size=16).digest() for p in places.tolist()]
 
 
 def _windows(candidates: DataFrame, window: int) -> DataFrame:
-    """Whole windows around shared anchors: w1, w2, doc_id, t, place."""
+    """Whole windows around shared anchors: w (their digest), doc_id, t, place."""
     step = period(window)
     length = window - step + 1
 
@@ -114,12 +123,15 @@ def _windows(candidates: DataFrame, window: int) -> DataFrame:
             np.add.at(change, high[low <= high] + 1, -1)
             start = np.flatnonzero(np.cumsum(change) > 0)
             own = np.searchsorted(words.offsets, start, side="right") - 1
-            ids, t = (part.column(c).to_numpy() for c in ("doc_id", "t"))
-            for k in range(0, len(start), 100_000):
-                s, o = start[k : k + 100_000], own[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(words.hashes(s, window)), pa.array(words.hashes(s, window, 1)), pa.array(ids[o]), pa.array(t[o]), pa.array((s - words.offsets[o]).astype(np.int32))], names=["w1", "w2", "doc_id", "t", "place"])
+            texts, ids, t = as_bytes(part.column("text")), part.column("doc_id").to_numpy(), part.column("t").to_numpy()
+            cuts = np.searchsorted(own, np.arange(part.num_rows + 1))
+            for d in np.unique(own).tolist():
+                places = start[cuts[d] : cuts[d + 1]] - words.offsets[d]
+                for k in range(0, len(places), 100_000):
+                    few = places[k : k + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(window_digests(texts[d], few, window), pa.binary()), pa.array(np.full(len(few), ids[d])), pa.array(np.full(len(few), t[d])), pa.array(few.astype(np.int32))], names=["w", "doc_id", "t", "place"])
 
-    return candidates.mapInArrow(run, "w1 long, w2 long, doc_id long, t long, place int")
+    return candidates.mapInArrow(run, "w binary, doc_id long, t long, place int")
 
 
 def covered(places: np.ndarray, window: int, n: int) -> np.ndarray:
@@ -157,8 +169,8 @@ def repeated_passages(docs: DataFrame, window: int = 50, key: str = "doc_id", te
     seen = written(summary(own, window), "summary")
     named = seen.where("doc_id IS NOT NULL")
     # written, so that the join can split a text that many documents share
-    firsts = written(named.groupBy("c1", "c2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"), "firsts")
-    copies = named.join(firsts, ["c1", "c2"]).where(F.col("doc_id") > F.col("first")).select(*row, "n_words").distinct()
+    firsts = written(named.groupBy("kept_sha256").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"), "firsts")
+    copies = named.join(firsts, "kept_sha256").where(F.col("doc_id") > F.col("first")).select(*row, "n_words").distinct()
 
     anchors = named.select(F.explode("anchors").alias("anchor"), *row)
     # written, so that a join with few but hot keys can be split
@@ -168,8 +180,8 @@ def repeated_passages(docs: DataFrame, window: int = 50, key: str = "doc_id", te
     shared = shared.join(copies, row, "left_anti")
     candidates = written(own.join(shared, row), "candidates")
     windows = _windows(candidates, window)
-    earliest = written(windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("w1", "w2", "low"), "earliest")
-    later = windows.join(earliest, ["w1", "w2"]).where(F.col("doc_id") > F.col("low"))
+    earliest = written(windows.groupBy("w").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("w", "low"), "earliest")
+    later = windows.join(earliest, "w").where(F.col("doc_id") > F.col("low"))
     places = later.groupBy(*row).agg(F.collect_set("place").alias("places"))
     stripped = _strip(candidates.select(*row, "text").join(places, row), window)
 
