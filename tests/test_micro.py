@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.functions import kernels
+from tickloom.functions import kernels, scans
 from tickloom.operators import barriers, indicators, ml, performance, regime, weights
 from tickloom.operators.tickbars import tick_bars
 from tickloom.sources import bars as src
@@ -50,8 +50,8 @@ def test_missing_barrier_leaves_time_exit(spark):
 
 
 def test_cusum_tests_the_fall_first():
-    assert kernels.cusum(np.array([0.0, 5.0, 2.0, -4.0]), np.full(4, 4.0)).tolist() == [0, 1, 0, -1]
-    assert kernels.cusum(np.array([0.0, 50.0]), np.array([np.nan, np.nan])).tolist() == [0, 0]
+    assert kernels.cusum(np.array([0.0, 5.0, 2.0, -4.0]), np.full(4, 4.0))[0].tolist() == [0, 1, 0, -1]
+    assert kernels.cusum(np.array([0.0, 50.0]), np.array([np.nan, np.nan]))[0].tolist() == [0, 0]
 
 
 def test_tick_bars_reach_their_threshold(spark):
@@ -90,7 +90,7 @@ def test_return_weights_sum_to_events(spark):
 
 def test_ewm_std_matches_pandas(spark):
     b = make(spark, [("a", i, 1.0, 1.0, 1.0, float((i * 13) % 7), 1.0) for i in range(1, 12)])
-    got = [r["s"] for r in kernels.ewm_std(b, "close", "s", 5).orderBy("bar_id").collect()]
+    got = [r["s"] for r in scans.ewm_std(b, "close", "s", 5).orderBy("bar_id").collect()]
     want = pd.Series([float((i * 13) % 7) for i in range(1, 12)]).ewm(span=5, adjust=False).std()
     assert got[0] is None and np.allclose(got[1:], want[1:])
 

@@ -1,7 +1,7 @@
-"""Recurrences along the bars of a symbol, one Arrow-batched pass per symbol.
+"""Steps of recurrences that no window can express: each value depends on the result at the row before.
 
-Only what no window can express is here: each value depends on the result at the
-bar before. A group is one symbol; results come back as columns, NaN as null.
+They take arrays and the state before them and give back the state after them, so that
+``scans`` can run a symbol in pieces. ``along_bars`` is for what needs a whole symbol at once.
 """
 
 from __future__ import annotations
@@ -32,91 +32,48 @@ def along_bars(df: DataFrame, outputs: dict[str, str], compute: Callable[[pd.Dat
     return df.groupBy(*by).applyInPandas(run, schema)
 
 
-def ewm(x: np.ndarray, alpha: float) -> np.ndarray:
-    """e0 = x0, e = alpha*x + (1-alpha)*e; leading NaN stay, inner ones decay the weights."""
-    return pd.Series(x, dtype=float).ewm(alpha=alpha, adjust=False).mean().to_numpy()
+def cusum(price: np.ndarray, threshold: np.ndarray, state: tuple[float, float, float] = (0.0, 0.0, np.nan)) -> tuple[np.ndarray, tuple[float, float, float]]:
+    """Events of a symmetric CUSUM filter (-1, 0 or 1) and its state: rise, fall and last price.
 
-
-def ewm_mean(df: DataFrame, specs: dict[str, tuple[str, float]]) -> DataFrame:
-    """Exponential means: output name to (input column, alpha)."""
-    return along_bars(df, dict.fromkeys(specs, "double"), lambda g: {o: ewm(g[c].to_numpy(float), a) for o, (c, a) in specs.items()})
-
-
-def ewm_std(df: DataFrame, column: str, output: str, span: float, adjust: bool = False) -> DataFrame:
-    """Exponentially weighted sample deviation, corrected for bias."""
-    return along_bars(df, {output: "double"}, lambda g: {output: g[column].astype(float).ewm(span=span, adjust=adjust).std().to_numpy()})
-
-
-def wilder(x: np.ndarray, n: int) -> np.ndarray:
-    """Mean of the first n values, then (prev*(n-1) + x)/n; NaN before. NaN at the start is skipped."""
-    out = np.full(len(x), np.nan)
-    good = np.flatnonzero(~np.isnan(x))
-    if len(good) < n:
-        return out
-    at = good[0] + n - 1
-    out[at] = x[good[0] : at + 1].mean()
-    for i in range(at + 1, len(x)):
-        out[i] = (out[i - 1] * (n - 1) + x[i]) / n
-    return out
-
-
-def seeded_ema(x: np.ndarray, n: int, start: int | None = None) -> np.ndarray:
-    """Exponential mean (alpha 2/(n+1)) seeded with the mean of the n values up to ``start``."""
-    out = np.full(len(x), np.nan)
-    good = np.flatnonzero(~np.isnan(x))
-    if not len(good):
-        return out
-    at = good[0] + n - 1 if start is None else start
-    if at >= len(x) or at - n + 1 < 0:
-        return out
-    out[at] = x[at - n + 1 : at + 1].mean()
-    a = 2 / (n + 1)
-    for i in range(at + 1, len(x)):
-        out[i] = out[i - 1] + a * (x[i] - out[i - 1])
-    return out
-
-
-def cusum(price: np.ndarray, threshold: np.ndarray) -> np.ndarray:
-    """Events of a symmetric CUSUM filter: -1, 0 or 1. The fall is tested first; only the
-    side that fires is reset; a NaN threshold never fires."""
+    The fall is tested first; only the side that fires is reset; a NaN threshold never fires.
+    """
     out = np.zeros(len(price), np.int64)
-    up = down = 0.0
-    for i in range(1, len(price)):
-        d = price[i] - price[i - 1]
-        up, down = max(0.0, up + d), min(0.0, down + d)
-        if down < -threshold[i]:
-            down, out[i] = 0.0, -1
-        elif up > threshold[i]:
-            up, out[i] = 0.0, 1
-    return out
+    up, down, last = state
+    for i, (now, limit) in enumerate(zip(price.tolist(), threshold.tolist())):
+        if last == last:
+            up, down = max(0.0, up + (now - last)), min(0.0, down + (now - last))
+            if down < -limit:
+                down, out[i] = 0.0, -1
+            elif up > limit:
+                up, out[i] = 0.0, 1
+        last = now
+    return out, (up, down, last)
 
 
-def flow_bars(buy: np.ndarray, sell: np.ndarray, threshold: float, mode: str, carry: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Bar number and direction of each tick; a bar closes when net flow crosses the threshold.
+def flow_bars(buy: np.ndarray, sell: np.ndarray, threshold: float, mode: str, carry: bool, state: tuple[float, ...] = (0.0, 0.0)) -> tuple[np.ndarray, tuple[float, float]]:
+    """Direction of the tick that closes a bar (else 0) and the net flow left; a bar closes when net flow crosses the threshold.
 
     ``mode``: abs (either way), pos or neg. Carry-over takes the threshold off instead of all.
     """
-    number, way, n, net = np.zeros(len(buy), np.int64), np.zeros(len(buy), np.int64), 0, 0.0
-    for i in range(len(buy)):
-        net += buy[i] - sell[i]
-        number[i] = n
-        fires = (mode in ("abs", "pos") and net >= threshold) or (mode in ("abs", "neg") and net <= -threshold)
-        if fires:
+    way, net = np.zeros(len(buy), np.int64), state[0]
+    for i, (b, s) in enumerate(zip(buy.tolist(), sell.tolist())):
+        net += b - s
+        if (mode in ("abs", "pos") and net >= threshold) or (mode in ("abs", "neg") and net <= -threshold):
             side = 1 if net > 0 else -1
-            way[i], n = side, n + 1
+            way[i] = side
             net = net - side * threshold if carry else 0.0
-    return number, way
+    return way, (net, 0.0)
 
 
-def volume_bars(buy: np.ndarray, sell: np.ndarray, threshold: float, wait_for: str, carry: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Bar number and direction of each tick; a bar closes when bought, sold or total volume reaches the threshold.
+def volume_bars(buy: np.ndarray, sell: np.ndarray, threshold: float, wait_for: str, carry: bool, state: tuple[float, ...] = (0.0, 0.0)) -> tuple[np.ndarray, tuple[float, float]]:
+    """Direction of the tick that closes a bar (else 0) and what was bought and sold since; a bar closes when
+    bought, sold or total volume reaches the threshold.
 
     Carry-over takes the threshold off the side that the bar goes by, and leaves the other.
     """
-    number, way, n, b, s = np.zeros(len(buy), np.int64), np.zeros(len(buy), np.int64), 0, 0.0, 0.0
-    for i in range(len(buy)):
-        b, s = b + buy[i], s + sell[i]
-        number[i] = n
+    way, (b, s) = np.zeros(len(buy), np.int64), state
+    for i, (more, less) in enumerate(zip(buy.tolist(), sell.tolist())):
+        b, s = b + more, s + less
         side = 0
         if wait_for == "buy" and b >= threshold:
             side = 1
@@ -125,17 +82,17 @@ def volume_bars(buy: np.ndarray, sell: np.ndarray, threshold: float, wait_for: s
         elif wait_for == "either" and b + s >= threshold:
             side = 1 if b >= s else -1
         if side:
-            way[i], n = side, n + 1
+            way[i] = side
             if carry:
                 b, s = (b - threshold, s) if side > 0 else (b, s - threshold)
             else:
                 b = s = 0.0
-    return number, way
+    return way, (b, s)
 
 
-def hysteresis(x: np.ndarray, upper: float, lower: float) -> np.ndarray:
-    """1 from where x exceeds ``upper`` until it falls under ``lower``, else 0."""
-    out, on = np.zeros(len(x), np.int64), 0
+def hysteresis(x: np.ndarray, upper: float, lower: float, on: int = 0) -> np.ndarray:
+    """1 from where x exceeds ``upper`` until it falls under ``lower``, else 0; ``on``: before the first value."""
+    out = np.zeros(len(x), np.int64)
     for i, v in enumerate(x):
         if not on and v > upper:
             on = 1
@@ -145,15 +102,11 @@ def hysteresis(x: np.ndarray, upper: float, lower: float) -> np.ndarray:
     return out
 
 
-def kalman(x: np.ndarray, q: float = 0.01, r: float = 0.1, p: float = 1.0) -> np.ndarray:
-    """Filtered states of a one-dimensional random walk seen with noise."""
-    out = np.zeros(len(x))
-    state = x[0] if len(x) else 0.0
-    for i, v in enumerate(x):
-        if i:
-            p += q
-        gain = p / (p + r)
-        state += gain * (v - state)
-        p *= 1 - gain
-        out[i] = state
+def kalman_gains(n: int, q: float, r: float, p: float) -> np.ndarray:
+    """The gains of a one-dimensional random walk seen with noise; they do not depend on what is seen."""
+    out = np.zeros(n)
+    for i in range(n):
+        p = p + q if i else p
+        out[i] = p / (p + r)
+        p *= 1 - out[i]
     return out

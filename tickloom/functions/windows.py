@@ -2,14 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
+_keys: ContextVar[tuple[str, ...]] = ContextVar("keys", default=("symbol",))
+
+
+@contextmanager
+def keyed_by(*columns: str) -> Iterator[None]:
+    """Windows made inside are partitioned by these columns (see ``pieces.split``)."""
+    token = _keys.set(columns)
+    try:
+        yield
+    finally:
+        _keys.reset(token)
+
+
 def by_bar():
     """All windows share this partitioning and order, so a plan sorts once."""
-    return Window.partitionBy("symbol").orderBy("bar_id")
+    return Window.partitionBy(*_keys.get()).orderBy("bar_id")
 
 
 EPS = 1e-9

@@ -26,8 +26,8 @@ def horizontal(events: DataFrame, bars: DataFrame, method: str = "bar_ewm", n: i
     out = events
     if "sigma" not in events.columns:
         out = events.join(volatility(bars, method, n).select("symbol", "bar_id", "sigma"), ["symbol", "bar_id"], "left")
-    later = Window.partitionBy("symbol").orderBy("bar_id").rowsBetween(0, Window.unboundedFollowing)
-    out = out.withColumn("sigma", F.first("sigma", True).over(later))
+    later = Window.partitionBy("symbol").orderBy(F.desc("bar_id")).rowsBetween(Window.unboundedPreceding, 0)
+    out = out.withColumn("sigma", F.last("sigma", True).over(later))
     target = lambda m: F.when(F.col("sigma").isNotNull(), F.greatest(m * F.col("sigma"), F.lit(min_return)))
     out = out.withColumns({"up": target(take), "down": target(stop)})
     short = F.col("direction") == -1
@@ -51,6 +51,16 @@ def fill_entry(events: DataFrame, bars: DataFrame, price: str = "close") -> Data
     return events.join(own, ["symbol", "bar_id"], "left").withColumn("entry_price", F.coalesce("entry_price", "bar_price")).drop("bar_price")
 
 
+def _distinct(events: DataFrame) -> DataFrame:
+    """Events with how often each occurs, so that grouping by their columns loses none."""
+    return events.groupBy(*events.columns).agg(F.count("*").alias("_copies"))
+
+
+def _repeated(trades: DataFrame) -> DataFrame:
+    """Each row as often as its event occurs."""
+    return trades.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).drop("_copy", "_copies")
+
+
 def first_touch(events: DataFrame, bars: DataFrame, hold: int, use_high_low: bool = True) -> DataFrame:
     """Trades: bin (+1 profit, -1 loss, 0 time), exit_bar, exit_price, r_target.
 
@@ -59,7 +69,7 @@ def first_touch(events: DataFrame, bars: DataFrame, hold: int, use_high_low: boo
     ``hold``: bars that t1 is away at most (width of the join's buckets).
     """
     long = F.col("direction") == 1
-    ev = events.withColumns({"upper": F.when(long, F.col("pt")).otherwise(F.col("sl")), "lower": F.when(long, F.col("sl")).otherwise(F.col("pt"))})
+    ev = _distinct(events).withColumns({"upper": F.when(long, F.col("pt")).otherwise(F.col("sl")), "lower": F.when(long, F.col("sl")).otherwise(F.col("pt"))})
     high, low = ("high", "low") if use_high_low else ("close", "close")
     own = bars.select("symbol", "bar_id", F.col(high).alias("top"), F.col(low).alias("bottom"), F.col("close").alias("last_close"))
     both = F.col("upper").isNotNull() & F.col("lower").isNotNull()
@@ -76,28 +86,30 @@ def first_touch(events: DataFrame, bars: DataFrame, hold: int, use_high_low: boo
         "exit_price": F.when(side == 1, F.col("upper")).when(side == -1, F.col("lower")).otherwise(F.col("end_close")),
     })
     out = out.withColumn("r_target", F.try_divide(F.col("exit_price") - F.col("entry_price"), F.col("entry_price")) * F.col("direction"))
-    return out.where(F.col("exit_bar") != F.col("bar_id")).drop("hit", "end_close", "upper", "lower")
+    return _repeated(out.where(F.col("exit_bar") != F.col("bar_id")).drop("hit", "end_close", "upper", "lower"))
 
 
 def trailing(events: DataFrame, bars: DataFrame, hold: int, share: float = 0.02) -> DataFrame:
     """Long trades under a stop that trails the highest close by ``share``: exit_bar,
     exit_price (close there) and the path of the stop; null exits where it never touches."""
     own = bars.select("symbol", "bar_id", "close")
+    events = _distinct(events)
     met = interval_join(events, own, "bar_id", "t1", max(1, hold))
     path = Window.partitionBy(*events.columns).orderBy("bar_bar_id")
     met = met.withColumn("stop", F.max("close").over(path.rowsBetween(Window.unboundedPreceding, 0)) * (1 - share))
     touch = F.when(F.col("close") <= F.col("stop"), F.struct(F.col("bar_bar_id").alias("bar"), F.col("close").alias("price")))
     out = met.groupBy(*events.columns).agg(F.min(touch).alias("hit"), F.sort_array(F.collect_list(F.struct(F.col("bar_bar_id").alias("bar_id"), "stop"))).alias("stop_path"))
-    return out.withColumns({"exit_bar": F.col("hit.bar"), "exit_price": F.col("hit.price")}).drop("hit")
+    return _repeated(out.withColumns({"exit_bar": F.col("hit.bar"), "exit_price": F.col("hit.price")}).drop("hit"))
 
 
 def legacy(events: DataFrame, bars: DataFrame, hold: int, use_high_low: bool = False) -> DataFrame:
     """Labels without direction: pt above, sl below; both on one bar count as pt."""
     own = bars.select("symbol", "bar_id", F.col("high" if use_high_low else "close").alias("top"), F.col("low" if use_high_low else "close").alias("bottom"), "close")
+    events = _distinct(events)
     met = interval_join(events, own, "bar_id", "t1", max(1, hold))
     touch = F.when(F.col("top") >= F.col("pt"), F.struct(F.col("bar_bar_id").alias("bar"), F.lit(1).alias("bin"), F.col("pt").alias("price"))).when(F.col("bottom") <= F.col("sl"), F.struct(F.col("bar_bar_id").alias("bar"), F.lit(-1).alias("bin"), F.col("sl").alias("price")))
     out = met.groupBy(*events.columns).agg(F.min(touch).alias("hit"), F.max_by("close", "bar_bar_id").alias("end_close"))
-    return out.withColumns({"bin": F.coalesce("hit.bin", F.lit(0)), "exit_bar": F.coalesce("hit.bar", "t1"), "exit_price": F.coalesce("hit.price", "end_close")}).drop("hit", "end_close")
+    return _repeated(out.withColumns({"bin": F.coalesce("hit.bin", F.lit(0)), "exit_bar": F.coalesce("hit.bar", "t1"), "exit_price": F.coalesce("hit.price", "end_close")}).drop("hit", "end_close"))
 
 
 def sr_trades(bars: DataFrame, span: int = 5, hold: int = 20, method: str = "std", n: int = 20) -> DataFrame:

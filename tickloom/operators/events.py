@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.kernels import along_bars, cusum
+from tickloom.functions.kernels import cusum
+from tickloom.functions.pieces import split
+from tickloom.functions.scans import ewm_std, handed_over
 from tickloom.functions.windows import by_bar, lag, pct_change
 from tickloom.operators import indicators as ind
 
@@ -66,13 +69,20 @@ def level_break(bars: DataFrame, span: int = 20, replacement: str = "include", e
 def cusum_filter(bars: DataFrame, threshold: float | None = None, multiplier: float = 1.0, span: int = 100) -> DataFrame:
     """Symmetric CUSUM over price moves, at a fixed threshold or ``multiplier`` times the
     exponentially weighted deviation of returns."""
-    out = bars.withColumn("ret", pct_change("close"))
+    if threshold is not None:
+        return _cusum(bars.withColumn("threshold", F.lit(float(threshold))))
+    out = split(bars, lambda b: b.withColumn("ret", pct_change("close")), back=1)
+    return _cusum(ewm_std(out, "ret", "sd", span, adjust=True).withColumn("threshold", F.col("sd") * multiplier))
 
-    def run(g):
-        limit = np.full(len(g), threshold) if threshold is not None else g["ret"].astype(float).ewm(span=span).std().to_numpy() * multiplier
-        return {"direction": cusum(g["close"].to_numpy(float), limit)}
 
-    return _events(along_bars(out, {"direction": "long"}, run).withColumn("entry_price", F.col("close")))
+def _cusum(bars: DataFrame) -> DataFrame:
+    """Events of bars with a column threshold; a null threshold never fires."""
+
+    def run(g: pd.DataFrame, state: tuple) -> tuple[dict[str, np.ndarray], tuple]:
+        way, after = cusum(g["close"].to_numpy(float), g["threshold"].to_numpy(float), state)
+        return {"direction": way}, after
+
+    return _events(handed_over(bars, {"direction": "long"}, run, (0.0, 0.0, float("nan"))).withColumn("entry_price", F.col("close")))
 
 
 def cusum_by_table(bars: DataFrame, thresholds: DataFrame, time: str = "open_time") -> DataFrame:
@@ -82,14 +92,10 @@ def cusum_by_table(bars: DataFrame, thresholds: DataFrame, time: str = "open_tim
     """
     from tickloom.operators.asof import asof
 
-    out = asof(bars, thresholds.select("symbol", time, "threshold"), time, "threshold")
-    run = lambda g: {"direction": cusum(g["close"].to_numpy(float), g["threshold"].to_numpy(float))}
-    return _events(along_bars(out, {"direction": "long"}, run).withColumn("entry_price", F.col("close")))
+    return _cusum(asof(bars, thresholds.select("symbol", time, "threshold"), time, "threshold"))
 
 
 def delayed(events: DataFrame, bars: DataFrame, k: int) -> DataFrame:
     """Events moved ``k`` bars on and priced at the close there; those beyond the end go."""
     later = bars.select("symbol", "bar_id", F.lead("bar_id", k).over(by_bar()).alias("at"), F.lead("open_time", k).over(by_bar()).alias("time"), F.lead("close", k).over(by_bar()).alias("price"))
     return events.join(later, ["symbol", "bar_id"]).where(F.col("at").isNotNull()).select("symbol", F.col("at").alias("bar_id"), F.col("time").alias("open_time"), "direction", F.col("price").alias("entry_price"))
-
-

@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.kernels import along_bars, hysteresis, kalman
+from tickloom.functions.kernels import along_bars, hysteresis, kalman_gains
+from tickloom.functions.scans import Affine, handed_over, recur
 from tickloom.functions.windows import by_bar
 
 
@@ -18,7 +20,14 @@ def _one(df: DataFrame, column: str, output: str, f) -> DataFrame:
 
 def kalman_filter(df: DataFrame, column: str = "close", output: str = "kalman", q: float = 0.01, r: float = 0.1) -> DataFrame:
     """States of a random walk seen with noise."""
-    return _one(df, column, output, lambda x: kalman(x, q, r))
+    # the gain settles within few rows; later rows share the last one
+    gains = kalman_gains(1000, q, r, 1.0)
+
+    def coefs(x: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        g = np.where(i == 0, 1.0, gains[np.clip(i, 0, len(gains) - 1)])
+        return 1 - g, g * x
+
+    return recur(df, {output: (column, Affine(coefs))})
 
 
 def hp_trend(x: np.ndarray, lamb: float = 1600.0) -> np.ndarray:
@@ -337,7 +346,11 @@ def sadf(df: DataFrame, column: str = "close", window: int = 30) -> DataFrame:
 def sadf_signals(df: DataFrame, upper: float = 1.0, lower: float = 1.5) -> DataFrame:
     """1 from where the statistic exceeds ``upper`` until it falls under ``lower``, and the
     log equity of holding while it is on (from the next bar)."""
-    out = along_bars(df, {"signal": "long"}, lambda g: {"signal": hysteresis(np.nan_to_num(g["sadf"].to_numpy(float), nan=-np.inf), upper, lower)})
+    def run(g: pd.DataFrame, state: tuple) -> tuple[dict[str, np.ndarray], tuple]:
+        on = hysteresis(np.nan_to_num(g["sadf"].to_numpy(float), nan=-np.inf), upper, lower, int(state[0]))
+        return {"signal": on}, (on[-1],)
+
+    out = handed_over(df, {"signal": "long"}, run, (0.0,))
     ret = F.log(F.col("close") / F.lag("close").over(by_bar())) * F.lag("signal").over(by_bar())
     total = F.sum(F.coalesce(F.col("strategy_ret"), F.lit(0.0))).over(by_bar().rowsBetween(Window.unboundedPreceding, 0))
     return out.withColumn("strategy_ret", ret).withColumn("log_equity", total)

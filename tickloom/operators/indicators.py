@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.kernels import ewm_mean
+from tickloom.functions.pieces import split
+from tickloom.functions.scans import ewm_mean
 from tickloom.functions.windows import EPS, ahead, behind, clip, lag, mean_abs_deviation, rolling, running, values
 
 
@@ -36,10 +37,9 @@ def true_range(bars: DataFrame) -> DataFrame:
 
 def atr(bars: DataFrame, n: int = 14, method: str = "wilder") -> DataFrame:
     """Average true range: Wilder's recurrence (weight 1/n) or a rolling mean."""
-    out = true_range(bars)
     if method == "sma":
-        return out.withColumn("atr", rolling(F.avg, "tr", n))
-    return ewm_mean(out, {"atr": ("tr", 1 / n)})
+        return true_range(bars).withColumn("atr", rolling(F.avg, "tr", n))
+    return ewm_mean(split(bars, true_range, back=1), {"atr": ("tr", 1 / n)})
 
 
 def volatility_ratio(bars: DataFrame, short: int = 5, long: int = 20, n: int = 14) -> DataFrame:
@@ -50,8 +50,7 @@ def volatility_ratio(bars: DataFrame, short: int = 5, long: int = 20, n: int = 1
 
 def rsi(bars: DataFrame, n: int = 14, column: str = "close") -> DataFrame:
     """Relative strength by Wilder's recurrence, from 0 to 100, and over 100."""
-    delta = F.coalesce(F.col(column) - lag(column), F.lit(0.0))
-    out = bars.withColumn("delta", delta).withColumns({"gain": F.when(F.col("delta") > 0, F.col("delta")).otherwise(0.0), "loss": F.when(F.col("delta") < 0, -F.col("delta")).otherwise(0.0)})
+    out = split(bars, lambda b: b.withColumn("delta", F.coalesce(F.col(column) - lag(column), F.lit(0.0))), back=1).withColumns({"gain": F.when(F.col("delta") > 0, F.col("delta")).otherwise(0.0), "loss": F.when(F.col("delta") < 0, -F.col("delta")).otherwise(0.0)})
     out = ewm_mean(out, {"avg_gain": ("gain", 1 / n), "avg_loss": ("loss", 1 / n)})
     return out.withColumn("rsi", 100 - 100 / (1 + F.col("avg_gain") / (F.col("avg_loss") + EPS))).withColumn("rsi_norm", F.col("rsi") / 100)
 

@@ -8,11 +8,11 @@ Names carry the prefix ``ta_``, since some formulas differ from ``indicators``.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.kernels import along_bars, seeded_ema, wilder
+from tickloom.functions.pieces import split
+from tickloom.functions.scans import Affine, recur, seeded, wilder
 from tickloom.functions.windows import clip, lag, logistic, mean_abs_deviation, rolling, running, values, whole
 
 
@@ -99,85 +99,62 @@ def mfi(bars: DataFrame, n: int = 14) -> DataFrame:
     return out.withColumn("ta_mfi", F.when(up + down > 0, up / (up + down)).otherwise(F.when(up.isNotNull(), 0.0))).drop("typical", "move")
 
 
-def _diff(x: np.ndarray) -> np.ndarray:
-    return np.concatenate([[np.nan], np.diff(x)])
-
-
 def rsi(bars: DataFrame, n: int = 14) -> DataFrame:
-    def run(g: pd.DataFrame) -> dict[str, np.ndarray]:
-        d = _diff(g["close"].to_numpy(float))
-        up, down = wilder(np.where(np.isnan(d), np.nan, np.maximum(d, 0)), n), wilder(np.where(np.isnan(d), np.nan, np.maximum(-d, 0)), n)
-        total = up + down
-        return {"ta_rsi": np.where(np.isnan(total), np.nan, np.where(total > 0, up / np.where(total > 0, total, 1), 0.0))}
-
-    return along_bars(bars, {"ta_rsi": "double"}, run)
+    out = split(bars, lambda b: b.withColumn("move", F.col("close") - lag("close")).withColumns({"up": F.greatest(F.col("move"), F.lit(0.0)), "down": F.greatest(-F.col("move"), F.lit(0.0))}), back=1)
+    out = recur(out.withColumns({c: F.when(F.col("move").isNotNull(), F.col(c)) for c in ("up", "down")}), {"up_": ("up", wilder(n)), "down_": ("down", wilder(n))})
+    total = F.col("up_") + F.col("down_")
+    return out.withColumn("ta_rsi", F.when(total > 0, F.col("up_") / total).when(total.isNotNull(), 0.0)).drop("move", "up", "down", "up_", "down_")
 
 
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
     """Both means start at bar ``slow`` - 1; scaled by the range of the series."""
-
-    def run(g: pd.DataFrame) -> dict[str, np.ndarray]:
-        c = g["close"].to_numpy(float)
-        line = seeded_ema(c, fast, slow - 1) - seeded_ema(c, slow, slow - 1)
-        sig = seeded_ema(line, signal)
-        line = np.where(np.isnan(sig), np.nan, line)
-        span = (np.nanmax(c) - np.nanmin(c)) * 0.01 if len(c) else 1.0
-        with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
-            scaled = {k: 1 / (1 + np.exp(-v / span)) for k, v in (("ta_macd", line), ("ta_macd_signal", sig), ("ta_macd_hist", line - sig))}
-        return scaled
-
-    return along_bars(bars, dict.fromkeys(("ta_macd", "ta_macd_signal", "ta_macd_hist"), "double"), run)
+    out = recur(bars, {"fast_": ("close", seeded(fast, slow - 1)), "slow_": ("close", seeded(slow))}).withColumn("line_", F.col("fast_") - F.col("slow_"))
+    out = recur(out, {"signal_": ("line_", seeded(signal))})
+    range_ = bars.groupBy("symbol").agg(((F.max("close") - F.min("close")) * 0.01).alias("range_"))
+    out = out.join(range_, "symbol")
+    scaled = lambda x: F.when(F.col("signal_").isNotNull(), logistic(F.try_divide(x, F.col("range_"))))
+    line, sig = F.col("line_"), F.col("signal_")
+    return out.withColumns({"ta_macd": scaled(line), "ta_macd_signal": scaled(sig), "ta_macd_hist": scaled(line - sig)}).drop("fast_", "slow_", "line_", "signal_", "range_")
 
 
-def _true_range(g: pd.DataFrame) -> np.ndarray:
-    h, low, c = (g[k].to_numpy(float) for k in ("high", "low", "close"))
-    before = np.concatenate([[np.nan], c[:-1]])
-    out = np.maximum(h - low, np.maximum(np.abs(h - before), np.abs(low - before)))
-    return out
+def _with_true_range(bars: DataFrame) -> DataFrame:
+    """The largest of high-low and the moves from the last close; null at the first bar."""
+    before = lag("close")
+    spread = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
+    return bars.withColumn("tr_", F.when(before.isNotNull(), spread))
 
 
 def atr(bars: DataFrame, n: int = 14) -> DataFrame:
-    def run(g: pd.DataFrame) -> dict[str, np.ndarray]:
-        c = g["close"].to_numpy(float)
-        return {"ta_atr": np.clip(wilder(_true_range(g), n) / np.where(c == 0, np.nan, c), 0, 0.1) / 0.1}
+    out = recur(split(bars, _with_true_range, back=1), {"atr_": ("tr_", wilder(n))})
+    return out.withColumn("ta_atr", clip(F.try_divide(F.col("atr_"), F.col("close")), 0.0, 0.1) / 0.1).drop("tr_", "atr_")
 
-    return along_bars(bars, {"ta_atr": "double"}, run)
+
+def _directional_sum(n: int) -> Affine:
+    """Sum of the values from number 1 to n - 1, then less its n-th part plus each value."""
+    return Affine(lambda x, i: (np.where(i < n, 1.0, 1 - 1 / n), np.where(i < 1, 0.0, x)), shown=n)
 
 
 def adx(bars: DataFrame, n: int = 14) -> DataFrame:
     """Directional movement: sums smoothed by Wilder from n-1 moves on; index over n values."""
 
-    def smooth(x: np.ndarray) -> np.ndarray:
-        out = np.full(len(x), np.nan)
-        if len(x) > n:
-            total = np.nansum(x[1:n])
-            for i in range(n, len(x)):
-                total = total - total / n + x[i]
-                out[i] = total
-        return out
-
-    def run(g: pd.DataFrame) -> dict[str, np.ndarray]:
-        up, down = _diff(g["high"].to_numpy(float)), -_diff(g["low"].to_numpy(float))
-        plus, minus = np.where((up > down) & (up > 0), up, 0.0), np.where((down > up) & (down > 0), down, 0.0)
-        tr = smooth(_true_range(g))
-        safe = np.where(tr > 0, tr, np.nan)
-        di = [np.where(np.isnan(tr), np.nan, np.nan_to_num(100 * smooth(x) / safe)) for x in (plus, minus)]
-        both = di[0] + di[1]
-        dx = np.where(np.isnan(both), np.nan, np.where(both > 0, 100 * np.abs(di[0] - di[1]) / np.where(both > 0, both, 1), 0.0))
-        return {"ta_adx": wilder(dx, n) / 100, "ta_plus_di": di[0] / 100, "ta_minus_di": di[1] / 100}
+    def moves(b: DataFrame) -> DataFrame:
+        up, down = F.col("high") - lag("high"), lag("low") - F.col("low")
+        return _with_true_range(b).withColumns({"tr_": F.coalesce("tr_", F.lit(0.0)), "plus_": F.when((up > down) & (up > 0), up).otherwise(0.0), "minus_": F.when((down > up) & (down > 0), down).otherwise(0.0)})
 
-    return along_bars(bars, dict.fromkeys(("ta_adx", "ta_plus_di", "ta_minus_di"), "double"), run)
+    own = _directional_sum(n)
+    out = recur(split(bars, moves, back=1), {"tr_sum": ("tr_", own), "plus_sum": ("plus_", own), "minus_sum": ("minus_", own)})
+    share = lambda c: F.when(F.col("tr_sum") > 0, 100 * F.col(c) / F.col("tr_sum")).when(F.col("tr_sum").isNotNull(), 0.0)
+    out = out.withColumns({"plus_di": share("plus_sum"), "minus_di": share("minus_sum")})
+    both = F.col("plus_di") + F.col("minus_di")
+    out = out.withColumn("dx_", F.when(both > 0, 100 * F.abs(F.col("plus_di") - F.col("minus_di")) / both).when(both.isNotNull(), 0.0))
+    out = recur(out, {"adx_": ("dx_", wilder(n))})
+    return out.withColumns({"ta_adx": F.col("adx_") / 100, "ta_plus_di": F.col("plus_di") / 100, "ta_minus_di": F.col("minus_di") / 100}).drop("tr_", "plus_", "minus_", "tr_sum", "plus_sum", "minus_sum", "plus_di", "minus_di", "dx_", "adx_")
 
 
 def trix(bars: DataFrame, n: int = 30) -> DataFrame:
-    def run(g: pd.DataFrame) -> dict[str, np.ndarray]:
-        e = g["close"].to_numpy(float)
-        for _ in range(3):
-            e = seeded_ema(e, n)
-        before = np.concatenate([[np.nan], e[:-1]])
-        change = (e / np.where(before == 0, np.nan, before) - 1) * 100
-        return {"ta_trix": 1 / (1 + np.exp(-np.clip(change * 100, -700, 700)))}
-
-    return along_bars(bars, {"ta_trix": "double"}, run)
-
-
+    out = bars.withColumn("e0_", F.col("close"))
+    for k in range(3):
+        out = recur(out, {f"e{k + 1}_": (f"e{k}_", seeded(n))})
+    out = split(out, lambda b: b.withColumn("before_", lag("e3_")), back=1)
+    change = (F.try_divide(F.col("e3_"), F.col("before_")) - 1) * 100
+    return out.withColumn("ta_trix", logistic(clip(change * 100, -700.0, 700.0))).drop("e0_", "e1_", "e2_", "e3_", "before_")

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.kernels import ewm_mean, ewm_std
+from tickloom.functions.scans import ewm_mean, ewm_std
 from tickloom.functions.windows import clip, lag, pct_change, rolling, values, whole
 
 
