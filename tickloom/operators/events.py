@@ -75,14 +75,19 @@ def cusum_filter(bars: DataFrame, threshold: float | None = None, multiplier: fl
     return _cusum(ewm_std(out, "ret", "sd", span, adjust=True).withColumn("threshold", F.col("sd") * multiplier))
 
 
-def _cusum(bars: DataFrame) -> DataFrame:
-    """Events of bars with a column threshold; a null threshold never fires."""
+#: Rise, fall and last price before a symbol's first bar.
+CUSUM_START = (0.0, 0.0, float("nan"))
+
 
-    def run(g: pd.DataFrame, state: tuple) -> tuple[dict[str, np.ndarray], tuple]:
-        way, after = cusum(g["close"].to_numpy(float), g["threshold"].to_numpy(float), state)
-        return {"direction": way}, after
+def cusum_step(g: pd.DataFrame, state: tuple) -> tuple[dict[str, np.ndarray], tuple]:
+    """Directions over some bars with a column threshold, and the state after them."""
+    way, after = cusum(g["close"].to_numpy(float), g["threshold"].to_numpy(float), state)
+    return {"direction": way}, after
 
-    return _events(handed_over(bars, {"direction": "long"}, run, (0.0, 0.0, float("nan"))).withColumn("entry_price", F.col("close")))
+
+def _cusum(bars: DataFrame) -> DataFrame:
+    """Events of bars with a column threshold; a null threshold never fires."""
+    return _events(handed_over(bars, {"direction": "long"}, cusum_step, CUSUM_START).withColumn("entry_price", F.col("close")))
 
 
 def cusum_by_table(bars: DataFrame, thresholds: DataFrame, time: str = "open_time") -> DataFrame:

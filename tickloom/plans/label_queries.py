@@ -141,12 +141,12 @@ register(
 
 def _legacy(s, d):
     b, e = _sr_events(s, d)
-    return bar.legacy(e.where("direction = 1"), b, HOLD).select("symbol", "bar_id", "bin", "exit_bar", r("exit_price"))
+    return bar.legacy(e, b, HOLD).select("symbol", "bar_id", "bin", "exit_bar", r("exit_price"))
 
 
 register(
     "labels_legacy", _legacy,
-    f"""WITH {q.BARS}, {VB}, p AS (SELECT v.symbol, v.bar_id, v.t1, v.pt, v.sl, b.bar_id AS spot, b.close FROM vb v JOIN bars b ON b.symbol = v.symbol AND b.bar_id BETWEEN v.bar_id AND v.t1 WHERE v.direction = 1),
+    f"""WITH {q.BARS}, {VB}, p AS (SELECT v.symbol, v.bar_id, v.t1, v.pt, v.sl, b.bar_id AS spot, b.close FROM vb v JOIN bars b ON b.symbol = v.symbol AND b.bar_id BETWEEN v.bar_id AND v.t1),
     g AS (SELECT symbol, bar_id, t1, pt, sl, min(spot) FILTER (close >= pt OR close <= sl) AS spot, min_by(close, spot) FILTER (close >= pt OR close <= sl) AS c, max_by(close, spot) AS last FROM p GROUP BY ALL)
     SELECT symbol, bar_id, CAST(CASE WHEN spot IS NULL THEN 0 WHEN c >= pt THEN 1 ELSE -1 END AS INT) AS bin, coalesce(spot, t1) AS exit_bar, round(CASE WHEN spot IS NULL THEN last WHEN c >= pt THEN pt ELSE sl END, 4) + 0.0 AS exit_price FROM g""",
 )

@@ -28,9 +28,9 @@ SELECT symbol, candle_id, round(min_by(price, i), 4) AS open, round(max(price),
   count(*) AS n_ticks, CAST(sum(way) AS BIGINT) AS direction, round(date_diff('microsecond', min(ts), max(ts)) / 1e6, 4) + 0.0 AS duration_s FROM tk JOIN st USING (symbol, i) GROUP BY 1, 2"""
 
 
-def _ticks(name: str, method: str, threshold: float, side: str, carry: bool = False, by_value: bool = False) -> None:
+def _ticks(name: str, method: str, threshold: float, side: str, carry: bool = False, by_value: bool = False, rows: int | None = None) -> None:
     def run(s, d):
-        b = tick_bars(ticks(s, d), method, threshold, side, carry, by_value)
+        b = tick_bars(ticks(s, d), method, threshold, side, carry, by_value, rows)
         return b.select("symbol", "candle_id", *[r(c) for c in _BAR[2:9]], "n_ticks", "direction", r("duration_s"))
 
     size, t = ("price * qty" if by_value else "qty"), f"{threshold}::DOUBLE"
@@ -51,6 +51,8 @@ for side in ("either", "buy", "sell"):
     _ticks(f"tick_bars_volume_{side}", "volume", 5000.0, side)
 for side in ("abs", "pos", "neg"):
     _ticks(f"tick_bars_netflow_{side}", "netflow", 400.0, side)
+_ticks("tick_bars_volume_pieces", "volume", 5000.0, "either", rows=500)
+_ticks("tick_bars_netflow_pieces", "netflow", 400.0, "abs", rows=500)
 _ticks("tick_bars_carry_over", "volume", 5000.0, "either", True)
 _ticks("tick_bars_dollar", "volume", 250000.0, "either", False, True)
 
@@ -68,10 +70,10 @@ def _with_daily(s, d):
 _DAY = f"{q.HOURLY}, dy AS (SELECT symbol, CAST(date_trunc('day', open_time) AS TIMESTAMP) AS open_time, max_by(close, bar_id) AS close FROM hourly GROUP BY 1, 2), sm AS (SELECT symbol, open_time, avg(close) OVER (PARTITION BY symbol ORDER BY open_time ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS sma_3 FROM dy), sh AS (SELECT symbol, open_time, lag(sma_3) OVER (PARTITION BY symbol ORDER BY open_time) AS sma_3_1d FROM sm), sl AS (SELECT * FROM sh WHERE sma_3_1d IS NOT NULL)"
 
 
-def _aligned(direction: str):
+def _aligned(direction: str, bucket=None):
     def run(s, d):
         h, slow = _with_daily(s, d)
-        return asof.asof(h.select("symbol", "bar_id", "open_time", "close"), slow, "open_time", "sma_3_1d", direction=direction).select("symbol", "bar_id", r("close"), r("sma_3_1d"))
+        return asof.asof(h.select("symbol", "bar_id", "open_time", "close"), slow, "open_time", "sma_3_1d", direction=direction, bucket=bucket).select("symbol", "bar_id", r("close"), r("sma_3_1d"))
 
     return run
 
@@ -79,6 +81,9 @@ def _aligned(direction: str):
 _ASOF = lambda cmp: f"WITH {_DAY} SELECT h.symbol, h.bar_id, round(h.close, 4) AS close, round(sl.sma_3_1d, 4) AS sma_3_1d FROM hourly h ASOF LEFT JOIN sl ON h.symbol = sl.symbol AND h.open_time {cmp} sl.open_time"
 register("htf_align", _aligned("backward"), _ASOF(">="))
 register("asof_forward", _aligned("forward"), _ASOF("<="))
+# a window holds one week of a symbol
+register("htf_align_pieces", _aligned("backward", lambda t: F.date_trunc("week", t)), _ASOF(">="))
+register("asof_forward_pieces", _aligned("forward", lambda t: F.date_trunc("week", t)), _ASOF("<="))
 
 # weights
 _CO = f"{VB}, co AS (SELECT b.symbol, b.bar_id, b.close, (SELECT count(*) FROM vb v WHERE v.symbol = b.symbol AND b.bar_id BETWEEN v.bar_id AND v.t1) AS n_events, abs(ln(b.close) - ln(lag(b.close) OVER (PARTITION BY b.symbol ORDER BY b.bar_id))) AS move FROM bars b)"
