@@ -201,3 +201,21 @@ def test_extension_points(spark):
     assert extend.shift_info("1d", "1h")["periods_per_higher"] == 24
     metric = extend.metric(lambda v: float(v.median()))
     assert bars.groupBy("symbol").agg(metric(F.col("close")).alias("m")).first()["m"] == pytest.approx(np.median(close))
+
+
+def test_a_model_comes_back_with_its_features(spark, tmp_path):
+    rows = spark.createDataFrame([(float(i % 7), float(i % 3), i % 2) for i in range(60)] + [(None, 1.0, 1)], "x double, y double, bin int")
+    model = ml.forest(["x", "y"], trees=3, depth=3).fit(rows)
+    ml.save(model, str(tmp_path / "kept"), kind="forest")
+    again, state = ml.load(str(tmp_path / "kept"))
+    assert state == {"features": ["x", "y"], "target": "bin", "about": {"kind": "forest"}}
+    got, want = (sorted((r.x or -1.0, r.y, r.bin, r.predicted or "", r.confidence or 0.0) for r in ml.predict(m, rows).collect()) for m in (again, model))
+    assert got == want and len(got) == 61
+    assert [r for r in ml.predict(model, rows).collect() if r.x is None][0].predicted is None
+
+
+def test_every_symbol_has_its_share_of_each_part(spark):
+    rows = spark.createDataFrame([(f"{s}{i}", s) for s in "abc" for i in range(10) for _ in range(2)], "sample_id string, symbol string")
+    parts = ml.split_samples(rows, "symbol").withColumn("symbol", F.substring("sample_id", 1, 1))
+    assert {(r["symbol"], r["split"]): r["count"] for r in parts.groupBy("symbol", "split").count().collect()} == {(s, p): n for s in "abc" for p, n in (("train", 6), ("val", 2), ("test", 2))}
+    assert ml.split_samples(rows.limit(0), "symbol").collect() == []

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
@@ -67,8 +69,20 @@ def purged_folds(events: DataFrame, folds: int = 5, embargo: float = 0.01, by: s
     return each.select(*kept, "fold", F.when(test, "test").when(train, "train").alias("role"))
 
 
-def split_samples(samples: DataFrame, method: str = "time", train: float = 0.6, val: float = 0.2, seed: int = 42) -> DataFrame:
-    """Samples dealt into train, val and test by name order (time) or by hash (random)."""
+def split_samples(samples: DataFrame, method: str = "time", train: float = 0.6, val: float = 0.2, seed: int = 42, group: str = "symbol") -> DataFrame:
+    """Samples dealt into train, val and test by name order (time), by hash (random), or by hash within
+    each symbol (symbol), so that every symbol has its share of each part.
+
+    A sample of several symbols goes by the smallest one.
+    """
+    if method == "symbol":
+        ids = samples.groupBy("sample_id").agg(F.min(group).alias("_group"))
+        own = Window.partitionBy("_group")
+        rank = F.row_number().over(own.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("sample_id").cast("string"))), "sample_id"))
+        at = ids.withColumn("at", (rank - 1) / F.count("*").over(own))
+        return at.select("sample_id", F.when(F.col("at") < train, "train").when(F.col("at") < train + val, "val").otherwise("test").alias("split"))
+    if method not in ("time", "random"):
+        raise ValueError(f"unknown split {method!r}")
     order = F.col("sample_id") if method == "time" else F.xxhash64("sample_id", F.lit(seed))
     ids = samples.select("sample_id").distinct()
     rank = F.row_number().over(Window.orderBy(order, "sample_id"))  # one row per sample
@@ -95,11 +109,37 @@ def forest(features: list[str], label: str = "bin", weight: str | None = None, t
 
 
 def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    """Rows with the predicted label and its probability."""
+    """Rows with the predicted label and its probability; both are null where a feature is."""
     assembler, indexer, rf = model.stages
-    out = rf.transform(assembler.transform(rows))
+    out = rf.transform(assembler.copy({assembler.handleInvalid: "keep"}).transform(rows))
     named = IndexToString(inputCol="prediction", outputCol="predicted", labels=indexer.labels).transform(out)
-    return named.withColumn("confidence", F.array_max(vector_to_array("probability"))).drop("features", "rawPrediction", "probability", "prediction")
+    whole = F.lit(True)
+    for c in assembler.getInputCols():
+        whole = whole & F.col(c).isNotNull()
+    named = named.withColumns({"predicted": F.when(whole, F.col("predicted")), "confidence": F.when(whole, F.array_max(vector_to_array("probability")))})
+    return named.drop("features", "rawPrediction", "probability", "prediction")
+
+
+def save(model: PipelineModel, path: str, **about: str) -> None:
+    """Write a fitted model with its features, its target and what else is said about it to a new folder."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.active()
+    assembler, indexer = model.stages[:2]
+    state = {"features": assembler.getInputCols(), "target": indexer.getInputCol(), "about": about}
+    model.write().save(f"{path}/model")
+    spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.text(f"{path}/state")
+
+
+def load(path: str) -> tuple[PipelineModel, dict]:
+    """A model that ``save`` wrote, and its features, target and description."""
+    from pyspark.sql import SparkSession
+
+    state = json.loads(SparkSession.active().read.text(f"{path}/state").first()["value"])
+    model = PipelineModel.load(f"{path}/model")
+    if model.stages[0].getInputCols() != state["features"]:
+        raise ValueError(f"features of {path} do not fit its model")
+    return model, state
 
 
 def importances(model: PipelineModel) -> dict[str, float]:

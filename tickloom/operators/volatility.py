@@ -7,12 +7,15 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.functions.pieces import split
 from tickloom.functions.scans import ewm_mean, ewm_std
-from tickloom.functions.windows import clip, lag, pct_change, rolling, values, whole
+from tickloom.functions.windows import clip, lag, pct_change, rolling, values
 
 
-def _quantile(x: str, p: float) -> Column:
-    return whole(lambda c: F.percentile(c, F.lit(p)), x)
+def _with_quantiles(df: DataFrame, low: float, high: float) -> DataFrame:
+    """Bars with two exact quantiles of their symbol's returns, lo and hi, aggregated once."""
+    both = df.groupBy("symbol").agg(F.percentile("ret", F.array(F.lit(low), F.lit(high))).alias("_q"))
+    return df.join(both, "symbol").withColumns({"lo": F.get("_q", F.lit(0)), "hi": F.get("_q", F.lit(1))}).drop("_q")
 
 
 def _middle(x: Column) -> Column:
@@ -23,20 +26,27 @@ def _ln(a: str, b: str) -> Column:
     return F.log(F.col(a) / F.col(b))
 
 
-def volatility(bars: DataFrame, method: str = "bar_ewm", n: int = 20, span: int = 50, low: float = 0.005, high: float = 0.995) -> DataFrame:
+def volatility(bars: DataFrame, method: str = "bar_ewm", n: int = 20, span: int = 50, low: float = 0.005, high: float = 0.995, absolute: bool = False, reference: str = "median", ref_span: int = 200) -> DataFrame:
     """Bars with ``sigma``. Methods: bar_ewm, bar_volnorm_ewm, std, ewm_std, mad, winsor_std,
     biweight, parkinson, garman_klass, rogers_satchell, yang_zhang.
 
-    bar_* and winsor_std clip at quantiles of the whole series.
+    bar_* and winsor_std clip at quantiles of the whole series. bar_*: ``absolute`` smooths the sizes
+    of returns in place of their squares; ``reference`` is the volume that counts as usual, the median
+    of the series or an exponential mean (ewm) over ``ref_span`` bars.
     """
-    out = bars.withColumn("ret", pct_change("close"))
+    out = split(bars, lambda b: b.withColumn("ret", pct_change("close")), back=1)
     if method in ("bar_ewm", "bar_volnorm_ewm"):
         out = out.withColumn("ret", F.coalesce("ret", F.lit(0.0)))
         if method == "bar_volnorm_ewm":
-            ref = whole(F.median, "volume")
-            out = out.withColumn("ref", ref).withColumn("ret", F.col("ret") / F.sqrt(F.greatest(F.col("volume") / F.col("ref"), F.lit(1e-12)))).drop("ref")
-        out = out.withColumns({"lo": _quantile("ret", low), "hi": _quantile("ret", high)})
-        out = out.withColumn("sq", F.pow(clip(F.col("ret"), F.col("lo"), F.col("hi")), F.lit(2.0)))
+            if reference == "ewm":
+                out = ewm_mean(out, {"ref": ("volume", 2 / (ref_span + 1))}).withColumn("ref", F.greatest("ref", F.lit(1e-12)))
+            elif reference == "median":
+                out = out.join(bars.groupBy("symbol").agg(F.greatest(F.median("volume"), F.lit(1e-12)).alias("ref")), "symbol")
+            else:
+                raise ValueError(f"unknown reference {reference!r}")
+            out = out.withColumn("ret", F.col("ret") / F.sqrt(F.greatest(F.col("volume") / F.col("ref"), F.lit(1e-12)))).drop("ref")
+        cut = clip(F.col("ret"), F.col("lo"), F.col("hi"))
+        out = _with_quantiles(out, low, high).withColumn("sq", F.abs(cut) if absolute else F.pow(cut, F.lit(2.0)))
         return ewm_mean(out, {"sq_mean": ("sq", 2 / (span + 1))}).withColumn("sigma", F.sqrt("sq_mean")).drop("lo", "hi", "sq", "sq_mean")
     if method == "std":
         return out.withColumn("sigma", rolling(F.stddev_samp, "ret", n))
@@ -46,7 +56,7 @@ def volatility(bars: DataFrame, method: str = "bar_ewm", n: int = 20, span: int
         out = out.withColumn("dist", F.abs(F.col("ret") - rolling(_middle, "ret", n)))
         return out.withColumn("sigma", 1.4826 * rolling(_middle, "dist", n)).drop("dist")
     if method == "winsor_std":
-        out = out.withColumns({"lo": _quantile("ret", 0.01), "hi": _quantile("ret", 0.99)}).withColumn("cut", clip(F.col("ret"), F.col("lo"), F.col("hi")))
+        out = _with_quantiles(out, 0.01, 0.99).withColumn("cut", clip(F.col("ret"), F.col("lo"), F.col("hi")))
         return out.withColumn("sigma", rolling(F.stddev_samp, "cut", n)).drop("lo", "hi", "cut")
     if method == "biweight":
         out = out.withColumn("held", values("ret", n))

@@ -90,7 +90,18 @@ _TERMS = {"parkinson": "pow(ln(high / low), 2) / (4 * ln(2))", "garman_klass": _
 for method, term in _TERMS.items():
     on_bars(f"vol_{method}", _V, lambda b, method=method: volatility(b, method), f"t0 AS (SELECT *, {term} AS term FROM bars), t1 AS (SELECT *, {q.rolling('avg', 'term', 20)} AS a FROM t0), o AS (SELECT *, CASE WHEN a IS NOT NULL THEN sqrt(greatest(a, 0)) END AS sigma FROM t1)")
 on_bars("vol_yang_zhang", _V, lambda b: volatility(b, "yang_zhang"), f"t0 AS (SELECT *, pow(ln(lag(open) OVER ({q.BY}) / open), 2) AS oo, pow(ln(close / open), 2) AS oc, {_GK} AS gk FROM bars), t1 AS (SELECT *, ({q.rolling('avg', 'oo', 20)}) + 0.34 * ({q.rolling('avg', 'oc', 20)}) + 0.66 * ({q.rolling('avg', 'gk', 20)}) AS a FROM t0), o AS (SELECT *, CASE WHEN a IS NOT NULL THEN sqrt(greatest(a, 0)) END AS sigma FROM t1)")
-on_bars("vol_ewm_std", _V, lambda b: volatility(b, "ewm_std"), None)
+# mean and variance by their recurrences, corrected by the sum of squared weights
+on_bars(
+    "vol_ewm_std", _V, lambda b: volatility(b, "ewm_std"),
+    f"""{RET}, es AS (SELECT symbol, bar_id, ret AS m, CAST(0 AS DOUBLE) AS v, CAST(1 AS DOUBLE) AS ww FROM rt WHERE bar_id = 2
+      UNION ALL SELECT b.symbol, b.bar_id, e.m + 2 / 21.0::DOUBLE * (b.ret - e.m), 19 / 21.0::DOUBLE * (e.v + 2 / 21.0::DOUBLE * pow(b.ret - e.m, 2)), pow(19 / 21.0::DOUBLE, 2) * e.ww + pow(2 / 21.0::DOUBLE, 2) FROM es e JOIN rt b ON b.symbol = e.symbol AND b.bar_id = e.bar_id + 1),
+    o AS (SELECT b.symbol, b.bar_id, CASE WHEN ww < 1 THEN sqrt(v / (1 - ww)) END AS sigma FROM bars b LEFT JOIN es USING (symbol, bar_id))""",
+)
+on_bars("vol_bar_ewm_abs", _V, lambda b: volatility(b, "bar_ewm", absolute=True), f"{RET}, r0 AS (SELECT * REPLACE (coalesce(ret, 0) AS ret) FROM rt), {_clipped('r0', '0.005', '0.995')}, {_EWM_END.replace('cut * cut', 'abs(cut)')}")
+on_bars(
+    "vol_bar_volnorm_ewm_ref", _V, lambda b: volatility(b, "bar_volnorm_ewm", reference="ewm"),
+    f"{RET}, {q.ewm('rf', 'rt', 'volume', '2/201.0::DOUBLE')}, r0 AS (SELECT rt.* REPLACE (coalesce(ret, 0) / sqrt(greatest(volume / rf.v, 1e-12)) AS ret) FROM rt JOIN rf USING (symbol, bar_id)), {_clipped('r0', '0.005', '0.995')}, {_EWM_END}",
+)
 
 # barriers and labels
 HOLD = 20

@@ -180,6 +180,12 @@ _summary = lambda s, d: ml.aggregate_metrics(ml.classification(_judged(s, d), "l
 register("eval_aggregate", lambda s, d: _summary(s, d).select("metric", *[r(c, 6) for c in ("mean", "std", "min", "max", "median")]), f"WITH {_AGG} SELECT metric, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in ('mean', 'std', 'min', 'max', 'median'))} FROM ag")
 register("eval_stability", lambda s, d: ml.stability_scores(_summary(s, d)).select("metric", r("cv", 6), r("stability", 6)), f"WITH {_AGG} SELECT metric, round(std / nullif(abs(mean), 0), 6) AS cv, round(1 / (1 + std / nullif(abs(mean), 0)), 6) AS stability FROM ag")
 register("ml_decisions", lambda s, d: _rets(s, d).select("symbol", "bar_id", ml.decide(F.col("ret"), 0.1, 0.2).alias("decision")), f"{T} SELECT symbol, bar_id, CASE WHEN abs(ret) < 0.2 THEN 0 WHEN ret > 0.1 THEN 1 WHEN ret < -0.1 THEN -1 ELSE 0 END AS decision FROM rr")
+_STRETCH = "sample_id", F.concat_ws("-", "symbol", F.floor(F.col("bar_id") / 50).cast("string"))
+register(
+    "split_symbol", lambda s, d: ml.split_samples(_rets(s, d).withColumn(*_STRETCH), "symbol"),
+    f"""{T}, u AS (SELECT DISTINCT symbol, symbol || '-' || CAST(floor(bar_id / 50) AS BIGINT) AS sample_id FROM rr), a AS (SELECT sample_id, (row_number() OVER (PARTITION BY symbol ORDER BY md5('42:' || sample_id), sample_id) - 1) / count(*) OVER (PARTITION BY symbol) AS x FROM u)
+    SELECT sample_id, CASE WHEN x < 0.6::DOUBLE THEN 'train' WHEN x < 0.6::DOUBLE + 0.2::DOUBLE THEN 'val' ELSE 'test' END AS split FROM a""",
+)
 register("split_time", lambda s, d: ml.split_samples(_rets(s, d).withColumnRenamed("symbol", "sample_id")), f"{T}, u AS (SELECT DISTINCT symbol AS sample_id FROM rr), a AS (SELECT sample_id, (row_number() OVER (ORDER BY sample_id) - 1) / count(*) OVER () AS x FROM u) SELECT sample_id, CASE WHEN x < 0.6 THEN 'train' WHEN x < 0.8 THEN 'val' ELSE 'test' END AS split FROM a")
 register("split_random", lambda s, d: ml.split_samples(_rets(s, d).withColumnRenamed("symbol", "sample_id"), "random"))
 
