@@ -238,9 +238,10 @@ def count(rows: DataFrame) -> DataFrame:
         if held:
             yield batch(*merged(held))
 
-    each = rows.mapInArrow(run, "code long, " + ", ".join(f"{c} long" for c in COUNTS)).withColumn("context", F.shiftrightunsigned("code", 8))
-    # one shuffle serves both groupings; a context has at most 256 sequences
-    summed = each.repartition("context").groupBy("context", "code").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    each = rows.mapInArrow(run, "code long, " + ", ".join(f"{c} long" for c in COUNTS))
+    context = F.shiftrightunsigned("code", 8)
+    # one shuffle, which carries no context, serves both groupings; a context has at most 256 sequences
+    summed = each.repartition(context).withColumn("context", context).groupBy("context", "code").agg(*[F.sum(c).alias(c) for c in COUNTS])
     return summed.groupBy("context").agg(F.collect_list(F.struct("code", *COUNTS)).alias("seen"))
 
 
