@@ -177,3 +177,14 @@ def test_repeated_events_stay(spark, bars):
         counts = {(r["symbol"], r["bar_id"]): r["count"] for r in got.groupBy("symbol", "bar_id").count().collect()}
         assert counts == {("a", 2): 2, ("a", 5): 3, ("b", 1): 1}
         assert "_copies" not in got.columns
+
+
+def test_events_on_a_time_grid(spark):
+    from tickloom.operators import weights
+
+    rows = [("a", 0, 25), ("a", 3, 9), ("a", 10, 20), ("a", 20, 5), ("a", None, 9), ("b", 7, 7)]
+    at = lambda c: f"timestamp_ntz'2020-01-01' + make_interval(0, 0, 0, 0, 0, 0, {c})"
+    ev = spark.createDataFrame(rows, "symbol string, s int, e int").selectExpr("symbol", f"{at('s')} AS open_time", f"{at('e')} AS end_time")
+    got = [(r.symbol, r.at.second, r.n_events) for r in weights.co_events_on_grid(ev, 10).orderBy("symbol", "at").collect()]
+    assert got == [("a", 0, 1), ("a", 10, 2), ("a", 20, 2), ("b", 7, 1)]
+    assert weights.co_events_on_grid(ev.limit(0), 10).collect() == []

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.functions.pieces import running
+
 
 def _cum(order: str = "bar_id"):
     return Window.partitionBy("symbol").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -19,6 +21,25 @@ def co_events(events: DataFrame, bars: DataFrame) -> DataFrame:
     return out.withColumn("n_events", F.sum(F.coalesce("step", F.lit(0))).over(_cum())).drop("step")
 
 
+def co_events_on_grid(events: DataFrame, step_s: int, start: str = "open_time", end: str = "end_time") -> DataFrame:
+    """How many intervals [start, end] cover each point of a symbol's time grid: symbol, at, n_events.
+
+    The grid runs from the first start to the last end in steps of ``step_s`` seconds. Intervals
+    without a start or an end, or that end before they start, count nowhere; one that lies between two
+    points covers none. The running sum goes over pieces of the grid.
+    """
+    good = events.where(F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(end) >= F.col(start)))
+    span = good.groupBy("symbol").agg(F.min(start).alias("lo"), F.max(end).alias("hi"))
+    steps = lambda t: F.timestamp_diff("MICROSECOND", F.col("lo"), F.col(t)) / (step_s * 1_000_000)
+    placed = good.join(span, "symbol").select("symbol", F.ceil(steps(start)).alias("first"), F.floor(steps(end)).alias("last")).where("first <= last")
+    marks = placed.select("symbol", F.col("first").alias("slot"), F.lit(1).alias("step")).union(placed.select("symbol", F.col("last") + 1, F.lit(-1)))
+    marks = marks.groupBy("symbol", "slot").agg(F.sum("step").alias("step"))
+    grid = span.select("symbol", "lo", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(steps("hi")))).alias("slot"))
+    met = grid.join(marks, ["symbol", "slot"], "left").withColumn("step", F.coalesce("step", F.lit(0)))
+    out = running(met, {"n_events": ("sum", "step")}, number="slot")
+    return out.select("symbol", F.timestamp_add("SECOND", F.col("slot") * step_s, F.col("lo")).alias("at"), "n_events")
+
+
 def _covered(events: DataFrame, bars: DataFrame) -> DataFrame:
     """Events with ``inverse`` and ``shared``: over their bars, the sums of 1/(number of
     events) and of absolute log returns over the number of events.

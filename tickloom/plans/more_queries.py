@@ -180,6 +180,19 @@ _summary = lambda s, d: ml.aggregate_metrics(ml.classification(_judged(s, d), "l
 register("eval_aggregate", lambda s, d: _summary(s, d).select("metric", *[r(c, 6) for c in ("mean", "std", "min", "max", "median")]), f"WITH {_AGG} SELECT metric, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in ('mean', 'std', 'min', 'max', 'median'))} FROM ag")
 register("eval_stability", lambda s, d: ml.stability_scores(_summary(s, d)).select("metric", r("cv", 6), r("stability", 6)), f"WITH {_AGG} SELECT metric, round(std / nullif(abs(mean), 0), 6) AS cv, round(1 / (1 + std / nullif(abs(mean), 0)), 6) AS stability FROM ag")
 register("ml_decisions", lambda s, d: _rets(s, d).select("symbol", "bar_id", ml.decide(F.col("ret"), 0.1, 0.2).alias("decision")), f"{T} SELECT symbol, bar_id, CASE WHEN abs(ret) < 0.2 THEN 0 WHEN ret > 0.1 THEN 1 WHEN ret < -0.1 THEN -1 ELSE 0 END AS decision FROM rr")
+
+
+def _on_grid(s, d):
+    b, e = _sr_events(s, d)
+    ends = b.select("symbol", F.col("bar_id").alias("t1"), F.col("open_time").alias("end_time"))
+    return weights.co_events_on_grid(e.select("symbol", "open_time", "t1").join(ends, ["symbol", "t1"]), 7 * 86_400)
+
+
+register(
+    "w_co_events_grid", _on_grid,
+    f"""WITH {q.BARS}, {VB}, iv AS (SELECT v.symbol, s.open_time AS t0, b.open_time AS t1 FROM vb v JOIN bars s ON s.symbol = v.symbol AND s.bar_id = v.bar_id JOIN bars b ON b.symbol = v.symbol AND b.bar_id = v.t1), sp AS (SELECT symbol, min(t0) AS lo, max(t1) AS hi FROM iv GROUP BY 1),
+    gr AS (SELECT symbol, unnest(range(lo, hi + INTERVAL 1 SECOND, INTERVAL 7 DAY)) AS at FROM sp) SELECT gr.symbol, gr.at, count(t0) AS n_events FROM gr LEFT JOIN iv ON iv.symbol = gr.symbol AND gr.at BETWEEN t0 AND t1 GROUP BY ALL""",
+)
 _STRETCH = "sample_id", F.concat_ws("-", "symbol", F.floor(F.col("bar_id") / 50).cast("string"))
 register(
     "split_symbol", lambda s, d: ml.split_samples(_rets(s, d).withColumn(*_STRETCH), "symbol"),
