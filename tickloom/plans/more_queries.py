@@ -193,9 +193,8 @@ register(
     f"""WITH {q.BARS}, {VB}, iv AS (SELECT v.symbol, s.open_time AS t0, b.open_time AS t1 FROM vb v JOIN bars s ON s.symbol = v.symbol AND s.bar_id = v.bar_id JOIN bars b ON b.symbol = v.symbol AND b.bar_id = v.t1), sp AS (SELECT symbol, min(t0) AS lo, max(t1) AS hi FROM iv GROUP BY 1),
     gr AS (SELECT symbol, unnest(range(lo, hi + INTERVAL 1 SECOND, INTERVAL 7 DAY)) AS at FROM sp) SELECT gr.symbol, gr.at, count(t0) AS n_events FROM gr LEFT JOIN iv ON iv.symbol = gr.symbol AND gr.at BETWEEN t0 AND t1 GROUP BY ALL""",
 )
-_STRETCH = "sample_id", F.concat_ws("-", "symbol", F.floor(F.col("bar_id") / 50).cast("string"))
 register(
-    "split_symbol", lambda s, d: ml.split_samples(_rets(s, d).withColumn(*_STRETCH), "symbol"),
+    "split_symbol", lambda s, d: ml.split_samples(_rets(s, d).withColumn("sample_id", F.concat_ws("-", "symbol", F.floor(F.col("bar_id") / 50).cast("string"))), "symbol"),
     f"""{T}, u AS (SELECT DISTINCT symbol, symbol || '-' || CAST(floor(bar_id / 50) AS BIGINT) AS sample_id FROM rr), a AS (SELECT sample_id, (row_number() OVER (PARTITION BY symbol ORDER BY md5('42:' || sample_id), sample_id) - 1) / count(*) OVER (PARTITION BY symbol) AS x FROM u)
     SELECT sample_id, CASE WHEN x < 0.6::DOUBLE THEN 'train' WHEN x < 0.6::DOUBLE + 0.2::DOUBLE THEN 'val' ELSE 'test' END AS split FROM a""",
 )
