@@ -6,12 +6,14 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+from tickloom.functions import pieces
 from tickloom.functions.kernels import along_bars, hysteresis, kalman_gains
 from tickloom.functions.scans import Affine, handed_over, recur
-from tickloom.functions.windows import by_bar
+from tickloom.functions.windows import by_bar, change, lag
 
 
 def _one(df: DataFrame, column: str, output: str, f) -> DataFrame:
@@ -313,34 +315,73 @@ def ensemble(df: DataFrame, weights: dict[str, float], output: str = "ensemble")
     return df.withColumn(output, out / total)
 
 
-def sadf(df: DataFrame, column: str = "close", window: int = 30) -> DataFrame:
-    """Supremum over starts of the Dickey-Fuller t statistic (constant, no lags) up to each bar.
+#: Bars of a tile of the bubble test: a pair of tiles is one group of a task.
+TILE = 1024
 
-    Regresses the move on the last value over every span of at least ``window`` moves
-    that ends at the bar, from running sums.
-    """
+_SUMS = ("y", "d", "yy", "yd", "dd", "miss")
 
-    def run(x: np.ndarray) -> np.ndarray:
-        out = np.full(len(x), np.nan)
-        if len(x) <= window:
-            return out
-        x = x - x[0]
-        y, d = x[:-1], np.diff(x)
-        sums = [np.concatenate([[0.0], np.cumsum(v)]) for v in (y, d, y * y, y * d, d * d)]
-        for t in range(window, len(x)):
-            s = np.arange(0, t - window + 1)
-            n = t - s
-            sy, sd, syy, syd, sdd = (c[t] - c[s] for c in sums)
+
+def _tile_best(ends: dict[str, np.ndarray], starts: dict[str, np.ndarray], window: int, step: int = 64) -> np.ndarray:
+    """The largest statistic of each end over the starts, NaN without one; ``step`` ends at a time."""
+    best = np.full(len(ends["bar_id"]), np.nan)
+    for lo in range(0, len(best), step):
+        some = {c: v[lo : lo + step, None] for c, v in ends.items()}
+        n = (some["bar_id"] - starts["bar_id"]).astype(float)
+        ok = (n >= window) & (some["miss"] == starts["miss"])
+        if not ok.any():
+            continue
+        sy, sd, syy, syd, sdd = (some[c] - starts[c] for c in _SUMS[:5])
+        with np.errstate(divide="ignore", invalid="ignore"):
             vy, cyd, vd = syy - sy * sy / n, syd - sy * sd / n, sdd - sd * sd / n
-            with np.errstate(divide="ignore", invalid="ignore"):
-                beta = cyd / vy
-                se = np.sqrt(np.maximum(vd - beta * cyd, 0) / (n - 2) / vy)
-                stat = beta / se
-            good = np.isfinite(stat)
-            out[t] = stat[good].max() if good.any() else np.nan
-        return out
-
-    return _one(df, column, "sadf", run)
+            beta = cyd / vy
+            stat = beta / np.sqrt(np.maximum(vd - beta * cyd, 0) / (n - 2) / vy)
+        stat = np.where(ok & np.isfinite(stat), stat, -np.inf).max(axis=1)
+        best[lo : lo + step] = np.where(np.isfinite(stat), stat, np.nan)
+    return best
+
+
+def sadf(df: DataFrame, column: str = "close", window: int = 30, rows: int | None = None) -> DataFrame:
+    """Supremum over starts of the Dickey-Fuller t statistic (constant, no lags) up to each bar.
+
+    Regresses the move on the last value over every span of at least ``window`` moves that ends at
+    the bar, from running sums. The sums are packed in tiles of ``rows`` numbers, and each pair of a
+    tile of ends and a tile of starts not after it is a group of its own, so that one series is many
+    tasks of bounded size; of a pair only the largest statistic of each end goes on. Spans with a
+    missing value are not judged. Null where no span is.
+    """
+    rows = TILE if rows is None else rows
+    x = F.col(column).cast("double")
+    value = F.when(~F.isnan(x), x)
+    # read several times below, so that what it is made from runs once
+    own = pieces.written(df.select("symbol", "bar_id", value.alias("_v")), "series")
+    base = own.groupBy("symbol").agg(F.min_by("_v", F.when(F.col("_v").isNotNull(), F.col("bar_id"))).alias("_base"))
+    centred = own.join(base, "symbol").select("symbol", "bar_id", (F.col("_v") - F.col("_base")).alias("_x"))
+    moves = pieces.split(centred, lambda b: b.withColumns({"d": change("_x"), "_y": lag("_x")}), back=1)
+    y = F.when(F.col("d").isNotNull(), F.col("_y"))
+    parts = moves.select("symbol", "bar_id", y.alias("y"), "d", (y * y).alias("yy"), (y * F.col("d")).alias("yd"), (F.col("d") * F.col("d")).alias("dd"), F.col("d").isNull().cast("double").alias("miss"))
+    summed = pieces.running(parts, {f"_{c}": ("sum", c) for c in _SUMS})
+    held = F.struct("bar_id", *[F.coalesce(F.col(f"_{c}"), F.lit(0.0)).alias(c) for c in _SUMS])
+    tiles = summed.groupBy("symbol", pieces.piece("bar_id", rows).alias("_tile")).agg(F.sort_array(F.collect_list(held)).alias("_rows"))
+    tiles = pieces.written(tiles, "tiles")
+    names = ("bar_id", *_SUMS)
+    reach = tiles.groupBy("symbol").agg(F.min("_tile").alias("_first"), F.max("_tile").alias("_last"))
+    placed = tiles.join(reach, "symbol")
+
+    def side(tag: str, own: str, other: str, met: Column) -> DataFrame:
+        return placed.select("symbol", F.col("_tile").alias(own), F.explode(met).alias(other), *[F.col(f"_rows.{c}").alias(f"{tag}_{c}") for c in names])
+
+    ends = side("e", "_end", "_start", F.sequence("_first", "_tile"))
+    starts = side("s", "_start", "_end", F.sequence("_tile", "_last"))
+    key = ["symbol", "_end", "_start"]
+
+    def judged(g: pd.DataFrame) -> pd.DataFrame:
+        e, s = ({c: np.asarray(g[f"{tag}_{c}"].iloc[0]) for c in names} for tag in "es")
+        found = pd.DataFrame({"symbol": [g["symbol"].iloc[0]] * len(e["bar_id"]), "bar_id": e["bar_id"], "_t": _tile_best(e, s, window)})
+        return found[found["_t"].notna()]
+
+    kinds = StructType([df.schema["symbol"], StructField("bar_id", LongType()), StructField("_t", DoubleType())])
+    best = ends.join(starts, key).groupBy(*key).applyInPandas(judged, kinds).groupBy("symbol", "bar_id").agg(F.max("_t").alias("sadf"))
+    return df.join(best, ["symbol", "bar_id"], "left").select(*[c for c in df.columns if c != "sadf"], "sadf")
 
 
 def sadf_signals(df: DataFrame, upper: float = 1.0, lower: float = 1.5) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.kernels import along_bars
+from tickloom.functions.pieces import running
 from tickloom.sources.bars import resample
 
 
@@ -57,6 +58,39 @@ def islands(points: DataFrame, by: list[str], price: str, share: float = 0.005,
     return out.withColumn("_n", F.count("*").over(Window.partitionBy(*by, "cluster"))).where(F.col("_n") >= least).drop("_n")
 
 
+#: Widths of reach in one piece of the price axis.
+CELLS = 256
+
+
+def density(points: DataFrame, by: list[str], price: str, share: float = 0.005, least: int = 3, cells: int = CELLS) -> DataFrame:
+    """One-dimensional density clusters: a point with at least ``least`` points, itself included, within
+    ``share`` of the mean price is a core; cores within that reach of each other are one cluster
+    (``cluster``: 0, 1, ... by rising price); other points join a cluster with a core in reach, the lower
+    one of two; the rest are noise and go, as do points without a price and groups whose mean price is
+    not positive.
+
+    Equal prices are counted first. The price axis falls into pieces of ``cells`` reaches with a halo
+    of two, and clusters are numbered by the counts of the pieces before, so a group is many tasks.
+    """
+    priced = points.drop("cluster").where(F.col(price).isNotNull() & ~F.isnan(price))
+    reach = priced.groupBy(*by).agg((F.avg(price) * share).alias("_reach"))
+    sites = priced.groupBy(*by, price).agg(F.count("*").alias("_held")).join(reach, by).where("_reach > 0").withColumn("_u", F.col(price) / F.col("_reach"))
+    at = F.col("_u")
+    spread = sites.withColumn("_cell", F.explode(F.sequence(F.floor((at - 2) / cells), F.floor((at + 2) / cells))))
+    up, down = (Window.partitionBy(*by, "_cell").orderBy(o) for o in (F.asc("_u"), F.desc("_u")))
+    cored = spread.withColumn("_core", F.when(F.sum("_held").over(up.rangeBetween(-1, 1)) >= least, at))
+    past = lambda w: F.last("_core", True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    seen = cored.withColumns({"_below": past(up), "_above": past(down)}).where(F.col("_cell") == F.floor(at / cells))
+    near_below, near_above = F.coalesce(at - F.col("_below") <= 1, F.lit(False)), F.coalesce(F.col("_above") - at <= 1, F.lit(False))
+    seen = seen.withColumn("_begins", (F.col("_core").isNotNull() & ~near_below).cast("long"))
+    numbered = running(seen, {"_begun": ("sum", "_begins")}, cells, tuple(by), "_u")
+    # a point below all cores in its reach takes the cluster of the core above, which may have begun before
+    new_above = F.col("_below").isNull() | (F.col("_above") - F.col("_below") > 1)
+    cluster = F.when(F.col("_core").isNotNull() | near_below, F.col("_begun") - 1).when(near_above, F.col("_begun") - 1 + new_above.cast("long"))
+    labels = numbered.select(*by, price, cluster.cast("long").alias("cluster")).where("cluster IS NOT NULL")
+    return priced.join(labels, [*by, price]).select(*priced.columns, "cluster")
+
+
 def average_range(tr: np.ndarray, n: int) -> np.ndarray:
     """Wilder's mean of true ranges; the first n values are all the mean of those n."""
     out = np.zeros(len(tr))
@@ -112,7 +146,8 @@ def multi_timeframe_levels(bars: DataFrame, buckets: dict[str, tuple[Column, flo
     Score: touches, timeframe weights and volumes relative to the cluster's mean, summed,
     times the mean of exp(-days/30) before the cluster's last touch.
     """
-    clustered = islands(timeframe_pivots(bars, buckets), ["symbol", "side"], "price", share, least)
+    # two points in reach make each other cores, so that islands are the clusters
+    clustered = (islands if least <= 2 else density)(timeframe_pivots(bars, buckets), ["symbol", "side"], "price", share, least)
     clustered = clustered.withColumn("last", F.max("open_time").over(Window.partitionBy("symbol", "side", "cluster")))
     days = F.floor((F.unix_seconds(F.col("last").cast("timestamp")) - F.unix_seconds(F.col("open_time").cast("timestamp"))) / 86400)
     # volumes over their mean sum to the number of touches

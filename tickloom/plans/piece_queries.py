@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions import pieces, scans
+from tickloom.functions import orders, pieces, scans
 from tickloom.functions.windows import EPS, change
-from tickloom.operators import events
+from tickloom.operators import events, filters, levels
 from tickloom.operators import indicators as ind
-from tickloom.plans.queries import ORACLES, daily, r, register
+from tickloom.plans import signal_queries  # noqa: F401  (its oracles)
+from tickloom.plans import sql as q
+from tickloom.plans.queries import ORACLES, daily, hourly, r, register
 
 #: Rows of a piece here, so that the symbols of the test tables have several.
 ROWS = 500
@@ -50,3 +52,32 @@ def _cusum(s, d) -> DataFrame:
 
 
 register("ev_cusum_fixed_pieces", _cusum, ORACLES["ev_cusum_fixed"])
+
+
+def _orders(s, d) -> DataFrame:
+    out = orders.rolling_order(daily(s, d), "close", 60, {"middle": "median", "spread": "mad", "upper": 0.9, "rank": "percent_rank"}, ROWS)
+    return out.select("symbol", "bar_id", r("middle"), r("spread"), r("upper"), r("rank", 6))
+
+
+register(
+    "win_order_pieces", _orders,
+    f"""WITH {q.BARS}, h AS (SELECT *, list(close) {q.rows(60)} AS held FROM bars), m AS (SELECT *, list_median(held) AS mid FROM h WHERE len(held) = 60)
+    SELECT b.symbol, b.bar_id, round(mid, 4) + 0.0 AS middle, round(list_median(list_transform(held, lambda x: abs(x - mid))), 4) + 0.0 AS spread, round(list_aggregate(held, 'quantile_cont', 0.9), 4) + 0.0 AS upper,
+      round(len(list_filter(held, lambda x: x < b.close)) / 60.0::DOUBLE, 6) + 0.0 AS rank FROM bars b LEFT JOIN m ON m.symbol = b.symbol AND m.bar_id = b.bar_id""",
+)
+register("sadf_pieces", lambda s, d: filters.sadf(hourly(s, d).withColumn("close", F.log("close")), rows=200).select("symbol", "bar_id", r("sadf", 4)), ORACLES["sadf"])
+
+
+def _density(s, d) -> DataFrame:
+    return levels.density(daily(s, d), ["symbol"], "close", 0.0005, 3).select("symbol", "bar_id", "cluster")
+
+
+register(
+    "levels_density", _density,
+    f"""WITH {q.BARS}, p AS (SELECT symbol, bar_id, close / (avg(close) OVER (PARTITION BY symbol) * 0.0005::DOUBLE) AS u FROM bars),
+    c AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY symbol ORDER BY u RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) >= 3 THEN u END AS core FROM p),
+    n AS (SELECT *, last_value(core IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lo, first_value(core IGNORE NULLS) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS hi FROM c WINDOW w AS (PARTITION BY symbol ORDER BY u, bar_id)),
+    s AS (SELECT *, sum(CASE WHEN core IS NOT NULL AND NOT coalesce(u - lo <= 1, false) THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY u, bar_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS begun FROM n)
+    SELECT symbol, bar_id, CAST(begun - 1 + CASE WHEN core IS NULL AND NOT coalesce(u - lo <= 1, false) AND (lo IS NULL OR hi - lo > 1) THEN 1 ELSE 0 END AS BIGINT) AS cluster FROM s
+    WHERE core IS NOT NULL OR coalesce(u - lo <= 1, false) OR coalesce(hi - u <= 1, false)""",
+)
