@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from tickloom.functions.windows import keyed_by
 
@@ -59,6 +60,34 @@ def numbered(df: DataFrame, order: tuple[str, ...], bucket: Column, name: str =
     return out.withColumn(name, (F.col("_own") + F.col("_before") + (start - 1)).cast("long")).select(*[c for c in df.columns if c not in ("_bucket", name)], name)
 
 
+#: Ranges that a column without buckets of its own is cut into.
+RANGES = 256
+
+
+def ranges(df: DataFrame, column: str, n: int = RANGES) -> Column:
+    """A number of the range of ``column`` that a row falls in, for ``numbered``: at most ``n`` ranges of about
+    equal counts, between approximate quantiles. Rows with equal values share a range; a null is in the first."""
+    kind = df.schema[column].dataType
+    cuts = df.agg(F.percentile_approx(column, F.array(*[F.lit((i + 1) / n) for i in range(n - 1)])).alias("q")).first()["q"]
+    return F.size(F.filter(F.array(*[F.lit(x).cast(kind) for x in sorted(set(cuts or []))]).cast(ArrayType(kind)), lambda x: x < F.col(column)))
+
+
+def quantiles(df: DataFrame, column: str, levels: list[float]) -> list[float]:
+    """Exact quantiles of the finite values of a column, linear between values; none of no values.
+
+    Values are numbered in ranges, and only those at the wanted numbers reach the driver.
+    """
+    x = F.col(column).cast("double")
+    own = df.select(x.alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    n = own.count()
+    if not n:
+        return []
+    places = [q * (n - 1) for q in levels]
+    wanted = sorted({k for at in places for k in (int(at), min(int(at) + 1, n - 1))})
+    found = {r["_at"]: r["_x"] for r in numbered(own, ("_x",), ranges(own, "_x"), "_at", (), 0).where(F.col("_at").isin(wanted)).collect()}
+    return [found[int(at)] + (found[min(int(at) + 1, n - 1)] - found[int(at)]) * (at - int(at)) for at in places]
+
+
 def split(bars: DataFrame, f: Callable[[DataFrame], DataFrame], back: int = 0, ahead: int = 0, rows: int = ROWS) -> DataFrame:
     """``f`` over bars, where it uses windows along the bars that reach ``back`` rows before and
     ``ahead`` rows after a row at most, piece by piece.

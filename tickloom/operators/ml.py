@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.functions.pieces import numbered, ranges, written
 
 def features_at_entry(trades: DataFrame, features: DataFrame) -> DataFrame:
     """Trades with the features of their entry bar; columns that trades have are left out."""
@@ -59,9 +60,10 @@ def purged_folds(events: DataFrame, folds: int = 5, embargo: float = 0.01, by: s
     than the embargo (a share of all rows) from the block on both sides. ``tie``: columns
     that order rows of equal ``order``; they are kept.
     """
-    w = Window.partitionBy(by)
     kept = [by, order, *[t for t in tie if t != by]]
-    rows = events.select(*kept).withColumn("i", F.row_number().over(w.orderBy(order, *tie)) - 1).withColumn("n", F.count("*").over(w))
+    own = written(events.select(*kept), "folds")  # read for ranges, counts and numbers
+    # numbered in ranges of the order, so that a group of all rows is many tasks
+    rows = numbered(own, (order, *tie), ranges(own, order), "i", (by,), 0).join(own.groupBy(by).agg(F.count("*").alias("n")), by)
     size, gap = F.floor(F.col("n") / folds), F.floor(F.col("n") * embargo)
     each = rows.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).withColumns({"start": F.col("fold") * size, "stop": F.when(F.col("fold") == folds - 1, F.col("n")).otherwise((F.col("fold") + 1) * size)})
     test = (F.col("i") >= F.col("start")) & (F.col("i") < F.col("stop"))

@@ -11,6 +11,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.functions.pieces import quantiles, ranges
+
 EPS = 1e-12
 
 
@@ -52,6 +54,13 @@ def metrics(rows: DataFrame, by: str, value: str = "ret") -> DataFrame:
 CHUNKS = 64
 
 
+def _even_bin(at: Column, n: Column, bins: int) -> Column:
+    """The bin, from 1, of row ``at`` (from 0) of ``n``: equal counts, the first bins larger by the remainder."""
+    size, rest = F.floor(n / bins), n % bins
+    large = rest * (size + 1)
+    return (F.when(at < large, F.floor(at / (size + 1))).otherwise(rest + F.floor((at - large) / F.greatest(size, F.lit(1)))) + 1).cast("int")
+
+
 def even_bins(rows: DataFrame, by: list[str], order: list[str], bins: int) -> DataFrame:
     """Rows with ``bin``: consecutive bins of equal counts, the first ones larger by the remainder.
 
@@ -66,11 +75,8 @@ def even_bins(rows: DataFrame, by: list[str], order: list[str], bins: int) -> Da
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select(*by, "_chunk", before.alias("_before"), F.sum("_n").over(Window.partitionBy(*by)).alias("_all"))
     row = F.row_number().over(Window.partitionBy(*by, "_chunk").orderBy(*order)) + F.col("_before") - 1
-    size, rest = F.floor(F.col("_all") / bins), F.col("_all") % bins
-    large = rest * (size + 1)
     numbered = own.join(counts, [*by, "_chunk"]).withColumn("_row", row)
-    bin_ = F.when(F.col("_row") < large, F.floor(F.col("_row") / (size + 1))).otherwise(rest + F.floor((F.col("_row") - large) / F.greatest(size, F.lit(1)))) + 1
-    return numbered.withColumn("bin", bin_.cast("int")).drop("_chunk", "_before", "_all", "_row")
+    return numbered.withColumn("bin", _even_bin(F.col("_row"), F.col("_all"), bins)).drop("_chunk", "_before", "_all", "_row")
 
 
 def stability(rows: DataFrame, by: list[str], order: list[str], value: str = "ret", bins: int = 5, least: int = 3, gamma: float = 1.0, tau: float = 0.5, eps: float = 1e-9) -> DataFrame:
@@ -82,6 +88,11 @@ def stability(rows: DataFrame, by: list[str], order: list[str], value: str = "re
     """
     dealt = even_bins(rows.select(*by, *[c for c in order if c not in by], value), by, order, bins).withColumnRenamed("bin", "_bin")
     each = dealt.groupBy(*by, "_bin").agg(F.count("*").alias("size"), F.avg((F.col(value) < 0).cast("double")).alias("f"))
+    return _evenness(each, by, bins, least, gamma, tau, eps)
+
+
+def _evenness(each: DataFrame, by: list[str], bins: int, least: int, gamma: float = 1.0, tau: float = 0.5, eps: float = 1e-9) -> DataFrame:
+    """``stability`` from the size and the share of losses (f) of each bin."""
     sums = each.groupBy(*by).agg(
         F.sum("size").alias("n"), F.sum(F.col("size") * F.col("f")).alias("sf"), F.sum(F.col("size") * F.col("f") * F.col("f")).alias("sff"), F.count_if(F.col("size") >= least).alias("filled")
     )
@@ -93,8 +104,7 @@ def stability(rows: DataFrame, by: list[str], order: list[str], value: str = "re
 def thresholds(rows: DataFrame, feature: str, most: int = 19) -> list[float]:
     """Distinct quantiles from 0.05 to 0.95 of the finite values of a feature."""
     levels = [0.05 + 0.9 * i / max(1, most - 1) for i in range(most)] if most > 1 else [0.05]
-    found = rows.where(F.col(feature).isNotNull() & ~F.isnan(feature)).agg(F.array_sort(F.array_distinct(F.percentile(feature, F.array(*map(F.lit, levels))))).alias("q")).first()
-    return [float(x) for x in found["q"] or []]
+    return sorted(set(quantiles(rows, feature, levels)))
 
 
 #: A feature with a threshold, or with the categories that go left.
@@ -149,13 +159,31 @@ def performance(metric: Metric) -> Callable[[Column], Column]:
 def score_splits(rows: DataFrame, candidates: list[Split], order: list[str], value: str = "ret", metric: Metric = "sharpe", bins: int = 5, least: int = 3) -> DataFrame:
     """Score (metric times stability) and size of both sides of every candidate split.
 
-    One job for all candidates: rows meet each candidate (a bounded list made from
-    quantiles or categories) and are aggregated by candidate and side.
+    One pass for all candidates (a bounded list made from quantiles or categories): rows are dealt once,
+    in ranges of the order, and a table of how many rows of each range go left gives every row its place on its
+    side of each candidate. What meets the candidates is aggregated by candidate, side and bin before
+    it is shuffled.
     """
-    each = F.array(*[F.struct(F.lit(i).alias("cand"), goes_left(c).alias("left")) for i, c in enumerate(candidates)])
-    sides = rows.select(*order, value, F.explode(each).alias("c")).select(*order, value, "c.cand", "c.left")
+    count = len(candidates)
+    own = rows.select(*order, value, *[goes_left(c).cast("long").alias(f"_left{i}") for i, c in enumerate(candidates)]).withColumn("_range", ranges(rows, order[0]))
+    tally = own.groupBy("_range").agg(F.count("*").alias("_n"), F.array(*[F.sum(f"_left{i}") for i in range(count)]).alias("_lefts"))
+    # one row for each range
+    earlier, whole = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    lefts = [F.col("_lefts")[i] for i in range(count)]
+    before = lambda x: F.coalesce(F.sum(x).over(earlier), F.lit(0))
+    offsets = tally.select("_range", before(F.col("_n")).alias("_before"), F.sum("_n").over(whole).alias("_all"), F.array(*[before(x) for x in lefts]).alias("_before_left"), F.array(*[F.sum(x).over(whole) for x in lefts]).alias("_all_left"))
+    upto = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = own.withColumns({"_row": F.row_number().over(Window.partitionBy("_range").orderBy(*order)), **{f"_upto{i}": F.sum(f"_left{i}").over(upto) for i in range(count)}}).join(offsets, "_range")
+
+    listed = lambda name: F.array(*[F.col(f"{name}{i}") for i in range(count)]).alias(name)
+    both = F.arrays_zip(listed("_left"), listed("_upto"), "_before_left", "_all_left")
+    each = placed.select(value, "_row", "_before", "_all", F.posexplode(both).alias("cand", "c")).select(value, "_row", "_before", "_all", "cand", (F.col("c._left") == 1).alias("left"), (F.col("c._before_left") + F.col("c._upto")).alias("_passed"), F.col("c._all_left").alias("_all_left"))
+    at = F.when(F.col("left"), F.col("_passed")).otherwise(F.col("_before") + F.col("_row") - F.col("_passed")) - 1
+    each = each.withColumn("_bin", _even_bin(at, F.when(F.col("left"), F.col("_all_left")).otherwise(F.col("_all") - F.col("_all_left")), bins))
+    binned = each.groupBy("cand", "left", "_bin").agg(F.count("*").alias("size"), F.avg((F.col(value) < 0).cast("double")).alias("f"))
+    even = _evenness(binned, ["cand", "left"], bins, least)
+    sides = rows.select(value, F.explode(F.array(*[F.struct(F.lit(i).alias("cand"), goes_left(c).alias("left")) for i, c in enumerate(candidates)])).alias("c")).select(value, "c.*")
     perf = sides.groupBy("cand", "left").agg(performance(metric)(F.col(value)).alias("perf"))
-    even = stability(sides, ["cand", "left"], order, value, bins, least)
     return perf.join(even, ["cand", "left"]).select("cand", "left", "n", (F.col("perf") * F.col("stability")).alias("score"))
 
 

@@ -6,15 +6,17 @@ and features, never over rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark import StorageLevel
+import pandas as pd
+from pyspark import StorageLevel, TaskContext
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.functions.pieces import written
 from tickloom.operators import ml
 
 Fit = Callable[[list[str]], Pipeline]
@@ -101,8 +103,11 @@ class Orthogonal:
 def orthogonal(rows: DataFrame, features: list[str], method: str = "qr") -> Orthogonal:
     """The basis that orthogonalises features over rows without nulls in them.
 
-    Only means, deviations and the features' products reach the driver; qr orders the
-    basis by the features, svd by singular values.
+    Each task folds its batches into one triangular factor, and factors are stacked and factored
+    again by groups of ``FACTORS`` until one is left, so nearly dependent columns keep the digits that a
+    product matrix would lose; only means, deviations and the last factor reach the driver. qr
+    orders the basis by the features (a column that depends on those before it within rounding adds
+    nothing), svd by singular values.
     """
     if method not in ("qr", "svd"):
         raise ValueError("method is 'qr' or 'svd'")
@@ -110,18 +115,50 @@ def orthogonal(rows: DataFrame, features: list[str], method: str = "qr") -> Orth
     first = good.agg(*[F.avg(f).alias(f"m{i}") for i, f in enumerate(features)], *[F.stddev_samp(f).alias(f"s{i}") for i, f in enumerate(features)]).first()
     k = len(features)
     mean, std = [float(first[f"m{i}"] or 0.0) for i in range(k)], [float(first[f"s{i}"] or 0.0) for i in range(k)]
-    z = [(F.col(f) - m) / s if s else F.lit(0.0) for f, m, s in zip(features, mean, std)]
-    sums = good.agg(*[F.sum(z[i] * z[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]).first()
-    gram = np.array([[float(sums[f"g{min(i, j)}_{max(i, j)}"] or 0.0) for j in range(k)] for i in range(k)])
-    if method == "qr":
-        basis = np.linalg.pinv(np.linalg.cholesky(gram + 1e-12 * np.trace(gram) * np.eye(k)).T)
+    factor = _factor(good.select(*[((F.col(f) - m) / s if s else F.lit(0.0)).alias(f"z{i}") for i, (f, m, s) in enumerate(zip(features, mean, std))]), k)
+    left, size, right = np.linalg.svd(factor)
+    kept = size > size.max(initial=0.0) * k * np.finfo(float).eps
+    if method == "svd":
+        basis = right.T * np.divide(1.0, size, out=np.zeros(k), where=kept)
+    elif kept.all() and k:
+        factor = factor * np.where(np.diag(factor) < 0, -1.0, 1.0)[:, None]
+        basis = np.linalg.solve(factor, np.eye(k))
     else:
-        value, vector = np.linalg.eigh(gram)
-        order = np.argsort(-value)
-        basis = vector[:, order] / np.sqrt(np.maximum(value[order], 1e-300))
+        basis = np.linalg.pinv(factor * np.where(np.diag(factor) < 0, -1.0, 1.0)[:, None])
     return Orthogonal(features, mean, std, basis)
 
 
+#: Triangular factors that are stacked in one task.
+FACTORS = 64
+
+
+def _factor(z: DataFrame, k: int) -> np.ndarray:
+    """The triangular factor of all rows of ``z`` (k columns)."""
+    kind = "part long, row long, line array<double>"
+
+    def lines(r: np.ndarray, part: int) -> pd.DataFrame:
+        return pd.DataFrame({"part": part, "row": range(len(r)), "line": list(r)})
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        r = np.zeros((0, k))
+        for batch in batches:
+            r = np.linalg.qr(np.vstack([r, batch.to_numpy(float)]), "r")
+        if len(r):
+            yield lines(r, TaskContext.get().partitionId())
+
+    def stack(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        held = np.vstack(g.sort_values(["part", "row"])["line"].tolist())
+        return lines(np.linalg.qr(held, "r"), int(key[0]))
+
+    table = written(z.mapInPandas(fold, kind), "factors")
+    while (most := table.agg(F.max("part")).first()[0]) is not None and most > 0:
+        table = written(table.groupBy(F.floor(F.col("part") / FACTORS)).applyInPandas(stack, kind), "factors")
+    found = np.zeros((k, k))
+    for r in table.collect():  # at most k rows
+        found[r["row"]] = r["line"]
+    return found
+
+
 def permuted(rows: DataFrame, feature: str, key: list[str], seed: int = 7, block: int = 100_000, n: int | None = None) -> DataFrame:
     """Rows with one feature exchanged among them at random.
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import copy
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tickloom.operators import events as ev
@@ -11,7 +14,7 @@ from tickloom.operators import indicators as ind
 from tickloom.plans import sql as q
 from tickloom.plans.label_queries import PY, T, _sr_events, _trail
 from tickloom.plans.more_queries import _DAY, _FEATS, _featured, _with_daily
-from tickloom.plans.queries import BB, CATALOG, catalog, daily, on_bars, r, register, table
+from tickloom.plans.queries import BB, CATALOG, ORACLES, catalog, daily, on_bars, r, register, table
 from tickloom.sources import bars as src
 
 # predictions to trades: a guess from two features, and one from the width of bands alone
@@ -113,12 +116,17 @@ def _importances(s, d):
 
 register("fi_all_methods", _importances)
 register("fi_top_features", lambda s, d: training.top_features(_importances(s, d), 1))
-_SCORES = "VALUES ('a', 'mdi', 0.6), ('b', 'mdi', 0.3), ('c', 'mdi', 0.1), ('a', 'mda', 0.01), ('b', 'mda', 0.2), ('c', 'mda', 0.005)"
-_scores = lambda s: s.sql(f"SELECT feature, method, CAST(importance AS DOUBLE) AS importance FROM {_SCORES} AS t(feature, method, importance)")
-_S = f"WITH sc AS (SELECT feature, method, importance::DOUBLE AS importance FROM ({_SCORES}) t(feature, method, importance)), mn AS (SELECT feature, avg(importance) AS importance FROM sc GROUP BY 1)"
-register("fi_mean_top", lambda s, d: training.top_features(_scores(s), 2).select("feature", r("importance", 6)), f"{_S} SELECT feature, round(importance, 6) AS importance FROM mn ORDER BY importance DESC, feature LIMIT 2")
-register("fi_filter", lambda s, d: training.important(_scores(s), 0.1).select("feature", r("importance", 6)), f"{_S} SELECT feature, round(importance, 6) AS importance FROM mn WHERE importance > 0.1")
-register("fi_compare_methods", lambda s, d: training.compare_methods(_scores(s)).select("feature", "method", "rank", r("mean_rank", 6)), f"{_S} SELECT feature, method, CAST(rank AS INT) AS rank, round(avg(rank) OVER (PARTITION BY feature), 6) AS mean_rank FROM (SELECT *, rank() OVER (PARTITION BY method ORDER BY importance DESC) AS rank FROM sc)")
+# a table of importances: each priority's share of the value of the orders of a status
+def _scores(s, d):
+    value = F.sum("o_totalprice")
+    each = table(s, d, "orders").groupBy(F.col("o_orderpriority").alias("feature"), F.col("o_orderstatus").alias("method")).agg(value.alias("value"))
+    return each.select("feature", "method", (F.col("value") / F.sum("value").over(Window.partitionBy("method"))).alias("importance"))
+
+
+_S = "WITH vs AS (SELECT o_orderpriority AS feature, o_orderstatus AS method, sum(o_totalprice) AS value FROM orders GROUP BY 1, 2), sc AS (SELECT feature, method, value / sum(value) OVER (PARTITION BY method) AS importance FROM vs), mn AS (SELECT feature, avg(importance) AS importance FROM sc GROUP BY 1)"
+register("fi_mean_top", lambda s, d: training.top_features(_scores(s, d), 2).select("feature", r("importance", 6)), f"{_S} SELECT feature, round(importance, 6) AS importance FROM mn ORDER BY importance DESC, feature LIMIT 2")
+register("fi_filter", lambda s, d: training.important(_scores(s, d), 0.2).select("feature", r("importance", 6)), f"{_S} SELECT feature, round(importance, 6) AS importance FROM mn WHERE importance > 0.2")
+register("fi_compare_methods", lambda s, d: training.compare_methods(_scores(s, d)).select("feature", "method", "rank", r("mean_rank", 6)), f"{_S} SELECT feature, method, CAST(rank AS INT) AS rank, round(avg(rank) OVER (PARTITION BY feature), 6) AS mean_rank FROM (SELECT *, rank() OVER (PARTITION BY method ORDER BY importance DESC) AS rank FROM sc)")
 
 # regimes with categories and rules
 _ORDER = ["bar_id", "symbol"]
@@ -152,7 +160,33 @@ register(
     pf AS (SELECT leaf_id, count(ret) AS n, coalesce(avg(ret), 0) / (coalesce(stddev_samp(ret), 0) + 1e-12) AS perf_value FROM lf GROUP BY 1)
     SELECT leaf_id, n, CASE leaf_id WHEN 1 THEN 1 ELSE 2 END AS depth, round(perf_value, 6) + 0.0 AS perf_value, round(stability, 6) AS stability, round(perf_value * stability, 6) + 0.0 AS leaf_score FROM pf JOIN st USING (leaf_id)""",
 )
-register("regime_importances", lambda s, d: s.createDataFrame([(f, x, regime.split_counts(_TREE)[f]) for f, x in regime.feature_importances(_TREE).items()], "feature string, importance double, n_splits int"), "SELECT * FROM (VALUES ('percent_rank', 0.8::DOUBLE, 1), ('symbol', 0.2::DOUBLE, 1)) t(feature, importance, n_splits)")
+
+
+def _weighed(s, d):
+    """The tree with the squared deviations of returns that each split takes away as its gains."""
+    rows = _featured(s, d).where("ret IS NOT NULL")
+    spread = lambda on: F.coalesce(F.var_pop(F.when(on, F.col("ret"))) * F.count_if(on), F.lit(0.0))
+    inner = [n for n in regime.walk(_TREE) if n.split]
+    gains = rows.agg(*[(spread(regime.condition(n.rule)) - spread(regime.condition(n.left.rule)) - spread(regime.condition(n.right.rule))).alias(str(n.node_id)) for n in inner]).first()
+    found = copy.deepcopy(_TREE)
+    for n in regime.walk(found):
+        if n.split:
+            n.gain = gains[str(n.node_id)]
+    total, used = regime.feature_importances(found), regime.split_counts(found)
+    return s.createDataFrame([(f, float(x), used[f]) for f, x in total.items()], "feature string, importance double, n_splits int").select("feature", r("importance", 6), "n_splits")
+
+
+_SPREAD = "coalesce(var_pop(ret) FILTER ({0}) * count(*) FILTER ({0}), 0)".format
+_LEFT, _IN = "coalesce(percent_rank <= 0.5, false)", "sample_id IN ('1-URGENT', '2-HIGH')"
+register(
+    "regime_importances", _weighed,
+    f"""{_FX}, g AS (SELECT {_SPREAD('true')} - {_SPREAD(_LEFT)} - {_SPREAD(f'NOT {_LEFT}')} AS a, ({_SPREAD(f'NOT {_LEFT}')} - {_SPREAD(f'NOT {_LEFT} AND {_IN}')} - {_SPREAD(f'NOT {_LEFT} AND NOT {_IN}')}) / 2 AS b FROM fx WHERE ret IS NOT NULL)
+    SELECT feature, round(x / (a + b), 6) + 0.0 AS importance, 1 AS n_splits FROM (SELECT 'percent_rank' AS feature, a AS x, a, b FROM g UNION ALL SELECT 'symbol', b, a, b FROM g)""",
+)
+
+_LEVELS = [0.05 + 0.9 * i / 18 for i in range(19)]
+_QUANTILES = " UNION ALL ".join(f"SELECT '{f}' AS feature, unnest(list_distinct(quantile_cont({f}, {_LEVELS}))) AS threshold FROM fx" for f in _FEATS)
+ORACLES["regime_thresholds"] = f"{_FX}, qs AS ({_QUANTILES}) SELECT feature, CAST(row_number() OVER (PARTITION BY feature ORDER BY threshold) - 1 AS INT) AS i, round(threshold, 6) + 0.0 AS threshold FROM qs"
 
 # catalog, thresholds over time, managers and charts
 register("symbols_listed", lambda s, d: src.keep_listed(s.sql("SELECT * FROM VALUES ('NATION_7', 1), ('ATLANTIS', 2), ('NATION_3', 3) AS t(symbol, place)"), catalog(s, d)), f"WITH {CATALOG}, w AS (SELECT * FROM (VALUES ('NATION_7', 1), ('ATLANTIS', 2), ('NATION_3', 3)) t(symbol, place)) SELECT * FROM w WHERE symbol IN (SELECT symbol FROM catalog)")
