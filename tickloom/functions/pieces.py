@@ -31,11 +31,16 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     Where all runs in one process and none is named, as in tests, a temporary folder serves.
     """
     spark = df.sparkSession
-    path = f"{_shared(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = shared_path(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder."""
+    return f"{_shared(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
 def _shared(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:

@@ -244,11 +244,19 @@ def best_split(rows: DataFrame, features: list[str], order: list[str], value: st
     ``categories``: features whose values are grouped; thresholds are made for the others.
     ``delta_min``: least gain; ``w_target_min``: least share of rows in the target child.
     """
-    how = Search(metric, mode, min_leaf, bins, most, delta_min, w_target_min)
+    # read for thresholds, ranges, counts and scores; what does not fit in memory goes to disk
+    rows = rows.select(*dict.fromkeys([*features, *order, value])).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _best_split(rows, features, order, value, Search(metric, mode, min_leaf, bins, most, delta_min, w_target_min), categories)
+    finally:
+        rows.unpersist()
+
+
+def _best_split(rows: DataFrame, features: list[str], order: list[str], value: str, how: Search, categories: list[str]) -> tuple[Split, float] | None:
     whole = rows.select(*order, value).withColumn("all", F.lit(1))
-    score = whole.groupBy("all").agg(performance(metric)(F.col(value)).alias("perf")).join(stability(whole, ["all"], order, value, bins), "all").first()
+    score = whole.groupBy("all").agg(performance(how.metric)(F.col(value)).alias("perf")).join(stability(whole, ["all"], order, value, how.bins), "all").first()
     parent = score["perf"] * score["stability"]
-    numeric = [(f, at) for f in features if f not in categories for at in thresholds(rows, f, most)]
+    numeric = [(f, at) for f in features if f not in categories for at in thresholds(rows, f, how.most)]
     gains = _gains(rows, numeric, order, value, how, parent) if numeric else {}
     found: dict[str, tuple[Split, float]] = {}
     for i in sorted(gains):
@@ -273,7 +281,7 @@ def fit_tree(rows: DataFrame, features: list[str], order: list[str], value: str
         own = rows.where(condition(node.rule))
         if node.depth >= max_depth or own.count() < 2 * min_leaf:
             return node
-        found = best_split(own, features, order, value, metric, mode, min_leaf, bins, categories, delta_min, w_target_min, most)
+        found = _best_split(own, features, order, value, Search(metric, mode, min_leaf, bins, most, delta_min, w_target_min), categories)
         if found:
             node.split, node.gain = found
             left, right = clauses(node.split)

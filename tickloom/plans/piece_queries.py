@@ -12,6 +12,7 @@ from tickloom.operators import indicators as ind
 from tickloom.plans import signal_queries  # noqa: F401  (its oracles)
 from tickloom.plans import sql as q
 from tickloom.plans.queries import ORACLES, daily, hourly, r, register
+from tickloom.sources import paged
 
 #: Rows of a piece here, so that the symbols of the test tables have several.
 ROWS = 500
@@ -81,3 +82,15 @@ register(
     SELECT symbol, bar_id, CAST(begun - 1 + CASE WHEN core IS NULL AND NOT coalesce(u - lo <= 1, false) AND (lo IS NULL OR hi - lo > 1) THEN 1 ELSE 0 END AS BIGINT) AS cluster FROM s
     WHERE core IS NOT NULL OR coalesce(u - lo <= 1, false) OR coalesce(hi - u <= 1, false)""",
 )
+
+
+def _paged(s, d) -> DataFrame:
+    path, bars = pieces.shared_path(s, "pages"), hourly(s, d)
+    paged.store_pages(bars, "1h", path)
+    ms = F.unix_millis(F.col("open_time").cast("timestamp"))
+    # one job for each symbol; pages are the partitions
+    jobs = [(x["symbol"], "1h", x["a"], x["b"] + 1) for x in bars.groupBy("symbol").agg(F.min(ms).alias("a"), F.max(ms).alias("b")).collect()]
+    return paged.read_pages(s, paged.stored_pages(path), jobs).select("symbol", "open_time", *[r(F.col(c).cast("double"), 3).alias(c) for c in ("open", "high", "low", "close", "volume")])
+
+
+register("bars_paged", _paged, f"WITH {q.HOURLY} SELECT symbol, open_time, {', '.join(f'round(CAST(CAST({c} AS FLOAT) AS DOUBLE), 3) + 0.0 AS {c}' for c in ('open', 'high', 'low', 'close', 'volume'))} FROM hourly")
