@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tickloom.functions import pieces
 from tickloom.operators import extend, filters, levels, ml, mlperf, performance, regime, training, weights
 from tickloom.sources import bars as src
 from tickloom.sources import files
@@ -169,6 +170,49 @@ def test_filters(spark):
     assert np.allclose(sg.savgol, t.astype(float) ** 2)
 
 
+def test_filters_in_pieces(spark):
+    rng = np.random.default_rng(8)
+    n = 1203
+    frame = pd.concat([pd.DataFrame({"symbol": c, "bar_id": np.arange(1, k + 1), "close": 50 + np.cumsum(rng.normal(size=k))}) for c, k in (("a", n), ("b", 1), ("c", 2), ("d", 401))])
+    bars = spark.createDataFrame(frame)
+    forms = {
+        "trend": lambda rows: filters.hodrick_prescott(bars, lamb=10.0, rows=rows),
+        "butter": lambda rows: filters.butterworth(bars, cutoff=0.3, rows=rows),
+        "wavelet": lambda rows: filters.wavelet(bars, family=2, mode="hard", rows=rows),
+        "wavelet_part": lambda rows: filters.wavelet_levels(bars, [0, 2], rows=rows),
+    }
+    for name, form in forms.items():
+        whole, cut = (form(rows).orderBy("symbol", "bar_id").toPandas() for rows in (None, 64))
+        assert cut[["symbol", "bar_id", "close"]].equals(whole[["symbol", "bar_id", "close"]]), name
+        assert np.allclose(cut[name], whole[name], rtol=0, atol=1e-9, equal_nan=True), name
+    one = frame[frame.symbol == "a"].close.to_numpy()
+    got = filters.wavelet(bars, family=2, rows=64).where("symbol = 'a'").orderBy("bar_id").toPandas().wavelet
+    assert np.allclose(got, filters.wavelet_denoise(one, 2))
+    # the Hodrick-Prescott trend solves its equations
+    k = np.diff(np.eye(n), 2, axis=0)
+    t = forms["trend"](64).where("symbol = 'a'").orderBy("bar_id").toPandas().trend.to_numpy()
+    assert np.allclose(t + 10.0 * (k.T @ (k @ t)), one)
+    with pytest.raises(ValueError):
+        filters.wavelet(bars, mode="half")
+
+
+def test_impulse_responses():
+    x = np.cumsum(np.random.default_rng(4).normal(size=300))
+    for order, cutoff, kind in ((3, 0.1, "low"), (2, (0.2, 0.5), "band")):
+        b, a = filters.butter(order, cutoff, kind)
+        xs, ys = [x[0]] * len(b), [x[0] * b.sum() / a.sum()] * len(a)
+        for v in x:
+            xs.append(v)
+            ys.append(b @ xs[: -len(b) - 1 : -1] - a[1:] @ ys[: -len(a) : -1])
+        assert np.allclose(filters.iir(b, a, x, x[0]), ys[len(a) :])
+
+
+def test_medians_of_groups(spark):
+    rows = [("a", float(v)) for v in (3, 1, 2, 2)] + [("b", 5.0), ("b", None), ("c", None)]
+    df = spark.createDataFrame(rows, "symbol string, v double")
+    assert {r.symbol: r["median"] for r in pieces.medians(df, "v").collect()} == {"a": 2.0, "b": 5.0}
+
+
 def test_pivot_kernels():
     x = np.array([1.0, 3, 2, 3, 5, 4, 5])
     brute = [next((k for k in range(i) if x[i - 1 - k] >= x[i]), i) for i in range(len(x))]

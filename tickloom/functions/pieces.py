@@ -93,6 +93,18 @@ def quantiles(df: DataFrame, column: str, levels: list[float]) -> list[float]:
     return [found[int(at)] + (found[min(int(at) + 1, n - 1)] - found[int(at)]) * (at - int(at)) for at in places]
 
 
+def medians(df: DataFrame, column: str, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """The exact median of the values of each group: columns ``by`` and median. A group without a value has no row.
+
+    Values are numbered in ranges, so no task holds a group; ``df`` is read more than once.
+    """
+    own = df.select(*by, F.col(column).cast("double").alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    sizes = own.groupBy(*by).agg(F.count("*").alias("_all"))
+    placed = numbered(own, ("_x",), ranges(own, "_x"), "_at", by, 0).join(sizes, list(by))
+    middle = (F.col("_at") == F.floor((F.col("_all") - 1) / 2)) | (F.col("_at") == F.floor(F.col("_all") / 2))
+    return placed.where(middle).groupBy(*by).agg(F.avg("_x").alias("median"))
+
+
 def split(bars: DataFrame, f: Callable[[DataFrame], DataFrame], back: int = 0, ahead: int = 0, rows: int = ROWS) -> DataFrame:
     """``f`` over bars, where it uses windows along the bars that reach ``back`` rows before and
     ``ahead`` rows after a row at most, piece by piece.

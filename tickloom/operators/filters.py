@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -16,8 +17,43 @@ from tickloom.functions.scans import Affine, handed_over, recur
 from tickloom.functions.windows import by_bar, change, lag
 
 
-def _one(df: DataFrame, column: str, output: str, f) -> DataFrame:
-    return along_bars(df, {output: "double"}, lambda g: {output: f(g[column].to_numpy(float))})
+#: Share of an old value that a filter may still hold where its memory ends.
+FORGOTTEN = 1e-20
+
+
+def _memory(modulus: float) -> int:
+    """Rows after which a mode that decays by ``modulus`` a row is forgotten."""
+    return 1 if modulus <= 0 else math.ceil(math.log(FORGOTTEN) / math.log(modulus))
+
+
+def in_blocks(df: DataFrame, column: str, output: str, f: Callable[[np.ndarray, dict], np.ndarray], reach: int, align: int = 1, rows: int | None = None, given: tuple[str, ...] = ()) -> DataFrame:
+    """Add a column that ``f`` makes from the values of a piece and of ``reach`` rows on both sides of it.
+
+    For filters that forget: what the cut ends of a piece change must have died out ``reach`` rows from
+    them, so that pieces give what the whole series would. Only at the first and last row of a symbol
+    does ``f`` meet a true end. Pieces and their halos begin a multiple of ``align`` rows after the first
+    row. Numbers must be dense. A null spreads over the memory of a filter at least and over its
+    piece at most. ``given``: columns that are equal along a symbol and that ``f`` gets by name.
+    """
+    up = lambda k: -(-k // align) * align
+    reach = up(reach)
+    rows = up(max(pieces.ROWS if rows is None else rows, reach))
+    first = df.groupBy("symbol").agg(F.min("bar_id").alias("_first"))
+    own = F.col("bar_id") - F.col("_first")
+    seen_by = F.sequence(F.floor(F.greatest(own - reach, F.lit(0)) / rows), F.floor((own + reach) / rows))
+    spread = df.join(first, "symbol").withColumn("_piece", F.explode(seen_by))
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("bar_id").reset_index(drop=True)
+        mine = ((g["bar_id"] - g["_first"]) // rows == g["_piece"]).to_numpy()
+        if not mine.any():
+            return g.assign(**{output: 0.0})[:0]
+        g[output] = f(g[column].to_numpy(float), {c: g[c].iloc[0] for c in given})
+        return g[mine]
+
+    kinds = StructType([*spread.schema.fields, StructField(output, DoubleType())])
+    made = spread.groupBy("symbol", "_piece").applyInPandas(run, kinds)
+    return made.select(*[c for c in df.columns if c not in given], F.nanvl(F.col(output), F.lit(None).cast("double")).alias(output))
 
 
 def kalman_filter(df: DataFrame, column: str = "close", output: str = "kalman", q: float = 0.01, r: float = 0.1) -> DataFrame:
@@ -61,9 +97,11 @@ def hp_trend(x: np.ndarray, lamb: float = 1600.0) -> np.ndarray:
     return t
 
 
-def hodrick_prescott(df: DataFrame, column: str = "close", lamb: float = 1600.0) -> DataFrame:
-    """Trend and cycle."""
-    return _one(df, column, "trend", lambda x: hp_trend(x, lamb)).withColumn("cycle", F.col(column) - F.col("trend"))
+def hodrick_prescott(df: DataFrame, column: str = "close", lamb: float = 1600.0, rows: int | None = None) -> DataFrame:
+    """Trend and cycle; the pull of a row dies out as the roots of the filter say, so pieces are solved apart."""
+    inside = [abs(z) for z in np.roots([lamb, -4 * lamb, 6 * lamb + 1, -4 * lamb, lamb]) if abs(z) < 1]
+    out = in_blocks(df, column, "trend", lambda x, _: hp_trend(x, lamb), _memory(max(inside, default=0.0)), rows=rows)
+    return out.withColumn("cycle", F.col(column) - F.col("trend"))
 
 
 def butter(order: int, cutoff: float | tuple[float, float], kind: str = "low") -> tuple[np.ndarray, np.ndarray]:
@@ -102,24 +140,26 @@ def butter_low(order: int, cutoff: float) -> tuple[np.ndarray, np.ndarray]:
 
 
 def iir(b: np.ndarray, a: np.ndarray, x: np.ndarray, start: float) -> np.ndarray:
-    """Direct-form filter that begins at rest in a constant ``start``."""
-    n = len(b) - 1
-    xs, ys = [start] * n, [start * b.sum() / a.sum()] * n
-    out = np.zeros(len(x))
-    for i, v in enumerate(x):
-        y = b[0] * v + sum(b[k] * xs[-k] for k in range(1, n + 1)) - sum(a[k] * ys[-k] for k in range(1, n + 1))
-        xs.append(v)
-        ys.append(y)
-        out[i] = y
-    return out
-
-
-def butterworth(df: DataFrame, column: str = "close", order: int = 3, cutoff: float | tuple[float, float] = 0.1, kind: str = "low") -> DataFrame:
+    """Filter that begins at rest in a constant ``start``: the response to one impulse, up to the
+    filter's memory, meets what differs from ``start``."""
+    h = np.zeros(min(len(x), memory(a)))
+    for i in range(len(h)):
+        back = h[max(0, i - len(a) + 1) : i][::-1]
+        h[i] = (b[i] if i < len(b) else 0.0) - a[1 : len(back) + 1] @ back
+    return start * b.sum() / a.sum() + np.convolve(x - start, h)[: len(x)]
+
+
+def memory(a: np.ndarray) -> int:
+    """Rows after which a filter with this denominator has forgotten a value."""
+    return len(a) + _memory(float(np.abs(np.roots(a)).max(initial=0.0)))
+
+
+def butterworth(df: DataFrame, column: str = "close", order: int = 3, cutoff: float | tuple[float, float] = 0.1, kind: str = "low", rows: int | None = None) -> DataFrame:
     """Zero-phase low, high, band or stop filter: forward and backward over the series with
-    odd extension at both ends."""
+    odd extension at both ends, piece by piece with the filter's memory on both sides."""
     b, a = butter(order, cutoff, kind)
 
-    def run(x: np.ndarray) -> np.ndarray:
+    def run(x: np.ndarray, _: dict) -> np.ndarray:
         pad = min(3 * len(a), len(x) - 1)
         if pad < 1:
             return x
@@ -127,7 +167,7 @@ def butterworth(df: DataFrame, column: str = "close", order: int = 3, cutoff: fl
         forth = iir(b, a, long, long[0])
         return iir(b, a, forth[::-1], forth[-1])[::-1][pad : pad + len(x)]
 
-    return _one(df, column, "butter", run)
+    return in_blocks(df, column, "butter", run, memory(a) + 3 * len(a), rows=rows)
 
 
 def savgol_weights(window: int, degree: int, at: int = 0) -> list[float]:
@@ -201,15 +241,20 @@ def wavelet_join(steps: list[np.ndarray], h: np.ndarray, n: int) -> np.ndarray:
     return x
 
 
-def wavelet_denoise(x: np.ndarray, family: int = 1, levels: int = 3, mode: str = "soft") -> np.ndarray:
-    """Wavelet shrinkage of details by the universal threshold, soft or hard."""
+def noise_limit(details: np.ndarray, n: int) -> float:
+    """The universal threshold from the finest details of n values."""
+    return float(np.median(np.abs(details)) / 0.6745 * math.sqrt(2 * math.log(n)))
+
+
+def wavelet_denoise(x: np.ndarray, family: int = 1, levels: int = 3, mode: str = "soft", limit: float | None = None) -> np.ndarray:
+    """Wavelet shrinkage of details by the universal threshold (or ``limit``), soft or hard."""
     if mode not in ("soft", "hard"):
         raise ValueError("mode is 'soft' or 'hard'")
     if len(x) < 2:
         return x
     h = daubechies(family)
     steps = wavelet_steps(x, h, levels)
-    limit = np.median(np.abs(steps[0])) / 0.6745 * math.sqrt(2 * math.log(len(x)))
+    limit = noise_limit(steps[0], len(x)) if limit is None else limit
     for k in range(levels):
         d = steps[k]
         steps[k] = np.sign(d) * np.maximum(np.abs(d) - limit, 0) if mode == "soft" else np.where(np.abs(d) > limit, d, 0)
@@ -221,23 +266,55 @@ def haar_denoise(x: np.ndarray, levels: int = 3) -> np.ndarray:
     return wavelet_denoise(x, 1, levels)
 
 
-def wavelet(df: DataFrame, column: str = "close", levels: int = 3, family: int = 1, mode: str = "soft") -> DataFrame:
-    """Denoised values; ``family``: vanishing moments (1: Haar, 8: db8)."""
-    return _one(df, column, "wavelet", lambda x: wavelet_denoise(x, family, levels, mode))
+def _limits(df: DataFrame, column: str, h: np.ndarray, rows: int) -> DataFrame:
+    """The universal threshold of each symbol (symbol, _limit) from the finest details of all pieces.
+
+    Detail k is made from the values 2k + 2 - len(h) to 2k + 1; the last piece also has those of the mirrored end.
+    """
+    reach = 2 * len(h)
+    ends = df.groupBy("symbol").agg(F.min("bar_id").alias("_first"), F.count("*").alias("_n"))
+    own = F.col("bar_id") - F.col("_first")
+    seen_by = F.sequence(F.floor(F.greatest(own - reach, F.lit(0)) / rows), F.floor((own + reach) / rows))
+    spread = df.select("symbol", "bar_id", F.col(column).cast("double").alias("_x")).join(ends, "symbol").select("symbol", own.alias("_i"), "_n", "_x", F.explode(seen_by).alias("_piece"))
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("_i")
+        piece, n, at = int(g["_piece"].iloc[0]), int(g["_n"].iloc[0]), int(g["_i"].iloc[0])
+        size = np.zeros(0)
+        if piece * rows < n and n > 1:
+            found = wavelet_steps(g["_x"].to_numpy(float), h, 1)[0]
+            last = (n + len(h) - 1) // 2 if (piece + 1) * rows >= n else (piece + 1) * rows // 2
+            size = np.abs(found[piece * rows // 2 - at // 2 : last - at // 2])
+        return pd.DataFrame({"symbol": np.full(len(size), g["symbol"].iloc[0], object), "_size": size})
+
+    sizes = spread.groupBy("symbol", "_piece").applyInPandas(run, StructType([df.schema["symbol"], StructField("_size", DoubleType())]))
+    middle = pieces.medians(pieces.written(sizes, "details"), "_size")
+    return ends.join(middle, "symbol").select("symbol", (F.col("median") / 0.6745 * F.sqrt(2 * F.log("_n"))).alias("_limit"))
+
+
+def wavelet(df: DataFrame, column: str = "close", levels: int = 3, family: int = 1, mode: str = "soft", rows: int | None = None) -> DataFrame:
+    """Denoised values; ``family``: vanishing moments (1: Haar, 8: db8). The threshold is that of the whole
+    symbol; details are shrunk piece by piece, with as many rows on both sides as all levels reach."""
+    if mode not in ("soft", "hard"):
+        raise ValueError("mode is 'soft' or 'hard'")
+    h, rows = daubechies(family), 2 * -(-(pieces.ROWS if rows is None else rows) // 2)
+    met = df.join(_limits(df, column, h, max(rows, 2 * len(h))), "symbol", "left")
+    shrunk = lambda x, given: wavelet_denoise(x, family, levels, mode, given["_limit"])
+    return in_blocks(met, column, "wavelet", shrunk, len(h) << (levels + 1), 1 << levels, rows, ("_limit",))
 
 
-def wavelet_levels(df: DataFrame, keep: list[int], column: str = "close", levels: int = 3, family: int = 1) -> DataFrame:
+def wavelet_levels(df: DataFrame, keep: list[int], column: str = "close", levels: int = 3, family: int = 1, rows: int | None = None) -> DataFrame:
     """The part of a series in some levels: 1 (finest) to ``levels``, 0 the approximation."""
+    h = daubechies(family)
 
-    def run(x: np.ndarray) -> np.ndarray:
+    def run(x: np.ndarray, _: dict) -> np.ndarray:
         if len(x) < 2:
             return x
-        h = daubechies(family)
         steps = wavelet_steps(x, h, levels)
         kept = [s if (k + 1 if k < levels else 0) in keep else np.zeros(len(s)) for k, s in enumerate(steps)]
         return wavelet_join(kept, h, len(x))
 
-    return _one(df, column, "wavelet_part", run)
+    return in_blocks(df, column, "wavelet_part", run, len(h) << (levels + 1), 1 << levels, rows)
 
 
 def _spline(at: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:

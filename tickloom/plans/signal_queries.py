@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tickloom.operators import filters as flt
@@ -10,9 +12,10 @@ from tickloom.plans import sql as q
 from tickloom.plans.queries import ORACLES, daily, hourly, on_bars, r, register
 from tickloom.sources import bars as src
 
+_KALMAN = "k AS (SELECT symbol, bar_id, close AS v, 1.0::DOUBLE - 1.0::DOUBLE / (1.0::DOUBLE + 0.1::DOUBLE) AS p FROM bars WHERE bar_id = 1 UNION ALL SELECT b.symbol, b.bar_id, k.v + (k.p + 0.01::DOUBLE) / (k.p + 0.01::DOUBLE + 0.1::DOUBLE) * (b.close - k.v), (k.p + 0.01::DOUBLE) * (1 - (k.p + 0.01::DOUBLE) / (k.p + 0.01::DOUBLE + 0.1::DOUBLE)) FROM k JOIN bars b ON b.symbol = k.symbol AND b.bar_id = k.bar_id + 1)"
 on_bars(
     "flt_kalman", {"kalman": 4}, flt.kalman_filter,
-    f"k AS (SELECT symbol, bar_id, close AS v, 1.0::DOUBLE - 1.0::DOUBLE / (1.0::DOUBLE + 0.1::DOUBLE) AS p FROM bars WHERE bar_id = 1 UNION ALL SELECT b.symbol, b.bar_id, k.v + (k.p + 0.01::DOUBLE) / (k.p + 0.01::DOUBLE + 0.1::DOUBLE) * (b.close - k.v), (k.p + 0.01::DOUBLE) * (1 - (k.p + 0.01::DOUBLE) / (k.p + 0.01::DOUBLE + 0.1::DOUBLE)) FROM k JOIN bars b ON b.symbol = k.symbol AND b.bar_id = k.bar_id + 1), o AS (SELECT symbol, bar_id, v AS kalman FROM k)",
+    f"{_KALMAN}, o AS (SELECT symbol, bar_id, v AS kalman FROM k)",
 )
 # a quadratic fit over 11 points, by polynomials orthogonal over -5..5: 1, t and t*t - 10
 _SG = "sum(w.close * (1 / 11.0::DOUBLE + s * t / 110.0::DOUBLE + (s * s - 10) * (t * t - 10) / 858.0::DOUBLE))"
@@ -22,10 +25,62 @@ on_bars(
     sg AS (SELECT symbol, bar_id, {_SG} AS savgol FROM (SELECT c.symbol, c.bar_id, w.close, c.bar_id - c.middle AS s, w.bar_id - c.middle AS t FROM ce c JOIN bars w ON w.symbol = c.symbol AND w.bar_id BETWEEN c.middle - 5 AND c.middle + 5 WHERE c.n >= 11) w GROUP BY 1, 2),
     o AS (SELECT symbol, bar_id, savgol FROM ce LEFT JOIN sg USING (symbol, bar_id))""",
 )
-on_bars("flt_hp", {"trend": 3, "cycle": 3}, flt.hodrick_prescott, None)
-on_bars("flt_butter", {"butter": 3}, flt.butterworth, None)
-on_bars("flt_wavelet", {"wavelet": 3}, flt.wavelet, None)
-on_bars("flt_ensemble", {"ensemble": 3}, lambda b: flt.ensemble(flt.wavelet(flt.kalman_filter(b)), {"kalman": 2.0, "wavelet": 1.0}), None)
+# forward and backward substitution in the band of I + 1600 K'K, K second differences
+_L = "1600.0::DOUBLE"
+on_bars(
+    "flt_hp", {"trend": 2, "cycle": 2}, flt.hodrick_prescott,
+    f"""hn AS (SELECT *, count(*) OVER (PARTITION BY symbol) AS n FROM bars),
+    hm AS (SELECT *, 1 + {_L} * CASE WHEN bar_id IN (1, n) THEN 1 WHEN bar_id IN (2, n - 1) THEN 5 ELSE 6 END AS dd, {_L} * CASE WHEN bar_id IN (1, n - 1) THEN -2 ELSE -4 END AS ee FROM hn),
+    fw AS (SELECT symbol, bar_id, n, close, dd AS d, ee AS e, close AS y, 1e300::DOUBLE AS d1, 0.0::DOUBLE AS y1 FROM hm WHERE bar_id = 1
+      UNION ALL SELECT h.symbol, h.bar_id, h.n, h.close, h.dd - f.e * f.e / f.d - {_L} * {_L} / f.d1, h.ee - f.e * {_L} / f.d, h.close - f.e / f.d * f.y - {_L} / f.d1 * f.y1, f.d, f.y FROM fw f JOIN hm h ON h.symbol = f.symbol AND h.bar_id = f.bar_id + 1),
+    bw AS (SELECT symbol, bar_id, close, y / d AS t, 0.0::DOUBLE AS t1 FROM fw WHERE bar_id = n
+      UNION ALL SELECT f.symbol, f.bar_id, f.close, (f.y - f.e * b.t - {_L} * b.t1) / f.d, b.t FROM bw b JOIN fw f ON f.symbol = b.symbol AND f.bar_id = b.bar_id - 1),
+    o AS (SELECT symbol, bar_id, t AS trend, close - t AS cycle FROM bw)""",
+)
+
+
+def _butter_sql() -> str:
+    """The low pass of order 3 at a tenth of half the rate, by its states, over 12 more values at both ends."""
+    k = math.tan(math.pi * 0.1 / 2)
+    p, den = (k - 1) / (k + 1), k * k + k + 1
+    q1, q2 = 2 * (k * k - 1) / den, (k * k - k + 1) / den
+    b, a = [k**3 / ((k + 1) * den) * w for w in (1, 3, 3, 1)], [1.0, p + q1, q2 + p * q1, p * q2]
+    lit = lambda v: f"{v!r}::DOUBLE"
+
+    def steps(name: str, source: str, ascending: bool) -> str:
+        y = f"({lit(b[0])} * s.x + c.z1)"
+        rest = ", ".join(f"x * {lit(sum(b[i:]) - sum(a[i:]))} AS z{i}" for i in (1, 2, 3))
+        first, after = ("i = 1", "c.i + 1") if ascending else ("i = n", "c.i - 1")
+        seed = f"SELECT symbol, {'0' if ascending else 'n + 1'} AS i, 0.0::DOUBLE AS y, {rest} FROM {source} WHERE {first}"
+        new = ", ".join(f"{lit(b[i])} * s.x - {lit(a[i])} * {y} + {'c.z%d' % (i + 1) if i < 3 else '0'}" for i in (1, 2, 3))
+        return f"{name} AS ({seed} UNION ALL SELECT s.symbol, s.i, {y}, {new} FROM {name} c JOIN {source} s ON s.symbol = c.symbol AND s.i = {after})"
+
+    return f"""bn AS (SELECT symbol, bar_id, close, count(*) OVER (PARTITION BY symbol) AS n, first_value(close) OVER w AS head, last_value(close) OVER w AS tail FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY bar_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+    lg AS (SELECT symbol, bar_id + 12 AS i, n + 24 AS n, close AS x FROM bn UNION ALL SELECT symbol, 14 - bar_id, n + 24, 2 * head - close FROM bn WHERE bar_id BETWEEN 2 AND 13 UNION ALL SELECT symbol, 2 * n - bar_id + 12, n + 24, 2 * tail - close FROM bn WHERE bar_id BETWEEN n - 12 AND n - 1),
+    {steps("go", "lg", True)}, gn AS (SELECT symbol, i, n, go.y AS x FROM go JOIN lg USING (symbol, i)), {steps("ba", "gn", False)},
+    o AS (SELECT bn.symbol, bar_id, y AS butter FROM bn JOIN ba ON ba.symbol = bn.symbol AND ba.i = bar_id + 12)"""
+
+
+on_bars("flt_butter", {"butter": 3}, flt.butterworth, _butter_sql())
+# three Haar steps: sums and differences of pairs, the last of an odd number with itself
+_PAIR = "SELECT symbol, i // 2 AS i, (min_by({x}, i) + max_by({x}, i)) / sqrt(2) AS a, (min_by({x}, i) - max_by({x}, i)) / sqrt(2) AS d FROM {t} GROUP BY 1, 2"
+_HAAR = f"""h0 AS (SELECT symbol, bar_id - 1 AS i, close AS a, count(*) OVER (PARTITION BY symbol) AS n FROM bars), h1 AS ({_PAIR.format(x="a", t="h0")}), h2 AS ({_PAIR.format(x="a", t="h1")}), h3 AS ({_PAIR.format(x="a", t="h2")})"""
+
+
+def _haar_back(part1: str, part2: str, part3: str) -> str:
+    """Tables r2, r1 and wv (symbol, i, v): the series of three steps with these details in place of d."""
+    up = lambda own, above, value, part: f"SELECT f.symbol, f.i, ({value} + CASE WHEN f.i % 2 = 0 THEN 1 ELSE -1 END * {part}) / sqrt(2) AS v FROM {own} f JOIN {above} ON g.symbol = f.symbol AND g.i = f.i // 2"
+    return f"""r2 AS ({up("h2", "h3 g", "g.a", part3)}), r1 AS ({up("h1", "(SELECT r2.*, d FROM r2 JOIN h2 USING (symbol, i)) g", "g.v", part2)}), wv AS ({up("h0", "(SELECT r1.*, d FROM r1 JOIN h1 USING (symbol, i)) g", "g.v", part1)})"""
+
+
+_SHRUNK = "sign(g.d) * greatest(abs(g.d) - (SELECT lim FROM lm WHERE lm.symbol = f.symbol), 0)"
+_WAVELET = f"""{_HAAR}, lm AS (SELECT symbol, median(abs(d)) / 0.6745::DOUBLE * sqrt(2 * ln((SELECT any_value(n) FROM h0 WHERE h0.symbol = h1.symbol))) AS lim FROM h1 GROUP BY symbol), {_haar_back(_SHRUNK, _SHRUNK, _SHRUNK)}"""
+on_bars("flt_wavelet", {"wavelet": 6}, flt.wavelet, f"{_WAVELET}, o AS (SELECT symbol, i + 1 AS bar_id, v AS wavelet FROM wv)")
+on_bars("flt_wavelet_levels", {"wavelet_part": 6}, lambda b: flt.wavelet_levels(b, [0, 3]), f"{_HAAR}, {_haar_back('0', '0', 'g.d')}, o AS (SELECT symbol, i + 1 AS bar_id, v AS wavelet_part FROM wv)")
+on_bars(
+    "flt_ensemble", {"ensemble": 6}, lambda b: flt.ensemble(flt.wavelet(flt.kalman_filter(b)), {"kalman": 2.0, "wavelet": 1.0}),
+    f"{_KALMAN}, {_WAVELET}, o AS (SELECT k.symbol, bar_id, (2 * k.v + wv.v) / 3 AS ensemble FROM k JOIN wv ON wv.symbol = k.symbol AND wv.i = bar_id - 1)",
+)
 
 
 def _sadf(value: str) -> str:

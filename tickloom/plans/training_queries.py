@@ -222,5 +222,4 @@ register(
 # filters of further kinds: held against brute force in tests
 on_bars("flt_butter_band", {"butter": 3}, lambda b: flt.butterworth(b, cutoff=(0.05, 0.3), kind="band"), None)
 on_bars("flt_wavelet_db8_hard", {"wavelet": 3}, lambda b: flt.wavelet(b, family=8, mode="hard"), None)
-on_bars("flt_wavelet_levels", {"wavelet_part": 3}, lambda b: flt.wavelet_levels(b, [0, 3]), None)
 on_bars("flt_emd", {"emd": 3}, lambda b: flt.empirical_filter(b, [1]), None)
