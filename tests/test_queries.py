@@ -10,7 +10,7 @@ from tickloom.plans.catalogue import ORACLES, QUERIES
 SF = "/root/testdata/sf0.001"
 TABLES = ["region", "nation", "orders", "events", "documents", "labels"]
 #: Slow queries that fit models; only the operators behind them are tested.
-SLOW = {"regime_tree_leaves", "regime_best_split", "ml_rf_predict", "fi_mdi"}
+SLOW = {"regime_tree_leaves", "ml_rf_predict", "fi_mdi"}
 
 
 @pytest.fixture(scope="module")

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from tickloom.functions.pieces import quantiles, ranges
 
 EPS = 1e-12
+#: Gains that differ by no more are equal: sums depend on the order of rows in their last digits.
+TIED = 1e-12
 
 
 def mean(x: Column) -> Column:
@@ -229,7 +231,7 @@ def _grown(rows: DataFrame, feature: str, order: list[str], value: str, how: Sea
         gains = _gains(rows, trials, order, value, how, parent)
         step = None
         for i in sorted(gains):
-            if gains[i] > (best[1] if best else -float("inf")) + 1e-12:
+            if gains[i] > (best[1] if best else -float("inf")) + TIED:
                 best, step = (trials[i], gains[i]), i
         if step is None:
             break
@@ -261,12 +263,12 @@ def _best_split(rows: DataFrame, features: list[str], order: list[str], value: s
     found: dict[str, tuple[Split, float]] = {}
     for i in sorted(gains):
         f = numeric[i][0]
-        if f not in found or gains[i] > found[f][1]:
+        if f not in found or gains[i] > found[f][1] + TIED:
             found[f] = (numeric[i], gains[i])
     found |= {f: got for f in features if f in categories for got in [_grown(rows, f, order, value, how, parent)] if got}
     best = None
     for f in features:
-        if f in found and found[f][1] > (best[1] if best else 0.0):
+        if f in found and found[f][1] > (best[1] + TIED if best else 0.0):
             best = found[f]
     return best
 

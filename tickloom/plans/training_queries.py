@@ -188,6 +188,16 @@ _LEVELS = [0.05 + 0.9 * i / 18 for i in range(19)]
 _QUANTILES = " UNION ALL ".join(f"SELECT '{f}' AS feature, unnest(list_distinct(quantile_cont({f}, {_LEVELS}))) AS threshold FROM fx" for f in _FEATS)
 ORACLES["regime_thresholds"] = f"{_FX}, qs AS ({_QUANTILES}) SELECT feature, CAST(row_number() OVER (PARTITION BY feature ORDER BY threshold) - 1 AS INT) AS i, round(threshold, 6) + 0.0 AS threshold FROM qs"
 
+# both sides of every threshold, and all rows as the parent: Sharpe ratio times evenness of losses over five bins
+_SIDES = f"""{_FX}, qs AS ({_QUANTILES}), sd AS (SELECT feature, threshold, coalesce(CASE feature WHEN 'bb_width' THEN bb_width ELSE percent_rank END <= threshold, false) AS low, ret, bar_id, sample_id FROM fx, qs UNION ALL SELECT 'all', 0, true, ret, bar_id, sample_id FROM fx),
+nt AS (SELECT *, ntile(5) OVER (PARTITION BY feature, threshold, low ORDER BY bar_id, sample_id) AS part FROM sd),
+bn AS (SELECT feature, threshold, low, part, count(*) AS size, avg((ret < 0)::INT) AS f FROM nt GROUP BY ALL),
+sm AS (SELECT feature, threshold, low, sum(size) AS n, sum(size * f) / sum(size) AS fm, greatest(sum(size * f * f) / sum(size) - pow(sum(size * f) / sum(size), 2), 0) AS v, count(*) FILTER (size >= 3) AS filled FROM bn GROUP BY ALL),
+pf AS (SELECT feature, threshold, low, coalesce(avg(ret), 0) / (coalesce(stddev_samp(ret), 0) + 1e-12) AS perf FROM sd GROUP BY ALL),
+sc AS (SELECT feature, threshold, low, n, perf * exp(-v / (fm * (1 - fm) + 1e-9)) * (0.5 + filled) / 6.0 AS score FROM sm JOIN pf USING (feature, threshold, low)),
+gn AS (SELECT feature, threshold, max(score) - (SELECT score FROM sc WHERE feature = 'all') AS gain FROM sc WHERE feature <> 'all' GROUP BY ALL HAVING count(*) = 2 AND min(n) >= 20)"""
+ORACLES["regime_best_split"] = f"{_SIDES} SELECT feature, round(threshold, 6) + 0.0 AS threshold, round(gain, 6) + 0.0 AS gain FROM gn WHERE gain > 0 ORDER BY round(gn.gain, 10) DESC, feature, gn.threshold LIMIT 1"
+
 # catalog, thresholds over time, managers and charts
 register("symbols_listed", lambda s, d: src.keep_listed(s.sql("SELECT * FROM VALUES ('NATION_7', 1), ('ATLANTIS', 2), ('NATION_3', 3) AS t(symbol, place)"), catalog(s, d)), f"WITH {CATALOG}, w AS (SELECT * FROM (VALUES ('NATION_7', 1), ('ATLANTIS', 2), ('NATION_3', 3)) t(symbol, place)) SELECT * FROM w WHERE symbol IN (SELECT symbol FROM catalog)")
 register("symbols_trading", lambda s, d: src.trading(catalog(s, d).withColumn("status", F.when(F.length("symbol") % 2 == 0, "trading").otherwise("HALT")).withColumn("symbol", F.lower("symbol"))).select("symbol", "quote_asset"), f"WITH {CATALOG} SELECT symbol, quote_asset FROM catalog WHERE length(symbol) % 2 = 0")
