@@ -56,11 +56,47 @@ def test_op6(spark):
     assert hit / len(asked) >= 0.9
 
 
+def secret_candidates(text):
+    """Spans of quoted values, passwords in URLs and long runs, from left to right, character by character."""
+    run = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
+    out, i = [], 0
+    while i < len(text):
+        if text[i] in "=:":
+            j = i + 1 + (text[i + 1 : i + 2] in (" ", "\t") and text[i + 1 : i + 2] != "")
+            quote = text[j : j + 1]
+            if quote and quote in "\"'":
+                k = j + 1
+                while k < len(text) and not text[k].isspace() and text[k] not in "\"'":
+                    k += 1
+                if text[k : k + 1] == quote and 6 <= k - j - 1 <= 512:
+                    out.append((j + 1, k))
+                    i = k
+                    continue
+        if text[i - 3 : i] == "://" and i >= 3:
+            part = re.split(r"[\s/@\"']", text[i : i + 400], maxsplit=1)[0]
+            if part.count(":") == 1 and 0 < part.index(":") <= 64 and text[i + len(part) : i + len(part) + 1] == "@" and 1 <= len(part) - part.index(":") - 1 <= 256:
+                out.append((i + part.index(":") + 1, i + len(part)))
+                i += len(part)
+                continue
+        if text[i] in run and (i == 0 or text[i - 1] not in run):
+            k = i
+            while k < len(text) and text[k] in run:
+                k += 1
+            if k - i >= 16:
+                end = k + min(2, len(text[k:]) - len(text[k:].lstrip("=")))
+                out.append((i, end))
+                i = end
+                continue
+        i += 1
+    return out
+
+
 def test_op8(spark, texts):
     for r in queries.op8_secrets(spark, SF).collect():
-        spans = [tuple(map(int, s.split(":"))) for s in r.spans.split(",") if s]
-        assert r.n_secrets == len(spans) <= r.n_candidates
-        assert all(re.fullmatch(r"[A-Za-z0-9+/_=-]{16,}", texts[r.doc_id][a:b]) for a, b in spans)
+        spans, every = [tuple(map(int, s.split(":"))) for s in r.spans.split(",") if s], secret_candidates(texts[r.doc_id])
+        assert r.n_candidates == len(every) and set(spans) <= set(every) and r.n_secrets == len(spans)
+        planted = {m.span(1) for m in re.finditer(r'token = "([0-9a-f]{40})"', texts[r.doc_id])}
+        assert planted == set(spans)
 
 
 def test_op10(spark, texts):
