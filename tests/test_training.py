@@ -2,6 +2,7 @@
 
 import json
 import math
+from datetime import timedelta
 
 import numpy as np
 import pandas as pd
@@ -213,6 +214,34 @@ def test_medians_of_groups(spark):
     assert {r.symbol: r["median"] for r in pieces.medians(df, "v").collect()} == {"a": 2.0, "b": 5.0}
 
 
+def test_bars_are_stored_by_series(spark, tmp_path):
+    day = pd.Timestamp("2024-01-01").to_pydatetime()
+    made = lambda symbol, frame, close: [(symbol, frame, day + timedelta(days=k), close + k) for k in range(4)]
+    table = lambda rows: spark.createDataFrame(rows, "symbol string, timeframe string, open_time timestamp_ntz, close double")
+    path = str(tmp_path / "bars")
+    seen = lambda: {(r.symbol, r.timeframe): r.close for r in src.load_bars(spark, path).groupBy("symbol", "timeframe").agg(F.min("close").alias("close")).collect()}
+    src.save_bars(table(made("007", "1d", 10.0)), path)
+    # what is there stays, another series comes to it
+    src.save_bars(table(made("007", "1d", 50.0) + made("42", "4d", 20.0)), path)
+    assert seen() == {("007", "1d"): 10.0, ("42", "4d"): 20.0}
+    src.save_bars(table(made("42", "4d", 70.0)), path, overwrite=True)
+    assert seen() == {("007", "1d"): 10.0, ("42", "4d"): 70.0}
+    src.save_bars(table([]), path)
+    src.save_bars(table([]), path, overwrite=True)
+    assert len(seen()) == 2 and src.load_bars(spark, path, "007", "4d").count() == 0
+    part = files.load_history(spark, path, "42", "4d", "2024-01-02", "2024-01-03").orderBy("open_time").collect()
+    assert [(r.bar_id, r.close) for r in part] == [(1, 71.0), (2, 72.0)]
+    sizes = src.stored_size(spark, path).collect()
+    assert {r.folder.rsplit("/bars/")[1] for r in sizes} == {"timeframe=1d/symbol=007", "timeframe=4d/symbol=42"} and all(r.n_bytes > 0 and r.n_files >= 1 for r in sizes)
+
+
+def test_nested_results(spark, tmp_path):
+    path = str(tmp_path / "results")
+    rows = spark.createDataFrame([("a", {"x": 1.5}, [1, 2])], "name string, scores map<string, double>, folds array<int>")
+    files.save_nested(rows, path)
+    assert [json.loads(r.value) for r in spark.read.text(path).collect()] == [{"name": "a", "scores": {"x": 1.5}, "folds": [1, 2]}]
+
+
 def test_pivot_kernels():
     x = np.array([1.0, 3, 2, 3, 5, 4, 5])
     brute = [next((k for k in range(i) if x[i - 1 - k] >= x[i]), i) for i in range(len(x))]

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import orders, pieces, scans
 from tickloom.functions.windows import EPS, change
-from tickloom.operators import events, filters, levels
+from tickloom.operators import barriers, events, filters, levels
 from tickloom.operators import indicators as ind
 from tickloom.plans import signal_queries  # noqa: F401  (its oracles)
 from tickloom.plans import sql as q
 from tickloom.plans.queries import ORACLES, daily, hourly, r, register
+from tickloom.sources import bars as src
 from tickloom.sources import paged
 
 #: Rows of a piece here, so that the symbols of the test tables have several.
@@ -94,3 +95,27 @@ def _paged(s, d) -> DataFrame:
 
 
 register("bars_paged", _paged, f"WITH {q.HOURLY} SELECT symbol, open_time, {', '.join(f'round(CAST(CAST({c} AS FLOAT) AS DOUBLE), 3) + 0.0 AS {c}' for c in ('open', 'high', 'low', 'close', 'volume'))} FROM hourly")
+
+
+# filters with the memory of the filter on both sides of each piece
+for _name, _form, _column, _digits in (
+    ("flt_hp", lambda b: filters.hodrick_prescott(b, rows=ROWS), ("trend", "cycle"), 2),
+    ("flt_butter", lambda b: filters.butterworth(b, rows=ROWS), ("butter",), 3),
+    ("flt_wavelet", lambda b: filters.wavelet(b, rows=ROWS), ("wavelet",), 6),
+):
+    register(f"{_name}_pieces", lambda s, d, form=_form, columns=_column, digits=_digits: form(daily(s, d)).select("symbol", "bar_id", *[r(c, digits) for c in columns]), ORACLES[_name])
+
+
+def _stored(s, d):
+    """Bars of two timeframes written by series and read back, one series in a second call."""
+    path = pieces.shared_path(s, "bars")
+    both = daily(s, d).withColumn("timeframe", F.lit("1d")).unionByName(hourly(s, d).withColumn("timeframe", F.lit("1h")))
+    src.save_bars(both.where("symbol <> '2-HIGH'"), path)
+    src.save_bars(both.withColumn("close", F.when(F.col("symbol") == "2-HIGH", F.col("close")).otherwise(0.0)), path)
+    return src.load_bars(s, path).groupBy("timeframe", "symbol").agg(F.count("*").alias("n"), F.sum("close").alias("total")).select("timeframe", "symbol", "n", r("total", 4))
+
+
+register("bars_stored", _stored, f"WITH {q.BARS}, {q.HOURLY} SELECT '1d' AS timeframe, symbol, count(*) AS n, round(sum(close), 4) + 0.0 AS total FROM bars GROUP BY symbol UNION ALL SELECT '1h', symbol, count(*), round(sum(close), 4) + 0.0 FROM hourly GROUP BY symbol")
+_some = lambda b: b.where("bar_id % 7 = 3").select("symbol", "bar_id", F.when(F.col("bar_id") % 2 == 0, F.col("high")).alias("entry_price"))
+register("barriers_fill_entry", lambda s, d: barriers.fill_entry(_some(b := daily(s, d)), b, "open").select("symbol", "bar_id", "entry_price"), f"WITH {q.BARS} SELECT symbol, bar_id, CASE WHEN bar_id % 2 = 0 THEN high ELSE open END AS entry_price FROM bars WHERE bar_id % 7 = 3")
+register("flt_min_max", lambda s, d: filters.min_max(daily(s, d), "close", "scaled").select("symbol", "bar_id", r("scaled", 8)), f"WITH {q.BARS} SELECT symbol, bar_id, round((close - min(close) OVER w) / (max(close) OVER w - min(close) OVER w), 8) + 0.0 AS scaled FROM bars WINDOW w AS (PARTITION BY symbol)")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: Names under which files may hold the columns of a bar, lower case (fixed values).
 ALIASES = {"open": "open", "high": "high", "low": "low", "close": "close", "volume": "volume", "vol": "volume", "adj close": "close"}
@@ -133,13 +134,30 @@ def parse_klines(pages: DataFrame, column: str = "page") -> DataFrame:
 
 
 def save_bars(bars: DataFrame, path: str, overwrite: bool = False) -> None:
-    """Write bars by timeframe and symbol; without ``overwrite`` existing data stays."""
-    bars.write.mode("overwrite" if overwrite else "ignore").option("partitionOverwriteMode", "dynamic").partitionBy("timeframe", "symbol").parquet(path)
+    """Write bars by timeframe and symbol. What is there of the same timeframe and symbol stays, or gives way with
+    ``overwrite``; other series stay in both cases. No bars write nothing."""
+    spark = bars.sparkSession
+    if overwrite:
+        out = bars.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    else:
+        if _holds_bars(spark, path):
+            # one row for each series, from the names of folders and the counts in the files' footers
+            bars = bars.join(load_bars(spark, path).select("timeframe", "symbol").distinct(), ["timeframe", "symbol"], "left_anti")
+        out = bars.write.mode("append")
+    out.partitionBy("timeframe", "symbol").parquet(path)
+
+
+def _holds_bars(spark: SparkSession, path: str) -> bool:
+    found = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/timeframe=*/symbol=*")
+    return bool(found.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(found))
 
 
 def load_bars(spark: SparkSession, path: str, symbol: str | None = None, timeframe: str | None = None) -> DataFrame:
     """Bars that ``save_bars`` wrote; the conditions prune partitions."""
-    bars = spark.read.parquet(path)
+    # symbols and timeframes stay text, even where all of them look like numbers
+    text = {"symbol", "timeframe"}
+    kinds = StructType([StructField(f.name, StringType()) if f.name in text else f for f in spark.read.parquet(path).schema])
+    bars = spark.read.schema(kinds).parquet(path)
     for c, v in (("symbol", symbol), ("timeframe", timeframe)):
         bars = bars.where(F.col(c) == v) if v else bars
     return bars
