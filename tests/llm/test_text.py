@@ -369,6 +369,16 @@ def test_secret_rows_and_figures(spark):
     assert secrets.quality(many.where("false")).first().asDict() == {"n_secrets": 0, "n_others": 0, "found": 0, "wrong": 0, "precision": None, "recall": None}
 
 
+def test_bare_keys_are_found_and_not_trained_against(spark):
+    draw = random.Random(6)
+    key = lambda: "AKIA" + "".join(draw.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(16))
+    line = prose(2, 120)
+    texts = [f"{line[k][:60]} {key() if k % 2 else line[k].replace(' ', '')[:20].upper()} {line[k][60:]}" for k in range(120)]
+    r = secrets.quality(frame(spark, texts)).first()
+    held = [k for k in range(120) if zlib.crc32(str(k).encode()) % 3 == 1]
+    assert r.n_secrets == sum(k % 2 for k in held) and r.recall >= 0.9 and r.precision >= 0.9
+
+
 def test_letter_pairs(spark):
     docs = spark.createDataFrame([(1, "abAB b"), (2, "a"), (3, "b"), (4, None)], "doc_id long, text string").selectExpr("doc_id", "coalesce(text, '') AS text").coalesce(1)
     got = secrets.pair_counts(docs)

@@ -8,10 +8,10 @@ whether they stand in a path or URL, and the words before them. A random forest
 trained from labelled findings accepts or rejects each.
 
 The labelled findings are of two sorts, each in a stated number at most: made by rule, and
-candidates of the table itself that stand bare between spaces in running text, which are no
-secrets. ``quality`` measures on ids that the training leaves out (see ``held_out``), by labels from
-what is around a candidate: bare in running text (none), or assigned between
-quotes to a name for secrets (a secret; the training sees none of these).
+ordinary candidates of the table itself: bare words and numbers between spaces, which are no
+secrets. ``quality`` measures on ids that the training leaves out (see ``held_out``): none are such
+words and numbers, secrets are values of a published key form and values between quotes
+assigned to a name for secrets (the training sees none of these from the table).
 
 A null or empty text has no candidates. Rows that repeat are scanned each by
 itself. A row with a null id is scanned, and takes part in the training. Extra columns
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.common import documents, joined, slices, written
 
-#: Labelled findings made by rule, and at most so many bare candidates of the table, that the forest is trained from.
+#: Labelled findings made by rule, and at most so many bare words and numbers of the table, that the forest is trained from.
 FINDINGS = 4_000
 OWN_FINDINGS = 4_000
 #: A password in a URL, a value in quotes, or a run of key characters (groups 1, 3 and 4).
@@ -50,6 +50,8 @@ REACH = 24
 
 #: A user name of a URL before its password.
 _USER = re.compile(r"://[^\s/@]*:$")
+#: Published forms of access keys (fixed values).
+KEY_FORM = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}")
 #: The name that a value is assigned to, right before the sign.
 _NAME = re.compile(r"[A-Za-z0-9_]+(?=\s*$)")
 #: Times that the pairs of the dictionary count beside those of the corpus.
@@ -170,12 +172,15 @@ def train(spark: SparkSession, findings: list[tuple[str, str, str, int]], rarity
 
 
 def _label(text: str, m: re.Match) -> int | None:
-    """1 for a value between quotes that is assigned to a name for secrets, 0 for a run between spaces with no equals
-    sign or colon before it, None for others."""
+    """1 for a value of a published key form or one between quotes that is assigned to a name for secrets, 0 for a word or
+    number between spaces with no equals sign or colon before it, None for others."""
+    value = m.group(3) or m.group(4)
+    if value and KEY_FORM.fullmatch(value):
+        return 1
     if m.group(3) is not None:
         named = _NAME.search(text[max(0, m.start() - REACH) : m.start()])
         return 1 if named and named.group().lower() in CUES_FOR else None
-    if m.group(4) is None:
+    if not value or not (value.isalpha() or value.isdigit()):
         return None
     before, after = text[max(0, m.start() - 2) : m.start()], text[m.end() : m.end() + 1]
     return 0 if before[-1:] in ("", " ", "\n") and before[:1] not in ("=", ":") and after in ("", " ", "\n", ",", ".", "!") else None
