@@ -137,6 +137,18 @@ def test_tick_bars_in_pieces(spark, method, side, carry, threshold):
         assert [(r.candle_id, r.n_ticks, r.volume, r.direction) for r in got.collect()] == want
 
 
+@pytest.mark.parametrize("method,side,threshold", [("netflow", "abs", 1e9)])
+def test_few_rounds_for_many_pieces(spark, monkeypatch, method, side, threshold):
+    """A state that no piece forgets passes 50 pieces in rounds of the order of their square root."""
+    rows = tick_rows(6, 99)
+    ticks = spark.createDataFrame(rows, "symbol string, event_id long, price double, qty double, is_buyer_maker boolean").withColumn("ts", F.expr("timestamp_ntz'2020-01-01' + make_interval(0,0,0,0,0,13 * cast(event_id as int))"))
+    rounds, write = [], scans.written
+    monkeypatch.setattr(scans, "written", lambda df, tag: (rounds.append(tag), write(df, tag))[1])
+    got = tick_bars(ticks, method, threshold, side, rows=2).collect()
+    assert [(r.candle_id, r.n_ticks, r.volume) for r in got] == [(0, len(rows), sum(r[3] for r in rows))]
+    assert rounds.count("states") <= 12
+
+
 def test_windows_in_pieces(bars):
     f = lambda b: b.withColumns({"mean": rolling(F.avg, "close", 6), "before": lag("close"), "next": F.lead("close", 2).over(windows_by())})
     from tickloom.functions.windows import by_bar as windows_by

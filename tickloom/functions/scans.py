@@ -4,22 +4,25 @@
 one map per piece gives each piece the value it starts from, and y = A*start + B. So a
 symbol's rows are never in one task, and nothing runs twice.
 
-``handed_over``: any recurrence with a small state. All pieces run from rest at once; those
-whose predecessor leaves another state than they were run with run again. Filters and bars
-that reset forget the state they began with, so few rounds remain; from the third round
-on only the first such piece of a symbol runs, so work stays linear even where a
-state is never forgotten.
+``handed_over``: any recurrence with a small state. P pieces of a symbol are about sqrt(P)
+blocks of as many pieces. All blocks run from rest at once; those whose predecessor leaves
+another state than they were run with run again. Filters and bars that reset forget the
+state they began with, the sooner within a longer block, so few rounds remain. While due
+blocks halve, all run at once; else only the first of each symbol does. So work stays linear
+and rounds are at most about 2 * sqrt(P), even where a state is never forgotten.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, LongType, NumericType, StructField, StructType
 
 from tickloom.functions.pieces import ROWS, piece, written
 
@@ -185,57 +188,94 @@ def ewm_std(df: DataFrame, column: str, output: str, span: float, adjust: bool =
     return out.withColumn(output, F.when(F.col("_n") >= 2, F.sqrt(var))).drop("_x", "_w", "_ww", "_wx", "_wxx", "_n")
 
 
+def _met(left: DataFrame, right: DataFrame, key: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join by columns in which a null equals a null."""
+    right = right.withColumnsRenamed({c: f"_key_{c}" for c in key})
+    same = [left[c].eqNullSafe(right[f"_key_{c}"]) for c in key]
+    return left.join(right, same, how).drop(*[f"_key_{c}" for c in key])
+
+
 def handed_over(df: DataFrame, outputs: dict[str, str], kernel: Callable[[pd.DataFrame, tuple], tuple[dict[str, np.ndarray], tuple]], start: tuple[float, ...], rows: int | None = None, by: tuple[str, ...] = ("symbol",), number: str = "bar_id") -> DataFrame:
-    """Add columns that ``kernel`` makes from the ordered rows of a piece and the state before them.
+    """Add columns that ``kernel`` makes from some ordered rows and the state before them.
 
-    ``kernel`` gives columns and the state after the piece (numbers). ``outputs``: name to "double" or "long".
+    ``kernel`` gives columns and the state after the rows (numbers); it reads columns of numbers only.
+    ``outputs``: name to "double" or "long".
     """
     rows = ROWS if rows is None else rows
-    keyed = df.withColumn("_piece", piece(number, rows))
     state = [f"_s{k}" for k in range(len(start))]
-    key = [keyed.schema[c] for c in (*by, "_piece")]
     at_rest = [F.lit(float(v)).alias(c) for c, v in zip(state, start)]
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(number).reset_index(drop=True)
-        made, _ = kernel(g, tuple(g[c].iloc[0] for c in state))
-        for name, value in made.items():
-            g[name] = value
-        return g.drop(columns=[*state, "_piece"])
-
-    def leave(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(number).reset_index(drop=True)
-        _, after = kernel(g, tuple(g[c].iloc[0] for c in state))
-        return pd.DataFrame({c: [g[c].iloc[0]] for c in (*by, "_piece")} | {f"{c}_out": [float(v)] for c, v in zip(state, after)})
-
-    def finished(entered: DataFrame) -> DataFrame:
-        return entered.groupBy(*by, "_piece").applyInPandas(run, StructType([*df.schema.fields, *[StructField(c, _KINDS[k]) for c, k in outputs.items()]]))
-
-    along = Window.partitionBy(*by).orderBy("_piece")
-    pieces = written(keyed.groupBy(*by, "_piece").agg(F.count("*").alias("_n")).withColumn("_next", F.lead("_piece").over(along)), "pieces")
-    if pieces.where(F.col("_next").isNotNull()).isEmpty():
-        return finished(keyed.select("*", *at_rest))
+    block = [*by, "_block"]
+    columns, reads = df.columns, [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
+    kinds = {"double": pa.float64(), "long": pa.int64()}
+
+    def in_order(entered: DataFrame) -> DataFrame:
+        return entered.repartition(*block).sortWithinPartitions(*block, number)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, dict, tuple, bool]]:
+        """Rows of one block at a time, what the kernel makes of them, the state after them, and whether a block begins."""
+        held, after = None, ()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            edge = np.zeros(batch.num_rows - 1, bool)
+            for c in block:
+                own = batch.column(c)
+                same = pc.equal(own[1:], own[:-1])
+                both = pc.and_(pc.is_null(own[1:]), pc.is_null(own[:-1]))
+                edge |= ~pc.or_(pc.fill_null(same, False), both).to_numpy(zero_copy_only=False)
+            at = [0, *(np.flatnonzero(edge) + 1).tolist(), batch.num_rows]
+            for a, b in zip(at[:-1], at[1:]):
+                part = batch.slice(a, b - a)
+                key = tuple(part.column(c)[0].as_py() for c in block)
+                begins = key != held
+                if begins:
+                    held, after = key, tuple(part.column(c)[0].as_py() for c in state)
+                made, after = kernel(part.select(reads).to_pandas(), after)
+                yield part, made, after, begins
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, made, _, _ in parts(batches):
+            new = [pa.array(np.asarray(made[c]), kinds[k], from_pandas=True) for c, k in outputs.items()]
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in columns], *new], names=[*columns, *outputs])
+
+    def leave(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple] = []
+        for part, _, after, begins in parts(batches):
+            row = (*[part.column(c)[:1] for c in block], *[pa.array([float(v)], pa.float64()) for v in after])
+            found = [*found, row] if begins else [*found[:-1], row]
+            if len(found) > 1000:
+                yield from (pa.RecordBatch.from_arrays(list(r), names=left_names) for r in found[:-1])
+                found = found[-1:]
+        yield from (pa.RecordBatch.from_arrays(list(r), names=left_names) for r in found)
+
+    # a block is as many pieces as there are blocks, about; it runs through a task in batches
+    longest = df.groupBy(*by).agg(F.max(piece(number, rows)).alias("_wide")).select(*by, F.greatest(F.lit(1), F.floor(F.sqrt(F.col("_wide") + 1))).cast("long").alias("_wide"))
+    keyed = _met(df, longest, by).withColumn("_block", F.floor(piece(number, rows) / F.col("_wide"))).drop("_wide")
     keyed = written(keyed, "dealt")
-    leaving = StructType([*key, *[StructField(f"{c}_out", DoubleType()) for c in state]])
-    table = pieces.select(*by, "_piece", "_next", *at_rest, *[F.lit(None).cast("double").alias(f"{c}_out") for c in state], F.lit(True).alias("_new"))
-    rounds = 0
-    while True:
-        # the last piece of a symbol hands nothing over
-        asked = table.where(F.col("_new") & F.col("_next").isNotNull())
-        if rounds >= 2:
-            asked = asked.withColumn("_least", F.min("_piece").over(Window.partitionBy(*by))).where(F.col("_piece") == F.col("_least"))
-        left = keyed.join(asked.select(*by, "_piece", *state), [*by, "_piece"]).groupBy(*by, "_piece").applyInPandas(leave, leaving)
-        left = left.select(*by, "_piece", F.lit(True).alias("_ran"), *[F.col(f"{c}_out").alias(f"{c}_now") for c in state])
-        met = table.join(left, [*by, "_piece"], "left")
-        met = met.withColumns({f"{c}_out": F.when(F.col("_ran"), F.col(f"{c}_now")).otherwise(F.col(f"{c}_out")) for c in state} | {"_due": F.col("_new") & F.col("_ran").isNull()})
-        first = F.lag("_piece").over(along).isNull()
+    key = [keyed.schema[c] for c in block]
+    left_names = [*block, *[f"{c}_now" for c in state]]
+    leaving = StructType([*key, *[StructField(f"{c}_now", DoubleType()) for c in state]])
+    closing = StructType([*df.schema.fields, *[StructField(c, _KINDS[k]) for c, k in outputs.items()]])
+    along = Window.partitionBy(*by).orderBy("_block")
+    # the last block of a symbol hands nothing over
+    blocks = keyed.select(*block).distinct().withColumn("_next", F.lead("_block").over(along))
+    table = written(blocks.select("*", *at_rest, *[F.lit(None).cast("double").alias(f"{c}_out") for c in state], F.col("_next").isNotNull().alias("_due")), "states")
+    due, all_at_once = table.where("_due").count(), None
+    while due:
+        asked = table.where("_due")
+        if all_at_once is None or 2 * due <= all_at_once:
+            all_at_once = due
+        else:
+            asked = asked.withColumn("_least", F.min("_block").over(Window.partitionBy(*by))).where(F.col("_block") == F.col("_least"))
+        rows_of = in_order(_met(keyed.select(*dict.fromkeys([*block, number, *reads])), asked.select(*block, *state), block))
+        met = _met(table, rows_of.mapInArrow(leave, leaving).withColumn("_ran", F.lit(True)), block, "left")
+        met = met.withColumns({f"{c}_out": F.when(F.col("_ran"), F.col(f"{c}_now")).otherwise(F.col(f"{c}_out")) for c in state} | {"_due": F.col("_due") & F.col("_ran").isNull()})
+        first = F.lag("_block").over(along).isNull()
         entry = {c: F.when(first, F.lit(float(v))).otherwise(F.lag(f"{c}_out").over(along)) for c, v in zip(state, start)}
-        met = met.select(*by, "_piece", "_next", "_due", *[F.col(c).alias(f"{c}_was") for c in state], *[e.alias(c) for c, e in entry.items()], *[f"{c}_out" for c in state])
         moved = F.lit(False)
         for c in state:
             moved = moved | ~F.col(c).eqNullSafe(F.col(f"{c}_was"))
-        table = written(met.withColumn("_new", moved | F.col("_due")).drop("_due", *[f"{c}_was" for c in state]), "states")
-        rounds += 1
-        if table.where(F.col("_new") & F.col("_next").isNotNull()).isEmpty():
-            break
-    return finished(keyed.join(table.select(*by, "_piece", *state), [*by, "_piece"]))
+        met = met.select(*block, "_next", "_due", *[F.col(c).alias(f"{c}_was") for c in state], *[e.alias(c) for c, e in entry.items()], *[f"{c}_out" for c in state])
+        table = written(met.withColumn("_due", (moved | F.col("_due")) & F.col("_next").isNotNull()).drop(*[f"{c}_was" for c in state]), "states")
+        due = table.where("_due").count()
+    return in_order(_met(keyed, table.select(*block, *state), block)).mapInArrow(run, closing)
