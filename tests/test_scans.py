@@ -137,7 +137,7 @@ def test_tick_bars_in_pieces(spark, method, side, carry, threshold):
         assert [(r.candle_id, r.n_ticks, r.volume, r.direction) for r in got.collect()] == want
 
 
-@pytest.mark.parametrize("method,side,threshold", [("netflow", "abs", 1e9)])
+@pytest.mark.parametrize("method,side,threshold", [("netflow", "abs", 1e9), ("volume", "either", 1e9)])
 def test_few_rounds_for_many_pieces(spark, monkeypatch, method, side, threshold):
     """A state that no piece forgets passes 50 pieces in rounds of the order of their square root."""
     rows = tick_rows(6, 99)
