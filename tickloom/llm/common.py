@@ -22,7 +22,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _WORD = (np.arange(256) >= 128) | np.isin(np.arange(256), [*range(48, 58), *range(65, 91), *range(97, 123)])
 _LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
-_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -130,7 +130,7 @@ def runs(raw: np.ndarray, keep: np.ndarray, begin: np.ndarray, cuts: np.ndarray
 def spaced(texts: pa.Array) -> Chunks:
     """Chunks between ASCII white space (space and 9 to 13) of each text."""
     raw, begin = joined(texts)
-    return runs(raw, ~_SPACE[raw], begin)
+    return runs(raw, ~SPACE[raw], begin)
 
 
 def tokenizer_chunks(texts: pa.Array) -> Chunks:
@@ -141,7 +141,7 @@ def tokenizer_chunks(texts: pa.Array) -> Chunks:
     those of the text. Slices with "<|" keep their case, since that may begin a special token.
     """
     raw, begin = joined(texts)
-    keep = ~_SPACE[raw]
+    keep = ~SPACE[raw]
     marks = np.flatnonzero((raw == 44) | (raw == 46))
     last = np.zeros(len(raw) + 1, bool)
     last[begin] = True

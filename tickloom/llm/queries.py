@@ -55,7 +55,7 @@ def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = token_counts.prefix_counts(read(spark, sf_dir, "documents"), WORD_BPE)
+    counted = token_counts.prefix_counts(read(spark, sf_dir, "documents"), WORD_BPE, every="char")
     return counted.select("doc_id", "n_bytes", token_counts.n_tokens().alias("n_tokens")).withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 

@@ -1,9 +1,9 @@
 """Token counts by prefix dynamic programming.
 
 The count at a prefix is the count at the last chunk end before it plus that of
-the cut chunk. One pass gives the exact count at every stored prefix: at the ends
-of chunks, or at every character, where a dynamic program over each distinct word
-gives all of its prefixes from shorter ones. Stored counts then answer "how many
+the cut chunk. A dynamic program over the bytes of each distinct word gives the counts of
+all of its prefixes from shorter ones, in time linear in the word. One pass gives the exact
+count at every stored prefix: at every character, or at the ends of chunks only. Stored counts then answer "how many
 tokens are the first n bytes" and "how much text fits in a budget" without
 encoding again: exactly at any character with every="char", and at the last end of
 a chunk with every="chunk".
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm import wordtokens
-from tickloom.llm.common import documents, slices
+from tickloom.llm.common import SPACE, documents, joined, slices, tokenizer_chunks
 
 SCHEMA = "doc_id long, n_bytes long, prefix_end array<int>, prefix_tokens array<int>"
 
@@ -43,10 +43,7 @@ def prefix_counts(docs: DataFrame, tokenizer: str, every: str = "chunk", key: st
         own = wordtokens.load(tokenizer)
         for part in slices(batches, limit=wordtokens.SLICE_BYTES):
             texts = part.column("text")
-            got = own.encode(texts, with_ids=False)
-            ends, tokens, at = got.chunk_ends, got.chunk_tokens, got.chunk_offsets
-            if every == "char":
-                ends, tokens, at = _by_character(own, texts, got)
+            ends, tokens, at = _prefixes(own, texts, every)
             lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x, pa.int32())) for x in (ends, tokens)]
             sizes = pa.array([len(x) for x in texts.cast(pa.binary()).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), sizes, *lists], names=["doc_id", "n_bytes", "prefix_end", "prefix_tokens"])
@@ -54,26 +51,30 @@ def prefix_counts(docs: DataFrame, tokenizer: str, every: str = "chunk", key: st
     return documents(docs, key, text).mapInArrow(count, SCHEMA)
 
 
-def _by_character(own: wordtokens.WordTokens, texts: pa.Array, got: wordtokens.Encoded) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The prefixes of every chunk, spread out to characters."""
-    from tickloom.llm.common import tokenizer_chunks
-
+def _prefixes(own: wordtokens.WordTokens, texts: pa.Array, every: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte ends of the stored prefixes of each text, their tokens, and offsets of texts into both."""
     chunks = tokenizer_chunks(texts)
     coded = chunks.values.dictionary_encode()
-    words = coded.dictionary.to_pylist()
-    counts = [np.array(own.prefix_counts(w), np.int64) for w in words]
-    steps = [np.cumsum([len(c.encode()) for c in w]) for w in words]
     codes = coded.indices.to_numpy()
-    width = np.array([len(c) for c in counts], np.int64)[codes] if len(codes) else np.zeros(0, np.int64)
-    before = np.concatenate([[0], np.cumsum(width)])
+    counts = own.prefix_bytes(coded.dictionary.to_pylist())
+    bound = np.concatenate([[0], np.cumsum(np.fromiter((len(c) // 4 for c in counts), np.int64, len(counts)))])
+    values = np.frombuffer(b"".join(counts), np.int32)
+    # what the chunks of a text before each one come to
+    each = values[bound[1:] - 1][codes].astype(np.int64) if len(codes) else np.zeros(0, np.int64)
+    total = np.concatenate([[0], np.cumsum(each)])
     per_doc = np.diff(chunks.offsets)
-    start = chunks.starts - np.repeat(chunks.begin[:-1], per_doc)
-    first = np.concatenate([[0], got.chunk_tokens[:-1]])
-    first[chunks.offsets[:-1][per_doc > 0]] = 0
-    none = np.zeros(0, np.int64)
-    ends = np.concatenate([steps[c] for c in codes]) + np.repeat(start, width) if len(codes) else none
-    tokens = np.concatenate([counts[c] for c in codes]) + np.repeat(first, width) if len(codes) else none
-    return ends, tokens, before[chunks.offsets]
+    before = total[:-1] - np.repeat(total[chunks.offsets[:-1]], per_doc)
+    if every == "chunk":
+        return chunks.ends - np.repeat(chunks.begin[:-1], per_doc), before + each, chunks.offsets
+    spread = pa.ListArray.from_arrays(pa.array(bound, pa.int32()), pa.array(values)).take(coded.indices).flatten().to_numpy()
+    raw, begin = joined(texts)
+    # a character ends where no byte that continues one follows
+    last = np.ones(len(raw), bool)
+    last[:-1] = (raw[1:] & 0xC0) != 0x80
+    ends = np.flatnonzero(last & ~SPACE[raw]) + 1
+    at = np.searchsorted(ends, begin, side="right")
+    tokens = spread + np.repeat(before, np.diff(bound)[codes])
+    return ends - np.repeat(begin[:-1], np.diff(at)), tokens, at
 
 
 def n_tokens() -> Column:
