@@ -149,6 +149,34 @@ def test_few_rounds_for_many_pieces(spark, monkeypatch, method, side, threshold)
     assert rounds.count("states") <= 12
 
 
+@pytest.mark.parametrize("side", ["either", "buy"])
+def test_volume_bars_out_of_phase_take_one_round(spark, monkeypatch, side):
+    """Equal ticks: bars that begin at different ticks never close at the same one."""
+    rows = [("a", i, 10.0, 1.0, False) for i in range(99)] + [("b", i, 10.0, 0.25 * (i % 5), i % 3 == 0) for i in range(60)]
+    ticks = spark.createDataFrame(rows, "symbol string, event_id long, price double, qty double, is_buyer_maker boolean").withColumn("ts", F.expr("timestamp_ntz'2020-01-01' + make_interval(0,0,0,0,0,13 * cast(event_id as int))"))
+    rounds, write = [], scans.written
+    monkeypatch.setattr(scans, "written", lambda df, tag: (rounds.append(tag), write(df, tag))[1])
+    got = tick_bars(ticks, "volume", 7.0, side, rows=2)
+    assert rounds.count("states") <= 3
+    bars = lambda b: sorted((r.symbol, r.candle_id, r.n_ticks, r.volume, r.direction) for r in b.collect())
+    assert bars(got) == bars(tick_bars(ticks, "volume", 7.0, side))
+
+
+@pytest.mark.parametrize("side", ["either", "buy", "sell"])
+def test_steps_of_volume_bars(side):
+    """The step function of some rows, made in parts, gives what the kernel leaves for any state before them."""
+    draw = np.random.default_rng(1)
+    for limit in (10.0, 50.0, 300.0, 5000.0):
+        size, maker = np.round(draw.exponential(20, 150), 2), draw.random(150) < 0.5
+        buy, sell = np.where(maker, 0.0, size), np.where(maker, size, 0.0)
+        own = kernels.VolumeMap(limit, side)
+        for part in (slice(0, 40), slice(40, 41), slice(41, 150)):
+            own.add(buy[part], sell[part])
+        for x in np.append(draw.random(30), 0.0) * limit:
+            state = (x / 4, 3 * x / 4) if side == "either" else (x, x)
+            assert own.leaves(state, *own.steps()) == pytest.approx(kernels.volume_bars(buy, sell, limit, side, False, state)[1])
+
+
 def test_windows_in_pieces(bars):
     f = lambda b: b.withColumns({"mean": rolling(F.avg, "close", 6), "before": lag("close"), "next": F.lead("close", 2).over(windows_by())})
     from tickloom.functions.windows import by_bar as windows_by

@@ -90,6 +90,67 @@ def volume_bars(buy: np.ndarray, sell: np.ndarray, threshold: float, wait_for: s
     return way, (b, s)
 
 
+class VolumeMap:
+    """What ``volume_bars`` without carry-over leaves after some rows, for every state before them.
+
+    A bar that is open before the rows closes at the first row whose running volume makes up what it
+    lacks; from there on the bars depend on that row only, and those that close at one row are the same.
+    So the state after the rows is a step function of the volume before them. Sums may differ from
+    the kernel's in their last digits.
+    """
+
+    def __init__(self, threshold: float, wait_for: str) -> None:
+        self.threshold, self.wait_for = threshold, wait_for
+        self.all = np.zeros(2)  # bought and sold so far
+        self.most = 0.0  # running volume so far
+        self.need = np.zeros(0)  # least volume before the rows that closes at a row
+        self.of = np.zeros(0, np.int64)  # the state it leaves
+        self.left = np.zeros((0, 2))
+
+    def measure(self, sides: np.ndarray) -> np.ndarray:
+        """The volume that bars go by."""
+        return sides[..., 0] if self.wait_for == "buy" else sides[..., 1] if self.wait_for == "sell" else sides[..., 0] + sides[..., 1]
+
+    def add(self, buy: np.ndarray, sell: np.ndarray) -> None:
+        """Go on with further rows."""
+        n, limit, sides = len(buy), self.threshold, np.stack([buy, sell], 1)
+        ran = np.maximum.accumulate(np.cumsum(self.measure(sides)))
+        # the last close after a close at each row, by jumping over ever more bars
+        last = np.searchsorted(ran, ran + limit)
+        last = np.where(last < n, last, np.arange(n))
+        while (last[last] != last).any():
+            last = last[last]
+        closes = np.searchsorted(ran, limit - self.measure(self.left))
+        before = np.concatenate([[0.0], ran[:-1]])
+        new = np.flatnonzero((ran > before) & (self.most + before < limit))
+        at = np.concatenate([np.where(closes < n, last[np.minimum(closes, n - 1)], -1), last[new]])
+        sums = np.cumsum(sides, 0)
+        left = np.concatenate([self.left, np.zeros((len(new), 2))])
+        left = np.where(at[:, None] < 0, left + sums[-1], sums[-1] - sums[at])
+        states = np.unique(at[at >= 0])
+        if len(states) <= 100:  # in the kernel's order, so that digits are equal
+            for k in states.tolist():
+                left[at == k] = np.cumsum(sides[k + 1 :], 0)[-1] if k + 1 < n else 0.0
+        self.need = np.concatenate([self.need, limit - (self.most + ran[new])])
+        self.of = np.concatenate([self.of, len(self.left) + np.arange(len(new))])
+        self.left, merged = np.unique(left, axis=0, return_inverse=True)
+        self.of = merged.ravel()[self.of]
+        self.most, self.all = self.most + max(0.0, ran[-1]), self.all + sums[-1]
+
+    def steps(self) -> tuple[np.ndarray, np.ndarray]:
+        """Least volumes before the rows, and the states they leave; at -inf what is added to any state."""
+        need, of = self.need[::-1], self.of[::-1]
+        own = np.ones(len(of), bool)
+        own[1:] = of[1:] != of[:-1]
+        return np.concatenate([[-np.inf], need[own]]), np.concatenate([self.all[None], self.left[of[own]]])
+
+    def leaves(self, state: tuple[float, float], need: np.ndarray, left: np.ndarray) -> tuple[float, float]:
+        """The state after rows with these steps."""
+        k = int(np.searchsorted(need, float(self.measure(np.array(state))), "right")) - 1
+        b, s = left[k].tolist()
+        return (b, s) if k else (state[0] + b, state[1] + s)
+
+
 def hysteresis(x: np.ndarray, upper: float, lower: float, on: int = 0) -> np.ndarray:
     """1 from where x exceeds ``upper`` until it falls under ``lower``, else 0; ``on``: before the first value."""
     out = np.zeros(len(x), np.int64)

@@ -9,7 +9,9 @@ blocks of as many pieces. All blocks run from rest at once; those whose predeces
 another state than they were run with run again. Filters and bars that reset forget the
 state they began with, the sooner within a longer block, so few rounds remain. While due
 blocks halve, all run at once; else only the first of each symbol does. So work stays linear
-and rounds are at most about 2 * sqrt(P), even where a state is never forgotten.
+and rounds are at most about 2 * sqrt(P), even where a state is never forgotten. Where the state
+that a block leaves is a step function of the state before it, the steps of all blocks are made at
+once and give the states that the first round begins with.
 """
 
 from __future__ import annotations
@@ -195,11 +197,13 @@ def _met(left: DataFrame, right: DataFrame, key: Sequence[str], how: str = "inne
     return left.join(right, same, how).drop(*[f"_key_{c}" for c in key])
 
 
-def handed_over(df: DataFrame, outputs: dict[str, str], kernel: Callable[[pd.DataFrame, tuple], tuple[dict[str, np.ndarray], tuple]], start: tuple[float, ...], rows: int | None = None, by: tuple[str, ...] = ("symbol",), number: str = "bar_id") -> DataFrame:
+def handed_over(df: DataFrame, outputs: dict[str, str], kernel: Callable[[pd.DataFrame, tuple], tuple[dict[str, np.ndarray], tuple]], start: tuple[float, ...], rows: int | None = None, by: tuple[str, ...] = ("symbol",), number: str = "bar_id", steps: Callable | None = None, fed: tuple[str, ...] = ()) -> DataFrame:
     """Add columns that ``kernel`` makes from some ordered rows and the state before them.
 
     ``kernel`` gives columns and the state after the rows (numbers); it reads columns of numbers only.
-    ``outputs``: name to "double" or "long".
+    ``outputs``: name to "double" or "long". ``steps`` makes a map like ``kernels.VolumeMap``, which takes
+    the columns ``fed``; rounds then begin with the states that the maps of all blocks give. The result
+    is that of the kernel in any case, since blocks run until each begins with what the one before left.
     """
     rows = ROWS if rows is None else rows
     state = [f"_s{k}" for k in range(len(start))]
@@ -211,9 +215,9 @@ def handed_over(df: DataFrame, outputs: dict[str, str], kernel: Callable[[pd.Dat
     def in_order(entered: DataFrame) -> DataFrame:
         return entered.repartition(*block).sortWithinPartitions(*block, number)
 
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, dict, tuple, bool]]:
-        """Rows of one block at a time, what the kernel makes of them, the state after them, and whether a block begins."""
-        held, after = None, ()
+    def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, tuple, bool]]:
+        """Rows of one block at a time, its key, and whether a block begins."""
+        held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -227,11 +231,17 @@ def handed_over(df: DataFrame, outputs: dict[str, str], kernel: Callable[[pd.Dat
             for a, b in zip(at[:-1], at[1:]):
                 part = batch.slice(a, b - a)
                 key = tuple(part.column(c)[0].as_py() for c in block)
-                begins = key != held
-                if begins:
-                    held, after = key, tuple(part.column(c)[0].as_py() for c in state)
-                made, after = kernel(part.select(reads).to_pandas(), after)
-                yield part, made, after, begins
+                yield part, key, key != held
+                held = key
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, dict, tuple, bool]]:
+        """Rows of one block at a time, what the kernel makes of them, the state after them, and whether a block begins."""
+        after = ()
+        for part, _, begins in blocks_of(batches):
+            if begins:
+                after = tuple(part.column(c)[0].as_py() for c in state)
+            made, after = kernel(part.select(reads).to_pandas(), after)
+            yield part, made, after, begins
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, made, _, _ in parts(batches):
@@ -248,6 +258,40 @@ def handed_over(df: DataFrame, outputs: dict[str, str], kernel: Callable[[pd.Dat
                 found = found[-1:]
         yield from (pa.RecordBatch.from_arrays(list(r), names=left_names) for r in found)
 
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The steps of each block."""
+        own, key = None, []
+
+        def made() -> pa.RecordBatch:
+            need, left = own.steps()
+            keys = [pa.array(np.zeros(len(need), np.int32)) for _ in key]
+            return pa.RecordBatch.from_arrays([*[k.take(z) for k, z in zip(key, keys)], pa.array(need), *[pa.array(left[:, k]) for k in range(len(state))]], names=[*block, "_need", *state])
+
+        for part, _, begins in blocks_of(batches):
+            if begins:
+                if own is not None:
+                    yield made()
+                own, key = steps(), [part.column(c)[:1] for c in block]
+            own.add(*[part.column(c).to_numpy(zero_copy_only=False) for c in fed])
+        if own is not None:
+            yield made()
+
+    def entered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The state before each block, from the steps of the blocks of its symbol."""
+        own, symbol, now, held = steps(), None, tuple(map(float, start)), []
+
+        def passed() -> tuple[float, ...]:
+            need = np.concatenate([h.column("_need").to_numpy() for h in held])
+            left = np.concatenate([np.stack([h.column(c).to_numpy() for c in state], 1) for h in held])
+            return own.leaves(now, need, left)
+
+        for part, key, begins in blocks_of(batches):
+            if begins:
+                now = passed() if held and key[:-1] == symbol else tuple(map(float, start))
+                symbol, held = key[:-1], []
+                yield pa.RecordBatch.from_arrays([*[part.column(c)[:1] for c in block], *[pa.array([v], pa.float64()) for v in now]], names=[*block, *state])
+            held.append(part)
+
     # a block is as many pieces as there are blocks, about; it runs through a task in batches
     longest = df.groupBy(*by).agg(F.max(piece(number, rows)).alias("_wide")).select(*by, F.greatest(F.lit(1), F.floor(F.sqrt(F.col("_wide") + 1))).cast("long").alias("_wide"))
     keyed = _met(df, longest, by).withColumn("_block", F.floor(piece(number, rows) / F.col("_wide"))).drop("_wide")
@@ -259,7 +303,14 @@ def handed_over(df: DataFrame, outputs: dict[str, str], kernel: Callable[[pd.Dat
     along = Window.partitionBy(*by).orderBy("_block")
     # the last block of a symbol hands nothing over
     blocks = keyed.select(*block).distinct().withColumn("_next", F.lead("_block").over(along))
-    table = written(blocks.select("*", *at_rest, *[F.lit(None).cast("double").alias(f"{c}_out") for c in state], F.col("_next").isNotNull().alias("_due")), "states")
+    if steps is None:
+        blocks = blocks.select("*", *at_rest)
+    else:
+        numbers = [StructField(c, DoubleType()) for c in state]
+        maps = keyed.select(*dict.fromkeys([*block, number, *fed])).repartition(*block).sortWithinPartitions(*block, number).mapInArrow(mapped, StructType([*key, StructField("_need", DoubleType()), *numbers]))
+        begun = maps.repartition(*by).sortWithinPartitions(*block, "_need").mapInArrow(entered, StructType([*key, *numbers]))
+        blocks = _met(blocks, begun, block)
+    table = written(blocks.select("*", *[F.lit(None).cast("double").alias(f"{c}_out") for c in state], F.col("_next").isNotNull().alias("_due")), "states")
     due, all_at_once = table.where("_due").count(), None
     while due:
         asked = table.where("_due")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions import pieces
-from tickloom.functions.kernels import flow_bars, volume_bars
+from tickloom.functions.kernels import VolumeMap, flow_bars, volume_bars
 from tickloom.functions.scans import handed_over
 
 
@@ -30,7 +30,8 @@ def tick_bars(ticks: DataFrame, method: str, threshold: float, side: str = "eith
         return {"way": way}, after
 
     placed = pieces.numbered(sides, ("ts", "event_id"), F.date_trunc("hour", "ts"), "_tick")
-    closed = handed_over(placed, {"way": "long"}, run, (0.0, 0.0), rows, number="_tick")
+    steps = (lambda: VolumeMap(threshold, side)) if method == "volume" and not carry_over else None
+    closed = handed_over(placed, {"way": "long"}, run, (0.0, 0.0), rows, number="_tick", steps=steps, fed=("buy", "sell"))
     closed = pieces.written(closed, "ticks").withColumn("_closes", F.when(F.col("way") != 0, 1).otherwise(0))
     counted = pieces.running(closed, {"_closed": ("sum", "_closes")}, rows, number="_tick")
     # a closing tick belongs to the bar that it closes
