@@ -4,8 +4,11 @@ import base64
 import hashlib
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
@@ -534,6 +537,24 @@ def test_shared_folder_is_named_on_a_cluster():
         shared_dir(session)
 
 
+def test_bpe_worker_memory():
+    """Encoding many different words takes little more memory than the loaded tables."""
+    code = """
+import random, resource
+import pyarrow as pa, public_tokenizers
+from tickloom.llm import bpe
+own, draw = bpe.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN), random.Random(1)
+peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+own.merge([b"xq" * 40])
+texts, before = pa.array([" ".join("".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(100)) for _ in range(4000)]), peak()
+for part in bpe.slices(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]), limit=bpe.SLICE_BYTES):
+    own.decode(*own.texts(part.column("text")))
+print(peak() - before)
+"""
+    grown = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).resolve().parents[2]).stdout
+    assert float(grown.split()[-1]) < 120
+
+
 def test_ann(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 16)).astype(np.float32)

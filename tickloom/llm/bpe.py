@@ -29,14 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm import pieces
-from tickloom.llm.common import as_bytes, documents, slices
+from tickloom.llm.common import as_bytes, documents, give_back, slices
 
 #: Bytes of text encoded at a time.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 #: Pieces after which a Python worker forgets those not met since as many before.
-REMEMBERED = 400_000
-#: New pieces, and bytes of them, that one recursive query takes on.
-PIECES, PIECE_BYTES = 30_000, 400_000
+REMEMBERED = 100_000
+#: New pieces, and bytes of them, that one recursive query takes on; it holds its rows of all rounds.
+PIECES, PIECE_BYTES = 4_000, 50_000
 #: Bytes above which a piece is contracted from a heap.
 LONG = 64
 
@@ -88,7 +88,8 @@ class RecursiveBpe:
         a, b, id_ = (np.array(c, np.int32) for c in zip(*merges))
         self._table("merges", {"a": a, "b": b, "id": id_})
         self._table("tokens", {"id": np.array(list(self.vocab.values()), np.int32), "bytes": pa.array(list(self.vocab), pa.binary())})
-        self.pairs: dict[tuple[int, int], int] | None = None
+        # a byte without a rank is in no pair, as nothing longer than all tokens is one
+        self.bytes_of = dict(zip(self.vocab.values(), self.vocab)) | {-1: bytes(1 + max(map(len, self.vocab)))}
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
 
@@ -121,11 +122,9 @@ class RecursiveBpe:
 
     def _heaped(self, word: bytes) -> list[int]:
         """Ids of a long piece: the leftmost pair of least rank first, as in the query."""
-        if self.pairs is None:
-            self.pairs = {(a, b): i for a, b, i in self.db.execute("SELECT a, b, id FROM merges").fetchall()}
-        pairs, n = self.pairs, len(word)
+        rank_of, bytes_of, n = self.vocab.get, self.bytes_of, len(word)
         tok, before, after = self.single[np.frombuffer(word, np.uint8)].tolist(), list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(pairs[p], k, *p) for k, p in enumerate(zip(tok, tok[1:])) if p in pairs]
+        heap = [(rank, k, a, b) for k, (a, b) in enumerate(zip(tok, tok[1:])) if (rank := rank_of(bytes_of[a] + bytes_of[b])) is not None]
         heapq.heapify(heap)
         while heap:
             rank, at, a, b = heapq.heappop(heap)
@@ -136,8 +135,8 @@ class RecursiveBpe:
             if after[at] < n:
                 before[after[at]] = at
             for k in (before[at], at):
-                if k >= 0 and after[k] < n and (tok[k], tok[after[k]]) in pairs:
-                    heapq.heappush(heap, (pairs[tok[k], tok[after[k]]], k, tok[k], tok[after[k]]))
+                if k >= 0 and after[k] < n and (rank := rank_of(bytes_of[tok[k]] + bytes_of[tok[after[k]]])) is not None:
+                    heapq.heappush(heap, (rank, k, tok[k], tok[after[k]]))
         return [t for t in tok if t >= 0]
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
@@ -219,6 +218,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text:
             lists = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(ids).cast(pa.string()))
             lines = pc.binary_join(lists, ",").cast(pa.string())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets)), lines, own.decode(ids, offsets).cast(pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
+            give_back()
 
     return documents(docs, key, text).mapInArrow(run, "doc_id long, n_tokens long, ids string, decoded binary")
 
