@@ -621,6 +621,21 @@ def test_ann_beam_grows(spark):
     assert hit / 600 >= 0.9
 
 
+def test_ann_compares_once(spark, monkeypatch):
+    """A search takes no distance twice: not of nodes that left the beam, nor when the beam doubles."""
+    taken, own = [], ann._distances
+
+    def counted(pairs, dim):
+        taken.extend((r.q, r.w) for r in pairs.select("q", "w").collect())
+        return own(pairs, dim)
+
+    monkeypatch.setattr(ann, "_distances", counted)
+    x = np.random.default_rng(6).normal(size=(400, 24)).astype(np.float32)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0, k=4, beam=11).collect()
+    assert len(taken) > 20 * 11 and len(set(taken)) == len(taken)
+
+
 def test_empty_tables(spark):
     none = frame(spark, ["x"]).where("doc_id < 0")
     items = spark.createDataFrame([(1, "a b c")], "item_id long, text string")

@@ -3,13 +3,18 @@
 Rows with equal vectors are one node (the smallest id stands for them). A graph
 of K near nodes per node starts from groups dealt at random. Each round joins
 nodes that share a neighbour - two nodes in the neighbourhood of a third are
-likely near - and keeps the K nearest, until no edge changes. A large neighbourhood
+likely near - and keeps the K nearest, until no edge changes. Of a node's new edges
+the nearer K/2 take part at once, the others in later rounds, if they are still
+among the K nearest then: most of the first ones are not. A large neighbourhood
 is dealt into blocks, and all pairs of blocks are compared. A search starts
 at a query's own neighbours and keeps joining the nearest nodes not yet looked
 at with their graph neighbours, in both directions, until the nearest do not change.
-It keeps a beam of nodes. Some queries are also answered by comparing them with
-every node; while the search finds too few of their neighbours, it goes on with
-twice the beam, as long as that finds more.
+It looks from a beam of nodes, and every node met is kept with its distance, so
+that a pair is compared once. Some queries are also answered by comparing them with
+every node; while the search finds too few of their neighbours, it goes on from
+there with twice the beam, as long as that finds more. So what a query meets is set
+by the beam and the links of a node. Most neighbours are in the graph already
+(K is well above the number asked for), which keeps the beam narrow.
 
 Vectors that are null, empty, zero, hold a null or non-finite component, have
 another length than most, or have a null id take no part. Equal distances order
@@ -30,11 +35,11 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import forget, written
 
 #: Neighbours that a node keeps.
-K = 24
+K = 48
 #: Nodes of a block, on average; up to two blocks are compared at a time.
-GROUP = 64
-#: Nodes that a search keeps at first.
-BEAM = 192
+GROUP = 128
+#: Nodes that a search looks from at first.
+BEAM = 96
 #: Query nodes that are also answered by comparing all nodes, and the share of their neighbours to find.
 HELD, RECALL = 64, 0.95
 
@@ -134,10 +139,12 @@ def _local_join(members: DataFrame, dim: int, k: int) -> DataFrame:
 
 
 def _keep(edges: DataFrame, k: int) -> DataFrame:
-    """The k nearest of each node; an edge that was there before is not new."""
+    """The k nearest of each node; an edge that has taken part is not new, and of the others the k / 2 nearest are ``next``."""
     each = edges.groupBy("u", "w").agg(F.min("d").alias("d"), F.min("new").alias("new"))
-    rank = F.row_number().over(Window.partitionBy("u").orderBy("d", "w"))
-    return each.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
+    near = Window.partitionBy("u").orderBy("d", "w")
+    turn = F.sum(F.col("new").cast("int")).over(near.rowsBetween(Window.unboundedPreceding, 0))
+    each = each.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k).withColumn("turn", turn)
+    return each.select("u", "w", "d", "new", (F.col("new") & (F.col("turn") <= (k + 1) // 2)).alias("next"))
 
 
 def graph(points: DataFrame, k: int = K) -> DataFrame:
@@ -151,14 +158,15 @@ def graph(points: DataFrame, k: int = K) -> DataFrame:
     for r, deal in enumerate(deals[1:], 1):
         members = members.union(deal.withColumn("g", F.col("g") + r * n))
     edges = written(_keep(_local_join(members, dim, k).withColumn("new", F.lit(True)), k), "knn")
-    while edges.where("new").count():
-        both = edges.select(F.col("u").alias("g"), F.col("w").alias("node"), "new").union(edges.select(F.col("w").alias("g"), F.col("u").alias("node"), "new"))
+    while not edges.where("new").isEmpty():
+        part = edges.where("next OR NOT new")
+        both = part.select(F.col("u").alias("g"), F.col("w").alias("node"), F.col("next").alias("new")).union(part.select(F.col("w").alias("g"), F.col("u").alias("node"), F.col("next").alias("new")))
         both = both.groupBy("g", "node").agg(F.max("new").alias("new"))
         # a node with k neighbours only wants nearer ones
         reach = edges.groupBy("u").agg(F.when(F.count("*") >= k, F.max("d")).otherwise(far).alias("far"))
         about = points.join(reach, points.node == reach.u, "left").select("node", "v", F.coalesce("far", far).alias("far"))
         members = _dealt(both).join(about, "node")
-        then = written(_keep(_local_join(members, dim, k).withColumn("new", F.lit(True)).union(edges.select("u", "w", "d", F.lit(False).alias("new"))), k), "knn")
+        then = written(_keep(_local_join(members, dim, k).withColumn("new", F.lit(True)).union(edges.select("u", "w", "d", (F.col("new") & ~F.col("next")).alias("new"))), k), "knn")
         forget(spark, edges)
         edges = then
     return edges.select("u", "w", "d")
@@ -186,24 +194,30 @@ def _links(edges: DataFrame) -> DataFrame:
     return written(edges.select("u", "w").union(edges.select("w", "u")).distinct(), "links")
 
 
+def _aimed(seen: DataFrame, beam: int) -> DataFrame:
+    """Nodes met (q, w, d, done) and ``ahead``: those of the nearest ``beam`` not yet looked from."""
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("d", "w"))
+    return seen.withColumn("rank", rank).select("q", "w", "d", "done", ((F.col("rank") <= beam) & ~F.col("done")).alias("ahead"))
+
+
 def greedy(points: DataFrame, links: DataFrame, asked: DataFrame, start: DataFrame, beam: int, dim: int) -> DataFrame:
-    """The nearest ``beam`` nodes found for each query node: q, w, d (its own node aside).
+    """All nodes that a search from the nearest ``beam`` meets for each query node: q, w, d, done (its own node aside).
 
-    ``asked``: q and its vector qv; ``start``: q, w, d of nodes to begin with.
+    ``asked``: q and its vector qv; ``start``: q, w, d of nodes to begin with and whether
+    they were looked from before (done), as a search with a narrower beam leaves them.
     """
     spark = points.sparkSession
-    state = written(start.select("q", "w", "d", F.lit(False).alias("done")), "beam")
-    while not state.where(~F.col("done")).isEmpty():
-        top = _top(state, beam)
-        ahead = top.where(~F.col("done"))
+    state = written(_aimed(start, beam), "beam")
+    while not state.where("ahead").isEmpty():
+        ahead = state.where("ahead")
         near = ahead.join(links, ahead.w == links.u).select("q", links.w.alias("w")).where("q <> w").distinct()
         near = near.join(state.select("q", "w"), ["q", "w"], "left_anti")
         pairs = near.join(asked, "q").join(points.select(F.col("node").alias("w"), "v"), "w")
-        kept = top.select("q", "w", "d", F.lit(True).alias("done"))
-        then = written(_top(kept.union(_distances(pairs, dim).withColumn("done", F.lit(False))), beam), "beam")
+        kept = state.select("q", "w", "d", (F.col("done") | F.col("ahead")).alias("done"))
+        then = written(_aimed(kept.union(_distances(pairs, dim).withColumn("done", F.lit(False))), beam), "beam")
         forget(spark, state)
         state = then
-    return state.select("q", "w", "d")
+    return state.drop("ahead")
 
 
 def exact(points: DataFrame, asked: DataFrame, n: int, dim: int) -> set[tuple[int, int]]:
@@ -239,17 +253,18 @@ def _found(points: DataFrame, edges: DataFrame, queries: DataFrame, n: int, beam
     some = held.select("q")
     # the graph's distances come from matrix products; results have those of the vectors themselves
     near = edges.join(asked, edges.u == asked.q).select("q", "w", "qv").join(points.select(F.col("node").alias("w"), "v"), "w")
-    state = written(_distances(near, dim), "start")
+    state = written(_distances(near, dim).withColumn("done", F.lit(False)), "start")
     before = -1.0
     while True:
-        state = greedy(points, links, asked, state, beam, dim)
+        start, state = state, greedy(points, links, asked, state, beam, dim)
+        forget(spark, start)
         got = {(r["q"], r["w"]) for r in _top(state, n).join(some, "q", "left_semi").collect()}
         recall = len(want & got) / max(1, len(want))
         if not want or recall >= RECALL or recall <= before:
             break
         before, beam = recall, 2 * beam
     forget(spark, links)
-    return state
+    return state.select("q", "w", "d")
 
 
 def search(vectors: DataFrame, queries: Column, n: int = 10, key: str = "vec_id", vector: str = "embedding", k: int = K, beam: int = BEAM) -> DataFrame:
