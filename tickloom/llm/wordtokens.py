@@ -23,6 +23,8 @@ from tickloom.llm.common import tokenizer_chunks
 SLICE_BYTES = 4 << 20
 #: Chunks after which a Python worker forgets those it has not met since as many before.
 REMEMBERED = 400_000
+#: Words of letters that the library gets as one line.
+LINE = 64
 #: Characters of the longest chunk whose prefix counts are remembered.
 SHORT = 64
 #: Last characters by which tokens are looked up.
@@ -56,6 +58,10 @@ class WordTokens:
             raise ValueError("the tokenizer must lower-case, drop white space and part marks from words")
         self.dtype = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
+        # which tokens end a word, so that ids of a line part into those of its words
+        model = json.loads(self.library.to_str())["model"]
+        suffix, self.ends = model.get("end_of_word_suffix"), np.zeros(self.library.get_vocab_size(), bool)
+        self.ends[[i for t, i in model["vocab"].items() if suffix and t.endswith(suffix)]] = True
         self.prefixes: Prefixes | None = None
         self.counted: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -85,9 +91,24 @@ class WordTokens:
     def _add(self, words: list[str]) -> None:
         for begin in range(0, len(words), 20_000):
             part = words[begin : begin + 20_000]
+            letters = [w for w in part if w.isascii() and w.isalpha()]
+            if self._add_lines(letters):
+                part = [w for w in part if not (w.isascii() and w.isalpha())]
             for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
                 self.known[w] = struct.pack(f"<{len(e.ids)}{self.code}", *e.ids)
 
+    def _add_lines(self, words: list[str]) -> bool:
+        """Encode words of letters, many to a line; False if the ids do not part into as many words."""
+        lines = [" ".join(words[i : i + LINE]) for i in range(0, len(words), LINE)]
+        each = [np.array(e.ids, self.dtype) for e in self.library.encode_batch_fast(lines, add_special_tokens=False)]
+        ids = np.concatenate(each) if each else np.zeros(0, self.dtype)
+        at = np.flatnonzero(self.ends[ids]) + 1
+        if len(at) != len(words):
+            return False
+        raw, at = ids.tobytes(), (at * self.dtype.itemsize).tolist()
+        self.known |= {w: raw[a:b] for w, a, b in zip(words, [0, *at], at)}
+        return True
+
     def prefix_counts(self, chunk: str) -> list[int]:
         """Tokens of each prefix of a chunk, by characters."""
         if self.prefixes is None:
