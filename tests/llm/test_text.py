@@ -661,6 +661,66 @@ def test_ann_compares_once(spark, monkeypatch):
     assert len(taken) > 30 and len(set(taken)) == len(taken)
 
 
+def test_ann_at_size(spark, monkeypatch):
+    """The graph is that of a sample, whatever the table; rows fall into blocks and queries into packets; copies and repeats."""
+    sizes, own = [], ann.graph
+    monkeypatch.setattr(ann, "graph", lambda points, k: sizes.append(points.count()) or own(points, k))
+    for name, size in (("BLOCK", (7, 16, 600)), ("PACKET", (3, 4, 32))):
+        monkeypatch.setattr(ann, name, size, raising=False)
+    x = np.random.default_rng(9).normal(size=(3000, 10)).astype(np.float32)
+    x[100:400] = x[100]
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    found = ann.search(spark.createDataFrame(rows + rows[90:130], "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0, beam=11)
+    got = {q: sorted(r[1:] for r in g) for q, g in _by_query(found).items()}
+    assert sorted(got) == list(range(0, 3000, 20))
+    hit = 0
+    for q, best in got.items():
+        d = np.sqrt(((x.astype(float) - x[q]) ** 2).sum(1))
+        want = [int(i) for i in np.lexsort((np.arange(3000), d)) if i != q][:10]
+        assert [k for k, _, _ in best] == list(range(1, 11))
+        assert [(s, i) for _, i, s in best] == sorted({(d[i], i) for _, i, _ in best})
+        assert not 100 <= q < 400 or [i for _, i, _ in best] == want
+        hit += len({i for _, i, _ in best} & set(want))
+    assert hit / 1500 >= 0.9
+    assert max(sizes) <= 2 * 3000**0.5
+
+
+def test_ann_magnitudes(spark):
+    """Squares of components are beyond single precision."""
+    x = (1e30 * np.random.default_rng(10).normal(size=(300, 8))).astype(np.float32)
+    got = _by_query(ann.search(spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>"), F.col("vec_id") % 30 == 0, beam=11))
+    hit = 0
+    for q, rows in got.items():
+        d = np.sqrt(((x.astype(float) - x[q]) ** 2).sum(1))
+        assert [(k, s == d[i]) for _, k, i, s in sorted(rows)] == [(k, True) for k in range(1, 11)]
+        hit += len({i for _, _, i, _ in rows} & {int(i) for i in np.argsort(d)[1:11]})
+    assert len(got) == 10 and hit >= 90
+
+
+def test_ann_few(spark):
+    """Fewer rows than are asked for, equal ones, and one alone."""
+    for vectors, want in (([[1.0, 2.0]] * 4, [1, 2, 3]), ([[1.0, 2.0]], []), ([[1.0, 0.0], [3.0, 0.0], [2.0, 0.0]], [2, 1])):
+        found = ann.search(spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>"), F.col("vec_id") == 0)
+        assert [r.vec_id for r in sorted(found.collect(), key=lambda r: r["rank"])] == want
+
+
+def test_ann_rows_are_left_out_by_their_distance():
+    """Products only rule out: what a block finds is what all distances give, far from the origin too."""
+    rng = np.random.default_rng(11)
+    for far in (0, 300):
+        x = (far + rng.normal(size=(900, 6))).astype(np.float32)
+        marks = ann.Marks(np.arange(9), x[:9], 1.0, x[:9].mean(0), None, None, None)
+        parts = [(np.arange(a, a + 300) % 700, rng.integers(0, 9, 300).astype(np.uint16), x[a : a + 300]) for a in (0, 300, 600)]
+        rows = ann._block([*parts, parts[0]], marks, 5)
+        ids, looked = np.arange(40), rng.random((9, 40)) < 0.6
+        out, d = ann._compared(rows, ids, x[:40], np.packbits(looked, axis=1), np.full(40, np.inf), marks, 5)
+        own, cell = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        for q in ids:
+            all_d = np.sqrt(((x.astype(float) - x[q]) ** 2).sum(1))
+            want = sorted((all_d[i], own[i]) for i in range(900) if looked[cell[i], q] and own[i] != q)[:5]
+            assert list(zip(d[q], out[q])) == want
+
+
 def test_empty_tables(spark):
     none = frame(spark, ["x"]).where("doc_id < 0")
     items = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
