@@ -546,6 +546,66 @@ def test_toxicity_by_joins_and_by_broadcast(spark, monkeypatch):
     assert any(r.peak > 0 for r in seen[0])
 
 
+def test_texts_of_labelled_rows_are_not_shuffled(spark):
+    """Filters pick the learning rows as a join does, over null and repeated ids, null texts and labels that differ."""
+    rows = [(i, f"text text{i}") for i in range(60)] + [(5, "again"), (None, "none"), (7, None), (9, "")]
+    docs = toxicity.documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    labels = [(i, i % 2) for i in range(0, 70, 2)] + [(i, 1) for i in range(0, 30, 6)] + [(None, 1), (12, None), (7, 0), (9, None), (5, 1)]
+    known = toxicity.learnt_labels(spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = toxicity.learning_rows(docs, known)
+    truth = {}
+    for i, t in labels:
+        if i is not None and t is not None and zlib.crc32(str(i).encode()) % 3 != 1:
+            truth[i] = max(t, truth.get(i, 0))
+    want = Counter((w, 2 * (zlib.crc32(str(i).encode()) % 3 != 0) + truth[i]) for i, t in rows if i in truth for w in set((t or "").split()))
+    seen = Counter()
+    for r in got.collect():
+        seen.update({(r.word, k): n for k, n in enumerate((r.o0, r.t0, r.o1, r.t1)) if n})
+    assert seen == want and len(want) > 20
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_learning_rows_that_the_filters_mistake(spark):
+    """Ids that a filter takes for others are told by a join."""
+    labels = spark.range(0, 900_000, 3).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    docs = spark.range(900_000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    known = toxicity.learnt_labels(labels)
+    bits = toxicity.bit_filter(known.select("doc_id"))
+    other = [i for i in range(900_000) if i % 3 and zlib.crc32(str(i).encode()) % 3 != 1]
+    assert toxicity.may_hold(bits, np.array(other, np.uint64)).any()
+    got = toxicity.learning_rows(docs, known).toArrow().to_pydict()
+    want = [i for i in range(0, 900_000, 3) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert sorted(map(int, got["word"])) == want
+    assert all((o0 + t0 + o1 + t1, t0 + t1) == (1, int(i) % 2) for i, o0, t0, o1, t1 in zip(*got.values()))
+
+
+def test_only_rows_of_the_curve_are_scored_by_a_fold(spark, monkeypatch):
+    """The other rows have no features by a fold, and what the curve is fitted to stays what a plain join takes."""
+    draw = random.Random(8)
+    words = ["".join(draw.choices("abcdé", k=draw.randint(1, 9))) for _ in range(60)]
+    rows = [(i, " ".join(draw.choices(words, k=draw.randint(0, 30)))) for i in range(90)] + [(None, "ab"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 3 // 2) for i in range(0, 90, 2)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "CURVE_ROWS", 10)
+    seen, fitted = {}, []
+    ratios, curve = toxicity.ratios, toxicity.curve
+    monkeypatch.setattr(toxicity, "ratios", lambda d, m: seen.setdefault("found", ratios(d, m).cache()))
+    monkeypatch.setattr(toxicity, "curve", lambda x, y: fitted.append((x, y)) or curve(x, y))
+    for head in (1 << 20, 0):
+        monkeypatch.setattr(toxicity, "HEAD", head)
+        seen.clear()
+        assert toxicity.score(docs, labels).count() == len(rows)
+        found = seen["found"].withColumn("h", F.xxhash64("doc_id")).collect()
+        learnt = sorted((r.h, r.doc_id) for r in found if r.doc_id is not None and r.doc_id % 2 == 0 and zlib.crc32(str(r.doc_id).encode()) % 3 != 1)[:10]
+        asked = {r.doc_id for r in found if r.peak_other is not None}
+        assert {i for _, i in learnt} <= asked
+        assert asked == {r.doc_id for r in found if r.doc_id is not None and r.h <= learnt[-1][0] and zlib.crc32(str(r.doc_id).encode()) % 3 != 1}
+        by = {r.doc_id: [r.peak_other, r.mean_other, r.strong_other, r.dense_other] for r in found}
+        assert fitted[-1][0].tolist() == [by[i] for _, i in learnt]
+        assert fitted[-1][1].tolist() == [i % 3 // 2 for _, i in learnt]
+    assert fitted[0][0].tolist() == fitted[1][0].tolist()
+
+
 def test_shared_folder_is_named_on_a_cluster():
     from types import SimpleNamespace
 

op10_toxicity: join ids instead of texts, carry only needed ratios

Symptom: op10_toxicity shuffled 664 MB over 0.51 GB of documents and labels (1.30 x the input), 91 MB over 0.10 GB.
Evidence: by stage, 151 MB were texts of labelled rows on their way to the labels, 169 MB sequences, and the joins of tail words carried ratios of both fold models for all rows, though only the rows of the curve use them, and contexts that are broadcast anyway.
Fix: filters of ordinary and toxic ids tell labels while texts are read; ids alone meet the labels, and only texts whose id a filter mistakes are joined. Words are summed before their sequences. Fold models score only rows with hashes as low as those of the curve; only contexts below the broadcast level meet tail words, by a left join that needs no placeholder rows.
Effect: at 0.6 GB of input CPU 578 -> 557 s, shuffle 0.35 -> 0.17 GB, spill 0.00 -> 0.00 GB, read 1.30 -> 1.88 GB, longest task 25 -> 28 s, most memory of a task 102 -> 78 MB; at 6 GB of input CPU 4202 -> 3906 s, shuffle 6.17 -> 3.20 GB, spill 0.00 -> 0.00 GB, read 13.83 -> 19.55 GB, longest task 81 -> 62 s, most memory of a task 453 -> 520 MB; with hot keys, at 0.6 GB of input CPU 346 -> 296 s, shuffle 0.16 -> 0.09 GB, spill 0.00 -> 0.00 GB, read 0.43 -> 0.43 GB, longest task 10 -> 7 s, most memory of a task 101 -> 80 MB.

@@ -16,11 +16,14 @@ dealt into two folds, each scored by the other's.
 The most frequent contexts, with all that follows them (``HEAD`` sequences at most),
 are broadcast and score most words while texts are read; a filter of ``FILTER`` bits
 tells most contexts that the model does not hold. The distinct words with any context
-that may be among the rest meet the table in a join, and go back to their documents: by
-broadcast the few that many documents hold, by a shuffle the others. Ratios are
+that may be among the rest meet the other contexts in a join, and go back to their documents: by
+broadcast the few that many documents hold, by a shuffle the others. Only rows that the
+curve may be fitted to are scored by the model of a fold, all by that of both. Ratios are
 multiples of 2**-16, so that sums do not depend on their order.
 
-Counts are taken over all learning rows, a word once a document. The curve alone is fitted to at most
+Counts are taken over all learning rows, a word once a document. Filters of the labelled
+ids find the learning rows, so that texts are not shuffled; distinct words are summed
+before their sequences are. The curve alone is fitted to at most
 ``CURVE_ROWS`` of them.
 
 A null text is empty; a text without words has ratios zero. Rows that repeat are
@@ -56,7 +59,7 @@ SPAN = 8
 POWER = 4
 #: Sequences that are broadcast at most.
 HEAD = 1 << 20
-#: Bits of the filters of labelled ids and of the contexts that are not broadcast. Fuller, they let more through to the joins.
+#: Bits of the filters of labelled ids (ordinary, toxic, mistaken) and of the contexts that are not broadcast. Fuller, they let more through to the joins.
 FILTER = 1 << 26
 #: Tail words that more than one in so many rows hold are broadcast.
 HOT = 1 << 17
@@ -76,12 +79,16 @@ _SHARE = np.array([1, *[1] * 26, 10, 32, 32, 32, 32], float)
 
 #: Counts by fold and class, and the models: what they sum for either class.
 COUNTS = ["o0", "t0", "o1", "t1"]
+WORDS = "word string, " + ", ".join(f"{c} long" for c in COUNTS)
 MODELS = [(["o0"], ["t0"]), (["o1"], ["t1"]), (["o0", "o1"], ["t0", "t1"])]
 RATIOS, EXITS = ["r0", "r1", "r2"], ["e0", "e1", "e2"]
 #: What words add up to in a text, and what the curve takes from that: the highest ratio of a
 #: span, the mean ratio of a byte, and the evidence of all words, whole and by length.
-PARTS = [f"{what}{k}" for k in range(len(MODELS)) for what in ("peak", "sum", "power")]
+SUMS = ["peak", "sum", "power"]
+PARTS = [f"{what}{k}" for k in range(len(MODELS)) for what in SUMS]
 FEATURES = ["peak", "mean", "strong", "dense"]
+#: What a row is scored by: the model of the fold it is not in, if the curve may be fitted to it, and that of both folds.
+SIDES = ["other", "both"]
 
 
 def held_out(key: Column) -> Column:
@@ -190,22 +197,75 @@ def bit_filter(values: DataFrame) -> np.ndarray:
     return found.ravel()
 
 
-def learning_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Texts of labelled rows that are not held out: text, toxic, fold."""
+def learnt_labels(labels: DataFrame) -> DataFrame:
+    """Labels that are learnt from: doc_id, toxic (the highest of an id)."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
-    held = docs.sparkSession.sparkContext.broadcast(bit_filter(known.select(F.col("doc_id").cast("long").alias("doc_id"))))
+    return written(known.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic"), "known")
 
-    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def learnable(docs: DataFrame) -> DataFrame:
+    """Rows that a label would be learnt from."""
+    return docs.where("doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many documents of each fold and class hold each word, from their text, toxic and fold; a word may come again."""
+    for part in slices(batches):
+        _, found = lowered_words(part.column("text"))
+        kind = part.column("fold").to_numpy() * 2 + (part.column("toxic").to_numpy() > 0)
+        coded = found.values.dictionary_encode()
+        doc = np.repeat(np.arange(part.num_rows), np.diff(found.offsets))
+        # a word counts once a document, however often a text repeats it
+        doc, of = np.divmod(np.unique(doc * max(1, len(coded.dictionary)) + coded.indices.to_numpy()), max(1, len(coded.dictionary)))
+        times = np.bincount(of * 4 + kind[doc], minlength=4 * len(coded.dictionary)).reshape(-1, 4)
+        yield pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.string()), *[pa.array(times[:, k]) for k in range(4)]], names=["word", *COUNTS])
+
+
+def learning_rows(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """Words of labelled rows that are not held out: word, o0, t0, o1, t1, as ``spelt`` gives them.
+
+    Filters of the ordinary and the toxic ids tell the label of a text while it is read.
+    Ids alone are joined with the labels, to find those that the filters take for others.
+    Texts of such ids are joined with the labels too: few, until the filters fill.
+    """
+    spark, some, texts = docs.sparkSession, learnable(docs).select("doc_id"), learnable(docs).select("doc_id", fold(F.col("doc_id")).alias("fold"), "text")
+    known = known.select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    filters = spark.sparkContext.broadcast([bit_filter(known.where(F.col("toxic") == k).select("doc_id")) for k in (0, 1)])
+
+    def guess(ids: np.ndarray) -> np.ndarray:
+        """Label by the filters; -1 is none."""
+        ordinary, toxic = (may_hold(bits, ids) for bits in filters.value)
+        return np.where(toxic, 1, np.where(ordinary, 0, -1)).astype(np.int32)
+
+    def guessed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(may_hold(held.value, b.column("doc_id").to_numpy().view(np.uint64))))
+            kind = guess(b.column("doc_id").to_numpy().view(np.uint64))
+            yield b.append_column("guess", pa.array(kind)).filter(pa.array(kind >= 0))
 
-    # most texts without a label stay out of the shuffle
-    some = docs.where("doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(labelled, "doc_id long, text string")
+    ids = some.mapInArrow(guessed, "doc_id long, guess int")
     # sorted and merged at every size: labels grow with the documents
-    return some.join(known.hint("merge"), "doc_id").select("text", "toxic", fold(F.col("doc_id")).alias("fold"))
+    wrong = ids.join(known.hint("merge"), "doc_id", "left").where(~F.col("guess").eqNullSafe(F.col("toxic")))
+    mistaken = bit_filter(wrong.select("doc_id"))
+    doubt = spark.sparkContext.broadcast(mistaken)
 
+    def sure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key = b.column("doc_id").to_numpy().view(np.uint64)
+            kind = np.where(may_hold(doubt.value, key), -1, guess(key)).astype(np.int32)
+            yield b.append_column("toxic", pa.array(kind)).filter(pa.array(kind >= 0))
+
+    def doubtful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(may_hold(doubt.value, b.column("doc_id").to_numpy().view(np.uint64))))
 
-def count(rows: DataFrame) -> DataFrame:
+    # one Python worker a task tells labels and parts words
+    found = texts.mapInArrow(lambda batches: spelt(sure(batches)), WORDS)
+    if mistaken.any():
+        found = found.unionByName(texts.mapInArrow(doubtful, "doc_id long, fold int, text string").join(known.hint("merge"), "doc_id").mapInArrow(spelt, WORDS))
+    return found
+
+
+def count(words: DataFrame) -> DataFrame:
     """How often each sequence occurs in each fold and class: code, o0, t0, o1, t1."""
 
     def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -218,16 +278,9 @@ def count(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for part in slices(batches):
-            _, found = lowered_words(part.column("text"))
-            kind = part.column("fold").to_numpy() * 2 + (part.column("toxic").to_numpy() > 0)
-            coded = found.values.dictionary_encode()
-            doc = np.repeat(np.arange(part.num_rows), np.diff(found.offsets))
-            # a word counts once a document, however often a text repeats it
-            doc, of = np.divmod(np.unique(doc * max(1, len(coded.dictionary)) + coded.indices.to_numpy()), max(1, len(coded.dictionary)))
-            times = np.bincount(of * 4 + kind[doc], minlength=4 * len(coded.dictionary)).reshape(-1, 4)
-            own = Sequences(coded.dictionary)
-            held.append((own.codes, np.repeat(times, own.sizes, axis=0)))
+        for part in slices(batches, "word"):
+            own = Sequences(part.column("word"))
+            held.append((own.codes, np.repeat(np.column_stack([part.column(c).to_numpy() for c in COUNTS]), own.sizes, axis=0)))
             size += len(own.codes)
             if size > HELD:
                 code, n = merged(held)
@@ -238,10 +291,12 @@ def count(rows: DataFrame) -> DataFrame:
         if held:
             yield batch(*merged(held))
 
-    each = rows.mapInArrow(run, "code long, " + ", ".join(f"{c} long" for c in COUNTS))
+    kinds, sums = ", ".join(f"{c} long" for c in COUNTS), [F.sum(c).alias(c) for c in COUNTS]
+    # words are summed first: a frequent one gives its sequences once, not in every task that reads it
+    each = words.groupBy("word").agg(*sums).mapInArrow(run, f"code long, {kinds}")
     context = F.shiftrightunsigned("code", 8)
     # one shuffle, which carries no context, serves both groupings; a context has at most 256 sequences
-    summed = each.repartition(context).withColumn("context", context).groupBy("context", "code").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    summed = each.repartition(context).withColumn("context", context).groupBy("context", "code").agg(*sums)
     return summed.groupBy("context").agg(F.collect_list(F.struct("code", *COUNTS)).alias("seen"))
 
 
@@ -264,8 +319,8 @@ def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray], np.ndarr
 
 
 def fit(rows: DataFrame) -> Model:
-    """The ratio of each sequence of the learning rows."""
-    counts = written(count(rows), "counts")
+    """The ratio of each sequence of the learning rows: of their texts (text, toxic, fold) or of words that ``spelt`` has made of them."""
+    counts = written(count(rows if "word" in rows.columns else rows.mapInArrow(spelt, WORDS)), "counts")
     table = SYMBOLS**LOWER
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,7 +414,7 @@ class Head:
 
 
 def _scan(docs: DataFrame, head: Broadcast) -> DataFrame:
-    """Per row: doc_id, row, size and parts over words of frequent contexts, other words and how often each occurs."""
+    """Per row: doc_id, other, row, size and sums by side over words of frequent contexts, other words and how often each occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -372,26 +427,31 @@ def _scan(docs: DataFrame, head: Broadcast) -> DataFrame:
             doc = np.repeat(np.arange(part.num_rows), np.diff(found.offsets))
             inside = whole[of]
             size = np.bincount(doc[inside], own.sizes[of[inside]], part.num_rows).astype(np.int64)
-            cols = []
-            for k in range(len(MODELS)):
-                peak, *sums = own.scores(ratio[:, k])
-                best = np.full(part.num_rows, -np.inf)
-                np.maximum.at(best, doc[inside], peak[of[inside]])
-                cols += [pa.array(best), *[pa.array(np.bincount(doc[inside], x[of[inside]], part.num_rows).astype(float)) for x in sums]]
+            cols, other = [], pc.fill_null(part.column("other"), -1).to_numpy()
+            for model in (other, np.full(part.num_rows, 2)):
+                best, sums = np.full(part.num_rows, -np.inf), np.zeros((2, part.num_rows))
+                for k in np.unique(model[model >= 0]):
+                    peak, *more = own.scores(ratio[:, k])
+                    use = inside & (model == k)[doc]
+                    np.maximum.at(best, doc[use], peak[of[use]])
+                    sums += [np.bincount(doc[use], x[of[use]], part.num_rows) for x in more]
+                cols += [pa.array(best), *[pa.array(x) for x in sums]]
             key, times = np.unique(doc[~inside] * kinds + of[~inside], return_counts=True)
             at = pa.array(np.searchsorted(key, np.arange(part.num_rows + 1) * kinds), pa.int32())
             words = pa.ListArray.from_arrays(at, coded.dictionary.take(pa.array(key % kinds)).cast(pa.string()))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("row"), pa.array(size), *cols, words, pa.ListArray.from_arrays(at, pa.array(times.astype(np.int64)))],
-                names=["doc_id", "row", "size", *PARTS, "words", "times"],
+                [part.column("doc_id"), part.column("other"), part.column("row"), pa.array(size), *cols, words, pa.ListArray.from_arrays(at, pa.array(times.astype(np.int64)))],
+                names=["doc_id", "other", "row", "size", *names, "words", "times"],
             )
 
-    kinds = "doc_id long, row long, size long, " + ", ".join(f"{p} double" for p in PARTS) + ", words array<string>, times array<long>"
+    names = [f"{what}_{side}" for side in SIDES for what in SUMS]
+    kinds = "doc_id long, other int, row long, size long, " + ", ".join(f"{n} double" for n in names) + ", words array<string>, times array<long>"
     return docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, kinds)
 
 
 def _tail_words(words: DataFrame, model: Model, head: Broadcast) -> DataFrame:
-    """Size and parts of words with rare or unseen contexts: word, size, parts."""
+    """Size and parts of words with rare or unseen contexts: word, size, parts. A fold's model gives zeros for words that no row needs it for."""
+    needs = ["need0", "need1"]
 
     def open_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "word"):
@@ -399,38 +459,44 @@ def _tail_words(words: DataFrame, model: Model, head: Broadcast) -> DataFrame:
             free = np.flatnonzero(~head.value.of(own.codes)[0])
             word = np.searchsorted(own.starts, free, side="right") - 1
             yield pa.RecordBatch.from_arrays(
-                [part.column("word").take(pa.array(word)), pa.array((free - own.starts[word]).astype(np.int32)), pa.array(own.codes[free].view(np.int64))], names=["word", "at", "code"]
+                [*[part.column(c).take(pa.array(word)) for c in ("word", *needs)], pa.array((free - own.starts[word]).astype(np.int32)), pa.array(own.codes[free].view(np.int64))], names=["word", *needs, "at", "code"]
             )
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "word"):
             own, filled = Sequences(part.column("word")), part.column("filled")
             flat, per = filled.flatten(), pc.list_value_length(filled).to_numpy()
-            at = flat.field("at").to_numpy()
-            place = (at + np.repeat(own.starts, per))[at >= 0]
+            place = flat.field("at").to_numpy() + np.repeat(own.starts, per)
             ratio = head.value.of(own.codes)[1]
             for k, name in enumerate(RATIOS):
-                ratio[place, k] = flat.field(name).to_numpy()[at >= 0]
+                ratio[place, k] = flat.field(name).to_numpy()
+            for k, need in enumerate(needs):
+                ratio[:, k] *= np.repeat(part.column(need).to_numpy(zero_copy_only=False), own.sizes)
             cols = [pa.array(x) for k in range(len(MODELS)) for x in own.scores(ratio[:, k])]
             yield pa.RecordBatch.from_arrays([part.column("word"), pa.array(own.sizes), *cols], names=["word", "size", *PARTS])
 
-    free = words.select("word").mapInArrow(open_places, "word string, at int, code long").withColumn("context", F.shiftrightunsigned("code", 8))
-    met = free.join(model.contexts.drop("level").hint("merge"), "context").withColumn("hit", F.get(F.filter("seen", lambda x: x["code"] == F.col("code")), F.lit(0)))
-    places = met.select("word", "at", *[F.coalesce(f"hit.{r}", e).alias(r) for r, e in zip(RATIOS, EXITS)])
-    # a word without any learnt context stays by its place -1
-    none = words.select("word", F.lit(-1).alias("at"), *[F.lit(0.0).alias(r) for r in RATIOS])
-    filled = places.unionByName(none).groupBy("word").agg(F.collect_list(F.struct("at", *RATIOS)).alias("filled"))
+    free = words.select("word", *needs).mapInArrow(open_places, "word string, " + ", ".join(f"{n} boolean" for n in needs) + ", at int, code long")
+    # a place is open only if its context is not broadcast; every word has one, and stays without any learnt context
+    rare = model.contexts.where(F.col("level") < model.head).drop("level")
+    met = free.join(rare.hint("merge"), F.shiftrightunsigned("code", 8) == F.col("context"), "left").withColumn("hit", F.get(F.filter("seen", lambda x: x["code"] == F.col("code")), F.lit(0)))
+    asked = [*map(F.col, needs), F.lit(True)]
+    places = met.select("word", *needs, "at", *[F.when(n, F.coalesce(f"hit.{r}", e, F.lit(0.0))).otherwise(0.0).alias(r) for n, r, e in zip(asked, RATIOS, EXITS)])
+    filled = places.groupBy("word").agg(*[F.max(n).alias(n) for n in needs], F.collect_list(F.struct("at", *RATIOS)).alias("filled"))
     return filled.mapInArrow(add, "word string, size long, " + ", ".join(f"{p} double" for p in PARTS))
 
 
 def ratios(docs: DataFrame, model: Model) -> DataFrame:
-    """The features of each row by each model: doc_id, peak0, mean0, strong0, dense0, peak1 and so on."""
+    """The features of each row by either side: doc_id, peak_other, mean_other and so on, peak_both and so on.
+
+    ``docs`` has the columns doc_id, text and other: the fold whose model has not seen the row, null where it is not asked for.
+    """
     spark = docs.sparkSession
     rare = bit_filter(model.contexts.where(F.col("level") < model.head).select("context"))
     head = spark.sparkContext.broadcast(Head(model.contexts.where(F.col("level") >= model.head).toArrow(), rare))
     scanned = written(_scan(docs, head), "scanned")
-    tails = scanned.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
-    words = written(tails.groupBy("word").agg(F.count("*").alias("rows")), "tail-words")
+    tails = scanned.select("row", "other", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", "other", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
+    needs = [F.coalesce(F.max(F.col("other") == k), F.lit(False)).alias(f"need{k}") for k in (0, 1)]
+    words = written(tails.groupBy("word").agg(F.count("*").alias("rows"), *needs), "tail-words")
     parts = written(_tail_words(words, model, head), "tail-parts")
     # fewer than HOT words pass
     limit = (words.agg(F.sum("rows")).first()[0] or 0) / HOT
@@ -438,15 +504,17 @@ def ratios(docs: DataFrame, model: Model) -> DataFrame:
     tails = tails.join(F.broadcast(often), "word", "left")
     hot = parts.join(F.broadcast(often.select("word")), "word", "left_semi")
     met = tails.where("often").join(F.broadcast(hot), "word").unionByName(tails.where("often IS NULL").join(parts.hint("merge"), "word")).drop("often")
-    more = [F.max(p).alias(f"more_{p}") if p.startswith("peak") else F.sum(F.col(p) * F.col("times")).alias(f"more_{p}") for p in PARTS]
+    by = {"other": lambda what: F.when(F.col("other") == 0, F.col(f"{what}0")).when(F.col("other") == 1, F.col(f"{what}1")), "both": lambda what: F.col(f"{what}2")}
+    more = [(F.max(by[side](what)) if what == "peak" else F.sum(by[side](what) * F.col("times"))).alias(f"more_{what}_{side}") for side in SIDES for what in SUMS]
     rest = met.groupBy("row").agg(F.sum(F.col("size") * F.col("times")).alias("more_size"), *more)
     size = F.col("size") + F.coalesce("more_size", F.lit(0))
     out = []
-    for k in range(len(MODELS)):
-        peak = F.greatest(f"peak{k}", F.coalesce(f"more_peak{k}", F.lit(float("-inf"))))
-        total, power = (F.col(f"{what}{k}") + F.coalesce(f"more_{what}{k}", F.lit(0.0)) for what in ("sum", "power"))
+    for k in SIDES:
+        peak = F.greatest(f"peak_{k}", F.coalesce(f"more_peak_{k}", F.lit(float("-inf"))))
+        total, power = (F.col(f"{what}_{k}") + F.coalesce(f"more_{what}_{k}", F.lit(0.0)) for what in ("sum", "power"))
         each = {"peak": peak / SPAN, "mean": total / size, "strong": F.pow(power, 1 / POWER) / SPAN, "dense": F.pow(power / size, 1 / POWER) / SPAN}
-        out += [F.when(size > 0, each[what]).otherwise(0.0).alias(f"{what}{k}") for what in FEATURES]
+        asked = F.col("other").isNotNull() if k == "other" else F.lit(True)
+        out += [F.when(asked, F.when(size > 0, each[what]).otherwise(0.0)).alias(f"{what}_{k}") for what in FEATURES]
     return scanned.drop("words", "times").join(rest.hint("merge"), "row", "left").select("doc_id", *out)
 
 
@@ -473,14 +541,16 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     ``labels`` has the columns doc_id and toxic (0 or 1). Learns only from labels of
     rows that are not held out.
     """
-    own = documents(docs, key, text)
-    model = fit(learning_rows(own, labels))
-    found = written(ratios(own, model), "found")
-    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    # a row of fold 0 has the ratios of the model of fold 1, and the other way round
-    other = lambda what: F.when(fold(F.col("doc_id")) == 0, F.col(f"{what}1")).otherwise(F.col(f"{what}0"))
-    unseen = found.where(~held_out(F.col("doc_id"))).join(known, "doc_id").select(*[other(f).alias(f) for f in FEATURES], "toxic", F.xxhash64("doc_id").alias("h"))
-    rows = np.array([[r[c] for c in (*FEATURES, "toxic")] for r in unseen.orderBy("h").limit(CURVE_ROWS).collect()], float).reshape(-1, len(FEATURES) + 1)
+    own, h = documents(docs, key, text), F.xxhash64("doc_id")
+    known = learnt_labels(labels)
+    model = fit(learning_rows(own, known))
+    # CURVE_ROWS at most; only rows of these hashes are scored by the model of the other fold
+    fitted = written(learnable(own).select("doc_id").join(known.hint("merge"), "doc_id").withColumn("h", h).orderBy("h").limit(CURVE_ROWS), "fitted")
+    asked = ~held_out(F.col("doc_id")) & (F.xxhash64(F.col("doc_id").cast("long")) <= F.lit(fitted.agg(F.max("h")).first()[0]).cast("long"))
+    found = written(ratios(own.withColumn("other", F.when(asked, 1 - fold(F.col("doc_id")))), model), "found")
+    chosen = F.broadcast(fitted.select("doc_id", "toxic").distinct())
+    unseen = found.where("peak_other IS NOT NULL").join(chosen, "doc_id").select(*[f"{f}_other" for f in FEATURES], "toxic", h.alias("h"))
+    rows = np.array([[*r][:-1] for r in unseen.orderBy("h").limit(CURVE_ROWS).collect()], float).reshape(-1, len(FEATURES) + 1)
     *weights, bias = curve(rows[:, :-1], rows[:, -1]).tolist()
-    value = 1 / (1 + F.exp(-sum((F.col(f"{f}2") * w for f, w in zip(FEATURES, weights)), F.lit(bias))))
-    return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), value.alias("score"), *[F.col(f"{f}2").alias(f) for f in FEATURES])
+    value = 1 / (1 + F.exp(-sum((F.col(f"{f}_both") * w for f, w in zip(FEATURES, weights)), F.lit(bias))))
+    return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), value.alias("score"), *[F.col(f"{f}_both").alias(f) for f in FEATURES])
